@@ -2,12 +2,37 @@
 
 REPEATS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS at FROM d WHERE len(w) >= 13),
-s AS (SELECT doc_id, at, array_to_string(w[at:at + 12], ' ') AS words FROM p),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d WHERE len(w) >= 13),
+s AS (SELECT doc_id, pos, array_to_string(w[pos:pos + 12], ' ') AS words FROM p),
 f AS (SELECT words, min(doc_id) AS least FROM s GROUP BY words),
-c AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(at, at + 13)) AS i FROM s JOIN f USING (words) WHERE doc_id > least)),
+c AS (SELECT DISTINCT doc_id, i FROM (SELECT doc_id, unnest(range(pos, pos + 13)) AS i FROM s JOIN f USING (words) WHERE doc_id > least)),
 a AS (SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
 k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM a ANTI JOIN c USING (doc_id, i) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)
 """
+
+CONTAMINATION = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[pos:pos + least(len(w), 10) - 1], ' ') AS words
+       FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS pos FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS words
+       FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT doc_id, item_id, pos, n FROM dw JOIN bw USING (n, words)),
+h AS (SELECT doc_id, count(DISTINCT i)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS i FROM m) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+"""
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, {5 * g + 1}, 5))::BIGINT >> {shift}) & 31)::INT), 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+ARCHIVED = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT html, min(page_id) AS least FROM p GROUP BY html)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
+FROM p JOIN f USING (html)
+"""
