@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import sql
+from tidemark.llm.langid import learn_languages, predict
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import find_contamination
+from tidemark.llm.quality import grade, learn_quality
 from tidemark.llm.shared import table
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.llm.toxicity import learn_toxicity, score_toxicity
 from tidemark.llm.warc import read_bundles, write_bundles
 
 
@@ -28,6 +31,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, learn_languages(docs))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(write_bundles(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -36,5 +44,15 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op4_warc, op5_benchmark_decontamination)}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return grade(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, learn_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op7_quality, op8_toxicity)}
 ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION}

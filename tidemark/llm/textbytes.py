@@ -78,11 +78,15 @@ class Batch:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
+        return self.hashes_of(self.start, self.end)
+
+    def hashes_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of each run of bytes."""
         n = len(self.buf)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[self.buf] * _power("up", _BASE, n), out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _power("down", _BASE_INVERSE, n)[self.start] if len(self.start) else np.zeros(0, np.uint64)
-        return mix(h + (self.end - self.start).astype(np.uint64))
+        h = (sums[end] - sums[start]) * _power("down", _BASE_INVERSE, n)[start] if len(start) else np.zeros(0, np.uint64)
+        return mix(h + (end - start).astype(np.uint64))
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
