@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import sql
 from tidemark.llm.langid import learn_languages, predict
+from tidemark.llm.license_templates import BASE, TEMPLATES, scan
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import find_contamination
 from tidemark.llm.quality import grade, learn_quality
@@ -54,5 +55,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, learn_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op7_quality, op8_toxicity)}
-ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op7_quality, op8_toxicity, op9_license_scan)}
+ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES)}

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from tidemark.llm.license_templates import Word, as_regex, parse
+
 REPEATS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS pos FROM d WHERE len(w) >= 13),
@@ -36,3 +38,21 @@ SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_BASE32} A
        CASE WHEN page_id > least THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > least THEN least END AS refers_to
 FROM p JOIN f USING (html)
 """
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def licenses(base: dict[str, str], templates: list[tuple[str, str]]) -> str:
+    """The templates as regular expressions over the words."""
+    places = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(p.split()) - 1}] = {p.split()!r})) - 1 AS pos, '{label}' AS label, {len(p.split())} AS m FROM d" for p, label in base.items())
+    accepted = " UNION ALL ".join(f"SELECT doc_id, '{label}' AS label, {sum(isinstance(x, Word) for x in parse(t))} AS m FROM d WHERE regexp_matches(s, '{as_regex(t)}')" for label, t in templates)
+    return f"""
+WITH d AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+b AS ({places}),
+t AS ({accepted}),
+bb AS (SELECT doc_id, count(*)::BIGINT AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY doc_id),
+al AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(m) AS m FROM (SELECT doc_id, label, m FROM b UNION ALL SELECT doc_id, label, m FROM t) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(1 - pow(2, -m / 2.0), 0)::DOUBLE AS score
+FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN al USING (doc_id)
+"""
