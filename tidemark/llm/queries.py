@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import sql
+from tidemark.llm.jaccard_join import link
 from tidemark.llm.langid import learn_languages, predict
 from tidemark.llm.license_templates import BASE, TEMPLATES, scan
 from tidemark.llm.packing import pack
@@ -59,5 +60,9 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op7_quality, op8_toxicity, op9_license_scan)}
-ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join)}
+ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES), "op10_jaccard_join": sql.NEAR_COPIES}

@@ -56,3 +56,15 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, fir
        coalesce(1 - pow(2, -m / 2.0), 0)::DOUBLE AS score
 FROM d LEFT JOIN bb USING (doc_id) LEFT JOIN al USING (doc_id)
 """
+
+NEAR_COPIES = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS MATERIALIZED (SELECT DISTINCT doc_id, hash(array_to_string(w[pos:pos + 4], ' ')) AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS n_both FROM t a JOIN t b USING (s) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+e AS MATERIALIZED (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.reach = e.u)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.reach) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
+"""
