@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from tidemark.llm import sql
 from tidemark.llm.jaccard_join import link
 from tidemark.llm.langid import learn_languages, predict
 from tidemark.llm.license_templates import BASE, TEMPLATES, scan
+from tidemark.llm.media import copies_of, picture_table
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import find_contamination
 from tidemark.llm.quality import grade, learn_quality
@@ -17,6 +19,7 @@ from tidemark.llm.shared import table
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.toxicity import learn_toxicity, score_toxicity
 from tidemark.llm.warc import read_bundles, write_bundles
+from tidemark.sources.shipping import ship
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +49,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies_of(picture_table(table(spark, sf_dir, "embeddings")))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return grade(docs, learn_quality(docs, table(spark, sf_dir, "labels")))
@@ -64,5 +71,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join)}
+def shipped(f):
+    """The query, after the package is sent to the workers."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
+_ALL = (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op6_media_copies, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
 ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES), "op10_jaccard_join": sql.NEAR_COPIES}
