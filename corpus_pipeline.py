@@ -1,25 +1,67 @@
-"""A corpus from raw documents to packed sequences; each stage's rows are written and read again."""
+"""A training corpus from raw documents: five stages, each over all that the one before kept.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of `documents`; the last one returns
+the packed pieces. `run` writes each stage's rows to the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.jaccard_join import link
+from tidemark.llm.packing import pack
+from tidemark.llm.phrase_index import find_contamination
+from tidemark.llm.quality import grade, learn_quality
+from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.shared import plain_columns, stored, table
 from tidemark.llm.substring_dedup import remove_repeats
+from tidemark.sources.shipping import ship
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of repeated passages go; documents of which nothing is left go too."""
-    from pyspark.sql import functions as F
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier takes for the lowest grade go."""
+    ship(spark)
+    model = learn_quality(docs, table(spark, sf_dir, "labels"))
+    return grade(docs, model, carry=["lang", "source", "n_chars", "text"]).where("keep").select(*COLUMNS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, that with the smallest id stays; of rows that share an id, one."""
+    ship(spark)
+    groups = link(docs)
+    dropped = stored(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
+    if repeated:
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept
+
 
-    kept = remove_repeats(docs, with_text=True, carry=["lang", "source"])
-    kept = kept.where((F.length("kept_text") > 0) | (F.col("n_words") == 0))
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that an earlier document has go; so do documents of which no word is left."""
+    ship(spark)
+    kept = remove_repeats(docs, with_text=True, carry=["lang", "source"]).where("n_words = 0 OR n_removed < n_words")
     return kept.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", F.length("kept_text").cast("long").alias("n_chars"))
 
 
-STAGES = [("substring_dedup", drop_repeats)]
+def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a benchmark item go."""
+    ship(spark)
+    found = find_contamination(docs, table(spark, sf_dir, "benchmark"), carry=["lang", "source", "n_chars", "text"])
+    return found.where("NOT contaminated").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their place in sequences of 4096 ids."""
+    ship(spark)
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [("quality", quality), ("near_copies", near_copies), ("repeats", repeats), ("leaks", leaks), ("packing", packing)]
+#: Models and tokens aren't SQL; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
