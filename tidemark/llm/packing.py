@@ -10,8 +10,8 @@ piece of a length takes the r-th slot of that length.
 Ranks are counted in slices of each length, so a length that a third of all pieces share is spread
 over many tasks. Ids themselves are never moved: their checksum is taken where they are made.
 
-Words are tokenized once per worker: the tokenizer ends words at white space, so a text's ids are its
-words' ids in a row; a bounded memory of words saves most of the work.
+Words are tokenized once per worker: the tokenizer ends words at white space and between letters and
+signs, so a text's ids are its pieces' ids in a row; a bounded memory of pieces saves most of the work.
 
 Defined results: null or empty texts are the final id alone. Every row is a document of its own, also
 those that share an id. An empty table gives no pieces. Extra columns are ignored.
@@ -20,6 +20,8 @@ those that share an id. An empty table gives no pieces. Extra columns are ignore
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 
 import numpy as np
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored
-from tidemark.llm.textbytes import Batch, slices
+from tidemark.llm.textbytes import LOWER, PLAIN, Batch, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -79,34 +81,75 @@ def slots(patterns: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 4)
 
 
+_APART = np.zeros(256, bool)  # bytes of words that are left whole: an apostrophe may join letters, < may open a special token
+_APART[[0x27, 0x3C]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
+
+def pieces_of_words(b: Batch) -> Batch:
+    """The batch's words cut where an ASCII letter meets an ASCII sign or digit, which always ends a token of the word_bpe tokenizer, and A-Z lower-cased, as it does itself; words with an apostrophe or < stay as they are."""
+    marks = np.concatenate([[0], np.cumsum(_APART[b.buf])])
+    apart = marks[b.end] > marks[b.start]
+    raw = np.zeros(len(b.buf) + 1, np.int8)
+    np.add.at(raw, b.start[apart], 1)
+    np.add.at(raw, b.end[apart], -1)
+    raw = np.cumsum(raw[:-1], dtype=np.int8).astype(bool)
+    b.buf = np.where(raw, b.buf, LOWER[b.buf])
+    letter = _LETTER[b.buf]
+    cut = np.flatnonzero((letter[1:] != letter[:-1]) & (b.buf[1:] < 0x80) & (b.buf[:-1] < 0x80) & PLAIN[b.buf[1:]] & PLAIN[b.buf[:-1]] & ~raw[1:]) + 1
+    b.start, b.end = np.sort(np.concatenate([b.start, cut])), np.sort(np.concatenate([b.end, cut]))
+    b.first = np.searchsorted(b.start, b.doc_at)
+    return b
+
+
 class WordIds:
-    """Token ids of words, remembered up to `most` words."""
+    """Token ids of pieces of words, remembered up to `most` pieces."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 700_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.at, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.at, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16 if len(self.ends) <= 2**16 else np.uint32), 0
+
+    def _keep(self, hashes: list[int], ids: np.ndarray, size: np.ndarray) -> None:
+        n, at = len(self.known), self.used + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
+        while n + len(hashes) > len(self.at):
+            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[n : n + len(hashes)], self.size[n : n + len(hashes)] = at, size
+        self.used += len(ids)
+        self.known.update(zip(hashes, range(n, n + len(hashes))))
 
     def learn(self, hashes: list[int], words: list[str]) -> None:
+        """Pieces of Latin-1 letters are one word of the tokenizer, so many of them go as one text, cut again at the ids that end words; others go one by one."""
+        plain = [bool(_LETTERS.fullmatch(w)) for w in words]
         for a in range(0, len(words), 20_000):
-            for h, e in zip(hashes[a : a + 20_000], self.tokenizer.encode_batch_fast(words[a : a + 20_000], add_special_tokens=False)):
-                ids, i = e.ids, len(self.known)
-                if i == len(self.at):
-                    self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-                while self.used + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, self.pool])
-                self.pool[self.used : self.used + len(ids)] = ids
-                self.at[i], self.size[i] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[h] = i
+            part = range(a, min(a + 20_000, len(words)))
+            one = [i for i in part if plain[i]]
+            texts = [" ".join(words[i] for i in one[j : j + 200]) for j in range(0, len(one), 200)]
+            ids = np.array([x for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], np.int64)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(one):
+                raise ValueError("the tokenizer does not end each word")
+            self._keep([hashes[i] for i in one], ids, np.diff(ends, prepend=0))
+            rest = [i for i in part if not plain[i]]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
+            self._keep([hashes[i] for i in rest], np.array([x for f in found for x in f], np.int64), np.array([len(f) for f in found], np.int64))
 
     def of(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
         """The batch's ids, and the number of each document's."""
+        b = pieces_of_words(b)
         distinct, first, inverse = np.unique(b.hashes(), return_index=True, return_inverse=True)
         keys = distinct.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
@@ -114,25 +157,34 @@ class WordIds:
             self.clear()
             new = list(range(len(keys)))
         self.learn([keys[i] for i in new], [b.word(first[i]).decode() for i in new])
-        rows = np.fromiter((self.known[k] for k in keys), np.int64, len(keys))[inverse]
+        rows = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
         size = self.size[rows]
         ends = np.concatenate([[0], np.cumsum(size)])
         ids = self.pool[np.repeat(self.at[rows] - ends[:-1], size) + np.arange(ends[-1])]
         return ids, np.diff(ends[b.first])
 
 
+_LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00df]+")
+_workers: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's own, made once."""
+    if path not in _workers:
+        _workers[path] = WordIds(path)
+    return _workers[path]
+
+
 def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, room: int = 4096, final_id: int = 2) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens."""
 
     def tokenize(batches):
-        words = None
         for batch in batches:
-            words = words or WordIds(tokenizer_path)
-            for a, z in slices(batch.column(1), 2 << 20):
-                ids, counts = words.of(Batch(batch.column(1).slice(a, z - a)))
+            for a, z in slices(batch.column(1)):
+                ids, counts = word_ids(tokenizer_path).of(Batch(batch.column(1).slice(a, z - a)))
                 rows, at = [], 0
                 for doc, n in zip(batch.column(0).slice(a, z - a).to_pylist(), counts.tolist()):
-                    own = np.append(ids[at : at + n], np.uint32(final_id)).astype("<u4", copy=False)
+                    own = np.append(ids[at : at + n], ids.dtype.type(final_id)).astype("<u4")
                     at += n
                     rows += [(doc, s, min(room, n + 1 - s), zlib.crc32(own[s : s + room].tobytes()), n + 1) for s in range(0, n + 1, room)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
