@@ -87,11 +87,9 @@ def batches_of(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
 
 
 def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About `rows` rows by the hash of the key, at most twice as many."""
+    """About `rows` rows, by the hash of the key."""
     n = df.count()
-    if n > rows:
-        df = df.where(F.pmod(key, F.lit(1_000_003)) < max(1, round(1_000_003 * rows / n)))
-    return df.limit(2 * rows)
+    return df.where(F.pmod(key, F.lit(1_000_003)) < max(1, round(1_000_003 * rows / n))) if n > rows else df
 
 
 class Sparse:

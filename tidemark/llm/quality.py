@@ -74,10 +74,10 @@ def train(data: Sparse, grades: int, *, epochs: int = 20, batch: int = 32, rate:
 
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = 4000) -> OrdinalModel | None:
     rated = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "0").when(F.col("toxic") == 1, "1").when(F.col("toxic") == 0, "2").alias("label"))
-    rated = bounded(rated.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))), F.xxhash64("id"), rows)
+    rated = bounded(rated.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))), F.xxhash64("id"), rows).limit(2 * rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     found = texts.join(F.broadcast(rated), "id").where(F.col("text").isNotNull())  # rated: 2 * rows ids at most
-    return train(training_rows(found.select("text", "label").limit(4 * rows), GRAMS), 3)
+    return train(training_rows(found.select("text", "label"), GRAMS), 3)
 
 
 def grade(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text", *, keep_from: int = 1, cut: float = 0.5, carry: list[str] | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.hashed_text import Sparse, Terms, batches_of, bounded, training_rows
+from tidemark.llm.hashed_text import Terms, batches_of, bounded
 from tidemark.llm.quality import sigmoid
 from tidemark.llm.shared import held_out
 
@@ -40,31 +40,10 @@ class FactorizationMachine(NamedTuple):
         return sigmoid(z)
 
 
-def train(data: Sparse, *, terms: int = 512, z: float = 4.0, width: int = 4, steps: int = 400, rate: float = 0.05, shrink: float = 2e-3, seed: int = 5) -> FactorizationMachine:
-    place = np.full(2**TERMS.bits, -1, np.int32)
-    y = np.array([int(x) for x in data.labels], np.float64)
-    share = float(y.mean()) if len(y) else 0.0
-    base = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))) if len(y) else -40.0
-    if not 0 < share < 1:
-        return FactorizationMachine(place, base, np.zeros(0), np.zeros((0, width)))
-    index, _, of = data.part(np.arange(len(data)), "any")
-    used, where = np.unique(index, return_inverse=True)
-    toxic, clean = np.bincount(where, y[of], len(used)), np.bincount(where, 1 - y[of], len(used))
-    p, q, both = toxic / y.sum(), clean / (1 - y).sum(), (toxic + clean) / len(y)
-    score = np.abs(p - q) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / y.sum() + 1 / (1 - y).sum()))
-    score[toxic + clean < 4] = 0
-    kept = np.argsort(-score, kind="stable")[:terms]
-    kept = kept[score[kept] >= z]
-    place[used[kept]] = np.arange(len(kept))
-    at = place[index]
-    rows, own = np.unique(of[at >= 0], return_inverse=True)
-    x = np.zeros((len(rows) + 1, len(kept)))  # the last row stands for all texts without any of the terms
-    x[own, at[at >= 0]] = 1
-    bare = np.setdiff1d(np.arange(len(y)), rows)
-    weight = np.append(np.ones(len(rows)), len(bare)) / len(y)
-    y = np.append(y[rows], y[bare].mean() if len(bare) else 0)
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, base: float, *, width: int = 4, steps: int = 400, rate: float = 0.05, shrink: float = 2e-3, seed: int = 5) -> tuple[float, np.ndarray, np.ndarray]:
+    """Bias, linear weights and factors for weighted rows x of 0 and 1, by Adam on the whole set."""
     rng = np.random.default_rng(seed)
-    params = [np.array([base]), np.zeros(len(kept)), rng.normal(0, 0.05, (len(kept), width))]
+    params = [np.array([base]), np.zeros(x.shape[1]), rng.normal(0, 0.05, (x.shape[1], width))]
     first, second = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
     for t in range(1, steps + 1):
         b, w, v = params
@@ -75,15 +54,67 @@ def train(data: Sparse, *, terms: int = 512, z: float = 4.0, width: int = 4, ste
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             params[i] = params[i] - rate * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
-    return FactorizationMachine(place, float(params[0][0]), params[1], params[2])
+    return float(params[0][0]), params[1], params[2]
+
 
+def _count_terms(batches):
+    """(term, toxic texts, other texts) of each batch."""
+    for batch in batches:
+        for a, z, texts in batches_of(batch, 0):
+            toxic = np.array(batch.column(1).slice(a, z - a).to_pylist()) == "1"
+            buckets, docs = TERMS.of(texts)
+            pairs = np.unique(buckets.astype(np.uint64) << np.uint64(32) | docs.astype(np.uint64))
+            used, where = np.unique(pairs >> np.uint64(32), return_inverse=True)
+            bad = np.bincount(where, toxic[(pairs & np.uint64(2**32 - 1)).astype(np.int64)], len(used)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(bad), pa.array(np.bincount(where, minlength=len(used)) - bad)], names=["term", "bad", "good"])
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = 12_000) -> FactorizationMachine:
+
+def _rows_of(place: np.ndarray):
+    """(places of the chosen terms, label) of each text."""
+
+    def rows(batches):
+        for batch in batches:
+            for a, z, texts in batches_of(batch, 0):
+                buckets, docs = TERMS.of(texts)
+                at = place[buckets]
+                pairs = np.unique(docs[at >= 0].astype(np.int64) << 32 | at[at >= 0])
+                cuts = np.searchsorted(pairs >> 32, np.arange(z - a + 1))
+                yield pa.RecordBatch.from_arrays([pa.array([(pairs[s:e] & (2**32 - 1)).tolist() for s, e in zip(cuts[:-1], cuts[1:])], pa.list_(pa.int32())), batch.column(1).slice(a, z - a)], names=["terms", "label"])
+
+    return rows
+
+
+def train(labelled: DataFrame, *, terms: int = 512, z: float = 4.0, width: int = 4) -> FactorizationMachine:
+    """labelled: (text, label '0' or '1'), bounded. Terms are counted and chosen where the texts are; the driver gets the chosen ones and each text's."""
+    place = np.full(2**TERMS.bits, -1, np.int32)
+    counts = dict(labelled.groupBy("label").count().collect())
+    bad, good = counts.get("1", 0), counts.get("0", 0)
+    base = float(np.log(max(bad, 1e-6) / max(good, 1e-6))) if bad + good else -40.0
+    if not bad or not good:
+        return FactorizationMachine(place, base, np.zeros(0), np.zeros((0, width)))
+    found = labelled.mapInArrow(_count_terms, "term int, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    share = (F.col("bad") + F.col("good")) / (bad + good)
+    found = found.where("bad + good >= 4").withColumn("z", F.abs(F.col("bad") / bad - F.col("good") / good) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / bad + 1 / good)))
+    chosen = [r[0] for r in found.where(F.col("z") >= z).orderBy(F.desc("z"), "term").limit(terms).collect()]
+    place[chosen] = np.arange(len(chosen))
+    has, bare = {}, [0, 0]
+    for r in labelled.mapInArrow(_rows_of(place), "terms array<int>, label string").groupBy("terms", "label").count().toLocalIterator():
+        has.setdefault(tuple(r[0]), [0, 0])[int(r[1])] += r[2]
+    has.setdefault((), bare)
+    keys = sorted(has)
+    x, many = np.zeros((len(keys), len(chosen))), np.array([has[k] for k in keys], np.float64)
+    for i, k in enumerate(keys):
+        x[i, list(k)] = 1
+    n = many.sum(axis=1)
+    return FactorizationMachine(place, *fit(x, many[:, 1] / np.maximum(n, 1), n / n.sum(), base, width=width))
+
+
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = 20_000) -> FactorizationMachine:
     marked = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").cast("string").alias("label"))
-    marked = bounded(marked.where(F.col("label").isin("0", "1") & F.col("id").isNotNull() & ~held_out(F.col("id"))), F.xxhash64("id"), rows)
+    marked = bounded(marked.where(F.col("label").isin("0", "1") & F.col("id").isNotNull() & ~held_out(F.col("id"))), F.xxhash64("id"), rows).limit(2 * rows)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     found = texts.join(F.broadcast(marked), "id").where(F.col("text").isNotNull())  # marked: 2 * rows ids at most
-    return train(training_rows(found.select("text", "label").limit(4 * rows), TERMS))
+    return train(found.select("text", "label"))
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
