@@ -15,9 +15,10 @@ partner may have it.
 
 Exact copies of a text count as one document throughout. The documents that share a signature are
 compared with one centre first, the one with the fewest unshared tokens; links so far are joined to
-components; and only signatures whose documents lie in different components yet are compared pair by
-pair, where sizes and shared tokens leave a link possible. So a group of n near copies costs about n
-comparisons, and no link between two components is missed. All of that is joins and partial
+components; and only for signatures whose documents lie in different components yet are the documents outside
+the largest of them compared with the others, where sizes, shared tokens and a 1024-bit parity of the
+tokens (its differences are tokens that one of the two lacks) leave a link possible. So a group of n
+near copies costs about n comparisons, and no link between two components is missed. All of that is joins and partial
 aggregates that split by key; components are found in steps (see components.py).
 
 Token classes come from packed sorted key lists per group of documents, as in substring_dedup.py:
@@ -32,6 +33,8 @@ its own (null) component. Rows that share an id are one node. Extra columns are
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,10 +48,12 @@ LISTS = "k int, g int, data binary, more binary"
 _LISTS_ARROW = pa.schema([("k", pa.int32()), ("g", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 CONTROL = "g int, k int, data binary, copy long"
 _CONTROL_ARROW = pa.schema([("g", pa.int32()), ("k", pa.int32()), ("data", pa.binary()), ("copy", pa.int64())])
-PROFILES = "id long, n long, shared long, tokens binary, signatures array<long>"
-_PROFILES_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.int64()))])
+PROFILES = "id long, n long, shared long, tokens binary, signatures array<long>, parity array<long>"
+_PROFILES_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 UNSHARED, RARE, FREQUENT = 0, 1, 2
 TOKEN_BYTES = 6
+#: Bits of the parity of the tokens that fall on each bit.
+PARITY = 1024
 
 
 def shingles(b: Batch, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -173,12 +178,13 @@ class Join:
         use = use[np.lexsort((h[use], kind[use], rows[use]))]
         rows, h, kind = rows[use], h[use], kind[use]
         cuts = np.searchsorted(rows, np.arange(n_rows + 1))
-        tokens, found = [None] * n_rows, [None] * n_rows
+        tokens, found, parity = [None] * n_rows, [None] * n_rows, [None] * n_rows
         for r in np.flatnonzero(hopeful):
             own = h[cuts[r] : cuts[r + 1]]
             found[r] = signatures(own, kind[cuts[r] : cuts[r + 1]] == FREQUENT, int(unshared[r]), self.percent).view(np.int64)
             tokens[r] = np.sort(own >> np.uint64(64 - 8 * TOKEN_BYTES)).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
-        return pa.table([t["id"], n, n - unshared, tokens, found], schema=_PROFILES_ARROW)
+            parity[r] = np.packbits(np.bincount(((own >> np.uint64(16)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view(np.int64)
+        return pa.table([t["id"], n, n - unshared, tokens, found, parity], schema=_PROFILES_ARROW)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -213,8 +219,10 @@ def verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int):
-    """Whether two documents' sizes and shared tokens leave a link possible: intersection >= p / (100 + p) of the sizes' sum."""
-    return (100 + percent) * F.least("a.shared", "b.shared") >= percent * (F.col("a.n") + F.col("b.n"))
+    """Whether sizes, shared tokens and their parities leave a link possible: intersection >= p / (100 + p) of the sizes' sum. Bits in which the parities differ are tokens that only one of the two has."""
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITY // 64)])
+    most = F.least(F.col("a.shared"), F.col("b.shared"), F.floor((F.col("a.shared") + F.col("b.shared") - apart) / 2))
+    return (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = 5, percent: int = 75, rare: int = 8, group_bytes: int = 4 << 20) -> DataFrame:
@@ -244,12 +252,17 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     links = stored(verified(stars.select(F.col("c_id").alias("u"), F.col("id").alias("v")).distinct(), profiles, percent))
     labels = components(links)
 
-    # signatures whose documents aren't in one component yet: the pairs across
+    # signatures whose documents aren't in one component yet: those outside the signature's largest component against all
     marked = shared.where("many > 2").select("sig", "id", "n", "shared", "c_id").join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
     split = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    members = stored(marked.join(split, "sig").where("id <> c_id").select("sig", "id", "n", "shared", "label"))
-    across = members.alias("a").join(members.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.label") != F.col("b.label")) & _possible(percent))
-    more = stored(verified(across.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct(), profiles, percent))
+    open_ = marked.join(split, "sig").where("id <> c_id")
+    main = open_.groupBy("sig", "label").count().groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    parities = profiles.where("parity IS NOT NULL").select("id", "parity")
+    members = stored(open_.join(main, "sig").join(parities, "id").select("sig", "id", "n", "shared", "label", "main", "parity"))
+    minor = members.where("label <> main").alias("a")
+    across = minor.join(members.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _possible(percent))
+    across = across.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
+    more = stored(verified(across, profiles, percent))
     joined = components(labels.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionAll(more.select("u", "v")))
 
     out = profiles.select("id", F.col("n").alias("n_shingles")).join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
