@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,16 +56,11 @@ def first_digits(c: Column) -> Column:
 
 
 def month(c: Column) -> Column:
-    """The first day of the month that the text names in one of the formats."""
+    """The first day of the month that the text names in one of the formats; two-digit years are 1969 to 2068."""
     t = F.trim(c)
-
-    def tried(shape: str, form: str) -> Column:
-        d = F.try_to_timestamp(t, F.lit(form)).cast("date")
-        if form.endswith("-yy"):  # two digits are 1969 to 2068
-            d = F.when(F.year(d) > 2068, F.add_months(d, -1200)).otherwise(d)
-        return F.when(t.rlike(shape), d)
-
-    return F.trunc(F.coalesce(*map(tried, _MONTH_SHAPES, MONTH_FORMATS)), "MM")
+    form = reduce(lambda x, y: x.when(t.rlike(y[0]), y[1]), list(zip(_MONTH_SHAPES, MONTH_FORMATS))[1:], F.when(t.rlike(_MONTH_SHAPES[0]), MONTH_FORMATS[0]))
+    first = F.trunc(F.try_to_timestamp(t, form).cast("date"), "MM")
+    return F.add_months(first, F.when(t.rlike(_MONTH_SHAPES[2]) & (F.substring(t, -2, 2) >= "69"), -1200).otherwise(0))
 
 
 def months_between(start: Column, end: Column) -> Column:
@@ -78,20 +76,13 @@ def status(c: Column) -> Column:
 
 def outcome(c: Column, late_is_event: bool = False, with_exceptions: bool = False) -> Column:
     """event, censored_payoff, censored_admin, censored_delinquent or excluded; raises on an unknown status."""
-    t = status(c)
-    exception = t.startswith(POLICY_PREFIX)
-    t = F.when(exception, F.trim(F.substring(t, len(POLICY_PREFIX) + 1, 200))).otherwise(t)
-    late = "event" if late_is_event else "censored_delinquent"
-    kind = (
-        F.when(c.isNull() | (F.trim(c) == ""), "excluded")
-        .when(exception & F.lit(not with_exceptions), "excluded")
-        .when(t.isin("charged off", "default"), "event")
-        .when(t == "fully paid", "censored_payoff")
-        .when(t.isin("current", "issued"), "censored_admin")
-        .when(t.isin("in grace period", "late (16-30 days)"), "censored_delinquent")
-        .when(t == "late (31-120 days)", late)
-    )
-    return kind.otherwise(F.raise_error(F.concat(F.lit("unknown loan status: "), c)).cast("string"))
+    plain = dict.fromkeys(("charged off", "default"), "event") | {"fully paid": "censored_payoff"} | dict.fromkeys(("current", "issued"), "censored_admin")
+    plain |= {"in grace period": "censored_delinquent", "late (16-30 days)": "censored_delinquent", "late (31-120 days)": "event" if late_is_event else "censored_delinquent"}
+    every = plain | {POLICY_PREFIX + k: v if with_exceptions else "excluded" for k, v in plain.items()}
+    table = F.create_map(*[F.lit(x) for pair in every.items() for x in pair])
+    t = F.regexp_replace(status(c), f"^({re.escape(POLICY_PREFIX)}) +", "$1")
+    known = F.coalesce(F.try_element_at(table, t), F.raise_error(F.concat(F.lit("unknown loan status: "), c)).cast("string"))
+    return F.when(c.isNull() | (F.trim(c) == ""), "excluded").otherwise(known)
 
 
 def employment_years(c: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +20,19 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("addr_state"))
     customers = table(spark, sf_dir, "customer").join(nations, "c_nationkey", "left").select(F.col("c_custkey").alias("o_custkey"), "c_acctbal", "c_mktsegment", "addr_state")
     o = table(spark, sf_dir, "orders").join(items, "o_orderkey", "left").join(customers, "o_custkey", "left")
-    key, priority = F.col("o_orderkey"), F.substring("o_orderpriority", 1, 1)
-    issue = reduce(lambda c, i: c.when(key % 6 == i, F.date_format("o_orderdate", MONTH_FORMATS[i])), range(6), F.when(key % 211 == 0, "not-a-date"))
-    opened = reduce(lambda c, i: c.when(priority == str(i + 1), _OPEN[i]), range(1, 5), F.when(priority == "1", _OPEN[0]))
-    closed = F.when(priority == "1", "  charged off  ").when(priority == "2", "Default").otherwise("Charged Off")
-    state = F.when(F.col("o_orderstatus") == "F", closed).when(F.col("o_orderstatus") == "P", "Fully Paid").otherwise(opened)
+    key = F.col("o_orderkey")
+    pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int"))
+    issue = F.when(key % 211 == 0, "not-a-date").otherwise(F.call_function("date_format", F.col("o_orderdate"), pick(MONTH_FORMATS, key % 6 + 1)))
+    closed = ("  charged off  ", "Default", "Charged Off", "Charged Off", "Charged Off")
+    number = F.substring("o_orderpriority", 1, 1).cast("int") + F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 5).otherwise(10)
+    state = pick((*closed, *["Fully Paid"] * 5, *_OPEN), number)
     whole = F.round("o_totalprice").cast("long")
     amount = F.when(key % 7 == 0, F.concat(F.lit("$"), whole.cast("string"))).when(key % 7 == 1, F.format_number(whole, 0)).when(key % 7 == 2, F.concat((whole % 100).cast("string"), F.lit("%")))
     amount = amount.when(key % 7 == 3, "").when(key % 7 == 4, "n/a").when(key % 7 == 5, F.concat(whole.cast("string"), F.lit("d"))).otherwise(whole.cast("string"))
-    employment = reduce(lambda c, i: c.when(F.col("o_custkey") % 12 == i, EMPLOYMENT[i]), range(1, 11), F.when(F.col("o_custkey") % 12 == 0, EMPLOYMENT[0]))
+    employment = pick((*EMPLOYMENT, None), F.col("o_custkey") % 12 + 1)
     return o.select(
         key.alias("id"), "o_custkey", "o_orderdate", issue.alias("issue_d"), F.date_format("last_ship", "MMM-yyyy").alias("last_pymnt_d"),
-        F.when(key % 97 == 0, F.concat(F.lit("Does not meet the credit policy. Status:"), state)).otherwise(state).alias("loan_status"),
+        F.concat(F.when(key % 97 == 0, "Does not meet the credit policy. Status:").otherwise(""), state).alias("loan_status"),
         F.when(key % 101 == 0, None).when(key % 2 == 0, " 36 months").otherwise(" 60 months").alias("term"),
         F.col("o_totalprice").alias("loan_amnt"), ((F.col("c_acctbal") + 1000) * 20).alias("annual_inc"), "dti", employment.alias("emp_length"),
         F.col("c_mktsegment").alias("purpose"), "addr_state", F.col("o_orderpriority").alias("grade"), F.col("o_orderstatus").alias("population"),
