@@ -65,7 +65,7 @@ def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 def run_state(df: DataFrame) -> DataFrame:
     """Adds state: the first that holds, from flags of a run."""
-    state = F.when(F.col("failed_checks") > 0, "failed_checks").when("explaining", "explaining").when("stopped", "stopped").when("pending > 0", "reasons_pending").when("finished", "finished").when("running", "running").otherwise("interrupted")
+    state = F.when(F.col("failed_checks") > 0, "failed_checks").when(F.col("explaining"), "explaining").when(F.col("stopped"), "stopped").when(F.col("pending") > 0, "reasons_pending").when(F.col("finished"), "finished").when(F.col("running"), "running").otherwise("interrupted")
     return df.withColumn("state", state)
 
 

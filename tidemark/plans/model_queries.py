@@ -1,0 +1,128 @@
+"""Queries that fit models or read files: checked by properties in the tests, and streams' batch forms by SQL."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from tidemark.functions import matching
+from tidemark.operators import evaluate, explain, models, selection, survival
+from tidemark.plans.registry import query
+from tidemark.plans.views import accepted, loans
+from tidemark.sources.loans import raw_loans
+from tidemark.sources.shipping import ship
+from tidemark.sources.tables import guard, table
+
+FEATURES = ["dti", "loan_amnt", "annual_inc"]
+
+
+def _design(spark, sf_dir):
+    df = loans(spark, sf_dir).select("id", "duration_months", "event", *FEATURES)
+    guard(df.select(*FEATURES))
+    return models.standardised(df, FEATURES)
+
+
+@query()
+def hazard_fit(spark, sf_dir):
+    """Survival at 12 months by the fitted discrete hazard, and its mean by predicted decile."""
+    df = _design(spark, sf_dir)
+    model = models.fit_hazard(df, FEATURES)
+    s = survival.survival_from_hazard(model.hazards(df, 4, ["id"]), ["id"]).where("period = 4").select("id", F.col("survival").alias("s"))
+    return evaluate.calibration(df.join(s, "id"), 12)
+
+
+@query()
+def hazard_trees_importance(spark, sf_dir):
+    model = models.fit_hazard(_design(spark, sf_dir), FEATURES, trees=True)
+    gains = model.model.featureImportances.toArray()
+    return spark.createDataFrame([(f, float(g)) for f, g in zip([*FEATURES, "period_log", "period"], gains)], "feature string, gain double")
+
+
+@query()
+def cox_fit(spark, sf_dir):
+    return models.cox_table(spark, models.fit_cox(_design(spark, sf_dir), FEATURES))
+
+
+@query()
+def cox_survival(spark, sf_dir):
+    df = _design(spark, sf_dir)
+    rows = models.cox_survival(df, models.fit_cox(df, FEATURES), [6, 12, 24, 36], ["id"])
+    return rows.groupBy("t").agg(F.round(F.avg("survival"), 6).alias("mean_survival"), F.round(F.min("survival"), 6).alias("least"), F.round(F.max("survival"), 6).alias("most"))
+
+
+@query()
+def cox_ph_test(spark, sf_dir):
+    df = _design(spark, sf_dir)
+    return models.proportional(df, models.fit_cox(df, FEATURES))
+
+
+@query()
+def separability(spark, sf_dir):
+    """Accepted against rejected: AUC of the fitted propensity and its common support."""
+    df = models.propensity(accepted(spark, sf_dir).select("id", "accepted", *FEATURES), FEATURES, F.col("accepted"))
+    return selection.rank_auc(df, ["propensity"], F.col("accepted")).crossJoin(selection.common_support(df, "propensity", F.col("accepted")))
+
+
+@query()
+def ablation(spark, sf_dir):
+    """Concordance with each feature set to its mean, and the drop; one scoring pass over all variants."""
+    df = _design(spark, sf_dir)
+    model = models.fit_cox(df, FEATURES)
+    variants = F.array(*[F.struct(F.lit(f).alias("dropped"), sum((F.col(g) * float(b) for g, b in zip(FEATURES, model.beta) if g != f), F.lit(0.0)).alias("r")) for f in ["(none)", *FEATURES]])
+    scored = df.select("duration_months", "event", F.explode(variants).alias("v")).select("duration_months", "event", "v.dropped", F.round("v.r", 2).alias("risk"))
+    out = None
+    for f in ["(none)", *FEATURES]:
+        one = evaluate.concordance(scored.where(F.col("dropped") == f)).withColumn("dropped", F.lit(f))
+        out = one if out is None else out.unionByName(one)
+    return out.select("dropped", "concordance", "n_pairs")
+
+
+@query()
+def background_summary(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
+    return models.background(df, "v", 8)
+
+
+def _predict(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-(0.8 * x[:, 0] - 0.5 * x[:, 1] + 0.3 * x[:, 0] * x[:, 2])))
+
+
+@query()
+def kernel_shap(spark, sf_dir):
+    """Attributions of a fixed model for the 200 loans with the smallest seeds; sums equal prediction - base."""
+    from tidemark.operators.sampling import reservoir
+
+    ship(spark)
+    df = _design(spark, sf_dir)
+    ground = np.array(reservoir(df, "id", 50, 2).select(*FEATURES).collect(), float)
+    return explain.kernel_shap(reservoir(df, "id", 200, 3).withColumnRenamed("id", "row_id"), ground, FEATURES, _predict)
+
+
+@query("""WITH m AS (SELECT avg(l_discount) AS d, avg(l_tax) AS x FROM lineitem) SELECT l_returnflag, 'discount' AS feature, round(avg((l_discount - d) * 2), 8) AS phi FROM lineitem, m GROUP BY 1 UNION ALL SELECT l_returnflag, 'tax', round(avg((l_tax - x) * -1), 8) FROM lineitem, m GROUP BY 1""")
+def linear_shap(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
+    rows = models.linear_shap(df, ["discount", "tax"], [2.0, -1.0], ["l_returnflag"])
+    return rows.groupBy("l_returnflag", "feature").agg(F.round(F.avg("phi"), 8).alias("phi"))
+
+
+@query()
+def match_columns(spark, sf_dir):
+    upload = raw_loans(spark, sf_dir).select(F.col("loan_amnt").cast("string").alias("LoanAmount"), F.col("annual_inc").cast("string").alias("Yearly Income"), F.col("dti").cast("string").alias("dti"), F.col("purpose").alias("loan_amnt_text"))
+    return matching.match(upload, {"loan_amnt": (500, 600_000), "annual_inc": (0, 500_000), "dti": (0, 60)}, {"loan_amnt": {"loan amount"}, "annual_inc": {"yearly income"}})
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    """The batch form of the streaming window, over the same expression."""
+    from tidemark.streaming.windows import tumbling
+
+    return tumbling(table(spark, sf_dir, "events")).select(F.date_format("start", "yyyy-MM-dd").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf_dir):
+    from tidemark.streaming.windows import sessions
+
+    return sessions(table(spark, sf_dir, "events")).select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
