@@ -34,7 +34,7 @@ def level_shares(df: DataFrame, columns: list[str], current: Column) -> DataFram
     long = _sides(df, columns, "string", current)
     counts = long.groupBy("column", F.coalesce(F.trim("value"), F.lit("(missing)")).alias("level")).agg(F.count_if(F.col("_cur") == 0).alias("r"), F.count_if(F.col("_cur") == 1).alias("c"))
     w = Window.partitionBy("column")
-    return counts.select("column", "level", (F.col("r") / F.sum("r").over(w)).alias("p"), (F.col("c") / F.sum("c").over(w)).alias("q"))
+    return counts.select("column", "level", (F.col("r") / F.greatest(F.sum("r").over(w), F.lit(1))).alias("p"), (F.col("c") / F.greatest(F.sum("c").over(w), F.lit(1))).alias("q"))
 
 
 def tvd(df: DataFrame, columns: list[str], current: Column) -> DataFrame:

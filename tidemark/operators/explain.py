@@ -18,7 +18,7 @@ def area(phi: DataFrame, signed: bool = False, by: list[str] | None = None) -> D
     w = Window.partitionBy(*by, "row_id", "feature").orderBy("t")
     v = F.col("phi") if signed else F.abs("phi")
     rows = phi.withColumn("_v", v).withColumns({"_t0": F.lag("t").over(w), "_v0": F.lag("_v").over(w)})
-    each = rows.groupBy(*by, "row_id", "feature").agg((F.sum((F.col("t") - F.col("_t0")) * (F.col("_v") + F.col("_v0")) / 2) / (F.max("t") - F.min("t"))).alias("a"))
+    each = rows.groupBy(*by, "row_id", "feature").agg((F.sum((F.col("t") - F.col("_t0")) * (F.col("_v") + F.col("_v0")) / 2) / F.nullif(F.max("t") - F.min("t"), F.lit(0))).alias("a"))
     return each.groupBy(*by, "feature").agg(F.round(F.avg("a"), 8).alias("importance"))
 
 
@@ -41,7 +41,7 @@ def compare_methods(a: DataFrame, b: DataFrame, k: int = 3) -> DataFrame:
     """One row for two importance tables: Spearman, Pearson, Jaccard of the top k, largest rank shift."""
     both = ranked(a, "importance").select("feature", F.col("importance").alias("ia"), F.col("rank").alias("ra")).join(ranked(b, "importance").select("feature", F.col("importance").alias("ib"), F.col("rank").alias("rb")), "feature")
     top = both.agg(F.round(F.corr("ra", "rb"), 6).alias("spearman"), F.round(F.corr("ia", "ib"), 6).alias("pearson"), F.count_if((F.col("ra") <= k) & (F.col("rb") <= k)).alias("x"), F.count_if((F.col("ra") <= k) | (F.col("rb") <= k)).alias("y"), F.max(F.abs(F.col("ra") - F.col("rb"))).alias("largest_shift"))
-    return top.select("spearman", "pearson", F.round(F.col("x") / F.col("y"), 6).alias("top_jaccard"), "largest_shift")
+    return top.select("spearman", "pearson", F.round(F.try_divide("x", "y"), 6).alias("top_jaccard"), "largest_shift")
 
 
 def segment_stability(by_level: DataFrame, whole: DataFrame, level: str, k: int = 3) -> DataFrame:

@@ -39,7 +39,7 @@ def rank_auc(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
 def ks(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
     """(feature, ks): the largest gap of the two distribution functions."""
     w = Window.partitionBy("column")
-    gap = F.abs((F.col("below_a") + F.col("a")) / F.sum("a").over(w) - (F.col("below_b") + F.col("b")) / F.sum("b").over(w))
+    gap = F.abs((F.col("below_a") + F.col("a")) / F.greatest(F.sum("a").over(w), F.lit(1)) - (F.col("below_b") + F.col("b")) / F.greatest(F.sum("b").over(w), F.lit(1)))
     return _ladder(df, columns, accepted).withColumn("gap", gap).groupBy(F.col("column").alias("feature")).agg(F.round(F.max("gap"), 6).alias("ks"))
 
 
@@ -73,12 +73,12 @@ def gate(features: DataFrame, separability: DataFrame, support: DataFrame) -> Da
 def kish(df: DataFrame, weight: Column, by: list[str] | None = None) -> DataFrame:
     """Effective sample size over finite positive weights."""
     w = F.when((weight > 0) & (weight < float("inf")), weight)
-    return df.groupBy(*(by or [])).agg(F.count(w).alias("n"), F.round(F.pow(F.sum(w), 2) / F.sum(w * w), 4).alias("ess"))
+    return df.groupBy(*(by or [])).agg(F.count(w).alias("n"), F.round(F.pow(F.sum(w), 2) / F.nullif(F.sum(w * w), F.lit(0.0)), 4).alias("ess"))
 
 
 def inverse_weights(df: DataFrame, propensity: str) -> DataFrame:
     """Adds weight: 1 / propensity, clipped to its own 1st and 99th percentiles, with mean 1."""
-    raw = df.withColumn("_w", 1 / F.col(propensity))
+    raw = df.withColumn("_w", 1 / F.nullif(F.col(propensity), F.lit(0.0)))
     q = raw.agg(F.expr("percentile(_w, array(0.01, 0.99))").alias("_q"))
     clipped = raw.crossJoin(F.broadcast(q)).withColumn("_w", F.least(F.greatest("_w", F.col("_q")[0]), F.col("_q")[1]))
     mean = clipped.agg(F.avg("_w").alias("_m"))
