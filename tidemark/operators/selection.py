@@ -48,7 +48,7 @@ def common_support(df: DataFrame, score: str, accepted: Column) -> DataFrame:
     marked = df.withColumn("_a", accepted)
     q = marked.where("_a").agg(F.expr(f"percentile({score}, array(0.01, 0.99))").alias("q"))
     inside = F.col(score).between(F.col("q")[0], F.col("q")[1])
-    return marked.where("NOT _a").crossJoin(F.broadcast(q)).groupBy(F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high")).agg(F.round(F.avg(inside.cast("int")), 6).alias("share_in_support"))  # one row
+    return marked.where("NOT _a").crossJoin(F.broadcast(q)).groupBy(F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high")).agg(F.round(F.avg(inside.cast("int")), 6).alias("share_in_support"))  # one row
 
 
 def verdicts(df: DataFrame, good: list[str], partial: list[str], accepted: Column) -> DataFrame:

@@ -83,7 +83,7 @@ def _propensity(df):
 
 
 _PROP = "pr AS (SELECT *, population IN ('F', 'P') AS a, round(1 / (1 + exp(-(loan_amnt / 200000 - coalesce(dti, 9.0) / 10 + 0.5))), 6) AS propensity FROM raw)"
-_SUPPORT = "sq AS (SELECT quantile_cont(propensity, 0.01) AS lo, quantile_cont(propensity, 0.99) AS hi FROM pr WHERE a), su AS (SELECT round(lo, 6) AS low, round(hi, 6) AS high, round(avg((propensity BETWEEN lo AND hi)::INT), 6) AS share_in_support FROM pr, sq WHERE NOT a GROUP BY ALL)"
+_SUPPORT = "sq AS (SELECT quantile_cont(propensity, 0.01) AS lo, quantile_cont(propensity, 0.99) AS hi FROM pr WHERE a), su AS (SELECT round(lo, 4) AS low, round(hi, 4) AS high, round(avg((propensity BETWEEN lo AND hi)::INT), 6) AS share_in_support FROM pr, sq WHERE NOT a GROUP BY ALL)"
 
 
 @query(f"{RAW}, {_PROP}, {_SUPPORT} SELECT * FROM su")
