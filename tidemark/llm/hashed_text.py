@@ -81,7 +81,7 @@ class Terms:
         return (np.concatenate(found) >> np.uint64(64 - self.bits)).astype(np.uint32), np.concatenate(docs)
 
 
-def batches_of(batch: pa.RecordBatch, column: int, most: int = 2 << 20):
+def batches_of(batch: pa.RecordBatch, column: int, most: int = 512 << 10):
     for a, z in slices(batch.column(column), most):
         yield a, z, batch.column(column).slice(a, z - a)
 

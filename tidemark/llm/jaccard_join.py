@@ -233,7 +233,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     run = Join(width, percent, rare, max(1, size.bytes // 5), groups)
     group_of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    dealt = plain.withColumn("g", group_of("id"))
+    dealt = plain.withColumn("g", group_of(F.coalesce("id", F.xxhash64("text"))))  # null ids may lie anywhere
 
     # exact copies: each names the smallest id with its text
     named = plain.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.unhex(F.md5("text")).alias("same"))

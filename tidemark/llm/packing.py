@@ -10,7 +10,7 @@ piece of a length takes the r-th slot of that length.
 Ranks are counted in slices of each length, so a length that a third of all pieces share is spread
 over many tasks. Ids themselves are never moved: their checksum is taken where they are made.
 
-Words are tokenized once per worker: the tokenizer ends words at white space and between letters and
+Words are tokenized once per task: the tokenizer ends words at white space and between letters and
 signs, so a text's ids are its pieces' ids in a row; a bounded memory of pieces saves most of the work.
 
 Defined results: null or empty texts are the final id alone. Every row is a document of its own, also
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored
-from tidemark.llm.textbytes import LOWER, PLAIN, Batch, slices
+from tidemark.llm.textbytes import LOWER, PLAIN, Batch, slices, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -188,6 +188,8 @@ def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     at += n
                     rows += [(doc, s, min(room, n + 1 - s), zlib.crc32(own[s : s + room].tobytes()), n + 1) for s in range(0, n + 1, room)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        word_ids(tokenizer_path).clear()  # the worker lives on
+        tidy()
 
     return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(tokenize, PIECES)
 

@@ -175,12 +175,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
 
     An item's windows are its runs of `width` words, or the whole of a shorter item; a document's word inside any window is hit.
     """
-    carry = carry or []
+    carry, with_text = [c for c in carry or [] if c != text_col], text_col in (carry or [])
     rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
     dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *rest)
     n, parts = _parts(items, item_id, item_text, item_bytes)
     if n == 1:
-        found = _search(dealt, Terms(*next(parts), width), segment_bytes)
+        found = _search(dealt, Terms(*next(parts), width), segment_bytes, with_text)
     else:  # each part searches by itself and is let go; what they found is joined by row
         numbered = stored(dealt.withColumn("row", F.monotonically_increasing_id()))
         union = None
@@ -188,7 +188,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
             one = stored(_search(numbered.drop("rest"), Terms(*part, width), segment_bytes))
             union = one if union is None else union.unionByName(one)
         merged = union.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-        found = merged.join(numbered.select("row", "rest"), "row") if carry else merged
+        kept = [c for c, on in (("rest", carry), ("text", with_text)) if on]
+        found = merged.join(numbered.select("row", *kept), "row") if kept else merged
     covered = F.aggregate(
         F.array_sort("runs"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto")),
@@ -198,12 +199,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     out = [F.col("id").alias(id_col), "n_words", covered.alias("n_hit"), F.size("found").cast("long").alias("n_items")]
     out += [F.sha2(F.array_join(F.array_sort("found"), ","), 256).alias("items_sha256"), (F.size("runs") > 0).alias("contaminated")]
     out += [F.array_sort("runs").alias("hit_spans")] if spans else []
-    return found.select(*out, *[F.col(f"rest.`{c}`").alias(c) for c in carry])
+    return found.select(*out, *[F.col(f"rest.`{c}`").alias(c) for c in carry], *([F.col("text").alias(text_col)] if with_text else []))
 
 
-def _search(dealt: DataFrame, terms: Terms, segment_bytes: int) -> DataFrame:
-    """id, n_words, runs (hit words from, to), found (items as strings), and the other columns of dealt but the text."""
-    others = [f for f in dealt.schema.fields if f.name not in ("id", "text")]
+def _search(dealt: DataFrame, terms: Terms, segment_bytes: int, with_text: bool = False) -> DataFrame:
+    """id, n_words, runs (hit words from, to), found (items as strings), and the other columns of dealt; the text if asked for."""
+    others = [f for f in dealt.schema.fields if f.name != "id" and (f.name != "text" or with_text)]
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))), T.StructField("found", T.ArrayType(T.StringType())), *others])
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 

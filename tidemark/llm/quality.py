@@ -81,13 +81,13 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 
 def grade(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text", *, keep_from: int = 1, cut: float = 0.5, carry: list[str] | None = None) -> DataFrame:
-    """id, held_out, expected_grade, tail_probability, keep, and the columns of carry."""
-    carry = carry or []
+    """id, held_out, expected_grade, tail_probability, keep, and the columns of carry; the text itself is carried once."""
+    carry, with_text = [c for c in carry or [] if c != text_col], text_col in (carry or [])
     plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), held_out(F.col(f"`{id_col}`")).alias("held_out"), F.struct(F.lit(1).alias("0"), *[F.col(f"`{c}`").alias(str(i + 1)) for i, c in enumerate(carry)]).alias("rest"))
     from pyspark.sql import types as T
 
     own = {f.name: f for f in plain.schema.fields}
-    schema = T.StructType([own["id"], own["held_out"], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("keep", T.BooleanType()), own["rest"]])
+    schema = T.StructType([own["id"], own["held_out"], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail_probability", T.DoubleType()), T.StructField("keep", T.BooleanType()), own["rest"], *([own["text"]] if with_text else [])])
 
     def score(batches):
         for batch in batches:
@@ -98,6 +98,6 @@ def grade(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", t
                     sums, count = GRAMS.sums(texts, model.weights[:, None])
                     tails = sigmoid((sums[:, 0] / np.maximum(count, 1))[:, None] - model.thresholds)
                 tail = tails[:, keep_from - 1] if model else tails[:, 0]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= cut), batch.column(3).slice(a, n)], names=[f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), batch.column(2).slice(a, n), pa.array(tails.sum(axis=1)), pa.array(tail), pa.array(tail >= cut), batch.column(3).slice(a, n), *([texts] if with_text else [])], names=[f.name for f in schema.fields])
 
-    return plain.mapInArrow(score, schema).select(F.col("id").alias(id_col), "held_out", "expected_grade", "tail_probability", "keep", *[F.col(f"rest.`{i + 1}`").alias(c) for i, c in enumerate(carry)])
+    return plain.mapInArrow(score, schema).select(F.col("id").alias(id_col), "held_out", "expected_grade", "tail_probability", "keep", *[F.col(f"rest.`{i + 1}`").alias(c) for i, c in enumerate(carry)], *([F.col("text").alias(text_col)] if with_text else []))

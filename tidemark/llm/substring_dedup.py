@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = max(1, -(-size.bytes // group_bytes), -(-size.rows // 100_000))
     run = Repeats(block, span, max(1, size.bytes // 5), groups)
     rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
-    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *rest, F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long")), F.lit(groups)).cast("int").alias("g"))
+    dealt = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), *rest, F.pmod(F.xxhash64(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`")))), F.lit(groups)).cast("int").alias("g"))
 
     def own(f):
         return dealt.groupBy("g").applyInArrow(f, LISTS)

@@ -6,6 +6,9 @@ their 64-bit hashes and the hashes of word windows are computed for the whole bu
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,6 +22,12 @@ ALNUM[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
+try:
+    _LIBC = ctypes.CDLL(ctypes.util.find_library("c") or "libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  absent outside glibc
+except (OSError, AttributeError):
+    _LIBC = None
+
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -92,7 +101,15 @@ class Batch:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
-def slices(texts: pa.Array | pa.ChunkedArray, most: int = 4 << 20):
+def tidy() -> None:
+    """Gives memory that is free again back to the system: workers live on between tasks."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def slices(texts: pa.Array | pa.ChunkedArray, most: int = 2 << 20):
     """(start, stop) runs of rows of at most `most` bytes of text each, or one row that is longer."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), np.int64)
     at, ends, n = 0, np.cumsum(sizes), len(sizes)
@@ -100,6 +117,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = 4 << 20):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         yield at, stop
         at = stop
+    tidy()
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:

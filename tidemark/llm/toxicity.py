@@ -122,7 +122,7 @@ def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "
 
     def score(batches):
         for batch in batches:
-            for a, z, texts in batches_of(batch, 1, 4 << 20):
+            for a, z, texts in batches_of(batch, 1, 1 << 20):
                 n = z - a
                 buckets, docs_of = TERMS.of(texts)
                 at = model.place[buckets]
