@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import row_ranks, sums_below
 from tidemark.operators.survival import at_times, kaplan_meier
 
 G_FLOOR = 1e-3
@@ -36,8 +37,7 @@ def cumulative_auc(df: DataFrame, times: list[int], by: list[str] | None = None)
     cells = cells.crossJoin(F.broadcast(_times(df, times)))
     case, control = (F.col("duration_months") <= F.col("t")) & (F.col("event") == 1), F.col("duration_months") > F.col("t")
     per = cells.groupBy(*by, "t", "risk").agg(F.sum(F.when(case, F.col("n") / F.col("g")).otherwise(0.0)).alias("w"), F.sum(F.when(case, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(control, F.col("n")).otherwise(0)).alias("b"))
-    below = F.coalesce(F.sum("b").over(Window.partitionBy(*by, "t").orderBy("risk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = per.withColumn("below", below).groupBy(*by, "t").agg(F.sum(F.col("w") * (F.col("below") + F.col("b") / 2)).alias("num"), F.sum("w").alias("w"), F.sum("a").alias("n_cases"), F.sum("b").alias("n_controls"))
+    total = sums_below(per, [*by, "t"], "risk", {"below": "b"}).groupBy(*by, "t").agg(F.sum(F.col("w") * (F.col("below") + F.col("b") / 2)).alias("num"), F.sum("w").alias("w"), F.sum("a").alias("n_cases"), F.sum("b").alias("n_controls"))
     g = at_times(censoring(df, by), _times(df, times), by, G_FLOOR)
     some = (F.col("n_cases") > 0) & (F.col("n_controls") > 0)
     return total.join(g, [*by, "t"]).select(*by, "t", F.round(F.when(some, F.col("num") / (F.col("w") * F.col("n_controls"))), 6).alias("auc"), "n_cases", "n_controls", (some & ~F.col("floor_binds")).alias("reliable"), F.round("survival", 6).alias("g_at_t"))
@@ -80,13 +80,8 @@ def concordance(df: DataFrame) -> DataFrame:
 
 
 def calibration(df: DataFrame, t: int, bins: int = 10) -> DataFrame:
-    """df: id, duration_months, event, s (predicted survival at t). Bins of equal rank (ties by id); observed is each bin's own survival curve at t.
-
-    The global rank is counted from equal scores: rows before the score, plus the row's place among its equals.
-    """
-    scores = df.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    edges = scores.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = df.join(edges, "s").withColumn("r", F.col("before") + F.row_number().over(Window.partitionBy("s").orderBy("id")))
+    """df: id, duration_months, event, s (predicted survival at t). Bins of equal rank (ties by id); observed is each bin's own survival curve at t."""
+    ranked = row_ranks(df, "s", ["id"])
     n = F.broadcast(df.agg(F.count(F.lit(1)).alias("n")))  # one row
     place = F.greatest(F.floor(((F.col("r") - 1) * bins + F.col("n") - 2) / (F.col("n") - 1)) - 1, F.lit(0)).cast("int")
     binned = ranked.crossJoin(n).withColumn("bin", place)

@@ -25,7 +25,7 @@ def stratified(df: DataFrame, key: str, stratum: str, n: int, seed: int) -> Data
     left = F.lit(n) - F.sum("_q").over(Window.partitionBy(F.lit(1)))
     quota = quota.withColumn("_q", F.col("_q") + F.when(place == 1, F.greatest(left, F.lit(0))).otherwise(0))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy(row_seed(seed, F.col(key)), key))
-    return df.withColumn("_r", rank).join(F.broadcast(quota.select(stratum, "_q")), stratum).where("_r <= _q").drop("_r", "_q")  # a row per stratum
+    return df.withColumn("_r", rank).where(F.col("_r") <= n).join(F.broadcast(quota.select(stratum, "_q")), stratum).where("_r <= _q").drop("_r", "_q")  # a row per stratum
 
 
 def equal_pick(df: DataFrame, key: str, stratum: str, per: int, seed: int) -> DataFrame:

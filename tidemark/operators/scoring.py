@@ -58,9 +58,9 @@ def content_problems(text: Column, own_id: Column, names: list[str]) -> Column:
 
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The last record of each key."""
-    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last record of each key, as a partial aggregate."""
+    last = df.groupBy(*key).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_last"))
+    return last.select("_last.*")
 
 
 def run_state(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import unpivoted
+from tidemark.operators.ranks import sums_below
 
 #: Bands of the gate.
 SMD_BANDS, AUC_BANDS, STRONG_AUC, LEAST_SUPPORT = (0.10, 0.25), (0.55, 0.65), 0.75, 0.05
@@ -26,8 +27,7 @@ def smd(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
 def _ladder(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
     """Counts of both sides per distinct value, with the counts below it."""
     cells = _long(df, columns, accepted).groupBy("column", "value").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
-    w = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumns({"below_a": F.coalesce(F.sum("a").over(w), F.lit(0)), "below_b": F.coalesce(F.sum("b").over(w), F.lit(0))})
+    return sums_below(cells, ["column"], "value", {"below_a": "a", "below_b": "b"})
 
 
 def rank_auc(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:

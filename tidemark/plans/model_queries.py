@@ -20,7 +20,7 @@ FEATURES = ["dti", "loan_amnt", "annual_inc"]
 def _design(spark, sf_dir):
     df = loans(spark, sf_dir).select("id", "duration_months", "event", *FEATURES)
     guard(df.select(*FEATURES))
-    return models.standardised(df, FEATURES)
+    return models.standardised(df, FEATURES).persist()  # fits read it again and again; lost blocks are computed anew
 
 
 @query()
@@ -29,7 +29,7 @@ def hazard_fit(spark, sf_dir):
     df = _design(spark, sf_dir)
     model = models.fit_hazard(df, FEATURES)
     s = survival.survival_from_hazard(model.hazards(df, 4, ["id"]), ["id"]).where("period = 4").select("id", F.col("survival").alias("s"))
-    return evaluate.calibration(df.join(s, "id"), 12)
+    return evaluate.calibration(df.join(s, "id").persist(), 12)
 
 
 @query()
