@@ -104,6 +104,13 @@ def test_links_at_the_threshold(spark):
     assert sorted(map(tuple, got.collect()), key=str) == brute_links(rows)
 
 
+def test_rows_that_share_an_id_are_one_node(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(1, a), (5, a), (5, b), (7, b), (3, c), (7, c), (9, b + " x"), (2, "other words here")]
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_links(rows)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 400), min_size=1, max_size=120, unique=True), st.lists(st.integers(0, 400), max_size=60, unique=True), st.integers(0, 60))
 def test_linked_sets_share_a_signature(shared, more, drop):

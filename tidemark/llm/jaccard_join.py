@@ -46,8 +46,8 @@ from tidemark.llm.textbytes import PLAIN, Batch, Layout, group_starts, mix, slic
 
 LISTS = "k int, g int, data binary, more binary"
 _LISTS_ARROW = pa.schema([("k", pa.int32()), ("g", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
-CONTROL = "g int, k int, data binary, copy long"
-_CONTROL_ARROW = pa.schema([("g", pa.int32()), ("k", pa.int32()), ("data", pa.binary()), ("copy", pa.int64())])
+CONTROL = "g int, k int, data binary, copy long, copy_text long"
+_CONTROL_ARROW = pa.schema([("g", pa.int32()), ("k", pa.int32()), ("data", pa.binary()), ("copy", pa.int64()), ("copy_text", pa.int64())])
 PROFILES = "id long, n long, shared long, tokens binary, signatures array<long>, parity array<long>"
 _PROFILES_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 UNSHARED, RARE, FREQUENT = 0, 1, 2
@@ -120,9 +120,9 @@ class Join:
 
     @staticmethod
     def _copies(t: pa.Table, control: pa.Table) -> np.ndarray:
-        copies = np.unique(control["copy"].drop_null().to_numpy())
-        ids = pa.compute.fill_null(t["id"], 0).to_numpy()
-        return (np.isin(ids, copies) | np.asarray(t["id"].is_null()))
+        """Rows without an id, and those whose id and text (by its hash) the control table names."""
+        copies = {x for x in zip(control["copy"].to_pylist(), control["copy_text"].to_pylist()) if x[0] is not None}
+        return np.fromiter((i is None or (i, h) in copies for i, h in zip(t["id"].to_pylist(), t["h"].to_pylist())), bool, t.num_rows)
 
     def send(self, key, t: pa.Table, control: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -150,7 +150,7 @@ class Join:
         every[order] = np.repeat(kind, np.diff(np.append(starts, len(keys))))
         parts = np.split(every, np.cumsum([len(x) for x in lists])[:-1])
         out = [(g.as_py(), np.packbits(np.stack([c & 1, c >> 1])).tobytes()) for g, c in zip(t["g"], parts) if c.any()]
-        return pa.table([[g for g, _ in out], [k] * len(out), [d for _, d in out], pa.nulls(len(out), pa.int64())], schema=_CONTROL_ARROW)
+        return pa.table([[g for g, _ in out], [k] * len(out), [d for _, d in out], pa.nulls(len(out), pa.int64()), pa.nulls(len(out), pa.int64())], schema=_CONTROL_ARROW)
 
     def profile(self, key, t: pa.Table, control: pa.Table) -> pa.Table:
         """A row for each document; those that may have a partner come with their shared tokens and signatures."""
@@ -233,14 +233,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     run = Join(width, percent, rare, max(1, size.bytes // 5), groups)
     group_of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    dealt = plain.withColumn("g", group_of(F.coalesce("id", F.xxhash64("text"))))  # null ids may lie anywhere
+    dealt = plain.withColumn("h", F.xxhash64("text")).withColumn("g", group_of(F.coalesce("id", F.xxhash64("text"))))  # null ids may lie anywhere
 
     # exact copies: each names the smallest id with its text
-    named = plain.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.unhex(F.md5("text")).alias("same"))
+    named = plain.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.unhex(F.md5("text")).alias("same"), F.xxhash64("text").alias("h"))
     least = named.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    copies = stored(named.join(least, "same").where("id > rep").select("id", "rep").distinct())
+    copies = stored(named.join(least, "same").where("id > rep").select("id", "rep", "h").distinct())
+    rep_of = copies.groupBy("id").agg(F.min("rep").alias("rep"))
+    several = plain.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")  # rows that share an id are one node
 
-    control = copies.select(group_of("id").alias("g"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("binary").alias("data"), F.col("id").alias("copy"))
+    control = copies.select(group_of("id").alias("g"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("binary").alias("data"), F.col("id").alias("copy"), F.col("h").alias("copy_text"))
     lists = dealt.groupBy("g").cogroup(control.groupBy("g")).applyInArrow(lambda key, t, c: run.send(key, t, c), LISTS)
     classes = lists.groupBy("k").applyInArrow(lambda key, t: run.classify(key, t), CONTROL)
     profiles = stored(dealt.groupBy("g").cogroup(control.unionByName(classes).groupBy("g")).applyInArrow(lambda key, t, c: run.profile(key, t, c), PROFILES))
@@ -263,8 +265,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     across = minor.join(members.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _possible(percent))
     across = across.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
     more = stored(verified(across, profiles, percent))
-    joined = components(labels.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionAll(more.select("u", "v")))
+    joined = components(labels.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionAll(more.select("u", "v")).unionAll(copies.join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v"))))
 
-    out = profiles.select("id", F.col("n").alias("n_shingles")).join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = profiles.select("id", F.col("n").alias("n_shingles")).join(rep_of, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
