@@ -90,13 +90,13 @@ def _predict(x: np.ndarray) -> np.ndarray:
 
 @query()
 def kernel_shap(spark, sf_dir):
-    """Attributions of a fixed model for the 200 loans with the smallest seeds; sums equal prediction - base."""
+    """Attributions of a fixed model for every loan, against a background of 50; sums equal prediction - base."""
     from tidemark.operators.sampling import reservoir
 
     ship(spark)
     df = _design(spark, sf_dir)
     ground = np.array(reservoir(df, "id", 50, 2).select(*FEATURES).collect(), float)
-    return explain.kernel_shap(reservoir(df, "id", 200, 3).withColumnRenamed("id", "row_id"), ground, FEATURES, _predict)
+    return explain.kernel_shap(df.withColumnRenamed("id", "row_id"), ground, FEATURES, _predict)
 
 
 @query("""WITH m AS (SELECT avg(l_discount) AS d, avg(l_tax) AS x FROM lineitem) SELECT l_returnflag, 'discount' AS feature, round(avg((l_discount - d) * 2), 8) AS phi FROM lineitem, m GROUP BY 1 UNION ALL SELECT l_returnflag, 'tax', round(avg((l_tax - x) * -1), 8) FROM lineitem, m GROUP BY 1""")
