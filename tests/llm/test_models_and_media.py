@@ -120,3 +120,13 @@ def test_copies_against_brute_force(spark):
     assert [got[i].class_id for i in (2000, 2001, 2002)] == [2000, 2001, 2002]
     assert len({got[2 * i].class_id for i in range(60)}) == 60
     assert media.copies_of(spark.createDataFrame([], "image_id long, image binary")).count() == 0
+
+
+def test_all_images_of_a_key_are_compared(spark):
+    rng = np.random.default_rng(8)
+    picture = media.drawn(rng.normal(0, 0.125, 64))
+    rows = [(i, media.pgm(x)) for i, x in enumerate([picture, picture[3:, 2:], picture[:-4, 5:], picture[2:-3, :-4], media.edited(picture, 0)])]
+    rows += [(10 + i, media.pgm(media.drawn(rng.normal(0, 0.125, 64)))) for i in range(20)]
+    got = {r.image_id: r for r in media.copies_of(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(5)] == [(0, 4)] * 5
+    assert all(got[10 + i].n_links == 0 for i in range(20))
