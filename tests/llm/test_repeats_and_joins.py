@@ -165,3 +165,61 @@ def test_window_hashes_depend_on_all_words():
         w = windows(h, width)
         assert len(w) == 41 - width and len(set(w.tolist())) == len(w)
         assert (windows(h[3:], width) == w[3:]).all()
+
+
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_meet_in_polynomial_hashes(spark):
+    """Two words of 1,024 letters that every polynomial hash modulo a power of two takes for one."""
+    a, b = thue_morse(10)
+    tail = " ".join(f"q{i}" for i in range(12))
+    rows = [(1, f"{a} {tail}"), (2, f"{b} {tail}"), (3, a), (4, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == brute_repeats(rows)
+    assert sorted(map(tuple, jaccard_join.link(docs).collect()), key=str) == brute_links(rows)
+
+
+def test_windows_whose_keys_meet_are_told_apart(corpus):
+    """With no bits of the first hash left the second one decides, and results stay exact."""
+    run = substring_dedup.Repeats(7, 13, 1, 1)
+    keys, checks = np.array([5, 5, 5, 9], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    from tidemark.llm.textbytes import runs_of
+
+    order, starts = runs_of(keys, checks)
+    assert [sorted(order[a:z].tolist()) for a, z in zip(starts, [*starts[1:], 4])] == [[0, 2], [1], [3]]
+    t = pa.table({"k": [0, 0], "g": [1, 2], "data": [run.repeats.pack(keys[:1]), run.repeats.pack(keys[:1])], "more": [substring_dedup._checks_to_bytes(checks[:1]) + ints_to_bytes(np.array([3])), substring_dedup._checks_to_bytes(checks[1:2]) + ints_to_bytes(np.array([8]))]})
+    assert run.match_windows((pa.scalar(0),), t).num_rows == 0
+
+
+def test_template_pages_make_no_pairs(spark, monkeypatch):
+    """Pages of one template with texts of their own, of similarity 0.67: none is compared with all others."""
+    import random
+
+    rng = random.Random(3)
+    template = [f"t{rng.randrange(900)}" for _ in range(400)]
+    rows = [(i, " ".join(template + [f"o{rng.randrange(900)}" for _ in range(90)])) for i in range(400)]
+    compared = []
+    verify = jaccard_join.verified
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verified", counted)
+    got = jaccard_join.link(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert all(r.component_id == r.doc_id for r in got.collect())
+    assert sum(compared) < 50 * len(rows)
+
+
+def test_null_ids_and_equal_rows(spark):
+    """Rows without an id are kept as they are; many equal rows of one id are one document."""
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text)] * 40 + [(7, text)] * 40 + [(9, text + " more"), (None, None), (8, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept_text string")
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == brute_repeats(rows)
+    assert sorted(map(tuple, jaccard_join.link(docs).collect()), key=str) == brute_links(rows)

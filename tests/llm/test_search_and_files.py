@@ -37,14 +37,44 @@ def brute_hits(docs, items, width=10):
     return sorted(out, key=str)
 
 
+def brute_near(docs, items, near, width=10):
+    out = {}
+    for i, t in docs:
+        w, found = lower_words(t), set()
+        for item, text in items:
+            v = lower_words(text)
+            for p in range(max(1, len(v) - width + 1)) if v else []:
+                need = set(v[p : p + width])
+                if any(need <= set(w[s : s + near]) for s in range(max(1, len(w) - near + 1))):
+                    found.add(item)
+        out[i] = len(found)
+    return out
+
+
 @pytest.mark.parametrize("item_bytes", [1 << 24, 3000])
 def test_contamination_equals_brute_force(spark, corpus, item_bytes):
     docs = [(r[0], r[1]) for r in corpus.select("doc_id", "text").collect()]
     long = [t for _, t in docs if len(lower_words(t)) > 100]
-    items = [(1, " ".join(long[0].upper().split()[5:40])), (2, " ".join(long[1].split()[:10])), (3, "É́é naïve"), (4, None), (5, ""), (6, "nothing like this"), (10, " ".join(long[2].split()[3:12])), (2, " ".join(long[1].split()[:10]))]
+    turned = long[1].split()[:10]
+    items = [(1, " ".join(long[0].upper().split()[5:40])), (2, " ".join(long[1].split()[:10])), (3, "É́é naïve"), (4, None), (5, ""), (6, "nothing like this"), (10, " ".join(long[2].split()[3:12])), (2, " ".join(long[1].split()[:10])), (11, " ".join(turned[::-1])), (12, " ".join(long[3].split()[:900]))]
     table = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, source string")
-    got = phrase_index.find_contamination(corpus, table, item_bytes=item_bytes, segment_bytes=5000)
-    assert sorted(map(tuple, got.collect()), key=str) == brute_hits(docs, items)
+    got = phrase_index.find_contamination(corpus, table, item_bytes=item_bytes, segment_bytes=5000, near=14, carry=["source", "n_words"]).collect()
+    assert sorted((tuple(r)[:6] for r in got), key=str) == brute_hits(docs, items)
+    near = brute_near([d for d in docs if d[0] is not None and docs.count(d) == 1], items, 14)
+    ids = [r.doc_id for r in got]
+    assert {r.doc_id: r.n_near_items for r in got if ids.count(r.doc_id) == 1 and r.doc_id is not None} == {i: n for i, n in near.items() if ids.count(i) == 1}
+    assert sum(near.values()) > sum(r[3] for r in brute_hits([d for d in docs if d[0] in near], items))
+
+
+def test_items_without_an_id_and_words_that_look_alike(spark):
+    """An item without an id counts and has no place in the list; words are compared by their bytes."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    docs = spark.createDataFrame([(1, "x " + b), (2, "x " + a), (3, "one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "two"), (7, a), (None, "one")], "item_id long, text string")
+    got = {r.doc_id: r for r in phrase_index.find_contamination(docs, items).collect()}
+    assert [(got[i].n_hit, got[i].n_items, got[i].items_sha256 == hashlib.sha256(k).hexdigest()) for i, k in ((1, b""), (2, b"7"), (3, b""))] == [(0, 0, True), (1, 1, True), (2, 1, True)]
 
 
 def test_contamination_of_empty_tables(spark, corpus, empty):
@@ -55,14 +85,13 @@ def test_contamination_of_empty_tables(spark, corpus, empty):
 
 def test_stored_index_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "c b a x x x x d"), (3, "b"), (4, None)], "doc_id long, text string")
-    h = {w: int(x) for w, x in zip("abcdx", Batch(pa.array(["a b c d x"]), lower=True).hashes())}
-    index = phrase_index.index_segments(docs, "doc_id", "text", np.unique(np.array(list(h.values()), np.uint64)), segment_bytes=10)
-    phrases = phrase_index.search_segments(index, [[h["b"], h["c"]], [h["x"], h["x"]]])
-    assert sorted(map(tuple, phrases.collect())) == [(1, 0, 1), (2, 1, 3), (2, 1, 4), (2, 1, 5)]
-    near = phrase_index.search_segments(index, [[h["a"], h["d"]]], within=3)
-    assert [r[0] for r in near.collect()] == [1]
-    far = phrase_index.search_segments(index, [[h["a"], h["d"]]], within=5)
-    assert sorted(r[0] for r in far.collect()) == [1, 2]
+    index = phrase_index.index_segments(docs, segment_bytes=10)
+    rows = phrase_index.search_index(index, ["b C", "x x", "a d"], near=4).collect()
+    assert sorted((r.doc_id, r.phrase, r.position) for r in rows if r.kind == "exact") == [(1, 0, 1), (2, 1, 3), (2, 1, 4), (2, 1, 5)]
+    assert sorted((r.doc_id, r.phrase) for r in rows if r.kind == "near") == [(1, 0), (1, 2), (2, 0), (2, 1)]
+    far = phrase_index.search_index(index, ["a d"], near=6)
+    assert sorted(r.doc_id for r in far.where("kind = 'near'").collect()) == [1, 2]
+    assert {t.decode() for r in index.collect() for t in r.terms} == set("abcdefx")  # every word is indexed
 
 
 @pytest.fixture(scope="module")
@@ -120,6 +149,10 @@ def test_packing_of_odd_documents(spark, corpus, empty):
 
     path = P.path("word_bpe_49k.json")
     odd = spark.createDataFrame([(900, "it's <|endoftext|> don't x…!? 12.5% İstanbul ß²"), (901, "a" * 30_000), (902, "<|STARTOFTEXT|>b")], "doc_id long, text string")
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    odd = odd.unionByName(spark.createDataFrame([(903, f"{a} x {b}"), *[(None, f"{b}1 y")] * 30, *[(904, "same")] * 30], "doc_id long, text string"))
     docs = corpus.select("doc_id", "text").unionByName(odd)
     rows = packing.pack(docs, path, room=512).collect()
     tokenizer = Tokenizer.from_file(path)
@@ -158,3 +191,14 @@ def test_templates_compile_and_match(spark):
     assert (rows[2].n_words, rows[2].first_word, rows[2].labels, rows[2].score) == (0, None, "", 0.0)
     assert rows[4].labels == "gpl-3" and rows[5].labels == "spdx" and 0 < rows[5].score < 1
     assert lt.scan(docs.limit(0)).count() == 0
+
+
+def test_long_texts_are_tokenized_in_parts():
+    text = " ".join(["word", "é", "<|endoftext|>", "don't"] * 50) + "\n" + "x" * 700 + " end"
+    parts = packing.parts_of(pa.array([text]), 100)
+    assert "".join(p[0].as_py() for p in parts) == text and len(parts) > 8
+    assert [p[0].as_py() for p in packing.parts_of(pa.array(["x" * 500]), 100)] == ["x" * 500]
+    P = pytest.importorskip("public_tokenizers")
+    words = packing.WordIds(P.path("word_bpe_49k.json"))
+    ids = np.concatenate([words.of(Batch(p))[0] for p in parts])
+    assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids

@@ -18,13 +18,21 @@ compared with one centre first, the one with the fewest unshared tokens; links s
 components; and only for signatures whose documents lie in different components yet are the documents outside
 the largest of them compared with the others, where sizes, shared tokens and a 1024-bit parity of the
 tokens (its differences are tokens that one of the two lacks) leave a link possible. So a group of n
-near copies costs about n comparisons, and no link between two components is missed. All of that is joins and partial
-aggregates that split by key; components are found in steps (see components.py).
+near copies costs about n comparisons, and no link between two components is missed. Before that, a
+signature of frequent tokens lets go of the documents whose frequent tokens alone can't carry a link
+(two that also share a rare token meet by that token): pages of one template with texts of their own
+make no pairs. All of that is joins and partial aggregates that split by key; components are found in
+steps (see components.py). Texts that 1/10,000 of the rows or more share are looked up by broadcast,
+so no task gets a group of copies.
 
 Token classes come from packed sorted key lists per group of documents, as in substring_dedup.py:
 about 3.5 bytes a token; answers are two bits a token.
 
-Tokens are compared by 48 bits of their hashes in the final check.
+Tokens are compared by 48 bits of their hashes in the final check of two documents, under a key drawn
+for each run; copies by 128 bits of SHA-256.
+
+A very long text is hashed and indexed whole by one worker. Ties (a share of exactly the threshold) link.
+An empty table gives an empty result.
 
 Defined results: null texts and texts without words have no tokens, link with nothing and are their
 own component. With fewer words than a shingle, the whole sequence is the one token. A null id is
@@ -41,15 +49,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.shared import stored, volume
-from tidemark.llm.textbytes import PLAIN, Batch, Layout, group_starts, mix, slices, whole_windows, windows
+from tidemark.llm.shared import looked_up, stored, volume
+from tidemark.llm.textbytes import PLAIN, Batch, Layout, group_starts, mix, new_key, slices, whole_windows, windows
 
 LISTS = "k int, g int, data binary, more binary"
 _LISTS_ARROW = pa.schema([("k", pa.int32()), ("g", pa.int32()), ("data", pa.binary()), ("more", pa.binary())])
 CONTROL = "g int, k int, data binary, copy long, copy_text long"
 _CONTROL_ARROW = pa.schema([("g", pa.int32()), ("k", pa.int32()), ("data", pa.binary()), ("copy", pa.int64()), ("copy_text", pa.int64())])
-PROFILES = "id long, n long, shared long, tokens binary, signatures array<long>, parity array<long>"
-_PROFILES_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
+PROFILES = "id long, n long, shared long, frequent long, tokens binary, signatures array<long>, parity array<long>"
+_PROFILES_ARROW = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("shared", pa.int64()), ("frequent", pa.int64()), ("tokens", pa.binary()), ("signatures", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))])
 UNSHARED, RARE, FREQUENT = 0, 1, 2
 TOKEN_BYTES = 6
 #: Bits of the parity of the tokens that fall on each bit.
@@ -58,7 +66,7 @@ PARITY = 1024
 
 def shingles(b: Batch, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, hash) of each shingle, with repeats."""
-    at, w = whole_windows(b, h, width)
+    at, w = whole_windows(b, width, h)
     docs, found = [b.doc[at]], [w]
     for n in range(1, width):  # shorter documents: the whole sequence
         short = np.flatnonzero(b.counts == n)
@@ -69,13 +77,13 @@ def shingles(b: Batch, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, unshared: int, percent: int) -> np.ndarray:
-    """tokens: the shared ones, rare before frequent, each by hash."""
+    """tokens: the shared ones, rare before frequent, each by hash. The signatures that are pairs of frequent tokens are odd, all others even."""
     n = unshared + len(tokens)
     misses = n + (-percent * n // 100)
     out = [np.bitwise_xor.reduce(mix(tokens)) ^ np.uint64(n)]  # of equal sets
     single = tokens[~frequent][: max(0, misses + 1 - unshared)]
     out += [mix(single ^ np.uint64(0xA5A5))] if len(single) else []
-    short = misses + 1 - unshared - len(single)
+    short, pairs = misses + 1 - unshared - len(single), []
     if short > 0:
         rest = tokens[frequent]
         band = n.bit_length() - 1
@@ -93,13 +101,14 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, unshared: int, percent:
             for a, z in zip(s := group_starts(of), np.append(s[1:], len(of))):
                 i, j = np.triu_indices(z - a, 1)
                 if len(i):
-                    out.append(mix(prefix[a:z][i] * np.uint64(3) + mix(prefix[a:z][j] + np.uint64(level + 1))))
-    return np.unique(np.concatenate([np.atleast_1d(x) for x in out]))
+                    pairs.append(mix(prefix[a:z][i] * np.uint64(3) + mix(prefix[a:z][j] + np.uint64(level + 1))))
+    other = np.concatenate([np.atleast_1d(x) for x in out]) & ~np.uint64(1)
+    return np.unique(np.concatenate([other, *[x | np.uint64(1) for x in pairs]]))
 
 
 class Join:
     def __init__(self, width: int, percent: int, rare: int, words: int, groups: int):
-        self.width, self.percent, self.rare = width, percent, rare
+        self.width, self.percent, self.rare, self.key = width, percent, rare, new_key()
         self.layout = Layout(words, groups, 3 if words < 2**34 else 4)
 
     def _tokens(self, t: pa.Table, skip: np.ndarray):
@@ -107,7 +116,7 @@ class Join:
         rows, found = [], []
         for a, z in slices(t["text"]):
             b = Batch(t["text"].slice(a, z - a), PLAIN, lower=True)
-            docs, h = shingles(b, b.hashes(), self.width)
+            docs, h = shingles(b, b.hashes(self.key), self.width)
             keep = ~skip[a + docs]
             rows.append(a + docs[keep])
             found.append(h[keep])
@@ -184,7 +193,7 @@ class Join:
             found[r] = signatures(own, kind[cuts[r] : cuts[r + 1]] == FREQUENT, int(unshared[r]), self.percent).view(np.int64)
             tokens[r] = np.sort(own >> np.uint64(64 - 8 * TOKEN_BYTES)).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
             parity[r] = np.packbits(np.bincount(((own >> np.uint64(16)) % np.uint64(PARITY)).astype(np.int64), minlength=PARITY).astype(np.uint8) & 1).view(np.int64)
-        return pa.table([t["id"], n, n - unshared, tokens, found, parity], schema=_PROFILES_ARROW)
+        return pa.table([t["id"], n, n - unshared, np.bincount(rows[kind == FREQUENT], minlength=n_rows), tokens, found, parity], schema=_PROFILES_ARROW)
 
 
 def _unpack(data: bytes) -> np.ndarray:
@@ -221,7 +230,7 @@ def verified(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
 def _possible(percent: int):
     """Whether sizes, shared tokens and their parities leave a link possible: intersection >= p / (100 + p) of the sizes' sum. Bits in which the parities differ are tokens that only one of the two has."""
     apart = reduce(lambda x, y: x + y, [F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(PARITY // 64)])
-    most = F.least(F.col("a.shared"), F.col("b.shared"), F.floor((F.col("a.shared") + F.col("b.shared") - apart) / 2))
+    most = F.least(F.col("a.usable"), F.col("b.usable"), F.floor((F.col("a.shared") + F.col("b.shared") - apart) / 2))
     return (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))
 
 
@@ -236,9 +245,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     dealt = plain.withColumn("h", F.xxhash64("text")).withColumn("g", group_of(F.coalesce("id", F.xxhash64("text"))))  # null ids may lie anywhere
 
     # exact copies: each names the smallest id with its text
-    named = plain.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.unhex(F.md5("text")).alias("same"), F.xxhash64("text").alias("h"))
-    least = named.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    copies = stored(named.join(least, "same").where("id > rep").select("id", "rep", "h").distinct())
+    named = plain.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("same"), F.xxhash64("text").alias("h"))
+    least = stored(named.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1"))
+    hot = least.where(F.col("many") >= max(1000, size.rows // 10_000))  # 10,000 texts at most
+    copies = stored(looked_up(named, least, "same", "rep", hot, F.unhex(F.hex("id"))).where("id > rep").select("id", "rep", "h").distinct())
     rep_of = copies.groupBy("id").agg(F.min("rep").alias("rep"))
     several = plain.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")  # rows that share an id are one node
 
@@ -247,20 +257,23 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     classes = lists.groupBy("k").applyInArrow(lambda key, t: run.classify(key, t), CONTROL)
     profiles = stored(dealt.groupBy("g").cogroup(control.unionByName(classes).groupBy("g")).applyInArrow(lambda key, t, c: run.profile(key, t, c), PROFILES))
 
-    indexed = profiles.where("signatures IS NOT NULL").select("id", "n", "shared", F.explode("signatures").alias("sig"))
-    stats = indexed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("shared")).alias("unshared"), F.col("id"), F.col("n"), F.col("shared"))).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    shared = stored(indexed.join(stats, "sig").select("sig", "id", "n", "shared", "many", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.shared").alias("c_shared")))
-    stars = shared.where("id <> c_id").where((100 + percent) * F.least("shared", "c_shared") >= percent * (F.col("n") + F.col("c_n")))
+    # usable: how many tokens a link found by this signature can share; one with another rare token in common has a signature of that token
+    indexed = profiles.where("signatures IS NOT NULL").select("id", "n", "shared", "frequent", F.explode("signatures").alias("sig"))
+    indexed = indexed.select("sig", "id", "n", F.when(F.col("sig").bitwiseAND(1) == 1, F.col("frequent")).otherwise(F.col("shared")).alias("usable"))
+    stats = indexed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("usable")).alias("other"), F.col("id"), F.col("n"), F.col("usable"))).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    hopeful = (100 - percent) * F.col("usable") >= percent * (F.col("n") - F.col("usable") + F.col("c.other"))  # with the partner that has the fewest other tokens
+    shared = stored(indexed.join(stats, "sig").where(hopeful).select("sig", "id", "n", "usable", "many", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.usable").alias("c_usable")))
+    stars = shared.where("id <> c_id").where((100 + percent) * F.least("usable", "c_usable") >= percent * (F.col("n") + F.col("c_n")))
     links = stored(verified(stars.select(F.col("c_id").alias("u"), F.col("id").alias("v")).distinct(), profiles, percent))
     labels = components(links)
 
     # signatures whose documents aren't in one component yet: those outside the signature's largest component against all
-    marked = shared.where("many > 2").select("sig", "id", "n", "shared", "c_id").join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
+    marked = shared.where("many > 2").select("sig", "id", "n", "usable", "c_id").join(labels, "id", "left").withColumn("label", F.coalesce("component_id", "id"))
     split = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
     open_ = marked.join(split, "sig").where("id <> c_id")
     main = open_.groupBy("sig", "label").count().groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    parities = profiles.where("parity IS NOT NULL").select("id", "parity")
-    members = stored(open_.join(main, "sig").join(parities, "id").select("sig", "id", "n", "shared", "label", "main", "parity"))
+    parities = profiles.where("parity IS NOT NULL").select("id", "shared", "parity")
+    members = stored(open_.join(main, "sig").join(parities, "id").select("sig", "id", "n", "usable", "shared", "label", "main", "parity"))
     minor = members.where("label <> main").alias("a")
     across = minor.join(members.alias("b"), (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))) & _possible(percent))
     across = across.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")).distinct()
@@ -268,5 +281,5 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     joined = components(labels.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionAll(more.select("u", "v")).unionAll(copies.join(several, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v"))))
 
     out = profiles.select("id", F.col("n").alias("n_shingles")).join(rep_of, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(joined.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
+    out = looked_up(out, joined.select(F.col("id").alias("rep"), "component_id"), "rep", "component_id", hot.select("rep").distinct(), F.col("id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))

@@ -7,14 +7,18 @@ room, and splits a pattern's count where fewer pieces are left than packs. That
 patterns a length, whatever the number of documents. Pieces then get their place by rank: the r-th
 piece of a length takes the r-th slot of that length.
 
-Ranks are counted in slices of each length, so a length that a third of all pieces share is spread
-over many tasks. Ids themselves are never moved: their checksum is taken where they are made.
+Ranks are counted in slices of each length, dealt by the pieces' stored numbers, so a length, an id or
+a text that a third of all pieces share is spread over many tasks. Ids themselves are never moved:
+their checksum is taken where they are made.
 
 Words are tokenized once per task: the tokenizer ends words at white space and between letters and
 signs, so a text's ids are its pieces' ids in a row; a bounded memory of pieces saves most of the work.
+Its keys are the pieces' bytes, not hashes.
 
 Defined results: null or empty texts are the final id alone. Every row is a document of its own, also
-those that share an id. An empty table gives no pieces. Extra columns are ignored.
+those that share an id or have none. A text of over 4 MB is tokenized in parts of about 2 MB, cut at
+spaces; its ids (4 bytes each at most) are held by one worker. Equal lengths are placed in any order.
+An empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +30,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.shared import stored
-from tidemark.llm.textbytes import LOWER, PLAIN, Batch, slices, tidy
+from tidemark.llm.textbytes import LOWER, PLAIN, Batch, Numbers, slices, tidy
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
 def spread(counts: dict[int, int], room: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -104,58 +111,61 @@ def pieces_of_words(b: Batch) -> Batch:
 
 
 class WordIds:
-    """Token ids of pieces of words, remembered up to `most` pieces."""
+    """Token ids of pieces of words, remembered up to `most` pieces, `most_bytes` of the longer ones, and a batch's."""
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str, most: int = 600_000, most_bytes: int = 32 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_bytes = Tokenizer.from_file(path), most, most_bytes
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.numbers, self.known = Numbers(), {}
         self.at, self.size, self.pool, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint16 if len(self.ends) <= 2**16 else np.uint32), 0
 
-    def _keep(self, hashes: list[int], ids: np.ndarray, size: np.ndarray) -> None:
+    def _keep(self, codes: list[int], ids: np.ndarray, size: np.ndarray) -> None:
         n, at = len(self.known), self.used + np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
-        while n + len(hashes) > len(self.at):
+        while n + len(codes) > len(self.at):
             self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, self.pool])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.at[n : n + len(hashes)], self.size[n : n + len(hashes)] = at, size
+        self.at[n : n + len(codes)], self.size[n : n + len(codes)] = at, size
         self.used += len(ids)
-        self.known.update(zip(hashes, range(n, n + len(hashes))))
+        self.known.update(zip(codes, range(n, n + len(codes))))
 
-    def learn(self, hashes: list[int], words: list[str]) -> None:
-        """Pieces of Latin-1 letters are one word of the tokenizer, so many of them go as one text, cut again at the ids that end words; others go one by one."""
+    def learn(self, codes: list[int], words: list[str]) -> None:
+        """Pieces of Latin-1 letters are one word of the tokenizer, so many of them go as one text, cut again at the ids that end words; others go one by one.
+
+        A word has one end at most, so as many ends as words are one each; texts with fewer go one by one as well.
+        """
         plain = [bool(_LETTERS.fullmatch(w)) for w in words]
         for a in range(0, len(words), 20_000):
             part = range(a, min(a + 20_000, len(words)))
-            one = [i for i in part if plain[i]]
-            texts = [" ".join(words[i] for i in one[j : j + 200]) for j in range(0, len(one), 200)]
-            ids = np.array([x for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) for x in e.ids], np.int64)
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) != len(one):
-                raise ValueError("the tokenizer does not end each word")
-            self._keep([hashes[i] for i in one], ids, np.diff(ends, prepend=0))
-            rest = [i for i in part if not plain[i]]
+            one, rest = [i for i in part if plain[i]], [i for i in part if not plain[i]]
+            runs = [one[j : j + 200] for j in range(0, len(one), 200)]
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast([" ".join(words[i] for i in run) for run in runs], add_special_tokens=False)):
+                ids = np.array(e.ids, np.int64)
+                ends = np.flatnonzero(self.ends[ids]) + 1
+                if len(ends) == len(run) and ends[-1] == len(ids):
+                    self._keep([codes[i] for i in run], ids, np.diff(ends, prepend=0))
+                else:
+                    rest += run
             found = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
-            self._keep([hashes[i] for i in rest], np.array([x for f in found for x in f], np.int64), np.array([len(f) for f in found], np.int64))
+            self._keep([codes[i] for i in rest], np.array([x for f in found for x in f], np.int64), np.array([len(f) for f in found], np.int64))
 
     def of(self, b: Batch) -> tuple[np.ndarray, np.ndarray]:
         """The batch's ids, and the number of each document's."""
+        if len(self.known) > self.most or self.numbers.size > self.most_bytes:
+            self.clear()
         b = pieces_of_words(b)
-        distinct, first, inverse = np.unique(b.hashes(), return_index=True, return_inverse=True)
+        distinct, first, inverse = np.unique(b.codes(self.numbers), return_index=True, return_inverse=True)
         keys = distinct.tolist()
         new = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(new) > self.most and self.known:
-            self.clear()
-            new = list(range(len(keys)))
         self.learn([keys[i] for i in new], [b.word(first[i]).decode() for i in new])
         rows = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[inverse]
         size = self.size[rows]
@@ -164,6 +174,14 @@ class WordIds:
         return ids, np.diff(ends[b.first])
 
 
+def parts_of(text: pa.Array, most: int = 2 << 20) -> list[pa.Array]:
+    """A long text (an array of one) in parts of about `most` bytes, cut behind a space or line feed."""
+    data = np.frombuffer(text[0].as_py().encode(), np.uint8)
+    spaces = np.flatnonzero((data == 0x20) | (data == 0x0A)) + 1
+    at = np.unique(spaces[np.minimum(np.searchsorted(spaces, np.arange(most, len(data), most)), len(spaces) - 1)]) if len(spaces) else spaces
+    return [pa.array([data[a:z].tobytes().decode()]) for a, z in zip(np.append(0, at), np.append(at, len(data)))]
+
+
 _LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00df]+")
 _workers: dict[str, WordIds] = {}
 
@@ -176,22 +194,29 @@ def word_ids(path: str) -> WordIds:
 
 
 def cut(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, room: int = 4096, final_id: int = 2) -> DataFrame:
-    """A row per piece: id, start, length, ids_crc32, doc_tokens."""
+    """A row per piece: id, start, length, ids_crc32, doc_tokens, and a number of its own."""
 
     def tokenize(batches):
+        words, number = word_ids(tokenizer_path), TaskContext.get().partitionId() << 40
         for batch in batches:
             for a, z in slices(batch.column(1)):
-                ids, counts = word_ids(tokenizer_path).of(Batch(batch.column(1).slice(a, z - a)))
+                texts = batch.column(1).slice(a, z - a)
+                if z - a == 1 and (pc.binary_length(texts)[0].as_py() or 0) > 4 << 20:
+                    ids = np.concatenate([words.of(Batch(part))[0] for part in parts_of(texts)])
+                    counts = np.array([len(ids)])
+                else:
+                    ids, counts = words.of(Batch(texts))
                 rows, at = [], 0
                 for doc, n in zip(batch.column(0).slice(a, z - a).to_pylist(), counts.tolist()):
                     own = np.append(ids[at : at + n], ids.dtype.type(final_id)).astype("<u4")
                     at += n
                     rows += [(doc, s, min(room, n + 1 - s), zlib.crc32(own[s : s + room].tobytes()), n + 1) for s in range(0, n + 1, room)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        word_ids(tokenizer_path).clear()  # the worker lives on
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in zip(*rows)], pa.array(np.arange(number, number + len(rows)))], names=[*_NAMES, "number"])
+                number += len(rows)
+        words.clear()  # the worker lives on
         tidy()
 
-    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(tokenize, PIECES)
+    return docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")).mapInArrow(tokenize, f"{PIECES}, number long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", *, room: int = 4096, final_id: int = 2, slice_rows: int = 100_000) -> DataFrame:
@@ -200,9 +225,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `room` rows
     places = slots(spread(counts, room))
     n = max(8, -(-sum(counts.values()) // slice_rows))
-    sliced = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(n)).cast("int"))
+    sliced = pieces.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(n)).cast("int"))  # numbers are stored, so every reader deals alike
     before = sliced.groupBy("length", "part").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = sliced.withColumn("own", F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1)
+    ranked = sliced.withColumn("own", F.row_number().over(Window.partitionBy("length", "part").orderBy("number")) - 1)
     ranked = ranked.join(before.select("length", "part", F.coalesce("before", F.lit(0)).alias("before")), ["length", "part"])
 
     def place(batches):
@@ -211,7 +236,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             length, rank = batch.column(2).to_numpy(), batch.column(5).to_numpy()
             at = np.searchsorted(key, length * (int(firsts.max(initial=0)) + 1) + np.minimum(rank, firsts.max(initial=0)), "right") - 1
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(places[at, 2] + rank - firsts[at]), pa.array(places[at, 3])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(places[at, 2] + rank - firsts[at]), pa.array(places[at, 3])], names=[*_NAMES, "sequence_id", "offset"])
 
     kept = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("own")).cast("long").alias("rank"))
     return kept.mapInArrow(place, f"{PIECES}, sequence_id long, offset long").withColumnRenamed("doc_id", id_col)

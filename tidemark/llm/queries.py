@@ -46,7 +46,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=20)
 
 
 def op6_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from typing import NamedTuple
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, the folder that driver and executors share; a temporary one only where that is unset (tests on one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """A new path in this application's folder below spark.checkpoint.dir, which driver and executors share.
+
+    The folder is deleted when the driver ends. Only a local master may do without that setting (tests).
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='shared')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tables/{uuid.uuid4().hex}"
+        context.setCheckpointDir(root)
+    if context.applicationId not in _folders:
+        _folders[context.applicationId] = f"{root.rstrip('/')}/tables-{context.applicationId}"
+        atexit.register(discard, context, _folders[context.applicationId])
+    return f"{_folders[context.applicationId]}/{uuid.uuid4().hex}"
+
+
+def discard(context: SparkContext, folder: str) -> None:
+    """Deletes a folder of stored tables, if the application still runs."""
+    if context._jsc is not None and context._jvm is not None:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -30,6 +51,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def looked_up(rows: DataFrame, other: DataFrame, key: str, value: str, hot: DataFrame, spread_by: Column) -> DataFrame:
+    """rows with the value that `other` (a row a key) has for their key, or null.
+
+    hot: keys that many rows have, each 1/10,000 of all rows or more, so at most 10,000 keys; these are
+    broadcast, and their rows are dealt by `spread_by` (of the key's type), so that no task gets a key's rows.
+    """
+    few = hot.select(key).join(other.select(key, value), key, "left").select(F.col(key), F.lit(True).alias("_hot"), F.col(value).alias("_value"))
+    marked = rows.join(F.broadcast(few), key, "left").withColumn("_key", F.when(F.col("_hot"), spread_by).otherwise(F.col(key)))
+    found = marked.join(other.select(F.col(key).alias("_key"), F.col(value).alias("_other")), "_key", "left")
+    return found.select(*rows.columns, F.when(F.col("_hot"), F.col("_value")).otherwise(F.col("_other")).alias(value))
+
+
 class Volume(NamedTuple):
     rows: int
     bytes: int

@@ -24,9 +24,16 @@ dw AS (SELECT doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') AS words
        FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS pos FROM d, sizes WHERE len(w) >= n)),
 m AS (SELECT doc_id, item_id, pos, n FROM dw JOIN bw USING (n, words)),
 h AS (SELECT doc_id, count(DISTINCT i)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS i FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+i AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY doc_id),
+bs AS MATERIALIZED (SELECT DISTINCT words, word FROM (SELECT DISTINCT words, unnest(string_split(words, ' ')) AS word FROM bw)),
+bn AS (SELECT words, count(*) AS n FROM bs GROUP BY words),
+o AS MATERIALIZED (SELECT doc_id, words, word, pos FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d) JOIN bs USING (word)),
+c AS MATERIALIZED (SELECT doc_id, words, n FROM (SELECT doc_id, words, count(DISTINCT word) AS n_found FROM o GROUP BY ALL) JOIN bn USING (words) WHERE n_found = n),
+r AS MATERIALIZED (SELECT doc_id, words, word, pos, n FROM o JOIN c USING (doc_id, words)),
+q AS (SELECT DISTINCT x.doc_id, x.words FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.words = y.words AND y.pos >= x.pos AND y.pos < x.pos + 20 GROUP BY x.doc_id, x.words, x.pos, x.n HAVING count(DISTINCT y.word) = x.n),
+z AS (SELECT doc_id, count(DISTINCT coalesce(item_id::VARCHAR, chr(0)))::BIGINT AS n_near_items FROM q JOIN bw USING (words) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0) AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN z USING (doc_id)
 """
 
 _BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(hex, {5 * g + 1}, 5))::BIGINT >> {shift}) & 31)::INT), 1)" for g in range(8) for shift in (15, 10, 5, 0))

@@ -2,12 +2,18 @@
 
 A batch of documents is one byte buffer in which each document is followed by a line feed; words,
 their 64-bit hashes and the hashes of word windows are computed for the whole buffer at once.
+
+Words of up to 8 bytes are hashed by a bijection of those bytes, so two of them never share a hash;
+longer ones by BLAKE2b. A run that decides by hashes draws a key (`new_key`) on the driver and hands
+it to its tasks: nobody can prepare texts whose hashes meet, and tasks that run again agree.
 """
 
 from __future__ import annotations
 
 import ctypes
 import ctypes.util
+import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +34,13 @@ try:
 except (OSError, AttributeError):
     _LIBC = None
 
-_RNG = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_STEP = 0xD1342543DE82EF95
-_powers: dict[str, np.ndarray] = {}
+_STEP = np.uint64(0xD1342543DE82EF95)
+#: The key of hashes that only choose features.
+PLAIN_KEY = b"\0" * 16
+
+
+def new_key() -> bytes:
+    return secrets.token_bytes(16)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,14 +53,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64, kept by the process."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _powers[name] = np.cumprod(steps)
-    return have[:n]
+class Digests(dict):
+    """Word -> 16 bytes of its keyed BLAKE2b, remembered by the process up to `most` words of at most 64 bytes."""
+
+    most = 100_000
+
+    def __init__(self, key: bytes):
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16, key=self.key).digest()
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = digest
+        return digest
+
+
+class Numbers(dict):
+    """Word -> a number of its own; size: the words' bytes."""
+
+    size = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self.size += len(word)
+        return self.setdefault(word, len(self))
+
+
+_digests: dict[bytes, Digests] = {}
+
+
+def _digests_of(key: bytes) -> Digests:
+    if key not in _digests:
+        _digests.clear()
+        _digests[key] = Digests(key)
+    return _digests[key]
 
 
 class Batch:
@@ -85,17 +120,46 @@ class Batch:
         self.counts = np.diff(self.first)
         self.doc = np.repeat(np.arange(n), self.counts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word."""
-        return self.hashes_of(self.start, self.end)
-
-    def hashes_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of each run of bytes."""
-        n = len(self.buf)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * _power("up", _BASE, n), out=sums[1:])
-        h = (sums[end] - sums[start]) * _power("down", _BASE_INVERSE, n)[start] if len(start) else np.zeros(0, np.uint64)
-        return mix(h + (end - start).astype(np.uint64))
+    def _first_bytes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each run's bytes as a number, and which runs that does not tell apart: those of over 8 bytes, or with a zero at the end."""
+        padded = np.concatenate([self.buf, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.buf) + 1, "<u8", padded, strides=(1,))
+        size = end - start
+        spare = (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+        return (eight[start] << spare) >> spare, np.flatnonzero((size > 8) | (self.buf[end - 1] == 0))
+
+    def _runs(self, start: np.ndarray, end: np.ndarray):
+        data = self.buf.tobytes()
+        return (data[a:z] for a, z in zip(start.tolist(), end.tolist()))
+
+    def hashes(self, key: bytes = PLAIN_KEY, both: bool = False):
+        """A 64-bit hash of each word; both: two that are independent."""
+        return self.hashes_of(self.start, self.end, key, both)
+
+    def hashes_of(self, start: np.ndarray, end: np.ndarray, key: bytes = PLAIN_KEY, both: bool = False):
+        """A 64-bit hash of each run of bytes, none empty; both: two that are independent."""
+        if not len(start):
+            return (np.zeros(0, np.uint64), np.zeros(0, np.uint64)) if both else np.zeros(0, np.uint64)
+        value, long = self._first_bytes(start, end)
+        keys = np.frombuffer(key, np.uint64)
+        h = mix(value ^ keys[0])
+        other = mix(value * _STEP + keys[1]) if both else None
+        if len(long):
+            digests = _digests_of(key)
+            found = np.frombuffer(b"".join(map(digests.__getitem__, self._runs(start[long], end[long]))), np.uint64).reshape(-1, 2)
+            h[long] = found[:, 0]
+            if both:
+                other[long] = found[:, 1]
+        return (h, other) if both else h
+
+    def codes(self, numbers: Numbers) -> np.ndarray:
+        """A code of each word, equal for equal words alone: its bytes, or its number among the longer words behind a byte that begins no word."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        value, long = self._first_bytes(self.start, self.end)
+        if len(long):
+            value[long] = np.fromiter(map(numbers.__getitem__, self._runs(self.start[long], self.end[long])), np.uint64, len(long)) << np.uint64(8) | np.uint64(0x0A)
+        return value
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
@@ -103,7 +167,6 @@ class Batch:
 
 def tidy() -> None:
     """Gives memory that is free again back to the system: workers live on between tasks."""
-    _powers.clear()
     pa.default_memory_pool().release_unused()
     if _LIBC is not None:
         _LIBC.malloc_trim(0)
@@ -121,26 +184,26 @@ def slices(texts: pa.Array | pa.ChunkedArray, most: int = 2 << 20):
 
 
 def windows(h: np.ndarray, width: int) -> np.ndarray:
-    """A hash of the `width` word hashes from each position on; the last width - 1 positions have none."""
+    """A hash of the `width` word hashes from each position on; the last width - 1 positions have none. Runs of a power of two words are hashed from their halves."""
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, done, part, size = np.zeros(n, np.uint64), 0, h, 1
-    while True:  # part: windows of `size` words, size a power of two
+    out, done, part, size = None, 0, h, 1
+    while True:  # part: runs of `size` words
         if width & size:
-            out += part[done : done + n] * np.uint64(pow(_STEP, done, 2**64))
+            out = part[done : done + n] if out is None else mix(out * _STEP + part[done : done + n])
             done += size
         if size * 2 > width:
-            return mix(out)
-        part = part[:-size] + part[size:] * np.uint64(pow(_STEP, size, 2**64))
+            return mix(out ^ np.uint64(width))
+        part = mix(part[:-size] * _STEP + part[size:])
         size *= 2
 
 
-def whole_windows(b: Batch, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows that lie in one document."""
-    w = windows(h, width)
-    at = np.flatnonzero(b.doc[: len(w)] == b.doc[width - 1 :]) if len(w) else np.zeros(0, np.int64)
-    return at, w[at]
+def whole_windows(b: Batch, width: int, *hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(positions, hashes for each kind of word hashes) of the windows that lie in one document."""
+    n = max(0, len(b.start) - width + 1)
+    at = np.flatnonzero(b.doc[:n] == b.doc[width - 1 :]) if n else np.zeros(0, np.int64)
+    return at, *(windows(h, width)[at] for h in hashes)
 
 
 class Layout:
@@ -193,6 +256,16 @@ def group_starts(ordered: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
 
 
+def runs_of(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where the runs of equal keys and checks begin in it)."""
+    order = np.argsort(keys, kind="stable")
+    apart = keys[order][1:] != keys[order][:-1]
+    if (~apart & (checks[order][1:] != checks[order][:-1])).any():  # a key of two kinds of windows
+        order = np.lexsort((checks, keys))
+        apart = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+    return order, np.flatnonzero(np.concatenate([[True], apart])) if len(keys) else np.zeros(0, np.int64)
+
+
 def bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
