@@ -1,9 +1,10 @@
 """Hashed features of whole texts, sparse training rows, and bounded samples of labelled documents.
 
 Only the fitting of a model uses a sample; its bound, `rows`, is a parameter of each operator. The
-sample is the rows whose hash is below a threshold, so it is spread over the whole table and the
-same wherever the rows lie. Features are counted where the texts are; what reaches the driver is at
-most `rows` sparse histograms of at most one entry a bucket.
+sample is the rows whose hash (of id, text and label together) is below a threshold, so it is spread
+over the whole table and the same wherever the rows lie; null and repeated ids neither fill it nor
+multiply it, and equal rows count once. Features are counted where the texts are; what reaches the
+driver is at most twice `rows` sparse histograms of at most one entry a bucket.
 """
 
 from __future__ import annotations
@@ -86,10 +87,19 @@ def batches_of(batch: pa.RecordBatch, column: int, most: int = 512 << 10):
         yield a, z, batch.column(column).slice(a, z - a)
 
 
-def bounded(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """About `rows` rows, by the hash of the key."""
-    n = df.count()
-    return df.where(F.pmod(key, F.lit(1_000_003)) < max(1, round(1_000_003 * rows / n))) if n > rows else df
+#: The hash space of `place`.
+PLACES = 1_000_003
+
+
+def place(*key: Column | str) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(PLACES))
+
+
+def bounded(df: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """About `rows` distinct values of the key columns, chosen by hash, and never more than twice that: df holds only the key columns."""
+    n = df.agg(F.approx_count_distinct(F.xxhash64(*key))).first()[0]
+    some = df.where(place(*key) < max(1, round(PLACES * rows / n))) if n > rows else df
+    return some.distinct().orderBy(F.xxhash64(*key), *key).limit(2 * rows)
 
 
 class Sparse:
@@ -111,8 +121,14 @@ class Sparse:
         return index, np.concatenate(value) if len(rows) else np.zeros(0), np.repeat(np.arange(len(rows)), [len(self.index[r]) for r in rows])
 
 
-def training_rows(labelled: DataFrame, features) -> Sparse:
-    """labelled: (text, label as string), bounded already."""
+def distinct_texts(labelled: DataFrame) -> DataFrame:
+    """One row (text, label, h) of those that share id, text and label; h: their hash. labelled: (id, text, label)."""
+    keyed = labelled.withColumn("h", F.xxhash64("id", "text", "label"))
+    return keyed.groupBy("h").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("text", "label", "h")
+
+
+def training_rows(labelled: DataFrame, features, most: int) -> Sparse:
+    """labelled: (text, label as string, h), sampled already; the `most` smallest h at most reach the driver."""
 
     def count(batches):
         for batch in batches:
@@ -121,6 +137,6 @@ def training_rows(labelled: DataFrame, features) -> Sparse:
                 order = np.argsort(docs, kind="stable")
                 cuts = np.searchsorted(docs[order], np.arange(z - a + 1))
                 found = [np.unique(buckets[order[s:e]], return_counts=True) for s, e in zip(cuts[:-1], cuts[1:])]
-                yield pa.RecordBatch.from_arrays([pa.array([u.astype(np.uint32).tobytes() for u, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary()), batch.column(1).slice(a, z - a)], names=["index", "value", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array([u.astype(np.uint32).tobytes() for u, _ in found], pa.binary()), pa.array([c.astype(np.uint32).tobytes() for _, c in found], pa.binary()), batch.column(1).slice(a, z - a), batch.column(2).slice(a, z - a)], names=["index", "value", "label", "h"])
 
-    return Sparse(labelled.mapInArrow(count, "index binary, value binary, label string").collect())
+    return Sparse(labelled.mapInArrow(count, "index binary, value binary, label string, h long").orderBy("h").limit(most).collect())

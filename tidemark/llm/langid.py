@@ -2,14 +2,17 @@
 
 A text's vector is the mean of the embeddings of its hashed byte n-grams (of 2 to 4 bytes, within a
 word and its borders). Embeddings and softmax are trained together by stochastic gradient descent on
-at most `rows` labelled documents (by hash, twice that at most), outside the held-out fold. A part
-of them sets the softmax's temperature and the score from which a prediction is accepted at the
-wanted precision. For prediction, embeddings and softmax are multiplied out to one row of scores a
+about `rows` labelled documents, `least` of each language where it has them, chosen by hash outside
+the held-out fold; twice that at most. A fifth of them isn't trained on: it sets the softmax's
+temperature and the score from which a prediction is accepted at the wanted precision (below 50 rows
+the rows trained on set them, so acceptance is too bold there). For prediction, embeddings and softmax are multiplied out to one row of scores a
 bucket, so every n-gram of every whole text costs one look-up.
 
-Defined results: null texts and texts without a letter are `und` with score 0 and not accepted; so
-is everything where there is no labelled row to learn from. Other columns, also `lang` and `source`,
-have no part in a prediction.
+Defined results: null and empty texts and texts without a letter are `und` with score 0 and not
+accepted; so is everything where there is no labelled row to learn from. Of equal scores the language
+first by name wins. Rows that share an id or a text are predicted each by itself and learned once. A
+very long text is predicted whole, at some 60 bytes of memory a byte. An empty table gives an empty
+result. Other columns, also `lang` and `source` and those named like the result's, have no part in it.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.hashed_text import Grams, Sparse, batches_of, bounded, training_rows
+from tidemark.llm.hashed_text import PLACES, Grams, Sparse, batches_of, distinct_texts, place, training_rows
 from tidemark.llm.shared import held_out
 
 GRAMS = Grams(bits=16, sizes=(2, 3, 4), words=True)
@@ -107,8 +110,15 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     return plain.mapInArrow(score, f"id {kind}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
-def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = 4000) -> LanguageModel | None:
-    """A model from at most about `rows` rows with a language, outside the held-out fold."""
+def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = 4000, least: int = 200, languages: int = 400) -> LanguageModel | None:
+    """A model of the most frequent `languages`, from about `rows` rows with a language (`least` of each, or all it has), outside the held-out fold."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("label"))
     own = own.where(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    return train(training_rows(bounded(own, F.xxhash64("id"), rows).select("text", "label"), GRAMS))
+    counts = own.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("id", "text")).alias("n")).orderBy(F.desc("n"), "label").limit(languages).collect()
+    if not counts:
+        return None
+    total = sum(r.n for r in counts)
+    share = {r.label: min(1.0, max(rows / total, least / max(1, r.n))) for r in counts}
+    upto = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, max(1, round(PLACES * v)))])
+    some = own.where(place("id", "text", "label") < F.try_element_at(upto, F.col("label")))
+    return train(training_rows(distinct_texts(some), GRAMS, 2 * (rows + least * len(counts))))

@@ -10,7 +10,11 @@ The ratings of this repository's tables: 0 for quality 0, 1 for quality 1 and to
 and not toxic; a null label gives no rating.
 
 Defined results: null and empty texts have mean 0, so the model's score for no evidence; without any
-rating every document is kept, with the tail probability 1. Only the text is used.
+rating every document is kept, with the tail probability 1. A tail probability of exactly `cut` is
+kept. Rows that share an id are graded each by itself; equal ones are learned once, and an id with
+several ratings is learned with each. A very long text is graded whole, at some 40 bytes of memory a
+byte. An empty table gives an empty result. Only the text is used; columns named like the result's
+are left out unless carried under another name.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.hashed_text import Grams, Sparse, batches_of, bounded, training_rows
+from tidemark.llm.hashed_text import Grams, Sparse, batches_of, bounded, distinct_texts, training_rows
 from tidemark.llm.shared import held_out
 
 GRAMS = Grams(bits=16, sizes=(1, 2, 3), words=False)
@@ -74,10 +78,10 @@ def train(data: Sparse, grades: int, *, epochs: int = 20, batch: int = 32, rate:
 
 def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, rows: int = 4000) -> OrdinalModel | None:
     rated = labels.select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 0, "0").when(F.col("toxic") == 1, "1").when(F.col("toxic") == 0, "2").alias("label"))
-    rated = bounded(rated.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))), F.xxhash64("id"), rows).limit(2 * rows)
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    found = texts.join(F.broadcast(rated), "id").where(F.col("text").isNotNull())  # rated: 2 * rows ids at most
-    return train(training_rows(found.select("text", "label"), GRAMS), 3)
+    rated = bounded(rated.where(F.col("label").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id"))), ["id", "label"], rows)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
+    found = distinct_texts(texts.join(F.broadcast(rated), "id"))  # rated: 2 * rows ids at most
+    return train(training_rows(found, GRAMS, 2 * rows), 3)
 
 
 def grade(docs: DataFrame, model: OrdinalModel | None, id_col: str = "doc_id", text_col: str = "text", *, keep_from: int = 1, cut: float = 0.5, carry: list[str] | None = None) -> DataFrame:
