@@ -1,44 +1,53 @@
 """Measures of predicted survival under censoring: AUC, Brier, concordance, calibration.
 
-Rows are counted into cells of duration, event and rounded risk before anything is compared, so a pair
-join runs over months and risk levels, never over rows.
+Rows are counted once into stored cells of duration, event and risk (or hazard), from which everything
+else is derived: the input is read once. With real scores a cell is a row; what is compared then still
+splits by ranges of the risk.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.operators.ranks import row_ranks, sums_below
+from tidemark.operators.ranks import dealt, row_ranks, sums_below
 from tidemark.operators.survival import at_times, kaplan_meier
+from tidemark.sources.store import stored
 
 G_FLOOR = 1e-3
 
 
-def censoring(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def cells_of(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by..., duration_months, event, value, n), stored."""
+    return stored(df.groupBy(*by, "duration_months", "event", value).agg(F.count(F.lit(1)).alias("n")))
+
+
+def censoring(df: DataFrame, by: list[str] | None = None, count: str | None = None) -> DataFrame:
     """P(not censored by t): the curve with events and censorings swapped."""
-    return kaplan_meier(df, by, 1 - F.col("event"))
+    return kaplan_meier(df, by, 1 - F.col("event"), F.col(count) if count else None)
 
 
-def _with_g(df: DataFrame, by: list[str]) -> DataFrame:
-    """Adds g: the floored censoring curve at the row's own duration, which is a month of the curve."""
-    curve = censoring(df, by).select(*by, "duration_months", F.greatest("survival", F.lit(G_FLOOR)).alias("g"))
-    return df.join(F.broadcast(curve), [*by, "duration_months"])  # a row per month and group
+def _with_g(cells: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The cells with g, the floored censoring curve at the cell's own duration, which is a month of the curve; and the curve."""
+    curve = censoring(cells, by, "n")
+    return cells.join(curve.select(*by, "duration_months", F.greatest("survival", F.lit(G_FLOOR)).alias("g")), [*by, "duration_months"]), curve
 
 
-def _times(df: DataFrame, times: list[int]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(t,) for t in times], "t int")
+def _each(times: list[int]):
+    return F.explode(F.array(*map(F.lit, times)))
 
 
 def cumulative_auc(df: DataFrame, times: list[int], by: list[str] | None = None) -> DataFrame:
     """df: duration_months, event, risk. (by..., t, auc, n_cases, n_controls, reliable, g_at_t): cases are weighted by 1 / G(duration)."""
     by = by or []
-    cells = _with_g(df, by).groupBy(*by, "duration_months", "event", "risk", "g").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells.crossJoin(F.broadcast(_times(df, times)))
+    cells, curve = _with_g(cells_of(df, by, "risk"), by)
     case, control = (F.col("duration_months") <= F.col("t")) & (F.col("event") == 1), F.col("duration_months") > F.col("t")
-    per = cells.groupBy(*by, "t", "risk").agg(F.sum(F.when(case, F.col("n") / F.col("g")).otherwise(0.0)).alias("w"), F.sum(F.when(case, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(control, F.col("n")).otherwise(0)).alias("b"))
+    per = cells.withColumn("t", _each(times)).groupBy(*by, "t", "risk").agg(F.sum(F.when(case, F.col("n") / F.col("g")).otherwise(0.0)).alias("w"), F.sum(F.when(case, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(control, F.col("n")).otherwise(0)).alias("b"))
     total = sums_below(per, [*by, "t"], "risk", {"below": "b"}).groupBy(*by, "t").agg(F.sum(F.col("w") * (F.col("below") + F.col("b") / 2)).alias("num"), F.sum("w").alias("w"), F.sum("a").alias("n_cases"), F.sum("b").alias("n_controls"))
-    g = at_times(censoring(df, by), _times(df, times), by, G_FLOOR)
+    g = at_times(curve, times, by, G_FLOOR)
     some = (F.col("n_cases") > 0) & (F.col("n_controls") > 0)
     return total.join(g, [*by, "t"]).select(*by, "t", F.round(F.when(some, F.col("num") / (F.col("w") * F.col("n_controls"))), 6).alias("auc"), "n_cases", "n_controls", (some & ~F.col("floor_binds")).alias("reliable"), F.round("survival", 6).alias("g_at_t"))
 
@@ -46,9 +55,9 @@ def cumulative_auc(df: DataFrame, times: list[int], by: list[str] | None = None)
 def brier(df: DataFrame, times: list[int], by: list[str] | None = None) -> DataFrame:
     """df: duration_months, event, hazard (constant per month). (by..., t, brier, n_contributing)."""
     by = by or []
-    g = at_times(censoring(df, by), _times(df, times), by, G_FLOOR).select(*by, "t", F.col("survival").alias("gt"))
-    rows = _with_g(df, by).groupBy(*by, "duration_months", "event", "hazard", "g").agg(F.count(F.lit(1)).alias("n"))
-    rows = rows.join(F.broadcast(g), by) if by else rows.crossJoin(F.broadcast(g))
+    cells, curve = _with_g(cells_of(df, by, "hazard"), by)
+    g = at_times(curve, times, by, G_FLOOR).select(*by, "t", F.col("survival").alias("gt"))
+    rows = cells.withColumn("t", _each(times)).join(g, [*by, "t"])
     s = F.pow(1 - F.col("hazard"), F.col("t"))
     had, alive = (F.col("duration_months") <= F.col("t")) & (F.col("event") == 1), F.col("duration_months") > F.col("t")
     part = F.when(had, s * s / F.col("g")).when(alive, (1 - s) * (1 - s) / F.col("gt")).otherwise(0.0)
@@ -63,28 +72,53 @@ def integrated(curve: DataFrame, value: str, by: list[str] | None = None) -> Dat
     return rows.groupBy(*by).agg(F.round(F.sum((F.col("t") - F.col("t0")) * (F.col(value) + F.col("v0")) / 2) / F.nullif(F.max("t") - F.min("t"), F.lit(0)), 6).alias("integrated"))
 
 
-def concordance(df: DataFrame) -> DataFrame:
-    """Harrell's C: of the pairs whose shorter time is an event, the share where that one has the higher risk; ties of risk count half.
+def concordance(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., concordance, n_pairs). Harrell's C: of the pairs whose shorter time is an event, the share where that one has the higher risk; ties of risk count half.
 
-    At equal times an event is comparable with a censored row only.
+    At equal times an event is comparable with a censored row only. Cells are dealt by ranges of the
+    risk. Pairs of two ranges are counted from one number per month and range; pairs inside a range by
+    that range's task, month by month.
     """
-    cells = df.groupBy("duration_months", "event", "risk").agg(F.count(F.lit(1)).alias("n"))
-    events = cells.where("event = 1").select(F.col("duration_months").alias("d"), "risk", F.col("n").alias("m"))
-    months = events.select("d").distinct()
-    later = months.join(cells, (F.col("duration_months") > F.col("d")) | ((F.col("duration_months") == F.col("d")) & (F.col("event") == 0)))  # months by cells
-    others = later.groupBy("d", "risk").agg(F.sum("n").alias("n"))
-    both = others.unionByName(events.select("d", "risk", F.lit(0).cast("long").alias("n"))).groupBy("d", "risk").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("d").orderBy("risk")
-    run = both.withColumns({"below": F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "all": F.sum("n").over(Window.partitionBy("d"))})
-    return events.join(run, ["d", "risk"]).agg(F.round(F.sum(F.col("m") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum(F.col("m") * F.col("all")), F.lit(0)), 6).alias("concordance"), F.sum(F.col("m") * F.col("all")).alias("n_pairs"))
+    by = by or []
+    cells = dealt(cells_of(df, by, "risk"), by, ["risk"])
+    n = F.col("n")
+    counts = cells.groupBy(*by, "_b", "duration_months").agg(F.sum(n).alias("all"), F.sum(F.when(F.col("event") == 0, n).otherwise(0)).alias("gone"), F.sum(F.when(F.col("event") == 1, n).otherwise(0)).alias("had"))
+    span = counts.groupBy(*by, F.lit(1).alias("_one")).agg(F.min("duration_months").alias("lo"), F.max("duration_months").alias("hi"))
+    grid = counts.select(*by, "_b").distinct().withColumn("_one", F.lit(1)).join(span, [*by, "_one"]).select(*by, "_b", F.explode(F.sequence("lo", "hi")).alias("duration_months"))  # ranges by months
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    full = grid.join(counts, [*by, "_b", "duration_months"], "left").select(*by, "_b", "duration_months", *[zero(c).alias(c) for c in ("all", "gone", "had")])
+    after = Window.partitionBy(*by, "_b").orderBy(F.desc("duration_months")).rowsBetween(Window.unboundedPreceding, -1)
+    month = Window.partitionBy(*by, "duration_months")
+    later = full.withColumn("later", zero(F.sum("all").over(after)) + F.col("gone"))
+    later = later.withColumns({"lower": zero(F.sum("later").over(month.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))), "every": F.sum("later").over(month)})
+    between = later.groupBy(*by).agg(F.sum(F.col("had") * F.col("lower")).alias("between"), F.sum(F.col("had") * F.col("every")).alias("n_pairs"))
+
+    fields = [*[cells.schema[c] for c in by], T.StructField("inside", T.DoubleType())]
+
+    def count(key, t):
+        risk, d, event, n = (t[c].to_numpy() for c in ("risk", "duration_months", "event", "n"))
+        order = np.argsort(risk, kind="stable")
+        risk, d, event, n = risk[order], d[order], event[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], risk[1:] != risk[:-1]]))
+        level = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(risk))))
+        total = 0.0
+        for month in np.unique(d[event == 1]):
+            open_ = np.add.reduceat(np.where((d > month) | ((d == month) & (event == 0)), n, 0), starts).astype(float)
+            own = (d == month) & (event == 1)
+            total += float((n[own] * (np.cumsum(open_) - open_ / 2)[level[own]]).sum())
+        return pa.table([*[[k.as_py()] for k in key[: len(by)]], [total]], names=[f.name for f in fields])
+
+    inside = cells.groupBy(*by, "_b").applyInArrow(count, T.StructType(fields)).groupBy(*by).agg(F.sum("inside").alias("inside"))
+    both = between.join(inside, by) if by else between.crossJoin(F.broadcast(inside))  # one row
+    return both.select(*by, F.round((F.col("between") + F.col("inside")) / F.nullif("n_pairs", F.lit(0)), 6).alias("concordance"), "n_pairs")
 
 
 def calibration(df: DataFrame, t: int, bins: int = 10) -> DataFrame:
     """df: id, duration_months, event, s (predicted survival at t). Bins of equal rank (ties by id); observed is each bin's own survival curve at t."""
-    ranked = row_ranks(df, "s", ["id"])
-    n = F.broadcast(df.agg(F.count(F.lit(1)).alias("n")))  # one row
+    ranked = row_ranks(df.select("id", "duration_months", "event", "s"), "s", ["id"])
+    n = F.broadcast(ranked.agg(F.max("r").alias("n")))  # one row
     place = F.greatest(F.floor(((F.col("r") - 1) * bins + F.col("n") - 2) / (F.col("n") - 1)) - 1, F.lit(0)).cast("int")
-    binned = ranked.crossJoin(n).withColumn("bin", place)
-    observed = at_times(kaplan_meier(binned, ["bin"]), _times(df, [t]), ["bin"]).select("bin", F.col("survival").alias("observed_survival"))
-    mean = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("predicted_survival"))
+    cells = stored(ranked.crossJoin(n).groupBy(place.alias("bin"), "duration_months", "event").agg(F.count(F.lit(1)).alias("c"), F.sum("s").alias("s")))
+    observed = at_times(kaplan_meier(cells, ["bin"], count=F.col("c")), [t], ["bin"]).select("bin", F.col("survival").alias("observed_survival"))
+    mean = cells.groupBy("bin").agg(F.sum("c").alias("n"), F.round(F.sum("s") / F.sum("c"), 6).alias("predicted_survival"))
     return mean.where("n >= 2").join(observed, "bin").select("bin", "n", "predicted_survival", F.round("observed_survival", 6).alias("observed_survival"), F.round(F.col("predicted_survival") - F.round("observed_survival", 6), 6).alias("error"))

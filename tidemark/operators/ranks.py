@@ -1,42 +1,61 @@
-"""Running counts over ordered values, in two levels, so that no group's values meet in one task.
+"""Running counts and exact quantiles over ordered values, so that no group's values meet in one task.
 
-Values are first counted per bucket of their range (4096 buckets of equal width for each group); the
-running sums over buckets are a few thousand rows, and the order inside a bucket is that bucket's own
-task.
+Rows are dealt by ranges of (group, value), whose edges Spark samples, and stored with the number of
+their range: outliers and skewed values don't matter. Sums over ranges are as many rows as there are
+partitions; the order inside a range is that range's own task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from tidemark.sources.store import stored
 
 
-def bucketed(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Adds _b: the value's bucket within its group's range; equal values share one, larger values never have a smaller one."""
-    span = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    place = F.coalesce(F.floor((F.col(value) - F.col("_lo")) * BUCKETS / width), F.lit(0)).cast("int")
-    joined = df.join(F.broadcast(span), by) if by else df.crossJoin(F.broadcast(span))  # a row per group
-    return joined.withColumn("_b", place).drop("_lo", "_hi")
+def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The rows with _b, the number of their range: equal rows of `by` and `order` share one, larger ones never have a smaller one."""
+    return stored(df.repartitionByRange(*by, *order).withColumn("_b", F.spark_partition_id()))
 
 
 def sums_below(cells: DataFrame, by: list[str], value: str, sums: dict[str, str]) -> DataFrame:
     """cells: one row per group and value. Adds, for each name: column of `sums`, the column's sum over smaller values of the group."""
-    rows = bucketed(cells, by, value)
+    rows = dealt(cells, by, [value])
     totals = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
     before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_t_{name}") for name in sums])
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(F.broadcast(totals), [*by, "_b"])  # BUCKETS + 1 rows a group at most
+    joined = rows.join(totals, [*by, "_b"])  # a row per group and partition: small, but no bound is proven
     return joined.withColumns({name: F.col(f"_t_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).drop("_b", *[f"_t_{name}" for name in sums])
 
 
 def row_ranks(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
     """Adds r: the row's rank from 1 by the value, then by `ties`."""
-    rows = bucketed(df, [], value)
+    rows = dealt(df, [], [value, *ties])
     totals = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before: Column = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = rows.join(F.broadcast(totals.select("_b", before.alias("_before"))), "_b")  # BUCKETS + 1 rows at most
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    joined = rows.join(F.broadcast(totals.select("_b", before.alias("_before"))), "_b")  # a row per partition
     return joined.withColumn("r", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(value, *ties))).drop("_b", "_before")
+
+
+def quantiles(long: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
+    """(by..., q): exact quantiles, linear between ranks, of each group's values that are not null; groups without a value are left out.
+
+    Values are counted first; then only the values next to each wanted rank are kept.
+    """
+    cells = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = sums_below(cells, by, "_v", {"_below": "_c"})
+    total = F.sum("_c").over(Window.partitionBy(*by)) if by else None
+    if by:
+        placed = placed.withColumn("_n", total)
+    else:
+        placed = placed.crossJoin(F.broadcast(cells.agg(F.sum("_c").alias("_n"))))  # one row
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * p).alias("h")) for i, p in enumerate(probabilities)])
+    last = F.col("_below") + F.col("_c") - 1
+    near = placed.select(*by, "_v", "_below", last.alias("_last"), F.explode(wanted).alias("w")).where((F.floor("w.h") <= F.col("_last")) & (F.ceil("w.h") >= F.col("_below")))
+    low = F.max(F.when(F.floor("w.h").between(F.col("_below"), F.col("_last")), F.col("_v")))
+    high = F.max(F.when(F.ceil("w.h").between(F.col("_below"), F.col("_last")), F.col("_v")))
+    share = F.max(F.col("w.h") - F.floor("w.h"))
+    each = near.groupBy(*by, "w.i").agg(low.alias("lo"), high.alias("hi"), share.alias("s"))
+    found = F.array_sort(F.collect_list(F.struct("i", ((1 - F.col("s")) * F.col("lo") + F.col("s") * F.col("hi")).alias("q"))))
+    return each.groupBy(*by).agg(F.transform(found, lambda x: x["q"]).alias("q"))

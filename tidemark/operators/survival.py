@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def kaplan_meier(df: DataFrame, by: list[str] | None = None, event: Column | None = None) -> DataFrame:
-    """(by..., duration_months, n_at_risk, n_events, survival). Rows are counted per month first; the windows run over months only."""
+def kaplan_meier(df: DataFrame, by: list[str] | None = None, event: Column | None = None, count: Column | None = None) -> DataFrame:
+    """(by..., duration_months, n_at_risk, n_events, survival). Rows are counted per month first; the windows run over months only. count: how many loans a row stands for."""
     by = by or []
-    event = F.col("event") if event is None else event
-    cells = df.groupBy(*by, "duration_months").agg(F.count(F.lit(1)).alias("n"), F.sum(event.cast("int")).alias("d"))
+    event, count = F.col("event") if event is None else event, F.lit(1) if count is None else count
+    cells = df.groupBy(*by, "duration_months").agg(F.sum(count).alias("n"), F.sum(event.cast("int") * count).alias("d"))
     down = Window.partitionBy(*by).orderBy(F.desc("duration_months")) if by else Window.partitionBy(F.lit(1)).orderBy(F.desc("duration_months"))
     up = Window.partitionBy(*by).orderBy("duration_months") if by else Window.partitionBy(F.lit(1)).orderBy("duration_months")
     risk = cells.withColumn("r", F.sum("n").over(down))
@@ -19,13 +19,11 @@ def kaplan_meier(df: DataFrame, by: list[str] | None = None, event: Column | Non
     return risk.withColumns({"s": F.when(ended == 1, 0.0).otherwise(F.exp(log))}).select(*by, "duration_months", F.col("r").alias("n_at_risk"), F.col("d").alias("n_events"), F.round("s", 8).alias("survival"))
 
 
-def at_times(curve: DataFrame, times: DataFrame, by: list[str] | None = None, floor: float | None = None) -> DataFrame:
+def at_times(curve: DataFrame, times: list[int], by: list[str] | None = None, floor: float | None = None) -> DataFrame:
     """The step function at each t of `times`: the value at the last month up to t, 1 before the first. curve: one row per month."""
     by = by or []
-    groups = curve.select(*by).distinct() if by else None
-    grid = times.select("t") if groups is None else groups.crossJoin(F.broadcast(times.select("t")))
-    met = grid.join(curve, [*by], "left") if by else grid.crossJoin(curve)
-    found = met.groupBy(*by, "t").agg(F.max_by(F.when(F.col("duration_months") <= F.col("t"), F.col("survival")), F.when(F.col("duration_months") <= F.col("t"), F.col("duration_months"))).alias("s"))
+    up_to = F.col("duration_months") <= F.col("t")
+    found = curve.withColumn("t", F.explode(F.array(*map(F.lit, times)))).groupBy(*by, "t").agg(F.max_by(F.when(up_to, F.col("survival")), F.when(up_to, F.col("duration_months"))).alias("s"))
     value = F.coalesce("s", F.lit(1.0))
     if floor is None:
         return found.select(*by, "t", value.alias("survival"))

@@ -36,7 +36,7 @@ def km_by_group(spark, sf_dir):
 @query(f"{LOANS}, {_G}, {_GT} SELECT t, round(gt, 6) AS survival, gt <= 0.001 AS floor_binds FROM gt")
 def censoring_g(spark, sf_dir):
     df = loans(spark, sf_dir)
-    g = survival.at_times(evaluate.censoring(df), spark.createDataFrame([(t,) for t in TIMES], "t int"), floor=evaluate.G_FLOOR)
+    g = survival.at_times(evaluate.censoring(df), TIMES, floor=evaluate.G_FLOOR)
     return g.select("t", F.round("survival", 6).alias("survival"), "floor_binds")
 
 
