@@ -15,8 +15,9 @@ MONTH_FORMATS = ("MMM-yyyy", "yyyy-MM-dd", "MMM-yy", "yyyy-MM", "dd-MMM-yyyy", "
 #: The texts that each format may read: Spark's parser is laxer than the formats say.
 _MONTH_SHAPES = (r"^[A-Za-z]{3}-\d{4}$", r"^\d{4}-\d{2}-\d{2}$", r"^[A-Za-z]{3}-\d{2}$", r"^\d{4}-\d{2}$", r"^\d{2}-[A-Za-z]{3}-\d{4}$", r"^\d{2}/\d{2}/\d{4}$")
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-#: Employment lengths in order; the position is the number of years.
+#: Employment lengths in order, and their years.
 EMPLOYMENT = ("< 1 year", "1 year", "2 years", "3 years", "4 years", "5 years", "6 years", "7 years", "8 years", "9 years", "10+ years")
+EMPLOYMENT_YEARS = (0.5, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0, 8.0, 9.0, 10.0)
 #: Income bands, left-closed, and their lower edges.
 INCOME_EDGES = (0, 30_000, 50_000, 75_000, 100_000, 150_000)
 INCOME_BANDS = ("<30k", "30-50k", "50-75k", "75-100k", "100-150k", "150k+")
@@ -76,6 +77,7 @@ def status(c: Column) -> Column:
 
 def outcome(c: Column, late_is_event: bool = False, with_exceptions: bool = False) -> Column:
     """event, censored_payoff, censored_admin, censored_delinquent or excluded; raises on an unknown status."""
+    # fixed values: what each status means
     plain = dict.fromkeys(("charged off", "default"), "event") | {"fully paid": "censored_payoff"} | dict.fromkeys(("current", "issued"), "censored_admin")
     plain |= {"in grace period": "censored_delinquent", "late (16-30 days)": "censored_delinquent", "late (31-120 days)": "event" if late_is_event else "censored_delinquent"}
     every = plain | {POLICY_PREFIX + k: v if with_exceptions else "excluded" for k, v in plain.items()}
@@ -86,7 +88,7 @@ def outcome(c: Column, late_is_event: bool = False, with_exceptions: bool = Fals
 
 
 def employment_years(c: Column) -> Column:
-    table = F.create_map(*[x for i, t in enumerate(EMPLOYMENT) for x in (F.lit(t), F.lit(i))])
+    table = F.create_map(*[F.lit(x) for pair in zip(EMPLOYMENT, EMPLOYMENT_YEARS) for x in pair])
     return F.try_element_at(table, F.trim(c))
 
 

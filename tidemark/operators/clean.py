@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse
 from tidemark.operators.profile import unpivoted
+from tidemark.operators.ranks import quantiles
 
 
 def fit_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, low, p1, median, p99, high): bounds are the 0.5 and 99.5 percentiles."""
-    q = unpivoted(df, columns, "double").groupBy("column").agg(F.expr("percentile(value, array(0.005, 0.01, 0.5, 0.99, 0.995))").alias("q"))
+    q = quantiles(unpivoted(df, columns, "double"), ["column"], "value", [0.005, 0.01, 0.5, 0.99, 0.995])
     return q.select("column", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("low", "p1", "median", "p99", "high"))])
 
 
@@ -32,9 +33,9 @@ def align(df: DataFrame, column: str, levels: DataFrame, other: str = "other") -
 
 def winsorised(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """The column clipped to its own quantiles."""
-    q = df.agg(F.expr(f"percentile({column}, array({low}, {high}))").alias("_q"))
+    q = quantiles(df, [], column, [low, high]).withColumnRenamed("q", "_q")
     clipped = F.least(F.greatest(F.col(column), F.col("_q")[0]), F.col("_q")[1])
-    return df.crossJoin(F.broadcast(q)).withColumn(f"{column}_clipped", F.when(F.col(column).isNotNull(), clipped)).drop("_q")  # one row
+    return df.crossJoin(F.broadcast(q)).withColumn(f"{column}_clipped", F.when(F.col(column).isNotNull(), clipped)).drop("_q")  # one row, or none without a value
 
 
 def flags(checks: dict[str, Column], most: int = 5) -> tuple[Column, Column]:
@@ -47,11 +48,14 @@ def numeric_report(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, rule, count, detail) for text columns read as numbers: rescued, unreadable with three examples, missing."""
     long = unpivoted(df, columns, "string")
     text = F.col("value")
+    example = F.substring(F.trim(text), 1, 40)
     unreadable = parse.present(text).isNotNull() & parse.number(text).isNull()
+    found = long.where(unreadable).groupBy("column", example.alias("e")).agg(F.count(F.lit(1)).alias("c"))
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy("e"))).where("r <= 3")
+    three = ranked.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("e")), ", ").alias("examples"))
     agg = long.groupBy("column").agg(
         F.count_if(parse.rescued(text)).alias("rescued"), F.count_if(unreadable).alias("unreadable"), F.count_if(parse.number(text).isNull()).alias("missing_after"),
-        F.array_join(F.slice(F.array_sort(F.collect_set(F.when(unreadable, F.substring(F.trim(text), 1, 40)))), 1, 3), ", ").alias("examples"),
-    )
+    ).join(three, "column", "left").withColumn("examples", F.coalesce("examples", F.lit("")))
     rules = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("count"), (F.col("examples") if r == "unreadable" else F.lit("")).alias("detail")) for r in ("rescued", "unreadable", "missing_after")])
     return agg.select("column", F.explode(rules).alias("x")).select("column", "x.rule", "x.count", "x.detail")
 

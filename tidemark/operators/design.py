@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse
 from tidemark.operators.profile import unpivoted
+from tidemark.operators.ranks import quantiles
 
 
 class Rule(NamedTuple):
@@ -63,7 +64,8 @@ def empty_columns(df: DataFrame, columns: list[str]) -> DataFrame:
 def stand_ins(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
     """(column, missing_rate, stand_in): the median, or the most frequent level (ties by level), as text."""
     rate = F.round(F.avg(F.col("value").isNull().cast("int")), 6).alias("missing_rate")
-    n = unpivoted(df, numeric, "double").groupBy("column").agg(rate, F.format_string("%.4f", F.expr("percentile(value, 0.5)")).alias("stand_in"))
+    long = unpivoted(df, numeric, "double")
+    n = long.groupBy("column").agg(rate).join(quantiles(long, ["column"], "value", [0.5]), "column", "left").select("column", "missing_rate", F.format_string("%.4f", F.col("q")[0]).alias("stand_in"))
     counts = unpivoted(df, categorical, "string").groupBy("column", "value").count()
     c = counts.groupBy("column").agg(F.round(F.sum(F.when(F.col("value").isNull(), F.col("count")).otherwise(0)) / F.sum("count"), 6).alias("missing_rate"), F.min_by("value", F.struct(F.when(F.col("value").isNotNull(), -F.col("count")).otherwise(1), F.col("value"))).alias("stand_in"))
     return n.unionByName(c)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import unpivoted
+from tidemark.operators.ranks import quantiles
 
 #: Bands of drift, the floor of a share, rows needed.
 MODERATE, LARGE, FLOOR, LEAST_ROWS = 0.10, 0.25, 1e-6, 500
@@ -18,8 +19,7 @@ def _sides(df: DataFrame, columns: list[str], kind: str, current: Column) -> Dat
 def psi(df: DataFrame, columns: list[str], current: Column, bins: int = 10) -> DataFrame:
     """(feature, score, bins). Edges are the reference's quantiles, the outer ones open; missing values are a bin of their own."""
     long = _sides(df, columns, "double", current)
-    at = ", ".join(str(i / bins) for i in range(bins + 1))
-    edges = long.where("_cur = 0").groupBy("column").agg(F.expr(f"array_distinct(percentile(value, array({at})))").alias("e"))
+    edges = quantiles(long.where("_cur = 0"), ["column"], "value", [i / bins for i in range(bins + 1)]).select("column", F.array_distinct("q").alias("e"))
     inner = F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0)))
     bin_ = F.when(F.col("value").isNull(), -1).otherwise(F.size(F.filter("inner", lambda x: x <= F.col("value"))))
     counts = long.join(F.broadcast(edges.where(F.size("e") >= 2).select("column", inner.alias("inner"))), "column").groupBy("column", bin_.alias("bin"), F.size("inner").alias("cuts")).agg(F.count_if(F.col("_cur") == 0).alias("r"), F.count_if(F.col("_cur") == 1).alias("c"))

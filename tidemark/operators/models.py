@@ -17,13 +17,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.profile import unpivoted
+from tidemark.operators.ranks import quantiles
 from tidemark.operators.survival import person_period
 
 
 def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Medians for missing values, then mean 0 and deviation 1 as learned on `fit_on`; constant columns become 0. One row is learned."""
     source = df if fit_on is None else fit_on
-    stats = source.agg(*[F.expr(f"percentile({c}, 0.5)").alias(f"_m_{c}") for c in columns])
+    medians = {r["column"]: r["q"][0] for r in quantiles(unpivoted(source, columns, "double"), ["column"], "value", [0.5]).collect()}  # a row per column
+    stats = source.sparkSession.range(1).select(*[F.lit(medians.get(c)).cast("double").alias(f"_m_{c}") for c in columns])
     filled = source.crossJoin(F.broadcast(stats))
     moments = filled.agg(*[f(F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}"))).alias(f"_{n}_{c}") for c in columns for n, f in (("a", F.avg), ("s", F.stddev_samp))])
     out = df.crossJoin(F.broadcast(stats)).crossJoin(F.broadcast(moments))

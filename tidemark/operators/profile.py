@@ -1,4 +1,8 @@
-"""Data profiles: overview, missing values, numeric and categorical summaries, outliers, correlations, rates."""
+"""Data profiles: overview, missing values, numeric and categorical summaries, outliers, correlations, rates.
+
+Medians of durations use `percentile`, whose buffer holds a number per distinct month; other quantiles
+are those of ranks.py.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import quantiles
+
 
 def unpivoted(df: DataFrame, columns: list[str], kind: str, keep: list[str] | None = None) -> DataFrame:
     """(keep..., column, value): one row per value, in one pass."""
@@ -30,8 +36,8 @@ def missing(df: DataFrame, columns: list[str]) -> DataFrame:
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Quantiles are exact and linear between ranks; skew is adjusted for bias."""
     n = F.count("value")
-    q = F.expr("percentile(value, array(0.01, 0.25, 0.5, 0.75, 0.99))")
-    out = unpivoted(df, columns, "double").groupBy("column").agg(n.alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("s"), q.alias("q"))
+    long = unpivoted(df, columns, "double")
+    out = long.groupBy("column").agg(n.alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), F.skewness("value").alias("s")).join(quantiles(long, ["column"], "value", [0.01, 0.25, 0.5, 0.75, 0.99]), "column")
     skew = F.when(F.col("n") > 2, F.col("s") * F.sqrt(F.col("n") * (F.col("n") - 1)) / (F.col("n") - 2))
     names = ("p1", "p25", "median", "p75", "p99")
     return out.where("n > 0").select("column", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std")], "min", *[F.round(F.col("q")[i], 6).alias(name) for i, name in enumerate(names)], "max", F.round(skew, 6).alias("skew"))
@@ -48,7 +54,7 @@ def frequencies(df: DataFrame, columns: list[str], top: int = 15) -> DataFrame:
 
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:
     long = unpivoted(df, columns, "double")
-    q = long.groupBy("column").agg(F.expr("percentile(value, array(0.005, 0.25, 0.75, 0.995))").alias("q"))
+    q = quantiles(long, ["column"], "value", [0.005, 0.25, 0.75, 0.995])
     iqr = F.col("q")[2] - F.col("q")[1]
     out = (F.col("value") < F.col("q")[1] - 1.5 * iqr) | (F.col("value") > F.col("q")[2] + 1.5 * iqr)
     beyond = (F.col("value") < F.col("q")[0]) | (F.col("value") > F.col("q")[3])

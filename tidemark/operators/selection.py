@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import unpivoted
-from tidemark.operators.ranks import sums_below
+from tidemark.operators.ranks import quantiles, sums_below
 
 #: Bands of the gate.
 SMD_BANDS, AUC_BANDS, STRONG_AUC, LEAST_SUPPORT = (0.10, 0.25), (0.55, 0.65), 0.75, 0.05
@@ -46,7 +46,7 @@ def ks(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
 def common_support(df: DataFrame, score: str, accepted: Column) -> DataFrame:
     """(low, high, share_in_support): the share of rejected scores between the accepted ones' 1st and 99th percentiles."""
     marked = df.withColumn("_a", accepted)
-    q = marked.where("_a").agg(F.expr(f"percentile({score}, array(0.01, 0.99))").alias("q"))
+    q = quantiles(marked.where("_a"), [], score, [0.01, 0.99])
     inside = F.col(score).between(F.col("q")[0], F.col("q")[1])
     return marked.where("NOT _a").crossJoin(F.broadcast(q)).groupBy(F.round(F.col("q")[0], 4).alias("low"), F.round(F.col("q")[1], 4).alias("high")).agg(F.round(F.avg(inside.cast("int")), 6).alias("share_in_support"))  # one row
 
@@ -79,7 +79,7 @@ def kish(df: DataFrame, weight: Column, by: list[str] | None = None) -> DataFram
 def inverse_weights(df: DataFrame, propensity: str) -> DataFrame:
     """Adds weight: 1 / propensity, clipped to its own 1st and 99th percentiles, with mean 1."""
     raw = df.withColumn("_w", 1 / F.nullif(F.col(propensity), F.lit(0.0)))
-    q = raw.agg(F.expr("percentile(_w, array(0.01, 0.99))").alias("_q"))
+    q = quantiles(raw, [], "_w", [0.01, 0.99]).withColumnRenamed("q", "_q")
     clipped = raw.crossJoin(F.broadcast(q)).withColumn("_w", F.least(F.greatest("_w", F.col("_q")[0]), F.col("_q")[1]))
     mean = clipped.agg(F.avg("_w").alias("_m"))
     return clipped.crossJoin(F.broadcast(mean)).withColumn("weight", F.col("_w") / F.col("_m")).drop("_w", "_q", "_m")  # one row each

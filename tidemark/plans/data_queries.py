@@ -95,7 +95,7 @@ def derive_installment(spark, sf_dir):
 
 
 @query(f"""{RAW} SELECT CASE WHEN annual_inc < 0 OR annual_inc IS NULL THEN NULL WHEN annual_inc < 30000 THEN '<30k' WHEN annual_inc < 50000 THEN '30-50k' WHEN annual_inc < 75000 THEN '50-75k' WHEN annual_inc < 100000 THEN '75-100k' WHEN annual_inc < 150000 THEN '100-150k' ELSE '150k+' END AS band,
-CASE emp_length WHEN '< 1 year' THEN 0 WHEN '1 year' THEN 1 WHEN '10+ years' THEN 10 ELSE substr(emp_length, 1, 1)::INT END AS years, count(*) AS loans FROM raw GROUP BY ALL""")
+CASE emp_length WHEN '< 1 year' THEN 0.5 WHEN '1 year' THEN 1 WHEN '10+ years' THEN 10 ELSE substr(emp_length, 1, 1)::INT END::DOUBLE AS years, count(*) AS loans FROM raw GROUP BY ALL""")
 def income_band(spark, sf_dir):
     return raw_loans(spark, sf_dir).groupBy(parse.income_band(F.col("annual_inc")).alias("band"), parse.employment_years(F.col("emp_length")).alias("years")).agg(F.count(F.lit(1)).alias("loans"))
 
