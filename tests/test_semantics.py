@@ -1,6 +1,8 @@
 """The operators against small hand-made cases and properties."""
 
 import datetime
+from itertools import combinations
+from math import factorial
 
 import numpy as np
 import pytest
@@ -8,8 +10,9 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import matching, parse
-from tidemark.operators import clean, drift, evaluate, explain, label, models, sampling, selection, survival
+from tidemark.operators import clean, drift, evaluate, explain, label, models, ranks, sampling, scoring, selection, shapley, survival
 from tidemark.sources import tables
+from tidemark.sources.shipping import ship
 
 #: status, issued, last paid, term, then the target: duration, event, reason. One case a branch and a boundary each side.
 CASES = {
@@ -179,17 +182,192 @@ def test_cox_recovers_its_coefficients(spark):
     assert 1 >= s[0] >= s[1] >= s[2] >= 0
 
 
-def test_kernel_attributions_add_up(spark):
-    predict = lambda x: 2 * x[:, 0] - x[:, 1] + 0.5 * x[:, 2]
-    ground = np.zeros((4, 3))
-    rows = spark.createDataFrame([(1, 1.0, 2.0, 3.0), (2, 0.0, -1.0, 4.0)], "row_id long, a double, b double, c double")
-    got = explain.kernel_shap(rows, ground, ["a", "b", "c"], predict).collect()
-    phi = {(r.row_id, r.feature): r.phi for r in got}
-    assert abs(phi[1, "a"] - 2) < 1e-6 and abs(phi[1, "b"] + 2) < 1e-6 and abs(phi[2, "c"] - 2) < 1e-6
+def exact_shapley(value, p):
+    """Shapley values of a set function by its definition."""
+    out = np.zeros(p)
+    for j in range(p):
+        others = [i for i in range(p) if i != j]
+        for k in range(p):
+            for s in combinations(others, k):
+                out[j] += factorial(k) * factorial(p - k - 1) / factorial(p) * (value({*s, j}) - value(set(s)))
+    return out
+
+
+def curves(x):
+    """A survival that is far from linear, at three times."""
+    rate = np.exp(0.4 * x[:, 0] - 0.3 * x[:, 1] * x[:, 2] + 0.2 * np.maximum(x[:, 3], 0))
+    return np.exp(-np.outer(rate, [0.1, 0.3, 0.6]))
+
+
+def test_kernel_values_are_exact_with_all_coalitions():
+    rng = np.random.default_rng(1)
+    x, ground = rng.normal(size=(5, 4)), rng.normal(size=(7, 4))
+    phi, base, prediction = shapley.kernel_values(x, ground, curves, *shapley.coalitions(4, 600, 1))
+    for i in range(5):
+        for t in range(3):
+            value = lambda s, i=i, t=t: curves(np.where(np.isin(np.arange(4), list(s)), x[i], ground))[:, t].mean()
+            assert np.abs(phi[i, :, t] - exact_shapley(value, 4)).max() < 1e-9
+    assert np.abs(base + phi.sum(axis=1) - prediction).max() < 1e-12
+
+
+def test_drawn_coalitions_keep_the_sum_and_come_near():
+    rng = np.random.default_rng(2)
+    x, ground = rng.normal(size=(20, 9)), rng.normal(size=(10, 9))
+    z, w = shapley.coalitions(9, 100, 5)
+    assert 80 <= len(z) <= 100 and {1, 8} <= set(z.sum(axis=1).tolist()) and (z.any(axis=1) & ~z.all(axis=1)).all() and (w > 0).all()
+    few, base, prediction = shapley.kernel_values(x, ground, curves, z, w)
+    every, *_ = shapley.kernel_values(x, ground, curves, *shapley.coalitions(9, 600, 5))
+    assert np.abs(base + few.sum(axis=1) - prediction).max() < 1e-12
+    assert np.corrcoef(few.ravel(), every.ravel())[0, 1] > 0.99 and np.abs(few[:, 4:]).max() < 0.02  # features without an effect
+    assert len(shapley.coalitions(6, 1, 1)[0]) >= 12  # sizes 1 and p - 1 always
+    assert shapley.kernel_values(x[:, :1], ground[:, :1], lambda v: v * 2, *shapley.coalitions(1, 10, 1))[0].shape == (20, 1, 1)
+
+
+def test_kernel_rows_do_not_depend_on_partitions(spark):
+    ship(spark)
+    rows = spark.range(30).select(F.col("id").alias("row_id"), *[F.sin(F.col("id") * (i + 1)).alias(f"x{i}") for i in range(4)])
+    ground = np.random.default_rng(3).normal(size=(5, 4))
+    one, many = (sorted(map(tuple, shapley.kernel_shap(rows.repartition(n), ground, ["x0", "x1", "x2", "x3"], curves_of(), [1, 2, 3], samples=8).collect())) for n in (1, 6))
+    assert [r[:3] for r in one] == [r[:3] for r in many] and np.allclose([r[3:] for r in one], [r[3:] for r in many])
+    sums = {}
+    for row, _, t, phi, base, prediction in one:
+        sums.setdefault((row, t), [base - prediction]).append(phi)
+    assert len(one) == 30 * 4 * 3 and max(abs(sum(v)) for v in sums.values()) < 1e-9
+
+
+def curves_of():
+    """The same survival as a closure, which workers get by value."""
+
+    def predict(x):
+        rate = np.exp(0.4 * x[:, 0] - 0.3 * x[:, 1] * x[:, 2] + 0.2 * np.maximum(x[:, 3], 0))
+        return np.exp(-np.outer(rate, [0.1, 0.3, 0.6]))
+
+    return predict
+
+
+def test_tree_attributions(spark):
+    """Margins equal the model's own, attributions their definition: an absent feature follows each path by the training rows' shares."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(b), float(c), int(rng.integers(1, 13)), int(a + b * c > 0.3)) for i, (a, b, c) in enumerate(rng.normal(size=(400, 3)))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double, duration_months int, event int")
+    names = ["a", "b", "c"]
+    model = models.fit_hazard(df, names, months=3, horizon=12, trees=True)
+    forest = shapley.Forest(model.model)
+    x = models.with_period(np.array([r[1:4] for r in rows[:12]]), 2)
+    own = model.model.transform(models._assembled(spark.createDataFrame([(*r[:4], 2) for r in rows[:12]], "id long, a double, b double, c double, period int"), names)).orderBy("id").collect()
+    assert np.allclose(forest.margin(x), [r.rawPrediction[1] * 2 for r in own])
+
+    def value(i, s):
+        total = 0.0
+        for tree, weight in zip(forest.trees, forest.weights):
+            for leaf, path in tree.leaves:
+                total += weight * leaf * np.prod([float(lo < x[i, f] <= hi) if f in s else share for f, (lo, hi, share) in path.items()])
+        return total
+
+    phi = forest.shapley(x)
+    for i in range(12):
+        assert np.abs(phi[i] - exact_shapley(lambda s, i=i: value(i, s), 5)).max() < 1e-9
+    got = {(r.id, r.feature): r.phi for r in shapley.tree_shap(df, forest, names, models.with_period, 2, ["id"]).where("id < 12").collect()}
+    want = sum(-(1 / (1 + np.exp(-forest.margin(m))))[:, None] * forest.shapley(m)[:, :3] for m in (models.with_period(x[:, :3], k) for k in (1, 2)))
+    assert all(abs(got[i, n] - want[i, j]) < 1e-9 for i in range(12) for j, n in enumerate(names))
+
+
+def test_noise_floor_of_equal_draws(spark):
+    flat = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "feature string, importance double")
+    assert explain.noise_floor(flat, flat).first().spearman == 1.0
+    other = flat.withColumn("importance", F.lit(2.0))
+    assert explain.noise_floor(flat, other).first()[0] == 0.0
+    assert abs(explain.noise_floor(flat, other).first().mean_relative_gap - 2 / 3) < 1e-6
+
+
+def test_bootstrap_sees_a_shift_and_no_shift(spark):
+    rng = np.random.default_rng(6)
+    rows = [(n, level, f, float(abs(rng.normal(m, 0.1)))) for n, level in enumerate(["t"] * 40 + ["r"] * 40 + ["s"] * 40) for f, m in (("up", 3.0 if level == "t" else 1.0), ("same", 2.0), ("low", 0.5))]
+    got = {r.feature: r for r in explain.bootstrap_ranks(spark.createDataFrame(rows, "row_id long, level string, feature string, value double"), "level", "t", ["r", "s"], ["up", "same", "low"], rounds=300).collect()}
+    up, low = got["up"], got["low"]
+    assert (up.rank_target, up.rank_reference, up.rank_shift_high, up.outside_share, up.shift_excludes_zero, up.share_excludes_one) == (1, 2, -1, 1.0, True, True)
+    assert (low.rank_shift, low.rank_shift_low, low.shift_excludes_zero, low.outside_share, low.reference_range) == (0, 0, False, 0.0, "3-3")
+    mean = {k: np.mean([v for _, lv, f, v in rows if f == "up" and lv in k]) for k in ("t", "rs")}
+    total = {k: sum(np.mean([v for _, lv, f, v in rows if f == g and lv in k]) for g in got) for k in mean}
+    assert abs(up.share_ratio - (mean["t"] / total["t"]) / (mean["rs"] / total["rs"])) < 1e-6
+    assert up.share_ratio_low < up.share_ratio < up.share_ratio_high
+
+
+def test_background_keeps_gaps_and_takes_modes(spark):
+    rows = [(float(i % 2 * 100 + i % 5), None if i % 2 else 7.0, "x" if i % 3 else "y") for i in range(60)]
+    got = {r.a > 50: r for r in models.background(spark.createDataFrame(rows, "a double, b double, c string"), ["a", "b"], ["c"], 2).collect()}
+    assert (got[True].b, got[False].b, got[True].c, got[True].n, got[False].a) == (None, 7.0, "x", 30, 2.0)
+
+
+def test_cox_equals_newton_on_the_whole_table(spark):
+    """Breslow and Efron agree without ties; the plain Newton fit below has every loan as a row."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 2))
+    event = rng.integers(0, 2, 150)
+    t = rng.permutation(150) + 1
+    df = spark.createDataFrame([(float(a), float(b), int(d), int(e)) for (a, b), d, e in zip(x, t, event)], "a double, b double, duration_months int, event int")
+    model = models.fit_cox(df, ["a", "b"])
+    beta = np.zeros(2)
+    for _ in range(30):
+        g, h = -0.05 * beta, 0.05 * np.eye(2)
+        w = np.exp(x @ beta)
+        for i in np.flatnonzero(event):
+            risk = t >= t[i]
+            m = (w[risk, None] * x[risk]).sum(axis=0) / w[risk].sum()
+            g = g + x[i] - m
+            h = h + (w[risk, None, None] * x[risk, :, None] * x[risk, None]).sum(axis=0) / w[risk].sum() - np.outer(m, m)
+        beta = beta + np.linalg.solve(h, g)
+    assert np.abs(model.beta - beta).max() < 1e-6
+
+
+def test_weights_of_a_refit_count_as_rows(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, float(rng.normal()), int(rng.integers(1, 12)), int(rng.integers(0, 2)), float(1 + i % 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, duration_months int, event int, w double")
+    twice = df.unionByName(df.where("w = 2"))
+    one, two = models.fit_hazard(df, ["a"], weight="w"), models.fit_hazard(twice, ["a"])
+    assert np.abs(one.model.coefficients.toArray() - two.model.coefficients.toArray()).max() < 1e-2
+    s = one.survival([0, 3, 12])(np.array([[0.5]]))[0]
+    assert s[0] == 1 and 1 > s[1] > s[2] > 0
+    own = survival.survival_from_hazard(one.hazards(spark.createDataFrame([(1, 0.5)], "id long, a double"), 4, ["id"]), ["id"]).where("period = 4").first().survival
+    assert abs(own - s[2]) < 1e-6
+
+
+def test_reasons_directions_and_flags(spark):
+    scores = spark.createDataFrame([(1, "a", -0.5, 9.0), (1, "b_missing", -0.4, 1.0), (1, "b", -0.3, 1.0), (1, "zip", -0.6, 1.0), (1, "c", -0.2, None), (1, "d", 0.9, 1.0), (2, "zip", -0.1, 1.0), (3, "d", 0.5, 1.0)], "row_id long, feature string, phi double, value double")
+    templates = spark.createDataFrame([("a", "A", False), ("b", "B", True), ("c", "C", True)], "feature string, reason string, higher_is_adverse boolean")
+    medians = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 5.0)], "feature string, median double")
+    got = {r.row_id: tuple(r)[1:] for r in explain.reasons(scores, templates, medians, ["zip"]).collect()}
+    assert got == {1: ("A; B; C", "a; b_missing; c", 3, "a", "zip"), 2: ("", "", 0, "", "zip")}
+
+
+def test_nine_checks(spark):
+    schema = "id long, decision string, threshold double, pd_12m double, pd_h double, explained string, reasons array<string>, features array<string>, notice string"
+    good = [(1, "approve", 0.5, 0.1, 0.2, None, [], [], None), (2, "reject", 0.5, 0.5, 0.6, "explained", ["A"], ["a"], "Declined: A"), (3, "reject", 0.5, 0.5, 0.5, "later", [], [], None)]
+    run = lambda rows, **more: {r.check: r for r in scoring.run_checks(spark.createDataFrame(rows, schema), **{**dict(n_read=len(rows), threshold=0.5, published=0.5, horizon=24, barred=["zip"], wordings=["A"], pending=["later"], names=["loan_amnt"], approved=True, allow_unapproved=False), **more}).collect()}
+    assert {r.status for r in run(good).values()} == {"PASS"} and len(run(good)) == 8
+    bad = [(i, "reject", 0.5, 0.9, None if i == 4 else 0.6, "explained", ["B" if i % 2 else "A"], ["zip" if i == 6 else "grade_b" if i == 8 else "a"], "score 0.123456" if i == 5 else None) for i in range(1, 9)] + [(9, "maybe", 0.4, 0.1, 0.2, None, [], [], "Declined"), (10, "reject", 0.5, 0.5, 0.6, None, [], [], None)]
+    got = run(bad, n_read=12, published=0.4, approved=False)
+    assert {k: (r.status, r.violations) for k, r in got.items()} == {"counts_add_up": ("FAIL", 3), "decisions_match_threshold": ("FAIL", 2), "risk_12m_le_horizon": ("FAIL", 8), "rejected_have_reasons_or_pending": ("FAIL", 1), "no_nondisclosable_stated_reason": ("FAIL", 6), "applicant_notices_clean": ("FAIL", 9), "threshold_is_published": ("OVERRIDDEN", 0), "model_approved": ("FAIL", 1)}
+    assert got["no_nondisclosable_stated_reason"].examples == "1, 3, 5, 6, 7"
+    assert run(good, approved=False, allow_unapproved=True)["model_approved"].status == "OVERRIDDEN"
+
+
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(12)
+    rows = [("x", float(v)) for v in np.append(rng.normal(size=500), 1e12)] + [("y", float(v)) for v in rng.integers(0, 4, 300)] + [("y", None), ("z", None)]
+    at = [0.0, 0.005, 0.5, 0.77, 1.0]
+    got = {r.k: r.q for r in ranks.quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", at).collect()}
+    assert set(got) == {"x", "y"}
+    for k in got:
+        assert np.allclose(got[k], np.quantile([v for n, v in rows if n == k and v is not None], at), rtol=1e-12)
 
 
 def test_column_matching(spark):
-    df = spark.createDataFrame([("1000", "50000", "x")] * 4, "LoanAmount string, `Yearly Income` string, other string")
-    rows = {r.column: r for r in matching.match(df, {"loan_amnt": (500, 40_000), "annual_inc": (0, 300_000)}, {"loan_amnt": {"loan amount"}, "annual_inc": {"yearly income"}}).collect()}
-    assert (rows["LoanAmount"].feature, rows["Yearly Income"].feature, rows["other"].feature) == ("loan_amnt", "annual_inc", None)
-    assert matching.normalised("LoanAmountUSD") == "loan_amount"
+    df = spark.createDataFrame([("1000", "50000", "x", "7")] * 4 + [("900", "40000", None, "7")], "LoanAmount string, `Yearly Income` string, other string, kind string")
+    features = {"loan_amnt": matching.Content(500, 40_000), "annual_inc": matching.Content(0, 300_000), "purpose": matching.Content(levels=("x", "y")), "home": matching.Content()}
+    rows = {r.column: r for r in matching.match(df, features, {"amount": ("loan_amnt",), "yearlyincome": ("annual_inc",), "kind": ("home",)}).collect()}
+    assert (rows["LoanAmount"].feature, rows["LoanAmount"].confidence, rows["Yearly Income"].feature, rows["other"].feature, rows["other"].confidence) == ("loan_amnt", 0.99, "annual_inc", "purpose", 0.8)
+    assert (rows["kind"].confidence, rows["kind"].preselected) == (0.225, False)  # numbers under a category's name
+    assert [matching.normalised(x) for x in ("LoanAmount", "Open Credit Lines (count)", "inquiries_last_6m", "the loan")] == ["amount", "opencreditlines", "inquirieslast6m", "theloan"]

@@ -59,3 +59,19 @@ def compare(df: DataFrame, numeric: list[str], categorical: list[str], current:
     rank = F.array_position(F.array(*map(F.lit, ("large", "moderate", "unknown", "stable"))), F.col("status"))
     rows = both.crossJoin(n).select("feature", "kind", "measure", F.when(~small, F.col("score")).alias("score"), F.when(small, "insufficient").otherwise(band(F.col("score"))).alias("status"))
     return rows.orderBy(rank, F.desc("score"), "feature")
+
+
+#: The colour of each status.
+COLOURS = {"stable": "green", "moderate": "amber", "large": "red", "unknown": "amber", "insufficient": "grey"}
+
+
+def headline(table: DataFrame) -> DataFrame:
+    """One row for a table of compare: status, colour, how many features are in each band, and a sentence."""
+    n = lambda s: F.count_if(F.col("status") == s)
+    row = table.agg(n("large").alias("n_large"), n("moderate").alias("n_moderate"), n("unknown").alias("n_unknown"), n("insufficient").alias("_few"))
+    status = F.when(F.col("_few") > 0, "insufficient").when(F.col("n_large") > 0, "large").when(F.col("n_moderate") + F.col("n_unknown") > 0, "moderate").otherwise("stable")
+    text = F.when(F.col("status") == "insufficient", f"fewer than {LEAST_ROWS} rows: drift is not assessed")
+    text = text.when(F.col("status") == "large", F.format_string("%d feature(s) shifted heavily: decisions are indicative only", "n_large"))
+    text = text.when(F.col("status") == "moderate", F.format_string("%d feature(s) shifted, %d could not be compared: scores are less reliable there", "n_moderate", "n_unknown")).otherwise("no feature shifted materially")
+    colour = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
+    return row.withColumn("status", status).select("status", F.element_at(colour, F.col("status")).alias("colour"), "n_large", "n_moderate", "n_unknown", text.alias("headline"))

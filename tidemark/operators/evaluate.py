@@ -106,7 +106,7 @@ def concordance(df: DataFrame, by: list[str] | None = None) -> DataFrame:
             open_ = np.add.reduceat(np.where((d > month) | ((d == month) & (event == 0)), n, 0), starts).astype(float)
             own = (d == month) & (event == 1)
             total += float((n[own] * (np.cumsum(open_) - open_ / 2)[level[own]]).sum())
-        return pa.table([*[[k.as_py()] for k in key[: len(by)]], [total]], names=[f.name for f in fields])
+        return pa.table([*[pa.array([k.as_py()], k.type) for k in key[: len(by)]], pa.array([total])], names=[f.name for f in fields])
 
     inside = cells.groupBy(*by, "_b").applyInArrow(count, T.StructType(fields)).groupBy(*by).agg(F.sum("inside").alias("inside"))
     both = between.join(inside, by) if by else between.crossJoin(F.broadcast(inside))  # one row

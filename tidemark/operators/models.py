@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.profile import unpivoted
 from tidemark.operators.ranks import quantiles
 from tidemark.operators.survival import person_period
+from tidemark.sources.store import stored
 
 
 def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
@@ -34,12 +35,30 @@ def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = N
     return out.withColumns(scaled).drop(*[c for c in out.columns if c.startswith(("_m_", "_a_", "_s_"))])
 
 
+def with_period(x: np.ndarray, period: int) -> np.ndarray:
+    """A hazard model's matrix for one period: the features, then the period's two columns."""
+    return np.column_stack([x, np.full(len(x), np.log1p(period)), np.full(len(x), period / 12)])
+
+
 @dataclass
 class HazardModel:
     model: object
     features: list[str]
     months: int
 
+    def survival(self, times: list[int]):
+        """A numpy function (matrix of features) -> (rows, times) of a logistic hazard; it runs in tasks and holds the coefficients only."""
+        w, b = np.array(self.model.coefficients.toArray()), float(self.model.intercept)
+        ends = [max(0, -(-t // self.months)) for t in times]
+
+        def predict(x: np.ndarray) -> np.ndarray:
+            margin = b + x @ w[:-2]
+            k = np.arange(1, max(ends, default=0) + 1)
+            log = np.cumsum(np.log1p(-1 / (1 + np.exp(-(margin[:, None] + np.log1p(k) * w[-2] + k / 12 * w[-1])))), axis=1)
+            return np.column_stack([np.exp(log[:, e - 1]) if e else np.ones(len(x)) for e in ends])
+
+        return predict
+
     def hazards(self, df: DataFrame, periods: int, keep: list[str]) -> DataFrame:
         """(keep..., period, hazard) for each row and period up to `periods`."""
         rows = df.withColumn("period", F.explode(F.sequence(F.lit(1), F.lit(periods))))
@@ -52,9 +71,11 @@ def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[*features, "_p1", "_p2"], outputCol="features").transform(rows)
 
 
-def fit_hazard(df: DataFrame, features: list[str], *, months: int = 3, horizon: int = 36, trees: bool = False) -> HazardModel:
-    """P(default in this period | alive before it) from the features and the period."""
-    rows = person_period(df, months=months, horizon=horizon, columns=["id", *features])
+def fit_hazard(df: DataFrame, features: list[str], *, months: int = 3, horizon: int = 36, trees: bool = False, weight: str | None = None) -> HazardModel:
+    """P(default in this period | alive before it) from the features and the period; weight: a column of loan weights."""
+    rows = person_period(df, months=months, horizon=horizon, columns=["id", *features, *([weight] if weight else [])])
+    if weight:
+        rows = rows.withColumn("weight", F.col("weight") * F.col(weight))
     data = _assembled(rows, features).withColumn("label", F.col("y").cast("double"))
     kind = GBTClassifier(maxIter=10, maxDepth=3, seed=1, weightCol="weight") if trees else LogisticRegression(regParam=1e-4, weightCol="weight", maxIter=50)
     return HazardModel(kind.fit(data), features, months)
@@ -154,15 +175,27 @@ def propensity(df: DataFrame, features: list[str], label: Column) -> DataFrame:
     return model.transform(data).withColumn("propensity", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def background(df: DataFrame, vector: str, k: int, seed: int = 1) -> DataFrame:
-    """(cluster, n, centre): k-means summary of the rows."""
-    model = KMeans(k=k, seed=seed, featuresCol=vector, predictionCol="cluster").fit(df)
-    centres = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    return model.transform(df).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(centres), "cluster")  # k rows
+def background(df: DataFrame, numeric: list[str], categorical: list[str], k: int, seed: int = 1) -> DataFrame:
+    """(cluster, n, numeric..., categorical...): k-means on standardised numbers with medians for gaps; each cluster's medians (null where the cluster has no value) and most frequent levels (ties by level)."""
+    scaled = standardised(df.select("*", *[F.col(c).alias(f"_z_{c}") for c in numeric]), [f"_z_{c}" for c in numeric])
+    data = VectorAssembler(inputCols=[f"_z_{c}" for c in numeric], outputCol="_z").transform(scaled)
+    rows = KMeans(k=k, seed=seed, featuresCol="_z", predictionCol="cluster").fit(data).transform(data).select("cluster", *numeric, *categorical)
+    rows = stored(rows)
+    medians = quantiles(unpivoted(rows, numeric, "double", ["cluster"]), ["cluster", "column"], "value", [0.5])
+    wide = medians.groupBy("cluster").agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0])).alias(c) for c in numeric])
+    out = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).join(wide, "cluster", "left")
+    for c in categorical:
+        counts = rows.where(F.col(c).isNotNull()).groupBy("cluster", c).count()
+        out = out.join(counts.groupBy("cluster").agg(F.min_by(c, F.struct(-F.col("count"), F.col(c))).alias(c)), "cluster", "left")
+    return out
+
+
+#: How near to chance a concordance, and how large a coefficient, means a failed fit.
+CHANCE_BAND, MOST_COEFFICIENT = 0.02, 10.0
 
 
-def linear_shap(df: DataFrame, features: list[str], weights: list[float], keep: list[str]) -> DataFrame:
-    """(keep..., feature, phi): weight * (x - mean of x), exact for a linear predictor."""
-    means = F.broadcast(df.agg(*[F.avg(f).alias(f"_a_{f}") for f in features]))  # one row
-    parts = F.array(*[F.struct(F.lit(f).alias("feature"), ((F.col(f) - F.col(f"_a_{f}")) * float(w)).alias("phi")) for f, w in zip(features, weights)])
-    return df.crossJoin(means).select(*keep, F.explode(parts).alias("x")).select(*keep, "x.feature", "x.phi")
+def fit_guard(table: DataFrame) -> DataFrame:
+    """table: (model, concordance, largest_coefficient), one row a fit. Adds problem: not_a_number, no_better_than_chance, runaway_coefficient, or null for a sound fit."""
+    c = F.col("concordance")
+    problem = F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), "not_a_number").when(F.abs(c - 0.5) <= CHANCE_BAND, "no_better_than_chance").when(F.abs("largest_coefficient") > MOST_COEFFICIENT, "runaway_coefficient")
+    return table.withColumn("problem", problem)

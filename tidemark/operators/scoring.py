@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import unpivoted
+from tidemark.sources.store import stored
 
 
 def decided(df: DataFrame, pd: Column, threshold: float) -> DataFrame:
@@ -26,18 +27,53 @@ def segments(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.withColumn("share", F.round(F.col("applicants") / F.sum("applicants").over(Window.partitionBy("segment", "level")), 6))
 
 
-def run_checks(df: DataFrame, threshold: float, barred: list[str]) -> DataFrame:
-    """(check, violations, status) of a scored run, in one aggregate."""
+def run_checks(df: DataFrame, *, n_read: int, threshold: float, published: float, horizon: int, barred: list[str], wordings: list[str], pending: list[str], names: list[str], approved: bool, allow_unapproved: bool, quality: DataFrame | None = None) -> DataFrame:
+    """(check, status, blocking, violations, examples): the nine checks of a scored run, in one pass over its rows.
+
+    df: id, decision, threshold, pd_12m, pd_h, explained, reasons and features (arrays of what is stated),
+    notice (text, or null). examples: the five smallest ids of a check's violations. quality: what
+    input_quality gives; without it that check is left out. A threshold other than the published one, or
+    an unapproved model that is allowed, is OVERRIDDEN.
+    """
+    reject, has_reason = F.col("decision") == "reject", F.size(F.filter("reasons", lambda x: ~F.trim(x).isin("", "nan"))) > 0
+    finite = F.col("pd_h").isNotNull() & ~F.isnan("pd_h")
+    waits = F.coalesce(F.col("explained").isin(*pending), F.lit(False))
+    explained = (F.coalesce("explained", F.lit("")) == "explained") & has_reason
     rules = {
-        "decision_follows_threshold": (F.col("pd") >= threshold) != (F.col("decision") == "reject"),
-        "pd_in_range": ~F.col("pd").between(0, 1) | F.col("pd").isNull(),
-        "rejected_have_reasons": (F.col("decision") == "reject") & (F.trim(F.coalesce("reasons", F.lit(""))).isin("", "nan")),
-        "no_barred_reason": F.coalesce(F.lower("reasons").rlike("|".join(barred)), F.lit(False)),
-        "id_present": F.col("id").isNull(),
+        "counts_add_up": ~F.coalesce(F.col("decision").isin("approve", "reject"), F.lit(False)),
+        "decisions_match_threshold": ~finite | (F.abs(F.col("threshold") - threshold) > 1e-12) | ((F.col("pd_h") >= threshold) != reject),
+        "risk_12m_le_horizon": (F.col("pd_12m") > F.col("pd_h")) if horizon >= 12 else F.lit(False),
+        "rejected_have_reasons_or_pending": reject & ~explained & ~waits,
+        "no_nondisclosable_stated_reason": F.exists("features", lambda x: x.isin(*barred) | x.startswith("grade")) | F.exists("reasons", lambda x: (x != "") & ~x.isin(*wordings)),
+        "applicant_notices_clean": (F.col("notice").isNotNull() != (reject & explained)) | (F.coalesce(content_problems(F.col("notice"), F.col("id"), names), F.lit("")) != ""),
     }
-    row = df.agg(*[F.count_if(c).alias(k) for k, c in rules.items()])
-    long = row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in rules])).alias("x")).select("x.*")
-    return long.withColumn("status", F.when(F.col("violations") > 0, "FAIL").otherwise("PASS"))
+    held = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), name) for name, c in rules.items()]), lambda x: x.isNotNull())
+    marked = stored(df.select("id", held.alias("held")))
+    n = marked.count()
+    broken = marked.select("id", F.explode("held").alias("check"))
+    few = broken.withColumn("_n", F.row_number().over(Window.partitionBy("check").orderBy("id"))).where("_n <= 5").groupBy("check").agg(F.array_join(F.array_sort(F.collect_list("id")).cast("array<string>"), ", ").alias("examples"))
+    counts = broken.groupBy("check").agg(F.count(F.lit(1)).alias("violations")).join(few, "check")
+    every = df.sparkSession.createDataFrame([(k,) for k in rules], "check string").join(counts, "check", "left")
+    missing = F.when(F.col("check") == "counts_add_up", F.lit(abs(n - n_read))).otherwise(0)
+    rows = every.select("check", (F.coalesce("violations", F.lit(0)) + missing).cast("long").alias("violations"), F.coalesce("examples", F.lit("")).alias("examples")).withColumn("status", F.when(F.col("violations") > 0, "FAIL").otherwise("PASS"))
+    facts = [("threshold_is_published", "PASS" if abs(threshold - published) <= 1e-12 else "OVERRIDDEN"), ("model_approved", "PASS" if approved else "OVERRIDDEN" if allow_unapproved else "FAIL")]
+    rows = rows.unionByName(df.sparkSession.createDataFrame([(k, 0 if v != "FAIL" else 1, "", v) for k, v in facts], "check string, violations long, examples string, status string"))
+    if quality is not None:
+        bad = quality.where("problem").agg(F.count(F.lit(1)).alias("violations"), F.array_join(F.slice(F.array_sort(F.collect_list("column")), 1, 5), ", ").alias("examples"))  # a row per column
+        rows = rows.unionByName(bad.select(F.lit("input_quality").alias("check"), "violations", "examples", F.when(F.col("violations") > 0, "FAIL").otherwise("PASS").alias("status")))
+    return rows.select("check", "status", (F.col("status") == "FAIL").alias("blocking"), "violations", "examples")
+
+
+def write_decisions(df: DataFrame, path: str) -> None:
+    """The scored rows, a folder per decision; more rows are appended."""
+    df.write.mode("append").partitionBy("decision").parquet(path)
+
+
+def filled_in(rows: DataFrame, results: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The rows with the columns of `results` in place of their own where there is a result; row order, other columns and rows without one stay."""
+    found = results.select(F.col(key), F.lit(True).alias("_has"), *[F.col(c).alias(f"_{c}") for c in columns])
+    joined = rows.join(found, key, "left")
+    return joined.select(*[F.when(F.col("_has"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 def input_quality(current: DataFrame, training: DataFrame, columns: list[str], structural: list[str], limit: float = 0.05) -> DataFrame:

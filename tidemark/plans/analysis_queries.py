@@ -53,6 +53,14 @@ def drift_compare(spark, sf_dir):
     return drift.compare(_populations(spark, sf_dir), _NUM, _CAT, F.col("current"))
 
 
+@query(f"""{RAW}, {_PSI}, {_TVD}, n AS (SELECT count_if(year(o_orderdate) >= 1999) < 500 AS few FROM raw), u AS (SELECT round(score, 4) AS score FROM psi UNION ALL SELECT round(score, 4) FROM tvd), hc AS (SELECT CASE WHEN few THEN 'insufficient' ELSE {_BAND} END AS status FROM u, n),
+hr AS (SELECT count_if(status = 'large')::BIGINT AS n_large, count_if(status = 'moderate')::BIGINT AS n_moderate, count_if(status = 'unknown')::BIGINT AS n_unknown, count_if(status = 'insufficient')::BIGINT AS n_few FROM hc), hs AS (SELECT *, CASE WHEN n_few > 0 THEN 'insufficient' WHEN n_large > 0 THEN 'large' WHEN n_moderate + n_unknown > 0 THEN 'moderate' ELSE 'stable' END AS status FROM hr)
+SELECT status, CASE status WHEN 'insufficient' THEN 'grey' WHEN 'large' THEN 'red' WHEN 'moderate' THEN 'amber' ELSE 'green' END AS colour, n_large, n_moderate, n_unknown,
+CASE status WHEN 'insufficient' THEN 'fewer than 500 rows: drift is not assessed' WHEN 'large' THEN n_large || ' feature(s) shifted heavily: decisions are indicative only' WHEN 'moderate' THEN n_moderate || ' feature(s) shifted, ' || n_unknown || ' could not be compared: scores are less reliable there' ELSE 'no feature shifted materially' END AS headline FROM hs""")
+def drift_headline(spark, sf_dir):
+    return drift.headline(drift.compare(_populations(spark, sf_dir), _NUM, _CAT, F.col("current")))
+
+
 # -- selection: open orders are the rejected
 
 _SEL = ["loan_amnt", "annual_inc", "dti", "mths_since_delinq"]
@@ -152,37 +160,11 @@ def segment_importance(spark, sf_dir):
     return explain.area(_segmented(spark, sf_dir), by=["grade"])
 
 
-@query(f"""{_SEG}, wr AS (SELECT row_id, feature, t, abs(phi) AS v, lag(t) OVER w AS t0, lag(abs(phi)) OVER w AS v0 FROM phi WINDOW w AS (PARTITION BY row_id, feature ORDER BY t)), we AS (SELECT row_id, feature, sum((t - t0) * (v + v0) / 2) / (max(t) - min(t)) AS a FROM wr GROUP BY ALL),
-wi AS (SELECT feature, round(avg(a), 8) AS importance FROM we GROUP BY 1), wk AS (SELECT feature, {_AVG_RANK.format(g='1', v='importance')} AS rg FROM wi), sk AS (SELECT grade, feature, {_AVG_RANK.format(g='grade', v='importance')} AS r FROM ai)
-SELECT grade, round(corr(r, rg), 6) AS spearman, round(count_if(r <= 3 AND rg <= 3) / count_if(r <= 3 OR rg <= 3), 6) AS top_jaccard FROM sk JOIN wk USING (feature) GROUP BY 1""")
-def segment_stability(spark, sf_dir):
-    return explain.segment_stability(explain.area(_segmented(spark, sf_dir), by=["grade"]), explain.area(attributions(spark, sf_dir)), "grade")
-
-
 @query(f"{PHI}, m AS (SELECT feature, phi, abs(phi - avg(phi) OVER (PARTITION BY row_id, feature)) AS d FROM phi) SELECT feature, round(avg(d) / nullif(avg(abs(phi)), 0), 6) AS variation FROM m GROUP BY 1")
 def time_variation(spark, sf_dir):
     return explain.time_variation(attributions(spark, sf_dir))
 
 
-@query(f"""{PHI}, {_AREA.format(g='', v='abs(phi)', src='phi')}, bi AS (SELECT feature, round(avg(abs(phi)), 8) AS importance FROM phi WHERE t = 36 GROUP BY 1), x AS (SELECT feature, importance AS ia, {_AVG_RANK.format(g='1', v='importance')} AS ra FROM ai), y AS (SELECT feature, importance AS ib, {_AVG_RANK.format(g='1', v='importance')} AS rb FROM bi)
-SELECT round(corr(ra, rb), 6) AS spearman, round(corr(ia, ib), 6) AS pearson, round(count_if(ra <= 3 AND rb <= 3) / count_if(ra <= 3 OR rb <= 3), 6) AS top_jaccard, max(abs(ra - rb)) AS largest_shift FROM x JOIN y USING (feature)""")
-def method_compare(spark, sf_dir):
-    phi = attributions(spark, sf_dir)
-    scalar = phi.where(F.col("t") == 36).groupBy("feature").agg(F.round(F.avg(F.abs("phi")), 8).alias("importance"))
-    return explain.compare_methods(explain.area(phi), scalar)
-
-
-_CUTS = "(u > 0.36787944117144233)::INT + (u > 0.7357588823428847)::INT + (u > 0.9196986029286058)::INT + (u > 0.9810118431238463)::INT + (u > 0.9963401531726563)::INT + (u > 0.9994058151824183)::INT"
-
-
-@query(f"""{PHI}, s AS (SELECT row_id, feature, phi AS value FROM phi WHERE t = 12), k AS (SELECT DISTINCT row_id, round_ FROM s, (SELECT unnest(range(1, 9)) AS round_)), u AS (SELECT row_id, round_, (('0x' || substr(sha256('21:' || round_ || ':' || row_id), 1, 8))::BIGINT + 0.5) / 4294967296.0 AS u FROM k),
-w AS (SELECT row_id, round_, {_CUTS} AS w FROM u), m AS (SELECT round_, feature, round(sum(w * value) / sum(w), 8) AS m FROM s JOIN w USING (row_id) GROUP BY ALL), r AS (SELECT feature, {_AVG_RANK.format(g='round_', v='m')} AS r FROM m)
-SELECT feature, round(quantile_cont(r, 0.05), 4) AS rank_low, round(quantile_cont(r, 0.5), 4) AS rank_mid, round(quantile_cont(r, 0.95), 4) AS rank_high FROM r GROUP BY 1""")
-def bootstrap_ranks(spark, sf_dir):
-    values = attributions(spark, sf_dir).where(F.col("t") == 12).select("row_id", "feature", F.col("phi").alias("value"))
-    return explain.bootstrap_ranks(values, 8, 21)
-
-
 @query(f"""{PHI}, s AS (SELECT row_id, t, sum(phi) AS s FROM phi GROUP BY ALL), g AS (SELECT t, abs(round(0.9 - t / 200.0 + (row_id % 10) / 1000.0, 6) - (0.9 - t / 200.0) - s) AS gap FROM s) SELECT t, round(max(gap), 6) AS max_residual, round(avg(gap), 6) AS mean_residual FROM g GROUP BY 1""")
 def efficiency_residual(spark, sf_dir):
     phi = attributions(spark, sf_dir)
@@ -191,25 +173,6 @@ def efficiency_residual(spark, sf_dir):
     return explain.efficiency_residual(phi, totals)
 
 
-_TEMPLATES = [("f1", "high utilisation"), ("f2", "short history"), ("f3", "high utilisation"), ("f4", "recent inquiries"), ("f5", "income too low"), ("f7", "amount requested")]
-_REASONS = "tp(feature, reason) AS (VALUES " + ", ".join(map(str, _TEMPLATES)) + "), r1 AS (SELECT row_id, reason, feature, phi, row_number() OVER (PARTITION BY row_id, reason ORDER BY phi, feature) AS n FROM phi JOIN tp USING (feature) WHERE t = 12 AND phi < 0), r2 AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY phi, feature) AS k FROM r1 WHERE n = 1), rs AS (SELECT row_id, string_agg(reason, '; ' ORDER BY k) AS reasons, count(*) AS n_reasons FROM r2 WHERE k <= 4 GROUP BY 1)"
-
-
-def _reasons(spark, sf_dir):
-    templates = spark.createDataFrame(_TEMPLATES, "feature string, reason string")
-    return explain.reasons(attributions(spark, sf_dir).where(F.col("t") == 12), templates)
-
-
-@query(f"{PHI}, {_REASONS} SELECT * FROM rs")
-def reason_selection(spark, sf_dir):
-    return _reasons(spark, sf_dir)
-
-
-@query(f"{PHI}, {_REASONS}, x AS (SELECT unnest(string_split(reasons, '; ')) AS reason FROM rs) SELECT reason, count(*) AS n, round(count(*) / (SELECT count(*) FROM rs), 6) AS share_of_rows FROM x GROUP BY 1")
-def reason_counts(spark, sf_dir):
-    return scoring.reason_shares(_reasons(spark, sf_dir))
-
-
 # -- scoring
 
 _PD = f"{LOANS}, sc AS (SELECT *, round_even(1 - pow(1 - risk / 2, 12), 4) AS pd FROM loans), de AS (SELECT *, CASE WHEN pd >= 0.3 THEN 'reject' ELSE 'approve' END AS decision FROM sc)"
@@ -234,18 +197,6 @@ def score_segments(spark, sf_dir):
     return scoring.segments(_scored(spark, sf_dir), ["purpose", "addr_state", "emp_length"])
 
 
-_CHECKS = {
-    "decision_follows_threshold": "(pd >= 0.3) <> (decision = 'reject')", "pd_in_range": "pd NOT BETWEEN 0 AND 1 OR pd IS NULL", "rejected_have_reasons": "decision = 'reject' AND trim(coalesce(reasons, '')) IN ('', 'nan')",
-    "no_barred_reason": "coalesce(regexp_matches(lower(reasons), 'short history|nation'), false)", "id_present": "id IS NULL",
-}
-
-
-@query(f"{_PD}, {PHI.removeprefix('WITH ')}, {_REASONS}, j AS (SELECT de.id, pd, decision, reasons FROM de LEFT JOIN rs ON rs.row_id = de.id) " + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", count_if({c})::BIGINT AS violations, CASE WHEN count_if({c}) > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM j" for k, c in _CHECKS.items()))
-def run_checks(spark, sf_dir):
-    rows = _scored(spark, sf_dir).join(_reasons(spark, sf_dir).withColumnRenamed("row_id", "id"), "id", "left")
-    return scoring.run_checks(rows, 0.3, ["short history", "nation"])
-
-
 _QC = ["emp_length", "term", "mths_since_delinq", "dti"]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import design, governance
-from tidemark.plans.analysis_queries import _REASONS, _reasons
+from tidemark.plans.explain_queries import REASONS, stated_reasons
 from tidemark.plans.registry import query
 from tidemark.plans.views import LOANS, PHI, RAW, loans
 from tidemark.sources.loans import raw_loans
@@ -77,9 +77,9 @@ def phase_snapshot(spark, sf_dir):
     return governance.snapshot(runs).select("user_id", "state", "pending_now", "partial")
 
 
-@query(f"{PHI}, {_REASONS}, p AS (SELECT row_id, string_split(reasons, '; ') AS l FROM rs) SELECT row_id, " + ", ".join(f"coalesce(l[{i}], '') AS reason_{i}" for i in range(1, 5)) + " FROM p")
+@query(f"{PHI}, {REASONS}, p AS (SELECT row_id, string_split(reasons, '; ') AS l FROM rs) SELECT row_id, " + ", ".join(f"coalesce(l[{i}], '') AS reason_{i}" for i in range(1, 5)) + " FROM p")
 def reason_columns(spark, sf_dir):
-    return governance.reason_columns(_reasons(spark, sf_dir), "reasons", 4).select("row_id", *[f"reason_{i}" for i in range(1, 5)])
+    return governance.reason_columns(stated_reasons(spark, sf_dir), "reasons", 4).select("row_id", *[f"reason_{i}" for i in range(1, 5)])
 
 
 @query(f"""{PHI}, r AS (SELECT t, row_id, feature, row_number() OVER (PARTITION BY t, row_id ORDER BY phi, feature) AS k FROM phi WHERE phi < 0 AND t IN (12, 36)), l AS (SELECT t, row_id, list(feature ORDER BY k) FILTER (k <= 4) AS x FROM r GROUP BY ALL),

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tidemark.functions import matching
-from tidemark.operators import evaluate, explain, models, selection, survival
+from tidemark.operators import evaluate, models, selection, survival
 from tidemark.plans.registry import query
 from tidemark.plans.views import accepted, loans
 from tidemark.sources.loans import raw_loans
-from tidemark.sources.shipping import ship
+from tidemark.sources import tables
+from tidemark.sources.store import stored
 from tidemark.sources.tables import guard, table
 
 FEATURES = ["dti", "loan_amnt", "annual_inc"]
@@ -20,7 +19,7 @@ FEATURES = ["dti", "loan_amnt", "annual_inc"]
 def _design(spark, sf_dir):
     df = loans(spark, sf_dir).select("id", "duration_months", "event", *FEATURES)
     guard(df.select(*FEATURES))
-    return models.standardised(df, FEATURES).persist()  # fits read it again and again; lost blocks are computed anew
+    return stored(models.standardised(df, FEATURES))  # fits read it again and again
 
 
 @query()
@@ -29,7 +28,7 @@ def hazard_fit(spark, sf_dir):
     df = _design(spark, sf_dir)
     model = models.fit_hazard(df, FEATURES)
     s = survival.survival_from_hazard(model.hazards(df, 4, ["id"]), ["id"]).where("period = 4").select("id", F.col("survival").alias("s"))
-    return evaluate.calibration(df.join(s, "id").persist(), 12)
+    return evaluate.calibration(df.join(s, "id"), 12)
 
 
 @query()
@@ -64,52 +63,24 @@ def separability(spark, sf_dir):
     return selection.rank_auc(df, ["propensity"], F.col("accepted")).crossJoin(selection.common_support(df, "propensity", F.col("accepted")))
 
 
-@query()
-def ablation(spark, sf_dir):
-    """Concordance with each feature set to its mean, and the drop; one scoring pass over all variants."""
-    df = _design(spark, sf_dir)
-    model = models.fit_cox(df, FEATURES)
-    variants = F.array(*[F.struct(F.lit(f).alias("dropped"), sum((F.col(g) * float(b) for g, b in zip(FEATURES, model.beta) if g != f), F.lit(0.0)).alias("r")) for f in ["(none)", *FEATURES]])
-    scored = df.select("duration_months", "event", F.explode(variants).alias("v")).select("duration_months", "event", "v.dropped", F.round("v.r", 2).alias("risk"))
-    out = None
-    for f in ["(none)", *FEATURES]:
-        one = evaluate.concordance(scored.where(F.col("dropped") == f)).withColumn("dropped", F.lit(f))
-        out = one if out is None else out.unionByName(one)
-    return out.select("dropped", "concordance", "n_pairs")
-
-
-@query()
-def background_summary(spark, sf_dir):
-    df = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector("embedding").alias("v"))
-    return models.background(df, "v", 8)
-
-
-def _predict(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-(0.8 * x[:, 0] - 0.5 * x[:, 1] + 0.3 * x[:, 0] * x[:, 2])))
-
-
-@query()
-def kernel_shap(spark, sf_dir):
-    """Attributions of a fixed model for every loan, against a background of 50; sums equal prediction - base."""
-    from tidemark.operators.sampling import reservoir
-
-    ship(spark)
-    df = _design(spark, sf_dir)
-    ground = np.array(reservoir(df, "id", 50, 2).select(*FEATURES).collect(), float)
-    return explain.kernel_shap(df.withColumnRenamed("id", "row_id"), ground, FEATURES, _predict)
-
-
-@query("""WITH m AS (SELECT avg(l_discount) AS d, avg(l_tax) AS x FROM lineitem) SELECT l_returnflag, 'discount' AS feature, round(avg((l_discount - d) * 2), 8) AS phi FROM lineitem, m GROUP BY 1 UNION ALL SELECT l_returnflag, 'tax', round(avg((l_tax - x) * -1), 8) FROM lineitem, m GROUP BY 1""")
-def linear_shap(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select("l_returnflag", F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))
-    rows = models.linear_shap(df, ["discount", "tax"], [2.0, -1.0], ["l_returnflag"])
-    return rows.groupBy("l_returnflag", "feature").agg(F.round(F.avg("phi"), 8).alias("phi"))
-
-
-@query()
+@query("""SELECT * FROM (VALUES ('dti', 'dti', 1.0, 'exact', false, true), ('Loan Amount', 'loan_amnt', 0.99, 'synonym', false, true), ('YearlyIncome', 'annual_inc', 0.49, 'synonym', true, false), ('gross income', 'annual_inc', 0.49, 'synonym', true, false),
+('kind', 'purpose', 0.8, 'known levels', false, true), ('Term', 'term_months', 0.99, 'synonym', false, true), ('emp length', 'emp_length', 0.9775, 'same name', false, true), ('addr state', 'addr_state', 0.2125, 'same name', true, false), ('state code', 'addr_state', 0.36, 'synonym', true, false), ('loan_amnt_text', NULL, 0.0, NULL, false, false)) AS t("column", feature, confidence, how, contested, preselected)""")
 def match_columns(spark, sf_dir):
-    upload = raw_loans(spark, sf_dir).select(F.col("loan_amnt").cast("string").alias("LoanAmount"), F.col("annual_inc").cast("string").alias("Yearly Income"), F.col("dti").cast("string").alias("dti"), F.col("purpose").alias("loan_amnt_text"))
-    return matching.match(upload, {"loan_amnt": (500, 600_000), "annual_inc": (0, 500_000), "dti": (0, 60)}, {"loan_amnt": {"loan amount"}, "annual_inc": {"yearly income"}})
+    """A file whose columns have other names: two claim one feature, one holds other values than its name says, one is known by its levels."""
+    raw = raw_loans(spark, sf_dir)
+    upload = raw.select(
+        F.col("dti").cast("string").alias("dti"), F.col("loan_amnt").cast("string").alias("Loan Amount"), F.col("annual_inc").cast("string").alias("YearlyIncome"), F.col("annual_inc").cast("string").alias("gross income"),
+        F.col("purpose").alias("kind"), F.col("term").alias("Term"), F.col("emp_length").alias("emp length"), F.lit(None).cast("string").alias("loan_amnt_text"), F.col("addr_state").alias("state code"), F.col("dti").cast("string").alias("addr state"),
+    )
+    levels = tuple(r[0] for r in raw.select("purpose").distinct().orderBy("purpose").collect())
+    features = {"dti": matching.Content(0, 200), "loan_amnt": matching.Content(500, 600_000), "annual_inc": matching.Content(0, 500_000), "term_months": matching.Content(6, 84), "purpose": matching.Content(levels=levels), "emp_length": matching.Content(pattern=r"^\s*(<\s*1\s+year|\d{1,2}\+?\s*years?)\s*$"), "addr_state": matching.Content(pattern=r"^\s*[A-Za-z]{2}\s*$")}
+    return matching.match(upload, features, {"amount": ("loan_amnt",), "yearlyincome": ("annual_inc",), "grossincome": ("annual_inc",), "term": ("term_months",), "statecode": ("addr_state",)})
+
+
+@query("""SELECT 'o_orderkey' AS "column", count(*) AS rows, count(o_orderkey) AS filled, count(*) - count(o_orderkey) AS missing FROM orders UNION ALL SELECT 'o_totalprice', count(*), count(o_totalprice), count(*) - count(o_totalprice) FROM orders UNION ALL SELECT 'o_orderstatus', count(*), count(o_orderstatus), count(*) - count(o_orderstatus) FROM orders""")
+def footer_counts(spark, sf_dir):
+    """Rows and gaps of the order table's columns, from the files' footers alone."""
+    return tables.footer_counts(spark, f"{sf_dir}/orders.parquet").where(F.col("column").isin("o_orderkey", "o_totalprice", "o_orderstatus"))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

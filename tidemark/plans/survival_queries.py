@@ -135,3 +135,20 @@ SELECT issue_year, t, round(sum(CASE WHEN duration_months <= t AND event = 1 THE
 count_if((duration_months <= t AND event = 1) OR duration_months > t)::BIGINT AS n_contributing FROM rows JOIN gt USING (issue_year) GROUP BY ALL""")
 def eval_by_vintage(spark, sf_dir):
     return evaluate.brier(risky(spark, sf_dir), [12, 24], ["issue_year"])
+
+
+_VT = f"""{LOANS}, {_km('1 - event', g='issue_year', name='g')}, gt AS (SELECT issue_year, t, greatest(coalesce(arg_max(s, duration_months) FILTER (duration_months <= t), 1.0), 0.001) AS gt FROM g, (SELECT unnest([12, 24]) AS t) GROUP BY ALL),
+rows AS (SELECT l.*, greatest(g.s, 0.001) AS g FROM loans l JOIN g USING (issue_year, duration_months)),
+x AS (SELECT issue_year, t, risk, sum(CASE WHEN duration_months <= t AND event = 1 THEN 1 / g ELSE 0 END) AS w, count_if(duration_months <= t AND event = 1) AS a, count_if(duration_months > t) AS b FROM rows JOIN gt USING (issue_year) GROUP BY ALL),
+y AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY issue_year, t ORDER BY risk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM x),
+au AS (SELECT issue_year, t, round(CASE WHEN sum(a) > 0 AND sum(b) > 0 THEN sum(w * (below + b / 2)) / (sum(w) * sum(b)) END, 6) AS auc, sum(a)::BIGINT AS n_cases, sum(b)::BIGINT AS n_controls FROM y GROUP BY ALL),
+c AS (SELECT issue_year, duration_months AS d, event AS e, risk AS r, count(*) AS n FROM loans GROUP BY ALL),
+cc AS (SELECT a.issue_year, round(sum(a.n * b.n * CASE WHEN a.r > b.r THEN 1 WHEN a.r = b.r THEN 0.5 ELSE 0 END) / sum(a.n * b.n), 6)::DOUBLE AS concordance FROM c a JOIN c b ON a.issue_year = b.issue_year AND a.e = 1 AND (b.d > a.d OR (b.d = a.d AND b.e = 0)) GROUP BY 1)"""
+
+
+@query(f"{_VT} SELECT issue_year, t, auc, n_cases, n_controls, concordance FROM au LEFT JOIN cc USING (issue_year)")
+def vintage_ranking(spark, sf_dir):
+    """AUC and concordance of each year of issue."""
+    df = risky(spark, sf_dir)
+    auc = evaluate.cumulative_auc(df, [12, 24], ["issue_year"]).select("issue_year", "t", "auc", "n_cases", "n_controls")
+    return auc.join(evaluate.concordance(df, ["issue_year"]).select("issue_year", "concordance"), "issue_year", "left")
