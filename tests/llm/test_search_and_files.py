@@ -101,9 +101,9 @@ def pages(spark):
     return spark.createDataFrame([*rows, (None, "u", "<p>same</p>", "z"), (-2, "u", "<p>same</p>", "z")], "page_id long, url string, html string, digest string").repartition(3)
 
 
-def test_archives_round_trip(spark, pages):
-    bundles = warc.write_bundles(pages, frame_bytes=100, bundle_bytes=3000)
-    rows = {(r.page_id, r.record_type): r for r in warc.read_bundles(bundles).collect()}
+def test_archives_round_trip(spark, pages, tmp_path):
+    warc.write_archives(pages, str(tmp_path / "a"), frame_bytes=100, bundle_bytes=3000)
+    rows = {(r.page_id, r.record_type): r for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
     texts = [(r.page_id, (r.html or "").encode()) for r in pages.collect()]
     least = {}
     for i, t in texts:
@@ -113,18 +113,24 @@ def test_archives_round_trip(spark, pages):
         again = i is not None and i > least[t]
         r = rows[i, "revisit" if again else "response"]
         assert (r.payload_bytes, r.payload_digest, r.refers_to) == (len(t), base64.b32encode(hashlib.sha1(t).digest()).decode(), least[t] if again else None)
-    assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/b")
+    assert warc.read_archives(spark, f"file://{tmp_path}/b").count() == 0
 
 
-def test_bundles_are_plain_zstandard_and_seekable(pages):
-    bundles = warc.write_bundles(pages.where("page_id > -2"), frame_bytes=50)
-    for r in bundles.collect():
-        text = zstandard.ZstdDecompressor().stream_reader(warc.export(r.data), read_across_frames=True).read()
+def test_bundles_are_plain_zstandard_files_and_seekable(spark, pages, tmp_path):
+    folder = str(tmp_path / "c")
+    index = warc.write_archives(pages.where("page_id > -2"), folder, frame_bytes=50).collect()
+    assert {r.file for r in index} == {p.name for p in (tmp_path / "c").glob("*.warc.zst")} and index
+    for r in index:
+        data = (tmp_path / "c" / r.file).read_bytes()
+        text = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
         assert text.count(b"WARC/1.1\r\n") == len(r.record_ids)
-        reader = warc.BundleReader(bytes(r.data))
+        reader = warc.BundleReader(data)
+        assert reader.at == r.frames_at and reader.plain == r.frame_sizes
         for rid, f, o, n in zip(r.record_ids, r.frames, r.offsets, r.lengths):
             assert warc.parse_record(reader.read(f, o, n))["warc"]["warc-record-id"] == f"<{rid}>"
-    assert [r.page_id for r in warc.read_bundles(bundles, only=[4]).collect()] == [4]
+    (tmp_path / "c" / "part-000000-0000-999999.warc.zst").write_bytes(b"left by a lost task")
+    assert [r.page_id for r in warc.read_archives(spark, folder, only=[4]).collect()] == [4]
     with pytest.raises(ValueError):
         warc.BundleReader(b"no bundle at all")
 

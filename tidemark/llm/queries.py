@@ -15,10 +15,10 @@ from tidemark.llm.media import copies_of, picture_table
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import find_contamination
 from tidemark.llm.quality import grade, learn_quality
-from tidemark.llm.shared import table
+from tidemark.llm.shared import scratch, table
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.toxicity import learn_toxicity, score_toxicity
-from tidemark.llm.warc import read_bundles, write_bundles
+from tidemark.llm.warc import read_archives, write_archives
 from tidemark.sources.shipping import ship
 
 
@@ -42,7 +42,9 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_bundles(write_bundles(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = scratch(spark)
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

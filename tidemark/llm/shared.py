@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from typing import NamedTuple
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.store import scratch, stored  # noqa: F401  used by this subpackage's modules
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_folders: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new path in this application's folder below spark.checkpoint.dir, which driver and executors share.
-
-    The folder is deleted when the driver ends. Only a local master may do without that setting (tests).
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='shared')}"
-        context.setCheckpointDir(root)
-    if context.applicationId not in _folders:
-        _folders[context.applicationId] = f"{root.rstrip('/')}/tables-{context.applicationId}"
-        atexit.register(discard, context, _folders[context.applicationId])
-    return f"{_folders[context.applicationId]}/{uuid.uuid4().hex}"
-
-
-def discard(context: SparkContext, folder: str) -> None:
-    """Deletes a folder of stored tables, if the application still runs."""
-    if context._jsc is not None and context._jvm is not None:
-        path = context._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again: cuts the lineage, computes once, outlives executors."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def looked_up(rows: DataFrame, other: DataFrame, key: str, value: str, hot: DataFrame, spread_by: Column) -> DataFrame:
     """rows with the value that `other` (a row a key) has for their key, or null.
 

@@ -1,59 +1,65 @@
 """WARC archives in seekable Zstandard bundles.
 
 A record is written once, into a frame of many records; frames are independent, so one is enough to
-read a record. A bundle is its frames and, in a skippable frame at its end, the seek table of the
-public seekable format: each frame's compressed and plain size. Beside a bundle stand its records'
-ids with frame, offset in the plain frame and length.
+read a record. A bundle is a `.warc.zst` file: its frames and, in a skippable frame at its end, the
+seek table of the public seekable format: each frame's compressed and plain size. Beside the bundles
+stands a table, `index`, with each bundle's record ids and their frame, offset in the plain frame and
+length.
 
-A bundle is one row of a table in the shared folder: executors and driver see the same bundles, a
-lost task writes its bundles again, and no file outlives a failed attempt. `export` gives a bundle's
-bytes as they would stand in a `.warc.zst` file.
+Bundles are written by the tasks that make them, under a name of the task's attempt, through the file
+system of the folder's URI; the index names only those of attempts that ended well, and readers start
+from it. So a lost task leaves a file that nobody reads, and no record twice.
 
-Equal payloads are found by their SHA-1 with a partial aggregate; the join back is by digest, where
-adaptive execution splits a digest that a third of the pages share.
+Equal payloads are found by their SHA-256 with a partial aggregate; a payload that 1/10,000 of the
+pages share or more is looked up by broadcast, so no task gets its pages.
 
 Defined results: a null payload is empty; a null url is left out, line breaks in it are escaped.
 Rows with a null id are never referred to and are responses. Of equal payloads, all rows with the
-smallest id are responses. An empty table gives no bundles. Extra columns are ignored.
+smallest id are responses; rows that share an id and a payload share a record id. A very long payload
+is a frame of its own, held by one worker. An empty table gives no bundles. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import stored
+from tidemark.llm.shared import looked_up, stored
 
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BUNDLES = "data binary, record_ids array<string>, frames array<int>, offsets array<int>, lengths array<int>"
+INDEX = "file string, frames_at array<long>, frame_sizes array<int>, record_ids array<string>, frames array<int>, offsets array<int>, lengths array<int>"
 
 
 def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int | None, n: int = 0) -> str:
-    return f"urn:page:{'' if page_id is None else page_id}"
+def record_id(page_id: int | None, digest: str) -> str:
+    return f"urn:page:{'' if page_id is None else page_id}:{digest}"
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str) -> bytes:
     """A response record with its payload, or a revisit record with the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id)}>", f"WARC-Date: {date}"]
+    digest = digest32(payload)
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id(page_id, digest)}>", f"WARC-Date: {date}"]
     if url is not None:
         head.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
-    head.append(f"WARC-Payload-Digest: sha1:{digest32(payload)}")
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <{record_id(refers_to)}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{record_id(refers_to, digest)}>", f"WARC-Profile: {PROFILE}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -96,14 +102,18 @@ class BundleWriter:
             self.size += len(frame)
             self.open, self.open_size = [], 0
 
-    def finish(self) -> pa.RecordBatch:
+    def finish(self) -> tuple[bytes, list]:
+        """The file's bytes, and its index row: frames' places and plain sizes, record ids, frames, offsets, lengths."""
         self.close_frame()
         table = b"".join(struct.pack("<II", *x) for x in self.sizes) + struct.pack("<IBI", len(self.sizes), 0, SEEKABLE_MAGIC)
         data = b"".join(self.body) + struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table
-        columns = [[data], *[[[x[i] for x in self.index]] for i in range(4)]]
+        at, row = 0, [[], [x[1] for x in self.sizes], *[[x[i] for x in self.index] for i in range(4)]]
+        for size, _ in self.sizes:
+            row[0].append(at)
+            at += size
+        row[0].append(at)
         self.clear()
-        types = [pa.binary(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["data", "record_ids", "frames", "offsets", "lengths"])
+        return data, row
 
 
 class BundleReader:
@@ -128,60 +138,85 @@ class BundleReader:
         return self.text[offset : offset + length]
 
 
-def export(bundle: bytes) -> bytes:
-    """The bundle as a file's bytes: any Zstandard reader gets the plain WARC from it."""
-    return bytes(bundle)
+def folder_of(uri: str) -> tuple[FileSystem, str]:
+    """The file system of a folder's URI, and its path there."""
+    return FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", uri))
 
 
-def write_bundles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, revisit_from: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 8 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
-    """The bundles' table, stored. Equal payloads of at least `revisit_from` bytes are kept once."""
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", *, revisit_from: int = 0, frame_bytes: int = 256 << 10, bundle_bytes: int = 8 << 20, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+    """Writes `folder`/*.warc.zst and `folder`/index; the index. Equal payloads of at least `revisit_from` bytes are kept once."""
     plain = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{html_col}`"), F.lit("")).alias("html"))
-    digested = plain.withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    alike = digested.where((F.octet_length("html") >= revisit_from) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    marked = digested.join(alike, "digest", "left").select("id", "url", "html", F.when(F.col("id") > F.col("least"), F.col("least")).alias("refers_to"))
+    digested = plain.withColumn("digest", F.unhex(F.sha2(F.encode("html", "UTF-8"), 256)))
+    rows = plain.count()
+    alike = stored(digested.where((F.octet_length("html") >= revisit_from) & F.col("id").isNotNull()).groupBy("digest").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    hot = alike.where(F.col("n") >= max(1000, rows // 10_000))  # 10,000 payloads at most
+    found = looked_up(digested, alike, "digest", "least", hot, F.coalesce(F.unhex(F.hex("id")), F.col("digest")))
+    marked = found.select("id", "url", "html", F.when(F.col("id") > F.col("least"), F.col("least")).alias("refers_to"))
+    names = [x.split()[0] for x in INDEX.split(", ")]
+    types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3]
 
     def write(batches):
-        bundle = BundleWriter(frame_bytes, level)
+        system, path = folder_of(folder)
+        system.create_dir(path, recursive=True)
+        task, bundle, n = TaskContext.get(), BundleWriter(frame_bytes, level), 0
+
+        def put() -> pa.RecordBatch:
+            data, row = bundle.finish()
+            name = f"part-{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.warc.zst"
+            with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+                out.write(data)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip([name, *row], types)], names=names)
+
         for batch in batches:
             for page, url, html, ref in zip(*(batch.column(i) for i in range(4))):
-                page = page.as_py()
-                bundle.add(record_id(page), make_record(page, url.as_py(), html.as_py().encode(), ref.as_py(), date))
+                page, payload = page.as_py(), html.as_py().encode()
+                bundle.add(record_id(page, digest32(payload)), make_record(page, url.as_py(), payload, ref.as_py(), date))
                 if bundle.size + bundle.open_size >= bundle_bytes:
-                    yield bundle.finish()
+                    yield put()
+                    n += 1
         if bundle.index:
-            yield bundle.finish()
+            yield put()
+
+    marked.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    return read_index(pages.sparkSession, folder)
+
 
-    return stored(marked.mapInArrow(write, BUNDLES))
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, frame int, frame_offset int, record_length int"
 
 
 def _page(urn: str | None) -> int | None:
-    tail = (urn or "").strip("<>").removeprefix("urn:page:")
+    tail = (urn or "::").strip("<>").split(":")[2]
     return int(tail) if tail else None
 
 
-def read_bundles(bundles: DataFrame, only: list[int] | None = None) -> DataFrame:
-    """A row per record, from its own frame; `only`: just the records of these pages, touching no other frame. Responses' digests are checked."""
-    wanted = None if only is None else {record_id(x) for x in only}
+def read_archives(spark: SparkSession, folder: str, only: list[int] | None = None) -> DataFrame:
+    """A row per record of the folder's bundles, each read from its own frame; `only`: just the records of these pages, reading no byte of other frames. Responses' digests are checked."""
+    wanted = None if only is None else {f"urn:page:{x}:" for x in only}
     names = [x.split()[0] for x in READ.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def read(batches):
+        system, path = folder_of(folder)
         for batch in batches:
-            for i in range(batch.num_rows):
-                data, ids, *places = (batch.column(c)[i].as_py() for c in range(5))
-                reader, out = BundleReader(data), []
-                for rid, frame, offset, length in zip(ids, *places):
-                    if wanted is not None and rid not in wanted:
-                        continue
-                    r = parse_record(reader.read(frame, offset, length))
-                    warc, digest = r["warc"], r["warc"]["warc-payload-digest"].removeprefix("sha1:")
-                    if warc["warc-record-id"] != f"<{rid}>" or warc["warc-type"] == "response" and digest32(r["payload"]) != digest:
-                        raise ValueError(f"record {rid} is damaged")
-                    out.append((_page(rid), warc.get("warc-target-uri"), int(r["http"]["content-length"]), digest, warc["warc-type"], _page(warc.get("warc-refers-to")), frame, offset, length))
+            for row in batch.to_pylist():
+                out, last, text = [], -1, b""
+                with system.open_input_file(f"{path}/{row['file']}") as source:
+                    for rid, frame, offset, length in zip(row["record_ids"], row["frames"], row["offsets"], row["lengths"]):
+                        if wanted is not None and rid[: rid.rindex(":") + 1] not in wanted:
+                            continue
+                        if frame != last:
+                            a, z = row["frames_at"][frame], row["frames_at"][frame + 1]
+                            text, last = zstandard.ZstdDecompressor().decompress(source.read_at(z - a, a), max_output_size=row["frame_sizes"][frame]), frame
+                        r = parse_record(text[offset : offset + length])
+                        warc, digest = r["warc"], r["warc"]["warc-payload-digest"].removeprefix("sha1:")
+                        if warc["warc-record-id"] != f"<{rid}>" or warc["warc-type"] == "response" and digest32(r["payload"]) != digest:
+                            raise ValueError(f"record {rid} is damaged")
+                        out.append((_page(rid), warc.get("warc-target-uri"), int(r["http"]["content-length"]), digest, warc["warc-type"], _page(warc.get("warc-refers-to")), frame, offset, length))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
-    return bundles.mapInArrow(read, READ)
+    return read_index(spark, folder).mapInArrow(read, READ)
