@@ -40,5 +40,5 @@ def discard(context: SparkContext, folder: str) -> None:
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: cuts the lineage, computes once, outlives executors."""
     path = scratch(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
