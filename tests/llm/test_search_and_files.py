@@ -208,3 +208,21 @@ def test_long_texts_are_tokenized_in_parts():
     words = packing.WordIds(P.path("word_bpe_49k.json"))
     ids = np.concatenate([words.of(Batch(p))[0] for p in parts])
     assert ids.tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def filled(template):
+    """A text of the template: gaps get their least words, optional regions are left out."""
+    return " ".join(x.text if isinstance(x, lt.Word) else " ".join(["thing"] * x.least) for x in lt.parse(template) if not isinstance(x, lt.Optional))
+
+
+def test_whole_licenses_and_altered_ones(spark):
+    """Every wording is accepted as it is; with a word of its own in the terms, only its opening is."""
+    rows, want = [], {}
+    for i, (label, template) in enumerate(lt.TEMPLATES):
+        rows.append((i, f"Copyright X. {filled(template).title()}! end"))
+        want[i] = label
+    mit = filled(dict(lt.TEMPLATES)["mit"])
+    rows += [(100, mit.replace("without restriction", "for good and not evil without restriction")), (101, mit[:-20]), (102, mit + " " + mit), (103, "permission is hereby " * 500)]
+    got = {r.doc_id: r.labels.split(",") for r in lt.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[i] in got[i] for i in want)
+    assert (got[100], got[101], got[102], got[103]) == (["mit-opening"], ["mit-opening"], ["mit", "mit-opening"], [""])

@@ -3,15 +3,19 @@
 A template is words with two kinds of regions: `[[ ... ]]` may be left out, `{{name a-b}}` stands for
 any a to b words, such as a holder's name. It compiles to a non-deterministic automaton over words
 (case, punctuation and layout don't count). A text is accepted where the automaton reaches its end:
-every mandatory word is there, in order, with nothing but the marked regions between. A template
-must begin with a mandatory word; only places of that word are tried, found for a whole batch at once.
+every mandatory word is there, in order, with nothing but the marked regions between; so a license
+with a clause of its own is not that license, and gets the label of an opening at most. A template
+must begin with a mandatory word. Its automaton runs only at places where all of its first words up to
+the first marked region stand, in texts that hold each of its mandatory words, the rare ones too: both are
+found for a whole batch at once.
 
 Base phrases are plain runs of words, counted at every place.
 
 score: 1 - 2 ** (-m / 2) for the m mandatory words of the longest phrase or template accepted, else 0.
 
-Defined results: null texts are empty and have no places. Rows are scanned one by one, so repeated
-rows and ties don't matter. Extra columns are ignored.
+Defined results: null and empty texts have no places. Rows are scanned one by one, so repeated rows
+and ties don't matter. A very long text is scanned whole, at some 40 bytes of memory a byte. An empty
+table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,23 +33,51 @@ from tidemark.llm.textbytes import ALNUM, Batch, slices
 #: Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Fixed values: (label, template). Wordings of public licenses and their usual notices.
+_WARRANTY = "including but not limited to the [[ implied ]] warranties of merchantability [[ and ]] fitness for a particular purpose"
+#: Fixed values: (label, template). Whole texts of short public licenses, the usual notices of long ones, and openings, which say no more than that a text begins like a license.
 TEMPLATES = [
     ("agpl-3", "licensed under the gnu affero general public license [[ version ]] 3 [[ 0 ]]"),
     ("apache-2", "licensed under the apache license [[ version ]] 2 [[ 0 ]]"),
     ("apache-2", "you may obtain a copy of the license at [[ http ]] [[ https ]] [[ www ]] apache org licenses license 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "licensed under the [[ {{clauses 1-2}} clause ]] bsd license"),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "[[ 1 ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "[[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "[[ [[ 3 ]] neither the name of {{holder 1-12}} nor the names of {{its 1-3}} contributors may be used to endorse or promote products derived from this software without specific prior written permission ]] "
+        f"this software is provided by {{{{holder 1-12}}}} as is and any express or implied warranties {_WARRANTY} are disclaimed in no event shall {{{{holder 1-12}}}} be liable for any direct indirect incidental special exemplary or consequential damages "
+        "including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise "
+        "arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    ("bsd-opening", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc", "licensed under [[ a ]] [[ the ]] [[ creative commons ]] cc by nc [[ {{version 1-2}} ]]"),
     ("cc-by-sa", "licensed under [[ a ]] [[ the ]] [[ creative commons ]] cc by sa"),
     ("gpl-2", "licensed under the gnu general public license [[ version ]] 2 [[ 0 ]]"),
     ("gpl-3", "licensed under the gnu general public license [[ version ]] 3 [[ 0 ]]"),
-    ("isc", "permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is hereby granted"),
+    (
+        "isc",
+        "permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and {{holder 1-6}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{holder 1-6}} be liable for any special direct indirect or consequential damages "
+        "or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
     ("lgpl", "licensed under the gnu lesser general public license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this {{work 1-4}} and associated documentation files [[ the {{work 1-3}} ]] to deal in"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this {{work 1-4}} and associated documentation files [[ the {{work 1-3}} ]] to deal in the {{work 1-3}} without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the {{work 1-3}} and to permit persons to whom the {{work 1-3}} is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[ including the next paragraph ]] shall be included in all copies or substantial portions of the {{work 1-3}} the {{work 1-3}} is provided as is without warranty of any kind express or implied "
+        f"{_WARRANTY} and noninfringement in no event shall the {{{{holder 1-8}}}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the {{{{work 1-3}}}} or the use or other dealings in the {{{{work 1-3}}}}",
+    ),
+    ("mit-opening", "permission is hereby granted free of charge to any person obtaining a copy of this {{work 1-4}} and associated documentation files [[ the {{work 1-3}} ]] to deal in"),
     ("mpl-2", "subject to the terms of the mozilla public license [[ v ]] [[ version ]] 2 0"),
     ("spdx", "spdx license identifier {{id 1-3}}"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means "
+        "in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors "
+        "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+    ),
 ]
 
 
@@ -99,6 +131,8 @@ class Automaton:
         self.skips: list[list[int]] = [[]]
         self.end = self._build(self.parts, 0)
         self.mandatory = sum(isinstance(x, Word) for x in self.parts)
+        self.required = {x.text for x in self.parts if isinstance(x, Word)}
+        self.lead = [x.text for x in self.parts[: next((i for i, x in enumerate(self.parts) if not isinstance(x, Word)), len(self.parts))]]
 
     def _state(self) -> int:
         self.steps.append([])
@@ -181,8 +215,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bas
                         places[d].append(int(p - b.first[d]))
                         base_of[d].add(label)
                         best[d] = max(best[d], len(words))
+                held = np.unique(b.doc[code >= 0] * len(codes) + code[code >= 0])
+                held_doc, held_word = held // len(codes), held % len(codes)
                 for automaton in automata:
-                    for p in np.flatnonzero(code == codes[automaton.parts[0].text]):
+                    need = np.zeros(len(codes), bool)
+                    need[[codes[w] for w in automaton.required]] = True
+                    whole = np.bincount(held_doc[need[held_word]], minlength=n) == need.sum()
+                    found = np.flatnonzero(code == codes[automaton.lead[0]])
+                    found = found[whole[b.doc[found]]]
+                    for i, w in enumerate(automaton.lead[1:], 1):
+                        found = found[found + i < len(code)]
+                        found = found[code[found + i] == codes[w]]
+                    for p in found:
                         d = b.doc[p]
                         stop = int(b.first[d + 1])
                         run = [vocabulary[c] if c >= 0 else "" for c in code[p : min(stop, p + len(automaton.steps))]]
