@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,113 @@ def test_toxicity_needs_the_pair(labelled):
     assert all(r.score == 0 or r.score < 1e-6 for r in none)
 
 
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null, empty, very long, equal and letterless texts, null and repeated ids, and columns named like results."""
+    rows = [(1, "kato mira"), (2, None), (3, ""), (4, "12 !!"), (5, "kato " * 60_000), (6, "É́é schung"), (6, "schung ei"), (None, "insulto groupia"), (None, None), (7, "a b c d"), (7, "a b c d")]
+    return spark.createDataFrame([(*r, "aa", "x", True, 0.5, "y") for r in rows], "doc_id long, text string, lang string, source string, held_out boolean, score double, lang_pred string")
+
+
+def dense(texts, features):
+    """Counts of every bucket, a row per text, by counting one text at a time."""
+    out = np.zeros((len(texts), 2**features.bits))
+    for i, t in enumerate(texts):
+        for k in features.of(pa.array([t], pa.string()))[0]:
+            out[i, k] += 1
+    return out
+
+
+def test_scores_equal_dense_models(labelled, odd):
+    """Each model's scores against the formula on dense matrices of the same features."""
+    docs, labels = labelled
+    texts = [r.text for r in odd.collect()]
+    lang = langid.learn_languages(docs, rows=300)
+    x = dense(texts, langid.GRAMS)
+    z = (x / np.maximum(x.sum(axis=1), 1)[:, None] @ lang.scores.astype(float) + lang.bias) / lang.temperature
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    want = sorted(("und", 0.0) if not langid.has_letter(t) else (lang.languages[p[i].argmax()], round(p[i].max(), 5)) for i, t in enumerate(texts))
+    assert sorted((r.lang_pred, round(r.score, 5)) for r in langid.predict(odd, lang).collect()) == want
+
+    ordinal = quality.learn_quality(docs, labels, rows=300)
+    x = dense(texts, quality.GRAMS)
+    s = x / np.maximum(x.sum(axis=1), 1)[:, None] @ ordinal.weights.astype(float)
+    tails = 1 / (1 + np.exp(-(s[:, None] - ordinal.thresholds)))
+    got = sorted((round(r.expected_grade, 5), round(r.tail_probability, 5), r.keep) for r in quality.grade(odd, ordinal, carry=["lang", "score"]).collect())
+    assert got == sorted((round(t.sum(), 5), round(t[0], 5), bool(t[0] >= 0.5)) for t in tails)
+
+    fm = toxicity.learn_toxicity(docs, labels, rows=300)
+    x = (dense(texts, toxicity.TERMS)[:, np.flatnonzero(fm.place >= 0)] > 0).astype(float)[:, np.argsort(fm.place[fm.place >= 0])]
+    z = fm.bias + x @ fm.linear + sum(fm.factors[i] @ fm.factors[j] * x[:, i] * x[:, j] for i in range(x.shape[1]) for j in range(i))
+    got = sorted((round(r.score, 6), r.predicted) for r in toxicity.score_toxicity(odd, fm).collect())
+    assert got == sorted((round(v, 6), int(v >= 0.5)) for v in 1 / (1 + np.exp(-z)))
+
+
+def test_factorization_machine_equals_its_dense_fit():
+    """The same steps on a dense matrix."""
+    rng = np.random.default_rng(0)
+    x = (rng.random((40, 6)) < 0.4).astype(float)
+    y, weight = rng.random(40), np.full(40, 1 / 40)
+    rows, terms = np.nonzero(x)
+    bias, linear, factors = toxicity.fit(rows, terms, 6, y, weight, 0.3, steps=50)
+    init = np.random.default_rng(5)
+    params = [np.array([0.3]), np.zeros(6), init.normal(0, 0.05, (6, 4))]
+    m, v2 = [np.zeros_like(a) for a in params], [np.zeros_like(a) for a in params]
+    for t in range(1, 51):
+        b, w, v = params
+        d = (1 / (1 + np.exp(-(b + x @ w + 0.5 * ((x @ v) ** 2 - x**2 @ v**2).sum(axis=1)))) - y) * weight
+        for i, g in enumerate((np.array([d.sum()]), x.T @ d + 2e-4 * w, x.T @ (d[:, None] * (x @ v)) - (x.T @ d)[:, None] * v + 2e-3 * v)):
+            m[i], v2[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v2[i] + 0.001 * g * g
+            params[i] = params[i] - 0.05 * (m[i] / (1 - 0.9**t)) / (np.sqrt(v2[i] / (1 - 0.999**t)) + 1e-8)
+    assert abs(bias - params[0][0]) < 1e-9 and np.allclose(linear, params[1]) and np.allclose(factors, params[2])
+
+
+def test_ordinal_regression_finds_the_most_likely_model():
+    """On two buckets the fit comes near the best of a fine grid of slopes and thresholds."""
+    rng = np.random.default_rng(3)
+    share = rng.random(300)
+    grade = np.digitize(6 * share - 3 + rng.logistic(size=300), [-1.0, 1.5])
+    rows = [(np.array([0, 1], np.uint32).tobytes(), np.array([round(100 * s), 100 - round(100 * s)], np.uint32).tobytes(), str(g)) for s, g in zip(share, grade)]
+    model = quality.train(quality.Sparse(rows), 3, epochs=60)
+
+    def loss(slope, low, high):
+        edge = np.array([-np.inf, low, high, np.inf])
+        s = slope * np.round(100 * share) / 100
+        return -np.log(np.maximum(quality.sigmoid(edge[grade + 1] - s) - quality.sigmoid(edge[grade] - s), 1e-12)).mean()
+
+    own = loss(model.weights[0] - model.weights[1], *(model.thresholds - model.weights[1]))
+    best = min(loss(a, b, c) for a in np.arange(3, 10, 0.5) for b in np.arange(0, 6, 0.25) for c in np.arange(b + 0.5, 9, 0.25))
+    assert own <= best + 0.02 and (np.diff(model.thresholds) > 0).all()
+
+
+def test_samples_are_bounded_by_id_and_text(spark):
+    """All ids null, or all equal, or equal rows: at most twice `rows`, and the same rows for any partitioning."""
+    base = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("kato mira "), (F.col("id") % 9000).cast("string")).alias("text"), F.when(F.col("id") % 400 == 0, "rare").otherwise("aa").alias("lang"))
+    for docs in (base, base.withColumn("doc_id", F.lit(1).cast("long"))):
+        models = [langid.learn_languages(docs.repartition(n), rows=100, least=20) for n in (2, 9)]
+        assert models[0].languages == ["aa", "rare"] and np.array_equal(models[0].scores, models[1].scores)
+    labels = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    docs = base.withColumn("doc_id", F.lit(1).cast("long"))
+    from tidemark.llm.hashed_text import bounded, distinct_texts, training_rows
+
+    rated = bounded(labels.select(F.col("doc_id").alias("id"), F.col("quality").cast("string").alias("label")), ["id", "label"], 50)
+    assert rated.count() == 2
+    found = distinct_texts(docs.select(F.col("doc_id").alias("id"), "text").join(rated, "id"))
+    data = [training_rows(found.repartition(n), quality.GRAMS, 100) for n in (1, 5)]
+    assert len(data[0]) == 100 and data[0].labels == data[1].labels
+
+
+def test_models_on_empty_tables(labelled):
+    docs, labels = labelled
+    none = docs.limit(0)
+    assert langid.predict(none, langid.learn_languages(docs, rows=200)).count() == 0
+    fm = toxicity.learn_toxicity(docs, labels.limit(0))
+    assert toxicity.score_toxicity(none, fm).count() == 0 and quality.grade(none, None).count() == 0
+    assert {(r.score, r.predicted) for r in toxicity.score_toxicity(docs.where("doc_id IN (900, 901)"), fm).collect()} == {(fm.score(np.zeros(0, int), np.zeros(0, int), 1)[0], 0)}
+    only = toxicity.learn_toxicity(docs, labels.where("toxic = 1"))
+    assert all(r.score > 0.99 for r in toxicity.score_toxicity(docs, only).collect())
+
+
 def test_images_decode():
     grey = (np.arange(30 * 40).reshape(30, 40) % 256).astype(np.uint8)
     assert (media.decode(media.pgm(grey)) == grey).all()
