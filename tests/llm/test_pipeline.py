@@ -70,6 +70,33 @@ def test_repeated_rows_leave_one(spark):
     assert sorted(str(r.doc_id) for r in pipeline.near_copies(spark, docs, SF).collect()) == ["1", "2", "None"]
 
 
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls in every column, empty, repeated and very long texts, rows that share an id, and columns named like the operators'."""
+    long, a = " ".join(f"w{i % 7919} v{i}" for i in range(60_000)), " ".join(f"a{i}" for i in range(40))
+    rows = [(1, a, "en", "s", 1), (2, None, None, None, None), (3, "", "en", "s", 0), (None, a, "en", "s", 1), (None, None, "en", "s", 1), (4, long, "en", None, 9), (5, a + " z", "en", "s", 1), (6, "x y", "b", "s", 1), (6, "x y", "a", "s", 1), (6, "p q", "a", "s", 1)]
+    return spark.createDataFrame([(*r, 1, "k", True, [1]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, n_words long, g string, keep boolean, found array<int>")
+
+
+def test_hard_rows_through_every_stage(spark, hard, tmp_path):
+    """Each stage by itself on the hard rows, with a benchmark and labels, and without any."""
+    key = lambda rows: sorted((str(r.doc_id), str(r.text), str(r.lang)) for r in rows)
+    spark.createDataFrame([(1, "x"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "some/benchmark.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    for where in ("some", "none"):
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / where / "labels.parquet"))
+    given = hard.collect()
+    assert key(pipeline.quality(spark, hard, str(tmp_path / "none")).collect()) == key(given)
+    near = pipeline.near_copies(spark, hard, "").collect()
+    assert key(near) == key([r for r in given if r.doc_id != 5 and (r.doc_id, r.lang) != (6, "b") or (r.doc_id, r.text) == (6, "p q")])
+    kept = {(r.doc_id, r.text) for r in pipeline.repeats(spark, hard, "").collect()}
+    assert (5, "z") in kept and (4, given[5].text) in kept and (2, "") in kept and (None, given[0].text) in kept and len(kept) == 9
+    leaks = lambda where: pipeline.leaks(spark, hard, str(tmp_path / where)).collect()
+    assert key(leaks("some")) == key([r for r in given if r.text != "x y"]) and key(leaks("none")) == key(given)
+    pieces = pipeline.packing(spark, hard, "").collect()
+    assert sum(r.start == 0 for r in pieces) == len(given)
+
+
 def test_stages_on_an_empty_table(spark, empty):
     for name, f in pipeline.STAGES:
         assert f(spark, empty, SF).count() == 0, name
