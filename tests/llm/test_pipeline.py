@@ -107,3 +107,19 @@ def test_the_rest_works_without_this_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op') for k in q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True, text=True, timeout=120, check=True).stdout.split()
     assert int(out[0]) > 80 and out[1:] == ["False", "False", "True"]
+
+
+def test_queries_give_a_row_per_document(spark):
+    """The registered queries without an oracle, over their whole tables."""
+    from tidemark.llm.queries import QUERIES
+
+    ids = sorted(r.doc_id for r in table(spark, SF, "documents").select("doc_id").collect())
+    for name in ("op3_language_id", "op7_quality", "op8_toxicity"):
+        assert sorted(r.doc_id for r in QUERIES[name](spark, SF).collect()) == ids, name
+    pieces = QUERIES["op2_packing"](spark, SF).collect()
+    assert {r.doc_id for r in pieces} == set(ids) and len({(r.sequence_id, r.offset) for r in pieces}) == len(pieces)
+    pictures = {r.image_id: r for r in QUERIES["op6_media_copies"](spark, SF).collect()}
+    planted = [i for i in pictures if i % 2]
+    assert planted and sum(pictures[i].class_id == pictures[i - 1].class_id for i in planted) >= 0.9 * len(planted)
+    run = pipeline.run(spark, SF).collect()
+    assert run and {r.doc_id for r in run} < set(ids)
