@@ -57,8 +57,9 @@ RANK_FLOOR, OVERLAP_FLOOR, CV_CEILING = 0.85, 0.7, 0.5
 
 
 def _correlation(a: str, b: str) -> Column:
-    """Pearson's; null without any spread."""
-    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+    """Pearson's over the rows that have both; null without any spread."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
 
 
 def _jaccard(a: str, b: str, k: int) -> Column:
