@@ -12,6 +12,7 @@ from tidemark.llm.jaccard_join import link
 from tidemark.llm.langid import learn_languages, predict
 from tidemark.llm.license_templates import BASE, TEMPLATES, scan
 from tidemark.llm.media import copies_of, picture_table
+from tidemark.llm.merkle import manifest, without_line_feeds
 from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import find_contamination
 from tidemark.llm.quality import grade, learn_quality
@@ -73,6 +74,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    changed, where = without_line_feeds(docs)
+    return manifest(docs, changed=changed, where=where)
+
+
 def shipped(f):
     """The query, after the package is sent to the workers."""
 
@@ -84,6 +91,6 @@ def shipped(f):
     return run
 
 
-_ALL = (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op6_media_copies, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join)
+_ALL = (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op6_media_copies, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join, op11_merkle_manifest)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
-ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES), "op10_jaccard_join": sql.NEAR_COPIES}
+ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES), "op10_jaccard_join": sql.NEAR_COPIES, "op11_merkle_manifest": sql.MANIFEST}

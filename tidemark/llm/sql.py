@@ -75,3 +75,33 @@ r AS (SELECT doc_id, doc_id AS reach FROM d UNION SELECT r.doc_id, e.v FROM r JO
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.reach) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r USING (doc_id) GROUP BY ALL
 """
+
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)) + ")"
+
+
+MANIFEST = f"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC32} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS checked FROM documents),
+t AS (SELECT 0 AS level, g, i, leaf AS digest, count(*) OVER (PARTITION BY g) AS n FROM d
+      UNION ALL SELECT level + 1, g, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY level, g, i // 3),
+s AS MATERIALIZED (SELECT g, digest AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS i FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, subroot AS digest, count(*) OVER () AS n FROM s
+      UNION ALL SELECT level + 1, i // 3, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3),
+r AS MATERIALIZED (SELECT level, g, i // 3 AS run, list(digest ORDER BY i) AS kids FROM t WHERE n > 1 GROUP BY level, g, i // 3),
+q AS MATERIALIZED (SELECT level, i // 3 AS run, list(digest ORDER BY i) AS kids FROM u WHERE n > 1 GROUP BY level, i // 3),
+f AS (SELECT 0 AS level, doc_id, g, i, checked AS node, '' AS siblings FROM d
+      UNION ALL SELECT f.level + 1, doc_id, f.g, i // 3, sha256(array_to_string(kids[:i % 3], '') || node || array_to_string(kids[i % 3 + 2:], '')),
+                       siblings || array_to_string(kids[:i % 3], '') || array_to_string(kids[i % 3 + 2:], '') FROM f JOIN r ON r.level = f.level AND r.g = f.g AND r.run = i // 3),
+a AS MATERIALIZED (SELECT doc_id, g, max_by(node, level) AS node, max_by(siblings, level) AS siblings FROM f GROUP BY ALL),
+h AS (SELECT 0 AS level, doc_id, s.i, node, siblings FROM a JOIN s USING (g)
+      UNION ALL SELECT h.level + 1, doc_id, i // 3, sha256(array_to_string(kids[:i % 3], '') || node || array_to_string(kids[i % 3 + 2:], '')),
+                       siblings || array_to_string(kids[:i % 3], '') || array_to_string(kids[i % 3 + 2:], '') FROM h JOIN q ON q.level = h.level AND q.run = i // 3),
+z AS (SELECT doc_id, max_by(node, level) AS folded_root, sha256(max_by(siblings, level)) AS proof_sha256 FROM h GROUP BY ALL)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN s USING (g) JOIN z USING (doc_id), (SELECT digest AS root FROM u WHERE n = 1)
+"""
