@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import sql
 from tidemark.llm.jaccard_join import link
 from tidemark.llm.langid import learn_languages, predict
+from tidemark.llm.lexical import rank_documents
 from tidemark.llm.license_templates import BASE, TEMPLATES, scan
 from tidemark.llm.media import copies_of, picture_table
 from tidemark.llm.merkle import manifest, without_line_feeds
@@ -80,6 +81,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(docs, changed=changed, where=where)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def shipped(f):
     """The query, after the package is sent to the workers."""
 
@@ -91,6 +96,6 @@ def shipped(f):
     return run
 
 
-_ALL = (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op6_media_copies, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join, op11_merkle_manifest)
+_ALL = (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op6_media_copies, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join, op11_merkle_manifest, op12_ranked_search)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
-ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES), "op10_jaccard_join": sql.NEAR_COPIES, "op11_merkle_manifest": sql.MANIFEST}
+ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES), "op10_jaccard_join": sql.NEAR_COPIES, "op11_merkle_manifest": sql.MANIFEST, "op12_ranked_search": sql.RANKED}

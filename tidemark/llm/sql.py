@@ -105,3 +105,15 @@ z AS (SELECT doc_id, max_by(node, level) AS folded_root, sha256(max_by(siblings,
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
 FROM d JOIN s USING (g) JOIN z USING (doc_id), (SELECT digest AS root FROM u WHERE n = 1)
 """
+
+RANKED = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0),
+c AS (SELECT count(*)::BIGINT AS n_docs, coalesce(sum(n), 0)::BIGINT AS n_terms FROM d),
+f AS MATERIALIZED (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM d) GROUP BY r, term),
+g AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, c GROUP BY term, n_docs),
+q AS (SELECT item, any_value(item_id) AS item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark)) GROUP BY item, term),
+s AS (SELECT item, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms))))::BIGINT AS score
+      FROM q JOIN g USING (term) JOIN f USING (term), c GROUP BY item, r),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 10
+"""
