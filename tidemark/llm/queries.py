@@ -18,6 +18,7 @@ from tidemark.llm.packing import pack
 from tidemark.llm.phrase_index import find_contamination
 from tidemark.llm.quality import grade, learn_quality
 from tidemark.llm.shared import scratch, table
+from tidemark.llm.simhash import near_copies
 from tidemark.llm.substring_dedup import remove_repeats
 from tidemark.llm.toxicity import learn_toxicity, score_toxicity
 from tidemark.llm.warc import read_archives, write_archives
@@ -85,6 +86,10 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 def shipped(f):
     """The query, after the package is sent to the workers."""
 
@@ -96,6 +101,6 @@ def shipped(f):
     return run
 
 
-_ALL = (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op6_media_copies, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join, op11_merkle_manifest, op12_ranked_search)
+_ALL = (op1_substring_dedup, op2_packing, op3_language_id, op4_warc, op5_benchmark_decontamination, op6_media_copies, op7_quality, op8_toxicity, op9_license_scan, op10_jaccard_join, op11_merkle_manifest, op12_ranked_search, op13_simhash)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: shipped(f) for f in _ALL}
 ORACLE_SQL = {"op1_substring_dedup": sql.REPEATS, "op4_warc": sql.ARCHIVED, "op5_benchmark_decontamination": sql.CONTAMINATION, "op9_license_scan": sql.licenses(BASE, TEMPLATES), "op10_jaccard_join": sql.NEAR_COPIES, "op11_merkle_manifest": sql.MANIFEST, "op12_ranked_search": sql.RANKED}
