@@ -49,7 +49,9 @@ def _adds_up(rows):
 #: What the rows of queries without an oracle must hold; their operators are held against brute force in test_semantics.py.
 HOLDS = {
     "hazard_fit": lambda rows: len(rows) == 10 and sum(r.n for r in rows) > 1000 and all(0 < r.predicted_survival < 1 and abs(r.error) < 0.15 for r in rows),
-    "hazard_trees_importance": lambda rows: len(rows) == 5 and abs(sum(r.gain for r in rows) - 1) < 1e-6 and all(r.gain >= 0 for r in rows),
+    "hazard_trees_importance": lambda rows: len(rows) == 8 and abs(sum(r.gain for r in rows) - 1) < 1e-6 and all((r.gain > 0) == (r.splits > 0) for r in rows) and [r.gain for r in rows] == sorted((r.gain for r in rows), reverse=True),
+    "hazard_boosting": lambda rows: [r.trees for r in rows] == list(range(len(rows))) and (loss := [r.train_loss for r in rows if r.kept]) == sorted(loss, reverse=True) and min(rows, key=lambda r: r.valid_loss).trees == sum(r.kept for r in rows) - 1,
+    "hazard_trees_survival": lambda rows: len(rows) == 10 and sum(r.n for r in rows) > 1000 and all(0 < r.predicted_survival <= 1 and abs(r.error) < 0.15 for r in rows),
     "cox_fit": lambda rows: len(rows) == 3 and all(r.low < r.coef < r.high and abs(r.z - r.coef / r.se) < 1e-9 and abs(r.coef) < 1 for r in rows),
     "cox_survival": lambda rows: [r.t for r in sorted(rows)] == [6, 12, 24, 36] and all(1 >= r.most >= r.mean_survival >= r.least > 0 for r in rows) and sorted((r.mean_survival for r in rows), reverse=True) == [r.mean_survival for r in sorted(rows, key=lambda r: r.t)],
     "cox_ph_test": lambda rows: len(rows) == 3 and all(-1 <= r.correlation <= 1 and r.correlation * r.z >= 0 for r in rows),
@@ -59,7 +61,7 @@ HOLDS = {
     "survshap": lambda rows: _adds_up(rows) and {r.t for r in rows} == {6, 12, 24, 36},
     "naive_shap": lambda rows: _adds_up(rows) and {r.t for r in rows} == {36},
     "noise_floor": lambda rows: len(rows) == 1 and 0.5 <= rows[0].spearman <= 1 and 0 <= rows[0].mean_relative_gap < 0.5 and rows[0].top10_jaccard == 1,
-    "tree_shap": lambda rows: all(len(g) == 6 for g in _sums(rows, lambda r: r.row_id).values()) and any(r.phi < 0 for r in rows) and any(r.phi > 0 for r in rows),
+    "tree_shap": lambda rows: all(len(g) == 7 for g in _sums(rows, lambda r: r.row_id).values()) and any(r.phi < 0 for r in rows) and any(r.phi > 0 for r in rows),
     "weighted_refit": lambda rows: len(rows) == 6 and all(r.before >= 0 and abs(r.after - r.before - r.change) < 1e-7 for r in rows) and sorted(r.rank_before for r in rows) == [1, 2, 3, 4, 5, 6],
 }
 

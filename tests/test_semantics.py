@@ -245,34 +245,6 @@ def curves_of():
     return predict
 
 
-def test_tree_attributions(spark):
-    """Margins equal the model's own, attributions their definition: an absent feature follows each path by the training rows' shares."""
-    ship(spark)
-    rng = np.random.default_rng(4)
-    rows = [(i, float(a), float(b), float(c), int(rng.integers(1, 13)), int(a + b * c > 0.3)) for i, (a, b, c) in enumerate(rng.normal(size=(400, 3)))]
-    df = spark.createDataFrame(rows, "id long, a double, b double, c double, duration_months int, event int")
-    names = ["a", "b", "c"]
-    model = models.fit_hazard(df, names, months=3, horizon=12, trees=True)
-    forest = shapley.Forest(model.model)
-    x = models.with_period(np.array([r[1:4] for r in rows[:12]]), 2)
-    own = model.model.transform(models._assembled(spark.createDataFrame([(*r[:4], 2) for r in rows[:12]], "id long, a double, b double, c double, period int"), names)).orderBy("id").collect()
-    assert np.allclose(forest.margin(x), [r.rawPrediction[1] * 2 for r in own])
-
-    def value(i, s):
-        total = 0.0
-        for tree, weight in zip(forest.trees, forest.weights):
-            for leaf, path in tree.leaves:
-                total += weight * leaf * np.prod([float(lo < x[i, f] <= hi) if f in s else share for f, (lo, hi, share) in path.items()])
-        return total
-
-    phi = forest.shapley(x)
-    for i in range(12):
-        assert np.abs(phi[i] - exact_shapley(lambda s, i=i: value(i, s), 5)).max() < 1e-9
-    got = {(r.id, r.feature): r.phi for r in shapley.tree_shap(df, forest, names, models.with_period, 2, ["id"]).where("id < 12").collect()}
-    want = sum(-(1 / (1 + np.exp(-forest.margin(m))))[:, None] * forest.shapley(m)[:, :3] for m in (models.with_period(x[:, :3], k) for k in (1, 2)))
-    assert all(abs(got[i, n] - want[i, j]) < 1e-9 for i in range(12) for j, n in enumerate(names))
-
-
 def test_noise_floor_of_equal_draws(spark):
     flat = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "feature string, importance double")
     assert explain.noise_floor(flat, flat).first().spearman == 1.0

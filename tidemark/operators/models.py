@@ -1,6 +1,6 @@
 """Models: discrete-time hazard, Cox regression, separability, background clusters.
 
-The hazard model is a logistic regression (or boosted trees) of Spark ML over person-period rows.
+The hazard model here is a logistic regression of Spark ML over person-period rows; boosting.py has trees.
 Cox is fitted by Newton steps; a step is one aggregate job that sums risk-set moments per month, so
 what reaches the driver is months by features squared, whatever the number of loans. Ties are Efron's.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -35,11 +35,6 @@ def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = N
     return out.withColumns(scaled).drop(*[c for c in out.columns if c.startswith(("_m_", "_a_", "_s_"))])
 
 
-def with_period(x: np.ndarray, period: int) -> np.ndarray:
-    """A hazard model's matrix for one period: the features, then the period's two columns."""
-    return np.column_stack([x, np.full(len(x), np.log1p(period)), np.full(len(x), period / 12)])
-
-
 @dataclass
 class HazardModel:
     model: object
@@ -71,14 +66,13 @@ def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=[*features, "_p1", "_p2"], outputCol="features").transform(rows)
 
 
-def fit_hazard(df: DataFrame, features: list[str], *, months: int = 3, horizon: int = 36, trees: bool = False, weight: str | None = None) -> HazardModel:
+def fit_hazard(df: DataFrame, features: list[str], *, months: int = 3, horizon: int = 36, weight: str | None = None) -> HazardModel:
     """P(default in this period | alive before it) from the features and the period; weight: a column of loan weights."""
     rows = person_period(df, months=months, horizon=horizon, columns=["id", *features, *([weight] if weight else [])])
     if weight:
         rows = rows.withColumn("weight", F.col("weight") * F.col(weight))
     data = _assembled(rows, features).withColumn("label", F.col("y").cast("double"))
-    kind = GBTClassifier(maxIter=10, maxDepth=3, seed=1, weightCol="weight") if trees else LogisticRegression(regParam=1e-4, weightCol="weight", maxIter=50)
-    return HazardModel(kind.fit(data), features, months)
+    return HazardModel(LogisticRegression(regParam=1e-4, weightCol="weight", maxIter=50).fit(data), features, months)
 
 
 @dataclass

@@ -1,4 +1,4 @@
-"""Shapley attributions of survival predictions: kernel, linear and tree forms, as jobs over rows.
+"""Shapley attributions of survival predictions: kernel and linear forms, as jobs over rows; boosting.py has the tree form.
 
 The kernel form takes any predict(matrix) -> (rows, times) and draws its coalitions once per run, by
 the run's seed: every task solves the same small system for all its rows at once, and the result
@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import combinations
-from math import comb, factorial
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -92,73 +92,3 @@ def hazard_linear_shap(df: DataFrame, weights: dict[str, float], intercept: floa
     hazard = sum((1 / (1 + F.exp(-(margin + period(k)))) for k in range(1, periods + 1)), F.lit(0.0))
     parts = F.array(*[F.struct(F.lit(f).alias("feature"), (-F.col("_h") * float(w) * (F.col(f) - F.col(f"_a_{f}"))).alias("phi")) for f, w in weights.items()])
     return df.crossJoin(means).withColumn("_h", hazard).select(*keep, F.explode(parts).alias("x")).select(*keep, "x.feature", "x.phi")
-
-
-class Tree:
-    """A regression tree as its leaves: (value, {feature: (low, high, share of the training rows that the path's conditions on the feature let through)})."""
-
-    def __init__(self, root):
-        self.leaves: list[tuple[float, dict[int, tuple[float, float, float]]]] = []
-        self._walk(root, {})
-
-    def _walk(self, node, path: dict) -> None:
-        if node.subtreeDepth() == 0:
-            self.leaves.append((node.prediction(), path))
-            return
-        f, cut, n = node.split().featureIndex(), node.split().threshold(), node.impurityStats().count()
-        low, high, share = path.get(f, (-np.inf, np.inf, 1.0))
-        for child, bounds in ((node.leftChild(), (low, min(high, cut))), (node.rightChild(), (max(low, cut), high))):
-            self._walk(child, {**path, f: (*bounds, share * child.impurityStats().count() / n)})
-
-
-class Forest:
-    """The margin of boosted trees: twice the weighted sum of the trees' values, as Spark's classifier has it."""
-
-    def __init__(self, model):
-        self.trees = [Tree(t._call_java("rootNode")) for t in model.trees]
-        self.weights = [2 * w for w in model.treeWeights]
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
-        for tree, weight in zip(self.trees, self.weights):
-            for value, path in tree.leaves:
-                inside = np.ones(len(x), bool)
-                for f, (low, high, _) in path.items():
-                    inside &= (x[:, f] > low) & (x[:, f] <= high)
-                out += weight * value * inside
-        return out
-
-    def shapley(self, x: np.ndarray) -> np.ndarray:
-        """(rows, features) of the margin, path-dependent: a feature that is left out follows a path by the share of training rows. Exact: each leaf is a product over its path's few features."""
-        out = np.zeros(x.shape)
-        for tree, weight in zip(self.trees, self.weights):
-            for value, path in tree.leaves:
-                fs = list(path)
-                on = {f: ((x[:, f] > path[f][0]) & (x[:, f] <= path[f][1])).astype(float) for f in fs}
-                for j in fs:
-                    others = [f for f in fs if f != j]
-                    for k in range(len(others) + 1):
-                        part = factorial(k) * factorial(len(fs) - k - 1) / factorial(len(fs))
-                        for s in combinations(others, k):
-                            term = np.full(len(x), weight * value * part)
-                            for f in others:
-                                term *= on[f] if f in s else path[f][2]
-                            out[:, j] += term * (on[j] - path[j][2])
-        return out
-
-
-def tree_shap(df: DataFrame, forest: Forest, features: list[str], inputs: Callable, periods: int, keep: list[str]) -> DataFrame:
-    """(keep..., feature, phi) of boosted trees on the hazard: minus the sum over periods of the row's own hazard times its margin's attribution. inputs: (matrix of features, period) -> the model's matrix, features first."""
-
-    def explain(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            x, phi = part[features].to_numpy(float), np.zeros((len(part), len(features)))
-            for k in range(1, periods + 1):
-                full = inputs(x, k)
-                hazard = 1 / (1 + np.exp(-forest.margin(full)))
-                phi -= hazard[:, None] * forest.shapley(full)[:, : len(features)]
-            out = part[keep].loc[part.index.repeat(len(features))].reset_index(drop=True)
-            yield out.assign(feature=np.tile(features, len(part)), phi=phi.ravel())
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*keep, *[F.col(f).cast("double").alias(f) for f in features]).mapInPandas(explain, f"{kinds}, feature string, phi double")

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluate, explain, models, sampling, scoring, selection, shapley
+from tidemark.plans.model_queries import boosted
 from tidemark.plans.registry import query
 from tidemark.plans.views import LOANS, PHI, TIMES, accepted, attributions, loans, risky
 from tidemark.sources.shipping import ship
@@ -95,10 +96,8 @@ def hazard_linear_shap(spark, sf_dir):
 @query()
 def tree_shap(spark, sf_dir):
     """Hazard-weighted attributions of the boosted trees up to 36 months, for every loan."""
-    ship(spark)
-    df = design(spark, sf_dir)
-    model = models.fit_hazard(df, FEATURES, trees=True)
-    return shapley.tree_shap(df.withColumnRenamed("id", "row_id"), shapley.Forest(model.model), FEATURES, models.with_period, 12, ["row_id"])
+    df, model = boosted(spark, sf_dir)
+    return model.tree_shap(df.withColumnRenamed("id", "row_id"), 12, ["row_id"])
 
 
 @query()
