@@ -94,13 +94,6 @@ def test_leakage_guard(tiny):
         tables.guard(tiny)
 
 
-def test_text_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('Notes\nid,loan_amnt,dti\n1,"60,000",13.5%\n\n2,$5,n/a\nTotal,,\n')
-    df = tables.read_text_csv(spark, str(tmp_path / "a.csv"), ["id", "loan_amnt", "dti"])
-    rows = tables.ingest(df, ["id", "loan_amnt", "dti"], ["id", "loan_amnt", "dti"], "id").collect()
-    assert sorted(map(tuple, rows)) == [(1.0, 60000.0, 13.5), (2.0, 5.0, None)]
-
-
 def test_dedupe_kinds(spark):
     df = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 2), (4, "b", 1), (5, "a", 1)], "n int, k string, v int")
     kinds = [r.kind for r in clean.first_per_key(df, F.col("k"), F.col("n"), ["k", "v"]).orderBy("n").collect()]
