@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidemark.functions import matching, parse
-from tidemark.operators import clean, drift, evaluate, explain, label, models, ranks, sampling, scoring, selection, shapley, survival
+from tidemark.operators import clean, cox, drift, evaluate, explain, label, models, ranks, sampling, scoring, selection, shapley, survival
 from tidemark.sources import tables
 from tidemark.sources.shipping import ship
 
@@ -169,9 +169,9 @@ def test_cox_recovers_its_coefficients(spark):
     t = rng.exponential(1 / (0.05 * np.exp(0.7 * x[:, 0] - 0.4 * x[:, 1])))
     rows = [(float(a), float(b), int(min(np.ceil(d), 60)), int(d < 60)) for (a, b), d in zip(x, t)]
     df = spark.createDataFrame(rows, "a double, b double, duration_months int, event int")
-    model = models.fit_cox(df, ["a", "b"])
+    model = cox.fit_cox(df, ["a", "b"])
     assert np.abs(model.beta - [0.7, -0.4]).max() < 0.08
-    s = [r.survival for r in models.cox_survival(df.limit(1), model, [1, 12, 36], []).orderBy("t").collect()]
+    s = [r.survival for r in cox.cox_survival(df.limit(1), model, [1, 12, 36], []).orderBy("t").collect()]
     assert 1 >= s[0] >= s[1] >= s[2] >= 0
 
 
@@ -272,7 +272,7 @@ def test_cox_equals_newton_on_the_whole_table(spark):
     event = rng.integers(0, 2, 150)
     t = rng.permutation(150) + 1
     df = spark.createDataFrame([(float(a), float(b), int(d), int(e)) for (a, b), d, e in zip(x, t, event)], "a double, b double, duration_months int, event int")
-    model = models.fit_cox(df, ["a", "b"])
+    model = cox.fit_cox(df, ["a", "b"])
     beta = np.zeros(2)
     for _ in range(30):
         g, h = -0.05 * beta, 0.05 * np.eye(2)

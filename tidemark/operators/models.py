@@ -1,8 +1,6 @@
-"""Models: discrete-time hazard, Cox regression, separability, background clusters.
+"""Models: discrete-time hazard, separability, background clusters; boosting.py has trees, cox.py Cox regression.
 
-The hazard model here is a logistic regression of Spark ML over person-period rows; boosting.py has trees.
-Cox is fitted by Newton steps; a step is one aggregate job that sums risk-set moments per month, so
-what reaches the driver is months by features squared, whatever the number of loans. Ties are Efron's.
+The hazard model here is a logistic regression of Spark ML over person-period rows.
 """
 
 from __future__ import annotations
@@ -75,93 +73,6 @@ def fit_hazard(df: DataFrame, features: list[str], *, months: int = 3, horizon:
     return HazardModel(LogisticRegression(regParam=1e-4, weightCol="weight", maxIter=50).fit(data), features, months)
 
 
-@dataclass
-class CoxModel:
-    features: list[str]
-    beta: np.ndarray
-    variance: np.ndarray
-    baseline: list[tuple[int, float]]
-
-    def risk(self) -> Column:
-        """The linear predictor."""
-        return sum((F.col(f) * float(b) for f, b in zip(self.features, self.beta)), F.lit(0.0))
-
-
-def _moments(df: DataFrame, features: list[str], beta: np.ndarray) -> list:
-    """Per month: sums of w, w x, w x x' of all rows and of the events, and of x of the events; w = exp(beta x)."""
-    p = len(features)
-    w = F.exp(sum((F.col(f) * float(b) for f, b in zip(features, beta)), F.lit(0.0)))
-    e = F.col("event")
-    sums = [F.sum(w).alias("s0"), F.sum(w * e).alias("e0"), F.sum(e).alias("d")]
-    for i in range(p):
-        x = F.col(features[i])
-        sums += [F.sum(w * x).alias(f"s1_{i}"), F.sum(w * x * e).alias(f"e1_{i}"), F.sum(x * e).alias(f"x_{i}")]
-        sums += [F.sum(w * x * F.col(features[j]) * f).alias(f"{n}2_{i}_{j}") for j in range(i, p) for n, f in (("s", F.lit(1)), ("e", e))]
-    return df.groupBy("duration_months").agg(*sums).orderBy(F.desc("duration_months")).collect()  # a row per month
-
-
-def fit_cox(df: DataFrame, features: list[str], *, ridge: float = 0.05, steps: int = 15, tolerance: float = 1e-7) -> CoxModel:
-    """Newton's method on the penalised partial likelihood; features should be standardised and complete."""
-    p = len(features)
-    beta = np.zeros(p)
-    df = df.select("duration_months", "event", *features)
-    for _ in range(steps):
-        gradient, hessian = -ridge * beta, ridge * np.eye(p)
-        s0, s1, s2 = 0.0, np.zeros(p), np.zeros((p, p))
-        hazards = []
-        for r in _moments(df, features, beta):
-            full = lambda n, r=r: np.array([[r[f"{n}2_{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)])
-            s0, s1, s2 = s0 + r["s0"], s1 + np.array([r[f"s1_{i}"] for i in range(p)]), s2 + full("s")
-            d = int(r["d"])
-            if d:
-                e0, e1, e2 = r["e0"], np.array([r[f"e1_{i}"] for i in range(p)]), full("e")
-                share = np.arange(d) / d
-                a0 = s0 - share * e0
-                a1 = s1[None] - share[:, None] * e1
-                mean = a1 / a0[:, None]
-                gradient = gradient + np.array([r[f"x_{i}"] for i in range(p)]) - mean.sum(axis=0)
-                hessian = hessian + (s2 * (1 / a0).sum() - e2 * (share / a0).sum()) - mean.T @ mean
-                hazards.append((int(r["duration_months"]), float((1 / a0).sum())))
-        move = np.linalg.solve(hessian, gradient)
-        beta = beta + move
-        if np.abs(move).max() < tolerance:
-            break
-    total, baseline = 0.0, []
-    for month, h in reversed(hazards):
-        total += h
-        baseline.append((month, total))
-    return CoxModel(features, beta, np.linalg.inv(hessian), baseline)
-
-
-def cox_table(spark, model: CoxModel) -> DataFrame:
-    """(feature, coef, hazard_ratio, se, low, high, z), by size of the coefficient."""
-    se = np.sqrt(np.diag(model.variance))
-    rows = [(f, float(b), float(np.exp(b)), float(s), float(b - 1.96 * s), float(b + 1.96 * s), float(b / s)) for f, b, s in zip(model.features, model.beta, se)]
-    rows.sort(key=lambda r: -abs(r[1]))
-    return spark.createDataFrame(rows, "feature string, coef double, hazard_ratio double, se double, low double, high double, z double")
-
-
-def cox_survival(df: DataFrame, model: CoxModel, times: list[int], keep: list[str]) -> DataFrame:
-    """(keep..., t, survival) from the cumulative baseline hazard."""
-    at = [(t, max([h for m, h in model.baseline if m <= t], default=0.0)) for t in times]
-    grid = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(h).alias("h")) for t, h in at])
-    return df.select(*keep, model.risk().alias("_r"), F.explode(grid).alias("g")).select(*keep, "g.t", F.exp(-F.col("g.h") * F.exp("_r")).alias("survival"))
-
-
-def proportional(df: DataFrame, model: CoxModel) -> DataFrame:
-    """(feature, correlation, z): residuals of the events against the rank of time; |z| > 2.58 speaks against proportional hazards."""
-    means = []
-    s0, s1 = 0.0, np.zeros(len(model.features))
-    for r in _moments(df.select("duration_months", "event", *model.features), model.features, model.beta):
-        s0, s1 = s0 + r["s0"], s1 + np.array([r[f"s1_{i}"] for i in range(len(model.features))])
-        means.append((int(r["duration_months"]), *map(float, s1 / s0)))
-    table = df.sparkSession.createDataFrame(means, "duration_months int, " + ", ".join(f"_m{i} double" for i in range(len(model.features))))
-    events = df.where("event = 1").join(F.broadcast(table), "duration_months")  # a row per month
-    row = events.agg(F.count(F.lit(1)).alias("n"), *[F.corr(F.col(f) - F.col(f"_m{i}"), F.col("duration_months")).alias(f"c{i}") for i, f in enumerate(model.features)])
-    long = row.select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("correlation")) for i, f in enumerate(model.features)])).alias("x"))
-    return long.select("x.feature", "x.correlation", (F.col("x.correlation") * F.sqrt("n")).alias("z"))
-
-
 def propensity(df: DataFrame, features: list[str], label: Column) -> DataFrame:
     """Adds propensity: the probability of `label` by logistic regression on standardised features, fitted on all rows."""
     data = VectorAssembler(inputCols=features, outputCol="features").transform(standardised(df, features).withColumn("label", label.cast("double")))

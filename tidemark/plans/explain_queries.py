@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluate, explain, models, sampling, scoring, selection, shapley
+from tidemark.operators import cox, evaluate, explain, models, sampling, scoring, selection, shapley
 from tidemark.plans.model_queries import boosted
 from tidemark.plans.registry import query
 from tidemark.plans.views import LOANS, PHI, TIMES, accepted, attributions, loans, risky
@@ -165,7 +165,7 @@ _GROUPS = {"(none)": [], "dti": ["dti"], "amounts": ["loan_amnt", "annual_inc"],
 def ablation(spark, sf_dir):
     """Concordance and AUC at 12 months with each group of features set to its mean, and the drop of both; one scoring pass over all variants."""
     df = design(spark, sf_dir)
-    model = models.fit_cox(df, FEATURES)
+    model = cox.fit_cox(df, FEATURES)
     risk = lambda gone: sum((F.col(f) * float(b) for f, b in zip(FEATURES, model.beta) if f not in gone), F.lit(0.0))
     variants = F.array(*[F.struct(F.lit(g).alias("dropped"), risk(fs).alias("r")) for g, fs in _GROUPS.items()])
     scored = stored(df.select("duration_months", "event", F.explode(variants).alias("v")).select("duration_months", "event", "v.dropped", F.round("v.r", 10).alias("risk")))

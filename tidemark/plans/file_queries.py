@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import parse
+from tidemark.operators import sampling, shapley
 from tidemark.plans.registry import query
-from tidemark.plans.views import RAW
+from tidemark.plans.views import LOANS, RAW, TIMES, loans
 from tidemark.sources import ingest
 from tidemark.sources.loans import raw_loans
 from tidemark.sources.shipping import ship
-from tidemark.sources.store import scratch
+from tidemark.sources.store import scratch, stored
 from tidemark.sources.tables import table
-from tidemark.streaming import blocks
+from tidemark.streaming import blocks, explaining
 
 FILES = 4
 WANTED = ["id", "loan_amnt", "annual_inc", "amount_text", "issue_d", "purpose", "num_sats"]
@@ -125,3 +127,78 @@ def stream_dedupe_first(spark, sf_dir):
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
     blocks.run_blocks(blocks.first_occurrences(stream, "doc_id", "same_text", ["same_text", "source"]), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("doc_id", "kind")
+
+
+# -- explanations that go on where they were stopped
+
+
+def _line(x):
+    """A survival that is linear in its features, so attributions have a closed form."""
+    return 1 - np.outer(x[:, 0] / 10 + x[:, 1] / 100_000 - x[:, 2] / 1_000_000, TIMES) / 1000
+
+
+def _resumed(spark, sf_dir):
+    """Every third loan explained in four blocks; the run is killed in its third block and started again. Returns the run, its targets and what stood when it was killed."""
+    ship(spark)
+    features = ["dti", "loan_amnt", "annual_inc"]
+    df = stored(loans(spark, sf_dir).select(F.col("id").alias("row_id"), F.coalesce("dti", F.lit(5.0)).alias("dti"), F.col("loan_amnt").cast("double").alias("loan_amnt"), F.col("annual_inc").cast("double").alias("annual_inc")))
+    ground = np.array(sampling.reservoir(df, "row_id", 50, 2).select(*features).collect(), float)
+    wanted = df.where("row_id % 3 = 0")
+    run = explaining.Explanations(scratch(spark))
+    low, high = wanted.agg(F.min("row_id"), F.max("row_id")).first()
+    for k in range(4):
+        wanted.where(F.floor((F.col("row_id") - low) * 4 / (high - low + 1)) == k).coalesce(1).write.mode("append").parquet(f"{run.folder}/targets")
+    stream = spark.readStream.schema(wanted.schema).option("maxFilesPerTrigger", 1).parquet(f"{run.folder}/targets")
+    blocks_seen = []
+
+    def explain(rows):
+        blocks_seen.append(1)
+        if len(blocks_seen) == 3:
+            raise RuntimeError("killed")
+        return shapley.kernel_shap(rows, ground, features, _line, TIMES)
+
+    try:
+        run.run(stream, explain)
+    except StreamingQueryException:
+        pass
+    killed = stored(run.snapshot(spark, wanted))
+    run.run(stream, explain)
+    return run, wanted, killed
+
+
+_SEED2 = "('0x' || substr(sha256('2:' || id), 1, 8))::BIGINT"
+_TARGETS = f"""{LOANS}, x AS (SELECT id, unnest(['dti', 'loan_amnt', 'annual_inc']) AS feature, unnest([coalesce(dti, 5.0) / 10, loan_amnt / 100000.0, -annual_inc / 1000000.0]::DOUBLE[]) AS v FROM loans),
+g AS (SELECT id FROM loans ORDER BY {_SEED2}, id LIMIT 50), m AS (SELECT feature, avg(v) AS m FROM x JOIN g USING (id) GROUP BY 1), w AS (SELECT id FROM loans WHERE id % 3 = 0), b AS (SELECT min(id) AS lo, max(id) AS hi FROM w)"""
+
+
+@query(f"""{_TARGETS} SELECT id AS row_id, floor((id - lo) * 4 / (hi - lo + 1))::INT AS batch, feature, t, round(-t / 1000.0 * (v - m), 6) + 0.0 AS phi FROM x JOIN m USING (feature) JOIN w USING (id), b, (SELECT unnest({TIMES}) AS t)""")
+def explanations_resumed(spark, sf_dir):
+    """After the restart each target has one result."""
+    run, _, _ = _resumed(spark, sf_dir)
+    return run.results(spark).select("row_id", F.col("batch").cast("int").alias("batch"), "feature", "t", (F.round("phi", 6) + 0.0).alias("phi"))
+
+
+@query(f"""{_TARGETS}, k AS (SELECT count(*) AS n, count_if(floor((id - lo) * 4 / (hi - lo + 1)) < 2) AS half FROM w, b)
+SELECT 'killed' AS "when", n AS target, half AS done, n - half AS pending, half > 0 AND half < n AS partial FROM k UNION ALL SELECT 'finished', n, n, 0, false FROM k""")
+def explanation_progress(spark, sf_dir):
+    """Targets, done and pending when the run was killed and when it had finished."""
+    run, wanted, killed = _resumed(spark, sf_dir)
+    return killed.select(F.lit("killed").alias("when"), "*").unionByName(run.snapshot(spark, wanted).select(F.lit("finished").alias("when"), "*"))
+
+
+@query(f"""{_TARGETS} SELECT id AS row_id, floor((id - lo) * 4 / (hi - lo + 1))::INT AS batch FROM w, b ORDER BY batch DESC, row_id DESC LIMIT 10""")
+def last_results(spark, sf_dir):
+    """The ten results that came last."""
+    run, _, _ = _resumed(spark, sf_dir)
+    return run.last(spark, 10)
+
+
+@query(f"""{LOANS} SELECT id, (id % 8)::INT AS block, CASE WHEN id % 8 IN (2, 5) AND id % 3 = 0 THEN 'explained' ELSE 'waiting' END AS state FROM loans""")
+def fill_gained_blocks(spark, sf_dir):
+    """A table in eight parts, two of which gain results and are rewritten."""
+    rows = loans(spark, sf_dir).select("id", (F.col("id") % 8).cast("int").alias("block"), F.lit("waiting").alias("state"))
+    path = scratch(spark)
+    rows.repartition("block").write.partitionBy("block").parquet(path)
+    gained = rows.where("block IN (2, 5) AND id % 3 = 0").withColumn("state", F.lit("explained"))
+    explaining.fill_blocks(spark, path, gained, "id", ["state"])
+    return spark.read.parquet(path).select("id", F.col("block").cast("int").alias("block"), "state")

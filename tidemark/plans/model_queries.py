@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import matching
-from tidemark.operators import boosting, evaluate, models, selection, survival
+from tidemark.operators import boosting, cox, design, evaluate, models, selection, survival
 from tidemark.plans.registry import query
-from tidemark.plans.views import accepted, loans
+from tidemark.plans.views import LOANS, accepted, loans
 from tidemark.sources.loans import raw_loans
 from tidemark.sources import tables
 from tidemark.sources.store import stored
@@ -70,22 +70,55 @@ def hazard_trees_survival(spark, sf_dir):
     return evaluate.calibration(df.join(s, "id"), 12)
 
 
+def _split(spark, sf_dir):
+    """Loans with a constant, a column that another explains, gaps and a rare level; even ids train."""
+    df = loans(spark, sf_dir).select("id", "event", "duration_months", F.col("dti").cast("double").alias("dti"), F.col("loan_amnt").cast("double").alias("loan_amnt"), F.col("mths_since_delinq").cast("double").alias("gap"), F.when(F.col("id") % 1999 == 0, "RARE").otherwise(F.col("purpose")).alias("purpose"))
+    df = df.withColumns({"constant": F.lit(7.0), "twice": F.col("loan_amnt") * 2 + 3})
+    numbers = ["dti", "loan_amnt", "gap", "constant", "twice", "nowhere"]
+    train = df.where("id % 2 = 0")
+    return df, design.fit_design(train, numbers, ["purpose"], ["gap"], least=5, total=20)
+
+
+_SPLIT = f"""{LOANS}, l AS (SELECT id, event, dti::DOUBLE AS dti, loan_amnt::DOUBLE AS loan_amnt, mths_since_delinq::DOUBLE AS gap, CASE WHEN id % 1999 = 0 THEN 'RARE' ELSE purpose END AS purpose FROM loans), tr AS (SELECT * FROM l WHERE id % 2 = 0),
+md AS (SELECT median(dti) AS d, median(loan_amnt) AS a, median(gap) AS g FROM tr), st AS (SELECT d, a, g, avg(coalesce(dti, d)) AS dm, stddev_samp(coalesce(dti, d)) AS ds, avg(loan_amnt) AS am, stddev_samp(loan_amnt) AS sa, avg(coalesce(gap, g)) AS gm, stddev_samp(coalesce(gap, g)) AS gs FROM tr, md GROUP BY d, a, g),
+ev AS (SELECT purpose, sum(event) AS e, sum(sum(event)) OVER () AS all_e, row_number() OVER (ORDER BY purpose) AS k FROM tr WHERE purpose IS NOT NULL GROUP BY purpose)"""
+
+
+@query(f"""{_SPLIT} SELECT unnest(['dti', 'loan_amnt', 'gap', 'constant', 'twice', 'nowhere', 'gap_missing']) AS "column", unnest([NULL, NULL, NULL, 'zero variance', 'explained by the columns before it', 'absent from input', NULL]) AS dropped, unnest([round(d, 6), round(a, 6), round(g, 6), 7, round(2 * a + 3, 6), NULL, NULL]) AS fill, unnest([round(dm, 6), round(am, 6), round(gm, 6), 7, round(2 * am + 3, 6), NULL, NULL]) AS mean, unnest([round(ds, 6), round(sa, 6), round(gs, 6), 1, round(2 * sa, 6), NULL, NULL]) AS deviation FROM st
+UNION ALL SELECT 'purpose_' || purpose, CASE WHEN all_e >= 20 AND e < 5 THEN e || ' events in this level, fewer than 5; in the reference level' END, NULL, NULL, NULL FROM ev WHERE k > 1""")
+def design_fit(spark, sf_dir):
+    """What the encoding learned from the training split, and what it left out and why."""
+    _, made = _split(spark, sf_dir)
+    names = [*made.numbers, *(c for c in made.dropped if c not in made.numbers), *(c for c in made.columns if c not in made.numbers)]
+    rows = [(c, made.dropped.get(c), *(round(x, 6) for x in made.numbers.get(c, ()))) if c in made.numbers else (c, made.dropped.get(c), None, None, None) for c in names]
+    return spark.createDataFrame(rows, "column string, dropped string, fill double, mean double, deviation double")
+
+
+@query(f"""{_SPLIT} SELECT id, round((coalesce(dti, d) - dm) / ds, 6) + 0.0 AS dti, round((coalesce(loan_amnt, a) - am) / sa, 6) + 0.0 AS loan_amnt, round((coalesce(gap, g) - gm) / gs, 6) + 0.0 AS gap, (gap IS NULL)::INT::DOUBLE AS gap_missing, (SELECT string_agg(p.purpose, ',') FROM ev p WHERE p.k > 1 AND NOT (p.all_e >= 20 AND p.e < 5) AND p.purpose = l.purpose) AS level FROM l, st WHERE id % 2 = 1""")
+def design_encode(spark, sf_dir):
+    """The other split by the training split's encoding; level: the one of its columns that is 1."""
+    df, made = _split(spark, sf_dir)
+    encoded = made.encode(df.where("id % 2 = 1"), ["id"])
+    ones = F.array_compact(F.array(*[F.when(F.col(f"purpose_{v}") == 1, v) for v in made.levels["purpose"] if f"purpose_{v}" in made.columns]))
+    return encoded.select("id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("dti", "loan_amnt", "gap")], "gap_missing", F.when(F.size(ones) > 0, F.array_join(ones, ",")).alias("level"))
+
+
 @query()
 def cox_fit(spark, sf_dir):
-    return models.cox_table(spark, models.fit_cox(_design(spark, sf_dir), FEATURES))
+    return cox.cox_table(spark, cox.fit_cox(_design(spark, sf_dir), FEATURES))
 
 
 @query()
 def cox_survival(spark, sf_dir):
     df = _design(spark, sf_dir)
-    rows = models.cox_survival(df, models.fit_cox(df, FEATURES), [6, 12, 24, 36], ["id"])
+    rows = cox.cox_survival(df, cox.fit_cox(df, FEATURES), [6, 12, 24, 36], ["id"])
     return rows.groupBy("t").agg(F.round(F.avg("survival"), 6).alias("mean_survival"), F.round(F.min("survival"), 6).alias("least"), F.round(F.max("survival"), 6).alias("most"))
 
 
 @query()
 def cox_ph_test(spark, sf_dir):
     df = _design(spark, sf_dir)
-    return models.proportional(df, models.fit_cox(df, FEATURES))
+    return cox.proportional(spark, cox.fit_cox(df, FEATURES))
 
 
 @query()
