@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import parse
 from tidemark.operators.profile import unpivoted
-from tidemark.operators.ranks import quantiles
+from tidemark.operators.ranks import quantiles, row_ranks
 
 
 def fit_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -19,8 +19,8 @@ def fit_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
 def fit_levels(df: DataFrame, columns: list[str], rare_below: int) -> DataFrame:
     """(column, level, count, rank, rare): levels by frequency, ties by level."""
     counts = unpivoted(df, columns, "string").where("value IS NOT NULL").groupBy("column", F.trim("value").alias("level")).count()
-    rank = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level"))
-    return counts.select("column", "level", "count", rank.alias("rank"), (F.col("count") < rare_below).alias("rare"))
+    ranked = row_ranks(counts.withColumn("less", -F.col("count")), "less", ["level"], ["column"])
+    return ranked.select("column", "level", "count", F.col("r").cast("int").alias("rank"), (F.col("count") < rare_below).alias("rare"))
 
 
 def align(df: DataFrame, column: str, levels: DataFrame, other: str = "other") -> DataFrame:

@@ -33,17 +33,18 @@ def level_shares(df: DataFrame, columns: list[str], current: Column) -> DataFram
     """(column, level, p, q): each level's share of the reference and of the current rows."""
     long = _sides(df, columns, "string", current)
     counts = long.groupBy("column", F.coalesce(F.trim("value"), F.lit("(missing)")).alias("level")).agg(F.count_if(F.col("_cur") == 0).alias("r"), F.count_if(F.col("_cur") == 1).alias("c"))
-    w = Window.partitionBy("column")
-    return counts.select("column", "level", (F.col("r") / F.greatest(F.sum("r").over(w), F.lit(1))).alias("p"), (F.col("c") / F.greatest(F.sum("c").over(w), F.lit(1))).alias("q"))
+    sums = F.broadcast(counts.groupBy("column").agg(F.greatest(F.sum("r"), F.lit(1)).alias("all_r"), F.greatest(F.sum("c"), F.lit(1)).alias("all_c")))  # a row per column
+    return counts.join(sums, "column").select("column", "level", (F.col("r") / F.col("all_r")).alias("p"), (F.col("c") / F.col("all_c")).alias("q"))
 
 
 def tvd(df: DataFrame, columns: list[str], current: Column) -> DataFrame:
     """(feature, score, unseen, moves): total variation distance, share of unseen levels, the three largest moves."""
     shares = level_shares(df, columns, current)
     move = F.round(F.col("q") - F.col("p"), 4)
-    ranked = shares.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc(F.abs(move)), "level")))
-    moves = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("r") <= 3, F.struct("r", F.concat(F.col("level"), F.lit(" "), F.format_string("%.4f", move)).alias("t"))))), lambda x: x["t"]), "; ")
-    return ranked.groupBy(F.col("column").alias("feature")).agg(F.round(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, 6).alias("score"), F.round(F.sum(F.when(F.col("p") == 0, F.col("q")).otherwise(0.0)), 6).alias("unseen"), moves.alias("moves"))
+    largest = shares.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc(F.abs(move)), "level"))).where("r <= 3")  # a limit a group, applied before the exchange
+    moves = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat(F.col("level"), F.lit(" "), F.format_string("%.4f", move)).alias("t")))), lambda x: x["t"]), "; ")
+    score = shares.groupBy("column").agg(F.round(F.sum(F.abs(F.col("p") - F.col("q"))) / 2, 6).alias("score"), F.round(F.sum(F.when(F.col("p") == 0, F.col("q")).otherwise(0.0)), 6).alias("unseen"))
+    return score.join(F.broadcast(largest.groupBy("column").agg(moves.alias("moves"))), "column").withColumnRenamed("column", "feature")  # a row per column
 
 
 def band(score: Column) -> Column:
@@ -70,8 +71,8 @@ def headline(table: DataFrame) -> DataFrame:
     n = lambda s: F.count_if(F.col("status") == s)
     row = table.agg(n("large").alias("n_large"), n("moderate").alias("n_moderate"), n("unknown").alias("n_unknown"), n("insufficient").alias("_few"))
     status = F.when(F.col("_few") > 0, "insufficient").when(F.col("n_large") > 0, "large").when(F.col("n_moderate") + F.col("n_unknown") > 0, "moderate").otherwise("stable")
-    text = F.when(F.col("status") == "insufficient", f"fewer than {LEAST_ROWS} rows: drift is not assessed")
-    text = text.when(F.col("status") == "large", F.format_string("%d feature(s) shifted heavily: decisions are indicative only", "n_large"))
-    text = text.when(F.col("status") == "moderate", F.format_string("%d feature(s) shifted, %d could not be compared: scores are less reliable there", "n_moderate", "n_unknown")).otherwise("no feature shifted materially")
+    text = F.when(F.col("status") == "insufficient", f"under {LEAST_ROWS} rows: too few to compare")
+    text = text.when(F.col("status") == "large", F.format_string("%d feature(s) moved far from training: read decisions with care", "n_large"))
+    text = text.when(F.col("status") == "moderate", F.format_string("%d feature(s) moved, %d had nothing to compare with", "n_moderate", "n_unknown")).otherwise("all features lie close to training")
     colour = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
     return row.withColumn("status", status).select("status", F.element_at(colour, F.col("status")).alias("colour"), "n_large", "n_moderate", "n_unknown", text.alias("headline"))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.ranks import row_ranks
 from tidemark.operators.sampling import row_seed
 
 
-def applicant_id(given: Column, order: Column) -> Column:
-    """The given id, or APP- and the row's number in file order, six digits. One global order: for a file of applicants."""
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order))
-    return F.coalesce(F.nullif(F.trim(given), F.lit("")), F.concat(F.lit("APP-"), F.lpad(number.cast("string"), 6, "0")))
+def with_applicant_ids(df: DataFrame, given: str, order: str, name: str = "applicant_id") -> DataFrame:
+    """Adds the given id, or APP- and the row's number in file order, six digits at least; order: unique."""
+    ranked = row_ranks(df, order, [])
+    number = F.col("r").cast("string")
+    return ranked.withColumn(name, F.coalesce(F.nullif(F.trim(given), F.lit("")), F.concat(F.lit("APP-"), F.lpad(number, F.greatest(F.length(number), F.lit(6)), "0")))).drop("r")
 
 
 def targets(df: DataFrame, key: str, mode: str, n: int = 0, seed: int = 1) -> DataFrame:

@@ -46,10 +46,12 @@ def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
 def frequencies(df: DataFrame, columns: list[str], top: int = 15) -> DataFrame:
     """The most frequent levels of each column (ties by level), and the rest as one row."""
     counts = unpivoted(df, columns, "string").groupBy("column", F.coalesce(F.trim("value"), F.lit("(missing)")).alias("level")).count()
-    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level"))).withColumn("all", F.sum("count").over(Window.partitionBy("column")))
-    named = ranked.withColumn("others", F.sum(F.when(F.col("r") > top, 1).otherwise(0)).over(Window.partitionBy("column")))
-    level = F.when(F.col("r") <= top, F.col("level")).otherwise(F.concat(F.lit("(other "), F.col("others").cast("string"), F.lit(" levels)")))
-    return named.groupBy("column", level.alias("level")).agg(F.sum("count").alias("count"), F.round(F.sum("count") / F.max("all"), 4).alias("share"))
+    every = F.broadcast(counts.groupBy("column").agg(F.sum("count").alias("all"), F.count(F.lit(1)).alias("levels")))  # a row per column
+    named = counts.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "level"))).where(F.col("r") <= top).drop("r")  # a limit a group, applied before the exchange
+    named = named.join(every, "column")
+    rest = named.groupBy("column").agg((F.max("all") - F.sum("count")).alias("count"), (F.max("levels") - F.count(F.lit(1))).alias("others"), F.max("all").alias("all")).where("others > 0")
+    rest = rest.select("column", F.concat(F.lit("(other "), F.col("others").cast("string"), F.lit(" levels)")).alias("level"), "count", "all")
+    return named.select("column", "level", "count", "all").unionByName(rest).select("column", "level", "count", F.round(F.col("count") / F.col("all"), 4).alias("share"))
 
 
 def outliers(df: DataFrame, columns: list[str]) -> DataFrame:

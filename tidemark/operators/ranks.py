@@ -18,24 +18,28 @@ def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     return stored(df.repartitionByRange(*by, *order).withColumn("_b", F.spark_partition_id()))
 
 
-def sums_below(cells: DataFrame, by: list[str], value: str, sums: dict[str, str]) -> DataFrame:
-    """cells: one row per group and value. Adds, for each name: column of `sums`, the column's sum over smaller values of the group."""
-    rows = dealt(cells, by, [value])
-    totals = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
-    before = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_t_{name}") for name in sums])
+def sums_below(cells: DataFrame, by: list[str], value: str, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """cells: one row per group and value. Adds, for each name: column of `sums`, the column's sum over smaller values of the group, and for each of `totals` its sum over the whole group."""
+    rows, totals = dealt(cells, by, [value]), totals or {}
+    parts = rows.groupBy(*by, "_b").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in (sums | totals).items()])
+    group = Window.partitionBy(*(by or [F.lit(1)]))  # over sums: a row per partition that the group reaches
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_t_{name}") for name in sums], *[F.sum(f"_t_{name}").over(group).alias(f"_t_{name}") for name in totals])
     inside = Window.partitionBy(*by, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(totals, [*by, "_b"])  # a row per group and partition: small, but no bound is proven
-    return joined.withColumns({name: F.col(f"_t_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()}).drop("_b", *[f"_t_{name}" for name in sums])
+    joined = rows.join(parts, [*by, "_b"])  # a row per group and partition: small, but no bound is proven
+    found = {name: F.col(f"_t_{name}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for name, c in sums.items()} | {name: F.col(f"_t_{name}") for name in totals}
+    return joined.withColumns(found).drop("_b", *[f"_t_{name}" for name in sums | totals])
 
 
-def row_ranks(df: DataFrame, value: str, ties: list[str]) -> DataFrame:
-    """Adds r: the row's rank from 1 by the value, then by `ties`."""
-    rows = dealt(df, [], [value, *ties])
-    totals = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(1)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = rows.join(F.broadcast(totals.select("_b", before.alias("_before"))), "_b")  # a row per partition
-    return joined.withColumn("r", F.col("_before") + F.row_number().over(Window.partitionBy("_b").orderBy(value, *ties))).drop("_b", "_before")
+def row_ranks(df: DataFrame, value: str, ties: list[str], by: list[str] | None = None) -> DataFrame:
+    """Adds r: the row's rank from 1, in its group if `by` is given, by the value and then by `ties`."""
+    by = by or []
+    rows = dealt(df, by, [value, *ties])
+    parts = rows.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*(by or [F.lit(1)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*by, "_b", before.alias("_before"))
+    joined = rows.join(parts, [*by, "_b"]) if by else rows.join(F.broadcast(parts), "_b")  # without groups: a row per partition
+    return joined.withColumn("r", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value, *ties))).drop("_b", "_before")
 
 
 def quantiles(long: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
@@ -44,12 +48,7 @@ def quantiles(long: DataFrame, by: list[str], value: str, probabilities: list[fl
     Values are counted first; then only the values next to each wanted rank are kept.
     """
     cells = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    placed = sums_below(cells, by, "_v", {"_below": "_c"})
-    total = F.sum("_c").over(Window.partitionBy(*by)) if by else None
-    if by:
-        placed = placed.withColumn("_n", total)
-    else:
-        placed = placed.crossJoin(F.broadcast(cells.agg(F.sum("_c").alias("_n"))))  # one row
+    placed = sums_below(cells, by, "_v", {"_below": "_c"}, {"_n": "_c"})
     wanted = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * p).alias("h")) for i, p in enumerate(probabilities)])
     last = F.col("_below") + F.col("_c") - 1
     near = placed.select(*by, "_v", "_below", last.alias("_last"), F.explode(wanted).alias("w")).where((F.floor("w.h") <= F.col("_last")) & (F.ceil("w.h") >= F.col("_below")))

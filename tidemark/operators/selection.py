@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.profile import unpivoted
 from tidemark.operators.ranks import quantiles, sums_below
+from tidemark.sources.store import stored
 
 #: Bands of the gate.
 SMD_BANDS, AUC_BANDS, STRONG_AUC, LEAST_SUPPORT = (0.10, 0.25), (0.55, 0.65), 0.75, 0.05
@@ -27,20 +30,27 @@ def smd(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
 def _ladder(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
     """Counts of both sides per distinct value, with the counts below it."""
     cells = _long(df, columns, accepted).groupBy("column", "value").agg(F.count_if("_a").alias("a"), F.count_if(~F.col("_a")).alias("b"))
-    return sums_below(cells, ["column"], "value", {"below_a": "a", "below_b": "b"})
+    return sums_below(cells, ["column"], "value", {"below_a": "a", "below_b": "b"}, {"all_a": "a", "all_b": "b"})
 
 
-def rank_auc(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
+def rank_auc(df: DataFrame, columns: list[str], accepted: Column, ladder: DataFrame | None = None) -> DataFrame:
     """(feature, rank_auc): how often an accepted value is above a rejected one, ties half."""
-    g = _ladder(df, columns, accepted).groupBy(F.col("column").alias("feature")).agg(F.sum(F.col("a") * (F.col("below_b") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
+    g = (ladder or _ladder(df, columns, accepted)).groupBy(F.col("column").alias("feature")).agg(F.sum(F.col("a") * (F.col("below_b") + F.col("b") / 2)).alias("u"), F.sum("a").alias("n1"), F.sum("b").alias("n2"))
     return g.select("feature", F.round(F.when((F.col("n1") >= 2) & (F.col("n2") >= 2), F.col("u") / (F.col("n1") * F.col("n2"))), 6).alias("rank_auc"))
 
 
-def ks(df: DataFrame, columns: list[str], accepted: Column) -> DataFrame:
-    """(feature, ks): the largest gap of the two distribution functions."""
-    w = Window.partitionBy("column")
-    gap = F.abs((F.col("below_a") + F.col("a")) / F.greatest(F.sum("a").over(w), F.lit(1)) - (F.col("below_b") + F.col("b")) / F.greatest(F.sum("b").over(w), F.lit(1)))
-    return _ladder(df, columns, accepted).withColumn("gap", gap).groupBy(F.col("column").alias("feature")).agg(F.round(F.max("gap"), 6).alias("ks"))
+def ks(df: DataFrame, columns: list[str], accepted: Column, ladder: DataFrame | None = None) -> DataFrame:
+    """(feature, ks, p): the largest gap of the two distribution functions, and Kolmogorov's limit for its chance under equal populations."""
+    gap = F.abs((F.col("below_a") + F.col("a")) / F.greatest("all_a", F.lit(1)) - (F.col("below_b") + F.col("b")) / F.greatest("all_b", F.lit(1)))
+    g = (ladder or _ladder(df, columns, accepted)).groupBy(F.col("column").alias("feature")).agg(F.max(gap).alias("d"), F.max("all_a").alias("n1"), F.max("all_b").alias("n2"))
+    return g.select("feature", F.round("d", 6).alias("ks"), F.round(kolmogorov(F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2"))) * F.col("d")), 6).alias("p"))
+
+
+def kolmogorov(x: Column) -> Column:
+    """The chance that Kolmogorov's statistic exceeds x: the alternating series, or the theta series where that converges slowly."""
+    far = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * x * x) for k in range(1, 9)), F.lit(0.0))
+    near = F.lit(1.0) - F.lit(math.sqrt(2 * math.pi)) / x * sum((F.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8.0 * x * x)) for k in range(1, 6)), F.lit(0.0))
+    return F.when(x <= 1e-9, 1.0).when(x < 1.0, F.least(near, F.lit(1.0))).otherwise(F.greatest(far, F.lit(0.0)))
 
 
 def common_support(df: DataFrame, score: str, accepted: Column) -> DataFrame:
@@ -54,7 +64,8 @@ def common_support(df: DataFrame, score: str, accepted: Column) -> DataFrame:
 def verdicts(df: DataFrame, good: list[str], partial: list[str], accepted: Column) -> DataFrame:
     """(feature, comparability, smd, rank_auc, ks, verdict). Like-for-like features are judged by SMD, others by rank AUC."""
     every = [*good, *partial]
-    rows = smd(df, every, accepted).join(rank_auc(df, every, accepted), "feature").join(ks(df, every, accepted), "feature")
+    ladder = stored(_ladder(df, every, accepted))
+    rows = smd(df, every, accepted).join(rank_auc(df, every, accepted, ladder), "feature").join(ks(df, every, accepted, ladder).drop("p"), "feature")
     grade = F.when(F.col("feature").isin(*good), "good").otherwise("partial")
     size = F.when(grade == "good", F.abs("smd")).otherwise(F.abs(F.col("rank_auc") - 0.5) + 0.5)
     low, high = F.when(grade == "good", SMD_BANDS[0]).otherwise(AUC_BANDS[0]), F.when(grade == "good", SMD_BANDS[1]).otherwise(AUC_BANDS[1])

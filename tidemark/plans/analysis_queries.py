@@ -56,7 +56,7 @@ def drift_compare(spark, sf_dir):
 @query(f"""{RAW}, {_PSI}, {_TVD}, n AS (SELECT count_if(year(o_orderdate) >= 1999) < 500 AS few FROM raw), u AS (SELECT round(score, 4) AS score FROM psi UNION ALL SELECT round(score, 4) FROM tvd), hc AS (SELECT CASE WHEN few THEN 'insufficient' ELSE {_BAND} END AS status FROM u, n),
 hr AS (SELECT count_if(status = 'large')::BIGINT AS n_large, count_if(status = 'moderate')::BIGINT AS n_moderate, count_if(status = 'unknown')::BIGINT AS n_unknown, count_if(status = 'insufficient')::BIGINT AS n_few FROM hc), hs AS (SELECT *, CASE WHEN n_few > 0 THEN 'insufficient' WHEN n_large > 0 THEN 'large' WHEN n_moderate + n_unknown > 0 THEN 'moderate' ELSE 'stable' END AS status FROM hr)
 SELECT status, CASE status WHEN 'insufficient' THEN 'grey' WHEN 'large' THEN 'red' WHEN 'moderate' THEN 'amber' ELSE 'green' END AS colour, n_large, n_moderate, n_unknown,
-CASE status WHEN 'insufficient' THEN 'fewer than 500 rows: drift is not assessed' WHEN 'large' THEN n_large || ' feature(s) shifted heavily: decisions are indicative only' WHEN 'moderate' THEN n_moderate || ' feature(s) shifted, ' || n_unknown || ' could not be compared: scores are less reliable there' ELSE 'no feature shifted materially' END AS headline FROM hs""")
+CASE status WHEN 'insufficient' THEN 'under 500 rows: too few to compare' WHEN 'large' THEN n_large || ' feature(s) moved far from training: read decisions with care' WHEN 'moderate' THEN n_moderate || ' feature(s) moved, ' || n_unknown || ' had nothing to compare with' ELSE 'all features lie close to training' END AS headline FROM hs""")
 def drift_headline(spark, sf_dir):
     return drift.headline(drift.compare(_populations(spark, sf_dir), _NUM, _CAT, F.col("current")))
 
@@ -80,7 +80,11 @@ def rank_auc(spark, sf_dir):
     return selection.rank_auc(accepted(spark, sf_dir), _SEL, F.col("accepted"))
 
 
-@query(f"{RAW}, {_SV}, {_LADDER} SELECT feature, ks FROM auc")
+_X = "sqrt(max(na) * max(nb) / (max(na) + max(nb))) * max(abs((below_a + a) / na - (below_b + b) / nb))"
+
+
+@query(f"""{RAW}, {_SV}, {_LADDER}, x AS (SELECT feature, {_X} AS x FROM ll GROUP BY 1), p AS (SELECT feature, CASE WHEN x <= 1e-9 THEN 1 WHEN x < 1 THEN least(1 - sqrt(2 * pi()) / x * list_sum(list_transform(range(1, 6), lambda k: exp(-pow(2 * k - 1, 2) * pi() * pi() / (8 * x * x)))), 1)
+ELSE greatest(list_sum(list_transform(range(1, 9), lambda k: 2 * pow(-1, k - 1) * exp(-2.0 * k * k * x * x))), 0) END AS p FROM x) SELECT feature, ks, round(p, 6) AS p FROM auc JOIN p USING (feature)""")
 def ks_stat(spark, sf_dir):
     return selection.ks(accepted(spark, sf_dir), _SEL, F.col("accepted"))
 

@@ -56,7 +56,7 @@ def feature_tiers(spark, sf_dir):
 @query(f"""{RAW} SELECT id, coalesce(nullif(trim(CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN ' A' || id END), ''), 'APP-' || lpad((row_number() OVER (ORDER BY id))::VARCHAR, 6, '0')) AS applicant_id FROM raw""")
 def applicant_ids(spark, sf_dir):
     given = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.concat(F.lit(" A"), F.col("id").cast("string")))
-    return raw_loans(spark, sf_dir).select("id", governance.applicant_id(given, F.col("id")).alias("applicant_id"))
+    return governance.with_applicant_ids(raw_loans(spark, sf_dir).select("id", given.alias("given")), "given", "id").select("id", "applicant_id")
 
 
 @query(f"""WITH o AS (SELECT o_orderkey, o_orderkey % 5 = 0 AS done, row_number() OVER (ORDER BY {_SEED}, o_orderkey) AS r FROM orders) SELECT CASE WHEN done THEN 'explained' WHEN r <= 1000 THEN 'pending' ELSE 'outside sample' END AS mark, count(*) AS n FROM o GROUP BY 1""")
