@@ -59,8 +59,8 @@ def first_digits(c: Column) -> Column:
 def month(c: Column) -> Column:
     """The first day of the month that the text names in one of the formats; two-digit years are 1969 to 2068."""
     t = F.trim(c)
-    form = reduce(lambda x, y: x.when(t.rlike(y[0]), y[1]), list(zip(_MONTH_SHAPES, MONTH_FORMATS))[1:], F.when(t.rlike(_MONTH_SHAPES[0]), MONTH_FORMATS[0]))
-    first = F.trunc(F.try_to_timestamp(t, form).cast("date"), "MM")
+    read = [(t.rlike(shape), F.try_to_timestamp(t, F.lit(form)).cast("date")) for shape, form in zip(_MONTH_SHAPES, MONTH_FORMATS)]  # a format that is a literal is compiled once
+    first = F.trunc(reduce(lambda x, y: x.when(*y), read[1:], F.when(*read[0])), "MM")
     return F.add_months(first, F.when(t.rlike(_MONTH_SHAPES[2]) & (F.substring(t, -2, 2) >= "69"), -1200).otherwise(0))
 
 

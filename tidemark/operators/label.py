@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import parse
+from tidemark.sources.store import stored
 
 
 class LabelRule(NamedTuple):
@@ -19,8 +20,12 @@ class LabelRule(NamedTuple):
 
 
 def labelled(df: DataFrame, rule: LabelRule = LabelRule(), cutoff: str | None = None) -> DataFrame:
-    """Every input row with its target and `reason` (null: kept). The cutoff is the latest payment or issue month, unless given."""
-    df = df.withColumns({"outcome": parse.outcome(F.col("loan_status"), rule.late_is_event, rule.with_exceptions), "issue_month": parse.month(F.col("issue_d")), "last_pymnt_month": parse.month(F.col("last_pymnt_d")), "term_months": parse.first_digits(F.col("term"))})
+    """Every input row with its target and `reason` (null: kept). The cutoff is the latest payment or issue month, unless given.
+
+    The parsed rows are stored: the cutoff needs all of them first, the source is read once, and filters
+    on the target are not spelled out down to the texts.
+    """
+    df = stored(df.withColumns({"outcome": parse.outcome(F.col("loan_status"), rule.late_is_event, rule.with_exceptions), "issue_month": parse.month(F.col("issue_d")), "last_pymnt_month": parse.month(F.col("last_pymnt_d")), "term_months": parse.first_digits(F.col("term"))}))
     if cutoff:
         df = df.withColumn("cutoff", F.lit(cutoff).cast("date"))
     else:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,7 @@ def raw_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").join(items, "o_orderkey", "left").join(customers, "o_custkey", "left")
     key = F.col("o_orderkey")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), at.cast("int"))
-    issue = F.when(key % 211 == 0, "not-a-date").otherwise(F.call_function("date_format", F.col("o_orderdate"), pick(MONTH_FORMATS, key % 6 + 1)))
+    issue = F.when(key % 211 == 0, "not-a-date").otherwise(reduce(lambda x, k: x.when(key % 6 == k, F.date_format("o_orderdate", MONTH_FORMATS[k])), range(1, 6), F.when(key % 6 == 0, F.date_format("o_orderdate", MONTH_FORMATS[0]))))
     closed = ("  charged off  ", "Default", "Charged Off", "Charged Off", "Charged Off")
     number = F.substring("o_orderpriority", 1, 1).cast("int") + F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 5).otherwise(10)
     state = pick((*closed, *["Fully Paid"] * 5, *_OPEN), number)
