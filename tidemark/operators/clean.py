@@ -60,6 +60,37 @@ def numeric_report(df: DataFrame, columns: list[str]) -> DataFrame:
     return agg.select("column", F.explode(rules).alias("x")).select("column", "x.rule", "x.count", "x.detail")
 
 
+def full_report(df: DataFrame, numbers: DataFrame, levels: DataFrame, numeric: list[str], categorical: list[str], unseen: int = 10) -> DataFrame:
+    """(column, rule, detail, count) of text columns cleaned with fitted values: what numeric_report has, clipped and out_of_range of numbers, and pooled, missing_after and the most frequent unseen levels of categories.
+
+    numbers: fit_numeric's rows (p1 and p99 clip, low and high are the range); levels: fit_levels' rows.
+    Reports of blocks add up: sum the counts by column, rule and detail.
+    """
+    long = unpivoted(df, numeric, "string").join(F.broadcast(numbers), "column")  # a row per column
+    x = parse.number(F.col("value"))
+    bounds = long.groupBy("column").agg(F.count_if((x < F.col("p1")) | (x > F.col("p99"))).alias("clipped"), F.count_if((x < F.col("low")) | (x > F.col("high"))).alias("out_of_range"))
+    counts = unpivoted(df, categorical, "string").groupBy("column", parse.present(F.col("value")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    known = counts.join(levels.select("column", "level", "rare"), ["column", "level"], "left")
+    is_unseen = F.col("level").isNotNull() & F.col("rare").isNull()
+    pooled = known.groupBy("column").agg(F.sum(F.when(F.col("rare"), F.col("n")).otherwise(0)).alias("pooled"), F.sum(F.when(F.col("rare").isNull(), F.col("n")).otherwise(0)).alias("missing_after"))
+    top = known.where(is_unseen).withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "level"))).where(F.col("r") <= unseen)  # a limit a group, applied before the exchange
+
+    def rules(rows: DataFrame, names: list[str]) -> DataFrame:
+        return rows.select("column", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.lit("").alias("detail"), F.col(r).cast("long").alias("count")) for r in names])).alias("x")).select("column", "x.*")
+
+    every = numeric_report(df, numeric).select("column", "rule", "detail", "count").unionByName(rules(bounds, ["clipped", "out_of_range"]))
+    return every.unionByName(rules(pooled, ["pooled", "missing_after"])).unionByName(top.select("column", F.lit("unseen").alias("rule"), F.col("level").alias("detail"), F.col("n").alias("count")))
+
+
+def merged_report(reports: DataFrame, examples: int = 3, unseen: int = 10) -> DataFrame:
+    """The report of a file from those of its blocks: counts add up, examples are the first ones, unseen levels the most frequent ones (of the levels that blocks named)."""
+    plain = reports.where("rule <> 'unseen'").groupBy("column", "rule").agg(F.sum("count").alias("count"), F.array_distinct(F.flatten(F.collect_list(F.when(F.col("detail") != "", F.split("detail", ", "))))).alias("e"))
+    plain = plain.select("column", "rule", F.array_join(F.slice(F.array_sort("e"), 1, examples), ", ").alias("detail"), "count")
+    levels = reports.where("rule = 'unseen'").groupBy("column", "rule", "detail").agg(F.sum("count").alias("count"))
+    levels = levels.withColumn("r", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("count"), "detail"))).where(F.col("r") <= unseen).drop("r")
+    return plain.unionByName(levels)
+
+
 def first_per_key(df: DataFrame, key: Column, order: Column, compared: list[str]) -> DataFrame:
     """Every row with its kind: kept (the first in order), duplicate_row (equal to the kept row) or duplicate_key.
 

@@ -122,3 +122,25 @@ def calibration(df: DataFrame, t: int, bins: int = 10) -> DataFrame:
     observed = at_times(kaplan_meier(cells, ["bin"], count=F.col("c")), [t], ["bin"]).select("bin", F.col("survival").alias("observed_survival"))
     mean = cells.groupBy("bin").agg(F.sum("c").alias("n"), F.round(F.sum("s") / F.sum("c"), 6).alias("predicted_survival"))
     return mean.where("n >= 2").join(observed, "bin").select("bin", "n", "predicted_survival", F.round("observed_survival", 6).alias("observed_survival"), F.round(F.col("predicted_survival") - F.round("observed_survival", 6), 6).alias("error"))
+
+
+#: Fixed value: below this share under observation an estimate has a high variance.
+HIGH_VARIANCE_G = 0.05
+
+
+def summary(df: DataFrame, times: list[int], by: list[str] | None = None) -> DataFrame:
+    """One row, or one for each of `by`: n, event_rate, concordance, integrated Brier score, AUC by time, and the horizons that are unreliable or of high variance.
+
+    df: duration_months, event, risk and hazard. Horizons later than a group's last month are left out
+    of its lists and its integral.
+    """
+    by = by or []
+    size = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("event"), 6).alias("event_rate"), F.max("duration_months").alias("_last"))
+    c = concordance(df, by).drop("n_pairs")
+    auc, score = cumulative_auc(df, times, by), brier(df, times, by)
+    join = lambda x, y: x.join(y, by) if by else x.crossJoin(F.broadcast(y))  # noqa: E731  one row each
+    within = lambda x: join(x, size.select(*by, "_last")).where(F.col("t") <= F.col("_last")).drop("_last")
+    listed = lambda cond: F.array_join(F.array_sort(F.collect_list(F.when(cond, F.col("t")))).cast("array<string>"), ",")
+    a = within(auc).groupBy(*by).agg(*[F.max(F.when(F.col("t") == t, F.col("auc"))).alias(f"auc_{t}m") for t in times], listed(~F.col("reliable")).alias("unreliable_horizons"), listed(F.col("g_at_t") < HIGH_VARIANCE_G).alias("high_variance_horizons"), F.array_join(F.array_sort(F.collect_list("t")).cast("array<string>"), ",").alias("horizons"))
+    ibs = integrated(within(score), "brier", by).withColumnRenamed("integrated", "ibs")
+    return join(join(join(size, c), ibs), a).drop("_last")

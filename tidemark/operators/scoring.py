@@ -112,6 +112,51 @@ def processing_history(days: DataFrame, windows: tuple[int, ...] = (7, 30)) -> D
     return days.withColumns(sums)
 
 
+def distinct_trailing(df: DataFrame, key: str, day: str, windows: tuple[int, ...] = (7, 30)) -> DataFrame:
+    """(day, distinct_7, distinct_30): how many keys each trailing window of days holds.
+
+    A key counts from a day on which it is seen until the window has passed or it is seen again; these
+    spans don't overlap, so their begins and ends are counted by day and summed. A key that many rows
+    have is one row a day; the last sum runs over days alone. Days are those of the table.
+    """
+    seen = df.where(F.col(day).isNotNull() & F.col(key).isNotNull()).select(key, F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("x")).distinct()
+    following = F.lead("x").over(Window.partitionBy(key).orderBy("x"))
+    out = df.where(F.col(day).isNotNull()).select(F.col(day).alias("day"), F.datediff(F.col(day), F.lit("1970-01-01").cast("date")).alias("x")).distinct()
+    for k in windows:
+        spans = seen.withColumn("end", F.least(F.col("x") + k, F.coalesce(following, F.col("x") + k)))
+        steps = spans.select(F.explode(F.array(F.struct(F.col("x").alias("x"), F.lit(1).alias("n")), F.struct(F.col("end").alias("x"), F.lit(-1).alias("n")))).alias("s")).groupBy("s.x").agg(F.sum("s.n").alias("n"))
+        both = out.select("x", F.lit(0).cast("long").alias("n")).unionByName(steps).groupBy("x").agg(F.sum("n").alias("n"))
+        running = both.select("x", F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("x")).alias(f"distinct_{k}"))  # a row per day
+        out = out.join(running, "x")
+    return out.drop("x")
+
+
+def newest_runs(runs: DataFrame, order: str, newest: int) -> DataFrame:
+    """The newest runs with approval_share, its change from the run before and the mean of the last three. runs: order (unique), approved, applicants."""
+    last = runs.orderBy(F.desc(order)).limit(newest + 3)  # a report; three more for the trend
+    w = Window.partitionBy(F.lit(1)).orderBy(order)  # at most newest + 3 rows
+    share = F.col("approved") / F.nullif(F.col("applicants"), F.lit(0))
+    rows = last.withColumn("_s", share)
+    rows = rows.withColumns({"approval_share": F.round("_s", 6), "change": F.round(F.col("_s") - F.lag("_s").over(w), 6), "trend": F.round(F.avg("_s").over(w.rowsBetween(-2, 0)), 6)}).drop("_s")
+    return rows.orderBy(F.desc(order)).limit(newest)
+
+
+def overview(df: DataFrame, ranges: dict[str, tuple[float, float]], threshold: float) -> DataFrame:
+    """One row of a scored table: rows, approved, rejected, mean_risk, rows_out_of_range, most_out_of_range; df: pd, decision and the columns of ranges."""
+    outside = sum((F.coalesce(((F.col(c) < lo) | (F.col(c) > hi)).cast("int"), F.lit(0)) for c, (lo, hi) in ranges.items()), F.lit(0))
+    n = F.count_if
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), n(F.col("decision") == "approve").alias("approved"), n(F.col("decision") == "reject").alias("rejected"),
+        F.round(F.sum(F.coalesce(F.nanvl("pd", F.lit(0.0)), F.lit(0.0))) / F.count(F.lit(1)), 6).alias("mean_risk"), n(outside > 0).alias("rows_out_of_range"), F.coalesce(F.max(outside), F.lit(0)).cast("long").alias("most_out_of_range"),
+    )
+
+
+def risk_bins(df: DataFrame, threshold: float, bins: int = 40) -> DataFrame:
+    """The histogram with the decision that most of a bin's applicants get: that of the bin's middle."""
+    middle = (F.col("bin") + 0.5) / bins
+    return histogram(df, bins).withColumn("decision", F.when(middle >= threshold, "reject").otherwise("approve"))
+
+
 def reason_shares(df: DataFrame, reasons: str = "reasons") -> DataFrame:
     """(reason, n, share_of_rows)."""
     rows = F.broadcast(df.agg(F.count(F.lit(1)).alias("_all")))  # one row

@@ -86,6 +86,7 @@ def ingest_csv(spark: SparkSession, path: str, out: str, wanted: list[str], nume
     name in the output. Files may differ in the order of their columns and in what stands before.
     """
     rename = rename or {}
+    spark = spark.newSession()  # a session that has observed something can't be part of a task any more, as some models have it
     named = find_headers(spark, path, wanted)
     layouts = named.groupBy("header", "before").agg(F.min("line_no").alias("line_no")).orderBy("header", "before").collect()  # a row a layout
     if not layouts:
