@@ -111,19 +111,20 @@ class Phrases:
     """Test items as word numbers, and their windows.
 
     words: the number (place in vocabulary) of every item word; start, size: of each window in words;
-    item: which of `ids` each window belongs to.
+    item: which of `ids` each window belongs to. Without a width an item is one window, however long.
     """
 
-    def __init__(self, ids: list[str | None], texts: list[str | None], width: int):
+    def __init__(self, ids: list[str | None], texts: list[str | None], width: int | None):
         b = Batch(pa.array(texts, pa.string()), ALNUM, lower=True)
         codes, at, words = np.unique(b.codes(Numbers()), return_index=True, return_inverse=True) if len(b.start) else (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.vocabulary = pa.array([b.word(i) for i in at], pa.binary())
         self.words = words.astype(np.int32)
         self.ids = list(dict.fromkeys(ids))
         item_of = {x: i for i, x in enumerate(self.ids)}
+        width = max(1, int(b.counts.max(initial=0))) if width is None else width
         windows = np.where(b.counts > 0, np.maximum(b.counts - width, 0) + 1, 0)
         self.start = (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(b.first[:-1], windows)).astype(np.int32)
-        self.size = np.repeat(np.minimum(b.counts, width), windows).astype(np.int8)
+        self.size = np.repeat(np.minimum(b.counts, width), windows).astype(np.int32)
         self.item = np.repeat(np.array([item_of[x] for x in ids], np.int32), windows)
 
 
@@ -205,7 +206,7 @@ def _segments(batch: pa.RecordBatch) -> Iterator[tuple[int, Postings]]:
 
 def search_index(index: DataFrame, phrases: list[str], near: int | None = None) -> DataFrame:
     """(doc_id, phrase, kind, position): each exact place of a phrase (its number in the list), and with `near` a row for each document with a proximity match."""
-    wanted = Phrases([str(i) for i in range(len(phrases))], phrases, 127)
+    wanted = Phrases([str(i) for i in range(len(phrases))], phrases, None)
 
     def search(batches):
         for batch in batches:
