@@ -110,11 +110,11 @@ def predict(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id"
     return plain.mapInArrow(score, f"id {kind}, held_out boolean, lang_pred string, score double, accepted boolean").withColumnRenamed("id", id_col)
 
 
-def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = 4000, least: int = 200, languages: int = 400) -> LanguageModel | None:
-    """A model of the most frequent `languages`, from about `rows` rows with a language (`least` of each, or all it has), outside the held-out fold."""
+def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = 4000, least: int = 200) -> LanguageModel | None:
+    """A model of every language, from about `rows` rows with a language (`least` of each, or all it has), outside the held-out fold."""
     own = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("label"))
     own = own.where(F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    counts = own.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("id", "text")).alias("n")).orderBy(F.desc("n"), "label").limit(languages).collect()
+    counts = own.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("id", "text")).alias("n")).orderBy(F.desc("n"), "label").collect()  # a row a language
     if not counts:
         return None
     total = sum(r.n for r in counts)
