@@ -4,7 +4,8 @@ A record is written once, into a frame of many records; frames are independent,
 read a record. A bundle is a `.warc.zst` file: its frames and, in a skippable frame at its end, the
 seek table of the public seekable format: each frame's compressed and plain size. Beside the bundles
 stands a table, `index`, with each bundle's record ids and their frame, offset in the plain frame and
-length.
+length; where a frame lies in the file is in the footer alone, from which readers take it. `index_records`
+adds a table sorted by page, so that a lookup reads a row group of it, a footer and a frame.
 
 Bundles are written by the tasks that make them, under a name of the task's attempt, through the file
 system of the folder's URI; the index names only those of attempts that ended well, and readers start
@@ -25,6 +26,7 @@ import base64
 import hashlib
 import re
 import struct
+from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 import zstandard
@@ -38,7 +40,7 @@ from tidemark.llm.shared import looked_up, stored
 #: Fixed values of the seekable Zstandard format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-INDEX = "file string, frames_at array<long>, frame_sizes array<int>, record_ids array<string>, frames array<int>, offsets array<int>, lengths array<int>"
+INDEX = "file string, record_ids array<string>, frames array<int>, offsets array<int>, lengths array<int>"
 
 
 def digest32(payload: bytes) -> str:
@@ -103,38 +105,38 @@ class BundleWriter:
             self.open, self.open_size = [], 0
 
     def finish(self) -> tuple[bytes, list]:
-        """The file's bytes, and its index row: frames' places and plain sizes, record ids, frames, offsets, lengths."""
+        """The file's bytes, and its index row: record ids, their frames, offsets in the frames, lengths."""
         self.close_frame()
         table = b"".join(struct.pack("<II", *x) for x in self.sizes) + struct.pack("<IBI", len(self.sizes), 0, SEEKABLE_MAGIC)
         data = b"".join(self.body) + struct.pack("<II", SKIPPABLE_MAGIC, len(table)) + table
-        at, row = 0, [[], [x[1] for x in self.sizes], *[[x[i] for x in self.index] for i in range(4)]]
-        for size, _ in self.sizes:
-            row[0].append(at)
-            at += size
-        row[0].append(at)
+        row = [[x[i] for x in self.index] for i in range(4)]
         self.clear()
         return data, row
 
 
 class BundleReader:
-    """Reads single records of a bundle; keeps the last frame."""
+    """Reads single records of a bundle: its footer, then the frames that are asked for; keeps the last frame.
 
-    def __init__(self, data: bytes):
-        n, _, magic = struct.unpack("<IBI", data[-9:])
+    read_at: (bytes, from) -> the file's bytes; size: the file's.
+    """
+
+    def __init__(self, read_at: Callable[[int, int], bytes], size: int):
+        n, _, magic = struct.unpack("<IBI", read_at(9, size - 9))
         if magic != SEEKABLE_MAGIC:
             raise ValueError("the bundle has no seek table")
-        sizes = [struct.unpack_from("<II", data, len(data) - 9 - 8 * (n - i)) for i in range(n)]
-        if struct.unpack_from("<II", data, len(data) - 17 - 8 * n) != (SKIPPABLE_MAGIC, 8 * n + 9):
+        table = read_at(8 * n + 8, size - 17 - 8 * n)
+        if struct.unpack_from("<II", table) != (SKIPPABLE_MAGIC, 8 * n + 9):
             raise ValueError("the seek table's frame is damaged")
-        self.data, self.at, self.plain = data, [0], [x[1] for x in sizes]
+        sizes = [struct.unpack_from("<II", table, 8 + 8 * i) for i in range(n)]
+        self.read_at, self.at, self.plain = read_at, [0], [x[1] for x in sizes]
         for c, _ in sizes:
             self.at.append(self.at[-1] + c)
         self.last, self.text = -1, b""
 
     def read(self, frame: int, offset: int, length: int) -> bytes:
         if frame != self.last:
-            self.text = zstandard.ZstdDecompressor().decompress(self.data[self.at[frame] : self.at[frame + 1]], max_output_size=self.plain[frame])
-            self.last = frame
+            packed = self.read_at(self.at[frame + 1] - self.at[frame], self.at[frame])
+            self.text, self.last = zstandard.ZstdDecompressor().decompress(packed, max_output_size=self.plain[frame]), frame
         return self.text[offset : offset + length]
 
 
@@ -153,7 +155,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     found = looked_up(digested, alike, "digest", "least", hot, F.coalesce(F.unhex(F.hex("id")), F.col("digest")))
     marked = found.select("id", "url", "html", F.when(F.col("id") > F.col("least"), F.col("least")).alias("refers_to"))
     names = [x.split()[0] for x in INDEX.split(", ")]
-    types = [pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3]
+    types = [pa.string(), pa.list_(pa.string()), *[pa.list_(pa.int32())] * 3]
 
     def write(batches):
         system, path = folder_of(folder)
@@ -193,30 +195,52 @@ def _page(urn: str | None) -> int | None:
     return int(tail) if tail else None
 
 
-def read_archives(spark: SparkSession, folder: str, only: list[int] | None = None) -> DataFrame:
-    """A row per record of the folder's bundles, each read from its own frame; `only`: just the records of these pages, reading no byte of other frames. Responses' digests are checked."""
-    wanted = None if only is None else {f"urn:page:{x}:" for x in only}
-    names = [x.split()[0] for x in READ.split(", ")]
-    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+def _records(system: FileSystem, path: str, file: str, places: Iterable[tuple[str, int, int, int]]) -> list[tuple]:
+    """The records of a bundle at the given (record id, frame, offset, length), checked; only the footer and their frames are read."""
+    out = []
+    with system.open_input_file(f"{path}/{file}") as source:
+        reader = BundleReader(source.read_at, source.size())
+        for rid, frame, offset, length in places:
+            r = parse_record(reader.read(frame, offset, length))
+            warc, digest = r["warc"], r["warc"]["warc-payload-digest"].removeprefix("sha1:")
+            if warc["warc-record-id"] != f"<{rid}>" or warc["warc-type"] == "response" and digest32(r["payload"]) != digest:
+                raise ValueError(f"record {rid} is damaged")
+            out.append((_page(rid), warc.get("warc-target-uri"), int(r["http"]["content-length"]), digest, warc["warc-type"], _page(warc.get("warc-refers-to")), frame, offset, length))
+    return out
+
+
+_READ_NAMES = [x.split()[0] for x in READ.split(", ")]
+_READ_TYPES = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """A row per record of the folder's bundles, each read from its frame, which the bundle's footer locates. Responses' digests are checked."""
 
     def read(batches):
         system, path = folder_of(folder)
         for batch in batches:
             for row in batch.to_pylist():
-                out, last, text = [], -1, b""
-                with system.open_input_file(f"{path}/{row['file']}") as source:
-                    for rid, frame, offset, length in zip(row["record_ids"], row["frames"], row["offsets"], row["lengths"]):
-                        if wanted is not None and rid[: rid.rindex(":") + 1] not in wanted:
-                            continue
-                        if frame != last:
-                            a, z = row["frames_at"][frame], row["frames_at"][frame + 1]
-                            text, last = zstandard.ZstdDecompressor().decompress(source.read_at(z - a, a), max_output_size=row["frame_sizes"][frame]), frame
-                        r = parse_record(text[offset : offset + length])
-                        warc, digest = r["warc"], r["warc"]["warc-payload-digest"].removeprefix("sha1:")
-                        if warc["warc-record-id"] != f"<{rid}>" or warc["warc-type"] == "response" and digest32(r["payload"]) != digest:
-                            raise ValueError(f"record {rid} is damaged")
-                        out.append((_page(rid), warc.get("warc-target-uri"), int(r["http"]["content-length"]), digest, warc["warc-type"], _page(warc.get("warc-refers-to")), frame, offset, length))
+                out = _records(system, path, row["file"], zip(row["record_ids"], row["frames"], row["offsets"], row["lengths"]))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _READ_TYPES)], names=_READ_NAMES)
 
     return read_index(spark, folder).mapInArrow(read, READ)
+
+
+def index_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Writes `folder`/records, a row per record sorted by page: what single lookups read a part of."""
+    places = read_index(spark, folder).select("file", F.explode(F.arrays_zip("record_ids", "frames", "offsets", "lengths")).alias("r"))
+    rows = places.select(F.split("r.record_ids", ":")[2].try_cast("long").alias("page_id"), "file", F.col("r.record_ids").alias("record_id"), F.col("r.frames").alias("frame"), F.col("r.offsets").alias("offset"), F.col("r.lengths").alias("length"))
+    rows.repartitionByRange("page_id", "record_id").sortWithinPartitions("page_id").write.option("parquet.block.size", 4 << 20).parquet(f"{folder}/records")
+    return spark.read.parquet(f"{folder}/records")
+
+
+def look_up(spark: SparkSession, folder: str, pages: list[int]) -> DataFrame:
+    """The records of the given pages: the pages are pushed into the scan of the sorted table, and of a bundle only the footer and the records' frames are read."""
+
+    def read(key, table):
+        system, path = folder_of(folder)
+        out = _records(system, path, key[0].as_py(), sorted(zip(*(table.column(c).to_pylist() for c in ("record_id", "frame", "offset", "length"))), key=lambda r: r[1:]))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _READ_TYPES)], names=_READ_NAMES)
+
+    return spark.read.parquet(f"{folder}/records").where(F.col("page_id").isin(*pages)).groupBy("file").applyInArrow(read, READ)
