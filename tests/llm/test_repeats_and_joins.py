@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -8,7 +9,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import jaccard_join, substring_dedup
-from tidemark.llm.components import components
+from tidemark.llm.components import _large, components
+from tidemark.llm.jaccard_join import link
+from tidemark.llm.shared import stored
 from tidemark.llm.textbytes import PLAIN, Batch, Layout, ints_from_bytes, ints_to_bytes, windows
 
 SEP = re.compile(r"[^\x20\x09-\x0D]+")
@@ -223,3 +226,28 @@ def test_null_ids_and_equal_rows(spark):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, kept_text string")
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == brute_repeats(rows)
     assert sorted(map(tuple, jaccard_join.link(docs).collect()), key=str) == brute_links(rows)
+
+
+def test_a_hub_of_a_third_of_the_links_is_split(spark):
+    """A hub's links are joined with its smallest neighbour from two plain shuffles, which adaptive execution splits."""
+    keys = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        rows = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id + 100 END AS u", "id + 200000 AS v")
+        step = _large(stored(rows))
+        assert len(step.collect()) > 50_000
+        assert "skew=true" in step._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_rows_of_one_id_are_dealt_by_their_texts(spark, words):
+    """An id that most rows share: its rows lie in many groups and are one node all the same."""
+    rng = random.Random(3)
+    rows = [(5, " ".join(rng.choice(words) for _ in range(40))) for _ in range(200)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)] + [(200, rows[7][1] + " more"), (300, "nothing like it at all here")]
+    got = {r.doc_id: r.component_id for r in link(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=1000).collect()}
+    assert got == {5: 5, **{100 + k: 5 for k in range(5)}, 200: 5, 300: 300}

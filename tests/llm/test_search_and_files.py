@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.errors import PySparkException
 
 from tidemark.llm import license_templates as lt
 from tidemark.llm import packing, phrase_index, warc
@@ -83,6 +84,18 @@ def test_contamination_of_empty_tables(spark, corpus, empty):
     assert not any(r.contaminated for r in phrase_index.find_contamination(corpus, none).collect())
 
 
+def test_long_phrases_are_whole(spark):
+    """A phrase of 140 words is found where all of it stands, once a place; windows may be as long."""
+    words = [f"w{i}" for i in range(140)]
+    docs = spark.createDataFrame([(1, " ".join(words[:128])), (2, " ".join(["x", *words, "y", *words])), (3, " ".join(words[1:]))], "doc_id long, text string")
+    index = phrase_index.index_segments(docs)
+    rows = phrase_index.search_index(index, [" ".join(words), "y w0", " ".join(words[:128])]).collect()
+    assert sorted((r.phrase, r.doc_id, r.position) for r in rows) == [(0, 2, 1), (0, 2, 142), (1, 2, 141), (2, 1, 0), (2, 2, 1), (2, 2, 142)]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    found = {r.doc_id: (r.n_hit, r.contaminated) for r in phrase_index.find_contamination(docs, items, width=130).collect()}
+    assert found == {1: (0, False), 2: (280, True), 3: (139, True)}
+
+
 def test_stored_index_phrases_and_proximity(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "c b a x x x x d"), (3, "b"), (4, None)], "doc_id long, text string")
     index = phrase_index.index_segments(docs, segment_bytes=10)
@@ -125,14 +138,41 @@ def test_bundles_are_plain_zstandard_files_and_seekable(spark, pages, tmp_path):
         data = (tmp_path / "c" / r.file).read_bytes()
         text = zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read()
         assert text.count(b"WARC/1.1\r\n") == len(r.record_ids)
-        reader = warc.BundleReader(data)
-        assert reader.at == r.frames_at and reader.plain == r.frame_sizes
+        read = lambda n, at, d=data: d[at : at + n]
+        reader = warc.BundleReader(read, len(data))
+        assert reader.at[-1] == len(data) - 17 - 8 * len(reader.plain) and len(text) == sum(reader.plain)
         for rid, f, o, n in zip(r.record_ids, r.frames, r.offsets, r.lengths):
             assert warc.parse_record(reader.read(f, o, n))["warc"]["warc-record-id"] == f"<{rid}>"
     (tmp_path / "c" / "part-000000-0000-999999.warc.zst").write_bytes(b"left by a lost task")
-    assert [r.page_id for r in warc.read_archives(spark, folder, only=[4]).collect()] == [4]
+    warc.index_records(spark, folder)
+    assert [r.page_id for r in warc.look_up(spark, folder, [4]).collect()] == [4]
+    assert sorted(r.page_id for r in warc.look_up(spark, folder, [4, 1, 999]).collect()) == [1, 4]
+    plan = spark.read.parquet(f"{folder}/records").where("page_id = 4")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(page_id), EqualTo(page_id,4)]" in plan
     with pytest.raises(ValueError):
-        warc.BundleReader(b"no bundle at all")
+        warc.BundleReader(lambda n, at: b"no bundle at all"[at : at + n], 16)
+
+
+def test_a_record_is_read_from_the_footer_and_one_frame(spark, tmp_path):
+    """A frame that is damaged, or a footer, matters to its own records alone, and to all."""
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    folder = str(tmp_path / "d")
+    warc.write_archives(pages, folder, frame_bytes=1000)
+    warc.index_records(spark, folder)
+    (file,) = (tmp_path / "d").glob("*.warc.zst")
+    data = bytearray(file.read_bytes())
+    reader = warc.BundleReader(lambda n, at: bytes(data[at : at + n]), len(data))
+    data[reader.at[3] + 10 : reader.at[4]] = b"?" * (reader.at[4] - reader.at[3] - 10)
+    file.write_bytes(bytes(data))
+    (tmp_path / "d" / f".{file.name}.crc").unlink(missing_ok=True)
+    frames = {r.page_id: r.frame for r in spark.read.parquet(f"{folder}/records").collect()}
+    fine = [p for p, f in frames.items() if f != 3]
+    assert sorted(r.page_id for r in warc.look_up(spark, folder, fine).collect()) == sorted(fine)
+    with pytest.raises(PySparkException):
+        warc.look_up(spark, folder, [p for p, f in frames.items() if f == 3]).collect()
+    file.write_bytes(bytes(data[:-4]) + b"????")
+    with pytest.raises(PySparkException):
+        warc.look_up(spark, folder, fine[:1]).collect()
 
 
 def test_spread_places_every_length_once():

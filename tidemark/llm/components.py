@@ -1,7 +1,8 @@
 """Connected components of a graph of links, by alternating large-star and small-star steps.
 
-Every step replaces links by links to the smallest neighbour; a hub's links are joined by its key,
-where adaptive execution splits it. Steps are written to the shared folder, so the plan stays short
+Every step replaces links by links to the smallest neighbour; a hub's links are joined by its key with
+the hub's smallest neighbour, a row a key that is stored first: both sides of the join are then plain
+shuffles, so adaptive execution splits a hub's links. Steps are written to the shared folder, so the plan stays short
 and a lost executor costs one step at most. Only two numbers per step reach the driver.
 """
 
@@ -19,12 +20,12 @@ def _least(links: DataFrame) -> DataFrame:
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.join(stored(_least(both)), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")))
     others = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return others.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 

@@ -240,9 +240,9 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     group_bytes = max(group_bytes, min(32 << 20, size.bytes // 50_000))
     groups = max(1, -(-size.bytes // group_bytes), -(-size.rows // 100_000))
     run = Join(width, percent, rare, max(1, size.bytes // 5), groups)
-    group_of = lambda c: F.pmod(F.xxhash64(c), F.lit(groups)).cast("int")
+    group_of = lambda *c: F.pmod(F.xxhash64(*c), F.lit(groups)).cast("int")  # noqa: E731  of id and text, so no id's rows meet
     plain = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    dealt = plain.withColumn("h", F.xxhash64("text")).withColumn("g", group_of(F.coalesce("id", F.xxhash64("text"))))  # null ids may lie anywhere
+    dealt = plain.withColumn("h", F.xxhash64("text")).withColumn("g", group_of("id", "h"))
 
     # exact copies: each names the smallest id with its text
     named = plain.where(F.col("id").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("id", F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("same"), F.xxhash64("text").alias("h"))
@@ -252,7 +252,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     rep_of = copies.groupBy("id").agg(F.min("rep").alias("rep"))
     several = plain.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select("id")  # rows that share an id are one node
 
-    control = copies.select(group_of("id").alias("g"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("binary").alias("data"), F.col("id").alias("copy"), F.col("h").alias("copy_text"))
+    control = copies.select(group_of("id", "h").alias("g"), F.lit(None).cast("int").alias("k"), F.lit(None).cast("binary").alias("data"), F.col("id").alias("copy"), F.col("h").alias("copy_text"))
     lists = dealt.groupBy("g").cogroup(control.groupBy("g")).applyInArrow(lambda key, t, c: run.send(key, t, c), LISTS)
     classes = lists.groupBy("k").applyInArrow(lambda key, t: run.classify(key, t), CONTROL)
     profiles = stored(dealt.groupBy("g").cogroup(control.unionByName(classes).groupBy("g")).applyInArrow(lambda key, t, c: run.profile(key, t, c), PROFILES))
@@ -262,7 +262,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, wid
     indexed = indexed.select("sig", "id", "n", F.when(F.col("sig").bitwiseAND(1) == 1, F.col("frequent")).otherwise(F.col("shared")).alias("usable"))
     stats = indexed.groupBy("sig").agg(F.min(F.struct((F.col("n") - F.col("usable")).alias("other"), F.col("id"), F.col("n"), F.col("usable"))).alias("c"), F.count(F.lit(1)).alias("many")).where("many > 1")
     hopeful = (100 - percent) * F.col("usable") >= percent * (F.col("n") - F.col("usable") + F.col("c.other"))  # with the partner that has the fewest other tokens
-    shared = stored(indexed.join(stats, "sig").where(hopeful).select("sig", "id", "n", "usable", "many", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.usable").alias("c_usable")))
+    shared = stored(indexed.join(stored(stats), "sig").where(hopeful).select("sig", "id", "n", "usable", "many", F.col("c.id").alias("c_id"), F.col("c.n").alias("c_n"), F.col("c.usable").alias("c_usable")))
     stars = shared.where("id <> c_id").where((100 + percent) * F.least("usable", "c_usable") >= percent * (F.col("n") + F.col("c_n")))
     links = stored(verified(stars.select(F.col("c_id").alias("u"), F.col("id").alias("v")).distinct(), profiles, percent))
     labels = components(links)
