@@ -335,4 +335,4 @@ def test_column_matching(spark):
     rows = {r.column: r for r in matching.match(df, features, {"amount": ("loan_amnt",), "yearlyincome": ("annual_inc",), "kind": ("home",)}).collect()}
     assert (rows["LoanAmount"].feature, rows["LoanAmount"].confidence, rows["Yearly Income"].feature, rows["other"].feature, rows["other"].confidence) == ("loan_amnt", 0.99, "annual_inc", "purpose", 0.8)
     assert (rows["kind"].confidence, rows["kind"].preselected) == (0.225, False)  # numbers under a category's name
-    assert [matching.normalised(x) for x in ("LoanAmount", "Open Credit Lines (count)", "inquiries_last_6m", "the loan")] == ["amount", "opencreditlines", "inquirieslast6m", "theloan"]
+    assert [matching.normalised(x) for x in ("LoanAmount", "Open Credit Lines (count)", "inquiries_last_6m", "the loan", "FICOScore2High", "a1b", "", "Zip-Code 5")] == ["amount", "opencreditlines", "inquirieslast6m", "theloan", "ficoscore2high", "1b", "", "zipcode5"]

@@ -138,7 +138,7 @@ def match_columns(spark, sf_dir):
         F.col("purpose").alias("kind"), F.col("term").alias("Term"), F.col("emp_length").alias("emp length"), F.lit(None).cast("string").alias("loan_amnt_text"), F.col("addr_state").alias("state code"), F.col("dti").cast("string").alias("addr state"),
     )
     levels = tuple(r[0] for r in raw.select("purpose").distinct().orderBy("purpose").collect())
-    features = {"dti": matching.Content(0, 200), "loan_amnt": matching.Content(500, 600_000), "annual_inc": matching.Content(0, 500_000), "term_months": matching.Content(6, 84), "purpose": matching.Content(levels=levels), "emp_length": matching.Content(pattern=r"^\s*(<\s*1\s+year|\d{1,2}\+?\s*years?)\s*$"), "addr_state": matching.Content(pattern=r"^\s*[A-Za-z]{2}\s*$")}
+    features = {"dti": matching.Content(0, 200), "loan_amnt": matching.Content(500, 600_000), "annual_inc": matching.Content(0, 500_000), "term_months": matching.Content(6, 84), "purpose": matching.Content(levels=levels), "emp_length": matching.Content(pattern=r"\byears?\b"), "addr_state": matching.Content(pattern="^[A-Z][A-Z]$")}
     return matching.match(upload, features, {"amount": ("loan_amnt",), "yearlyincome": ("annual_inc",), "grossincome": ("annual_inc",), "term": ("term_months",), "statecode": ("addr_state",)})
 
 
