@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import clean, evaluate, governance, scoring
+from tidemark.operators import clean, evaluate, governance, scoring, uploads
 from tidemark.plans.analysis_queries import _PD, _scored
 from tidemark.plans.registry import query
 from tidemark.plans.survival_queries import _BRIER, _G, _GD, _GT
@@ -217,3 +217,25 @@ def cleaning_report_of_blocks(spark, sf_dir):
     for p in parts[1:]:
         every = every.unionByName(p)
     return clean.merged_report(every)
+
+
+# -- uploads
+
+_READ = f"CASE WHEN {_IS} THEN x::DOUBLE END"
+
+
+@query(rf"""{RAW}, tr AS (SELECT * FROM raw WHERE id % 2 = 0), md AS (SELECT median(coalesce(dti, 5.0)) AS dti FROM tr), up AS (SELECT *, regexp_replace(trim(amount_text), '[,%$]', '', 'g') AS x FROM raw WHERE id % 2 = 1)
+SELECT id, {_READ} AS loan_amnt, round(annual_inc::DOUBLE, 4) AS annual_inc, CASE WHEN annual_inc <> 0 THEN round({_READ} / annual_inc, 6) END AS loan_to_income, printf('%.4f', md.dti)::DOUBLE AS dti, NULL::DOUBLE AS mths_since_delinq, 1 AS mths_since_delinq_missing, CASE WHEN id % 10 <> 3 THEN purpose END AS purpose,
+(nullif(nullif(trim(amount_text), ''), 'n/a') IS NOT NULL AND ({_READ}) IS NULL)::INT::BIGINT AS unreadable, (id % 10 = 3)::INT::BIGINT AS unseen FROM up, md""")
+def scoring_inputs(spark, sf_dir):
+    """An upload with other names, a ratio to derive, a column training never lacked, one it did, and levels it never saw, made ready by the saved specification."""
+    raw = raw_loans(spark, sf_dir)
+    train = stored(raw.where("id % 2 = 0").select("loan_amnt", "annual_inc", F.coalesce("dti", F.lit(5.0)).alias("dti"), "mths_since_delinq", "purpose", (F.col("loan_amnt") / F.nullif("annual_inc", F.lit(0.0))).alias("loan_to_income")))
+    numbers = ["loan_amnt", "annual_inc", "loan_to_income", "dti", "mths_since_delinq"]
+    path = scratch(spark)
+    uploads.fit_specification(train, numbers, ["purpose"], {"loan_amnt": 0.02, "annual_inc": 0.01, "loan_to_income": 0.0, "dti": 0.001, "mths_since_delinq": 0.0, "purpose": 0.0}, ["mths_since_delinq"]).save(spark, path)
+    spec = uploads.Specification.load(spark, path)
+    upload = raw.where("id % 2 = 1").select("id", F.col("amount_text").alias("Amount wanted"), F.col("annual_inc").cast("string").alias("annual_inc"), F.when(F.col("id") % 10 == 3, "Yacht").otherwise(F.col("purpose")).alias("purpose"), "addr_state")
+    made = uploads.plan(upload.columns, spec, {"Amount wanted": "loan_amnt"}, id_column="id")
+    rows = uploads.prepared(upload, made, spec, ["id"])
+    return rows.withColumns({"annual_inc": F.round("annual_inc", 4), "loan_to_income": F.round("loan_to_income", 6)})
