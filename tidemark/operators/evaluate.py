@@ -113,15 +113,17 @@ def concordance(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return both.select(*by, F.round((F.col("between") + F.col("inside")) / F.nullif("n_pairs", F.lit(0)), 6).alias("concordance"), "n_pairs")
 
 
-def calibration(df: DataFrame, t: int, bins: int = 10) -> DataFrame:
-    """df: id, duration_months, event, s (predicted survival at t). Bins of equal rank (ties by id); observed is each bin's own survival curve at t."""
-    ranked = row_ranks(df.select("id", "duration_months", "event", "s"), "s", ["id"])
-    n = F.broadcast(ranked.agg(F.max("r").alias("n")))  # one row
+def calibration(df: DataFrame, t: int, bins: int = 10, by: list[str] | None = None) -> DataFrame:
+    """df: id, duration_months, event, s (predicted survival at t). Bins of equal rank (ties by id), within each group of `by`; observed is each bin's own survival curve at t. Groups that were not observed up to t, or of one row, are left out."""
+    by = by or []
+    ranked = row_ranks(df.select(*by, "id", "duration_months", "event", "s"), "s", ["id"], by)
+    sizes = ranked.groupBy(*by).agg(F.max("r").alias("n"), F.max("duration_months").alias("_last"))
+    sized = ranked.join(sizes.where((F.col("n") > 1) & (F.col("_last") >= t)), by) if by else ranked.crossJoin(F.broadcast(sizes))  # one row
     place = F.greatest(F.floor(((F.col("r") - 1) * bins + F.col("n") - 2) / (F.col("n") - 1)) - 1, F.lit(0)).cast("int")
-    cells = stored(ranked.crossJoin(n).groupBy(place.alias("bin"), "duration_months", "event").agg(F.count(F.lit(1)).alias("c"), F.sum("s").alias("s")))
-    observed = at_times(kaplan_meier(cells, ["bin"], count=F.col("c")), [t], ["bin"]).select("bin", F.col("survival").alias("observed_survival"))
-    mean = cells.groupBy("bin").agg(F.sum("c").alias("n"), F.round(F.sum("s") / F.sum("c"), 6).alias("predicted_survival"))
-    return mean.where("n >= 2").join(observed, "bin").select("bin", "n", "predicted_survival", F.round("observed_survival", 6).alias("observed_survival"), F.round(F.col("predicted_survival") - F.round("observed_survival", 6), 6).alias("error"))
+    cells = stored(sized.groupBy(*by, place.alias("bin"), "duration_months", "event").agg(F.count(F.lit(1)).alias("c"), F.sum("s").alias("s")))
+    observed = at_times(kaplan_meier(cells, [*by, "bin"], count=F.col("c")), [t], [*by, "bin"]).select(*by, "bin", F.col("survival").alias("observed_survival"))
+    mean = cells.groupBy(*by, "bin").agg(F.sum("c").alias("n"), F.round(F.sum("s") / F.sum("c"), 6).alias("predicted_survival"))
+    return mean.where("n >= 2").join(observed, [*by, "bin"]).select(*by, "bin", "n", "predicted_survival", F.round("observed_survival", 6).alias("observed_survival"), F.round(F.col("predicted_survival") - F.round("observed_survival", 6), 6).alias("error"))
 
 
 #: Fixed value: below this share under observation an estimate has a high variance.

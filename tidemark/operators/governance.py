@@ -148,6 +148,13 @@ def approval_rules(records: DataFrame, evidence: DataFrame, files: DataFrame, sa
     return rows.select("tag", *[holds(F.col(r)).alias(r) for r in rules], reduce(lambda x, y: x & y, [holds(F.col(r)) for r in rules]).alias("approved"))
 
 
+def approval(models: DataFrame) -> DataFrame:
+    """(tag, failed, approved) of models with a flag per rule, named A1_... and so on, as approval_rules gives them; a null flag fails."""
+    rules = sorted(c for c in models.columns if c[:1] == "A" and c[1:2].isdigit())
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(F.col(c), F.lit(False)), c) for c in rules]))
+    return models.select("tag", F.array_join(failed, ",").alias("failed"), (F.size(failed) == 0).alias("approved"))
+
+
 def slug(name: Column) -> Column:
     """A file name's safe form."""
     return F.regexp_replace(F.lower(F.trim(name)), "[^a-z0-9]+", "-")

@@ -129,6 +129,19 @@ def calibration_deciles(spark, sf_dir):
     return evaluate.calibration(df, 12)
 
 
+_CALV = f"""{LOANS}, s AS (SELECT issue_year, id, duration_months, event, pow(1 - risk / 2, 12) AS s FROM loans), k AS (SELECT *, row_number() OVER (PARTITION BY issue_year ORDER BY s, id) AS r, count(*) OVER (PARTITION BY issue_year) AS n, max(duration_months) OVER (PARTITION BY issue_year) AS last FROM s),
+b AS (SELECT *, issue_year * 100 + greatest(((r - 1) * 10 + n - 2) // (n - 1) - 1, 0)::INT AS g FROM k WHERE n > 1 AND last >= 12), {_km(g='g', src='b')},
+o AS (SELECT g, coalesce(arg_max(round(s, 8), duration_months) FILTER (duration_months <= 12), 1.0) AS o FROM km GROUP BY 1), m AS (SELECT g, count(*) AS n, round(avg(s), 6) AS p FROM b GROUP BY 1)
+SELECT (g // 100)::INT AS issue_year, (g % 100)::INT AS bin, n, p AS predicted_survival, round(o, 6) AS observed_survival, round(p - round(o, 6), 6) AS error FROM m JOIN o USING (g) WHERE n >= 2"""
+
+
+@query(_CALV)
+def calibration_by_vintage(spark, sf_dir):
+    """Calibration at 12 months within each year of issue that was observed so long."""
+    df = risky(spark, sf_dir).withColumn("s", F.pow(1 - F.col("hazard"), F.lit(12)))
+    return evaluate.calibration(df, 12, by=["issue_year"])
+
+
 @query(f"""{LOANS}, {_km('1 - event', g='issue_year', name='g')}, gt AS (SELECT issue_year, t, greatest(coalesce(arg_max(s, duration_months) FILTER (duration_months <= t), 1.0), 0.001) AS gt FROM g, (SELECT unnest([12, 24]) AS t) GROUP BY ALL),
 rows AS (SELECT l.*, greatest(g.s, 0.001) AS g, risk / 2 AS hazard FROM loans l JOIN g USING (issue_year, duration_months))
 SELECT issue_year, t, round(sum(CASE WHEN duration_months <= t AND event = 1 THEN pow(1 - hazard, t) ** 2 / g WHEN duration_months > t THEN (1 - pow(1 - hazard, t)) ** 2 / gt ELSE 0 END) / count(*), 6) AS brier,
