@@ -52,7 +52,7 @@ HOLDS = {
     "hazard_fit": lambda rows: len(rows) == 10 and sum(r.n for r in rows) > 1000 and all(0 < r.predicted_survival < 1 and abs(r.error) < 0.15 for r in rows),
     "hazard_trees_importance": lambda rows: len(rows) == 8 and abs(sum(r.gain for r in rows) - 1) < 1e-6 and all((r.gain > 0) == (r.splits > 0) for r in rows) and [r.gain for r in rows] == sorted((r.gain for r in rows), reverse=True),
     "hazard_boosting": lambda rows: [r.trees for r in rows] == list(range(len(rows))) and (loss := [r.train_loss for r in rows if r.kept]) == sorted(loss, reverse=True) and min(rows, key=lambda r: r.valid_loss).trees == sum(r.kept for r in rows) - 1,
-    "hazard_trees_survival": lambda rows: len(rows) == 10 and sum(r.n for r in rows) > 1000 and all(0 < r.predicted_survival <= 1 and abs(r.error) < 0.15 for r in rows),
+    "hazard_trees_survival": lambda rows: len(rows) == 10 and (n := sum(r.n for r in rows)) > 1000 and all(0 < r.predicted_survival <= 1 for r in rows) and abs(sum(r.n * r.error for r in rows)) / n < 0.03 and sum(r.n * abs(r.error) for r in rows) / n < 0.08 and rows[-1].observed_survival - rows[0].observed_survival > 0.1,
     "cox_fit": lambda rows: len(rows) == 3 and all(r.low < r.coef < r.high and abs(r.z - r.coef / r.se) < 1e-9 and abs(r.coef) < 1 and abs(r.p - erfc(abs(r.z) / sqrt(2))) < 1e-12 for r in rows),
     "cox_survival": lambda rows: [r.t for r in sorted(rows)] == [6, 12, 24, 36] and all(1 >= r.most >= r.mean_survival >= r.least > 0 for r in rows) and sorted((r.mean_survival for r in rows), reverse=True) == [r.mean_survival for r in sorted(rows, key=lambda r: r.t)],
     "cox_ph_test": lambda rows: len(rows) == 3 and all(r.statistic >= 0 and abs(r.p - erfc(sqrt(r.statistic / 2))) < 1e-12 and r.violated == (r.p < 0.01) for r in rows),
