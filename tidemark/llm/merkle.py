@@ -34,7 +34,7 @@ from pyspark.sql.window import Window
 from tidemark.llm.shared import stored
 
 FANOUT = 3
-#: Leaves that a task works on.
+#: Leaves that a task works on; with proofs in the result, of some 2 KB each, a tenth of them.
 LEAVES = 100_000
 STEPS = "array<struct<left: string, right: string>>"
 
@@ -136,10 +136,10 @@ class Tree(NamedTuple):
     roots: DataFrame
 
 
-def build_tree(rows: DataFrame, by: list[str]) -> Tree:
+def build_tree(rows: DataFrame, by: list[str], leaves_a_task: int) -> Tree:
     """rows: stored, with g (group, not null), digest (32 bytes) and others; by: the columns that order a group's leaves, all rows apart."""
     spark = rows.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // LEAVES))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // leaves_a_task))
     ordered = rows.repartitionByRange(parts, "g", *by).sortWithinPartitions("g", *by)
     leaves = stored(ordered.select("*", F.spark_partition_id().alias("part"), F.expr("monotonically_increasing_id() & 8589934591").alias("row")))
     counts = stored(leaves.groupBy("part", "g").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n")))
@@ -238,9 +238,10 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     other = F.when(where if where is not None else F.lit(True), leaf_digest(*({**field, **changed}[c] for c in fields))) if changed else F.lit(None).cast("binary")
     group = F.coalesce(F.concat(F.lit("="), F.col(f"`{group_col}`").cast("string")), F.lit(""))
     rows = stored(docs.select(group.alias("g"), F.col(f"`{id_col}`").alias("id"), leaf.alias("digest"), other.alias("other"), F.monotonically_increasing_id().alias("number")))
-    tree = build_tree(rows, ["id", "digest", "number"])
+    each = max(1, LEAVES // 10) if proofs else LEAVES
+    tree = build_tree(rows, ["id", "digest", "number"], each)
     groups = stored(tree.roots.select(F.lit("").alias("g"), F.col("g").alias("name"), "digest"))
-    upper = build_tree(groups, ["name"])
+    upper = build_tree(groups, ["name"], each)
     root = upper.roots.first()
     above = upper.leaves.select("part", "row", "digest", "name").groupBy("part").cogroup(upper.control.groupBy("part")).applyInArrow(_group_paths, f"g string, above {STEPS}")
     top = stored(above.join(tree.roots.select("g", F.lower(F.hex("digest")).alias("subroot")), "g"))

@@ -306,5 +306,5 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rooted = stored(rooted)
     least = stored(nodes.join(rooted, "fp").groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("prints")))
     named = stored(looked_up(rooted, least, "root", "component_id", least.where(F.col("prints") >= heavy), F.col("fp")).select("fp", "component_id"))
-    out = looked_up(prints, named, "fp", "component_id", nodes.where(F.col("many") >= heavy), F.col("id"))
+    out = looked_up(prints, named, "fp", "component_id", nodes.where(F.col("many") >= heavy), F.coalesce("id", F.monotonically_increasing_id()))  # null ids spread as well
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
