@@ -76,11 +76,12 @@ def concordance(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by..., concordance, n_pairs). Harrell's C: of the pairs whose shorter time is an event, the share where that one has the higher risk; ties of risk count half.
 
     At equal times an event is comparable with a censored row only. Cells are dealt by ranges of the
-    risk. Pairs of two ranges are counted from one number per month and range; pairs inside a range by
+    risk, as many as their number asks for. Pairs of two ranges are counted from one number per month and range; pairs inside a range by
     that range's task, month by month.
     """
     by = by or []
-    cells = dealt(cells_of(df, by, "risk"), by, ["risk"])
+    cells = cells_of(df, by, "risk")
+    cells = dealt(cells, by, ["risk"], cells.count())
     n = F.col("n")
     counts = cells.groupBy(*by, "_b", "duration_months").agg(F.sum(n).alias("all"), F.sum(F.when(F.col("event") == 0, n).otherwise(0)).alias("gone"), F.sum(F.when(F.col("event") == 1, n).otherwise(0)).alias("had"))
     span = counts.groupBy(*by, F.lit(1).alias("_one")).agg(F.min("duration_months").alias("lo"), F.max("duration_months").alias("hi"))

@@ -12,10 +12,17 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.store import stored
 
+#: Rows of a range that a task holds in memory.
+RANGE = 250_000
 
-def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """The rows with _b, the number of their range: equal rows of `by` and `order` share one, larger ones never have a smaller one."""
-    return stored(df.repartitionByRange(*by, *order).withColumn("_b", F.spark_partition_id()))
+
+def dealt(df: DataFrame, by: list[str], order: list[str], rows: int | None = None) -> DataFrame:
+    """The rows with _b, the number of their range: equal rows of `by` and `order` share one, larger ones never have a smaller one.
+
+    rows: how many there are; there is a range for each `RANGE` of them then, for tasks that hold a range.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(max(parts, -(-(rows or 0) // RANGE)), *by, *order).withColumn("_b", F.spark_partition_id()))
 
 
 def sums_below(cells: DataFrame, by: list[str], value: str, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:

@@ -28,15 +28,10 @@ def guard(df: DataFrame, blocked: tuple[str, ...] = LEAKAGE) -> DataFrame:
 
 def footer_counts(spark: SparkSession, path: str) -> DataFrame:
     """(column, rows, filled, missing) of a Parquet table, answered from its files' footers: counts are pushed into the scan, so no data page is read. Flat columns only."""
-    own = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
-    before = {k: spark.conf.get(k) for k in own}
-    try:
-        for k, v in own.items():
-            spark.conf.set(k, v)
-        df = spark.read.parquet(path)
-        flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
-        row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(flat)]).first()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    own = spark.newSession()  # its settings are nobody else's
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    df = own.read.parquet(path)
+    flat = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))]
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(flat)]).first()
     return spark.createDataFrame([(c, row["rows"], row[f"c{i}"], row["rows"] - row[f"c{i}"]) for i, c in enumerate(flat)], "column string, rows long, filled long, missing long")
