@@ -189,3 +189,17 @@ def test_degenerate_tables(spark):
     calm = spark.createDataFrame([(i, 1.0, 1.0, None, None, 5, 0, 1.0) for i in range(30)], SCHEMA)
     model = boosting.fit_boosting(calm, NUMBERS, KINDS, least=1)
     assert model.trees == [] and all(r.hazard < 1e-6 for r in model.hazards(calm, 2, ["id"]).collect())
+
+
+def test_ablation_sets_columns_missing(spark):
+    rows = loans_of(300, 8)
+    model = boosting.fit_boosting(spark.createDataFrame(rows, SCHEMA), NUMBERS, KINDS, horizon=12, months=3, trees=5, rate=0.5, least=5, depth=3)
+    new = spark.createDataFrame(rows[:20], SCHEMA)
+    got = {(r.id, r.dropped): r.risk for r in model.ablated(new, {"none": [], "a and kind": ["a", "kind", "no such column"]}, 2, ["id"]).collect()}
+    gone = spark.createDataFrame([(r[0], None, r[2], r[3], None, *r[5:]) for r in rows[:20]], SCHEMA)
+    for name, df in (("none", new), ("a and kind", gone)):
+        alive = {}
+        for r in model.hazards(df, 2, ["id"]).collect():
+            alive[r.id] = alive.get(r.id, 1.0) * (1 - r.hazard)
+        assert all(abs(got[i, name] - (1 - s)) < 1e-12 for i, s in alive.items())
+    assert len(got) == 40

@@ -58,6 +58,7 @@ HOLDS = {
     "cox_ph_test": lambda rows: len(rows) == 3 and all(r.statistic >= 0 and abs(r.p - erfc(sqrt(r.statistic / 2))) < 1e-12 and r.violated == (r.p < 0.01) for r in rows),
     "separability": lambda rows: len(rows) == 1 and 0.5 <= rows[0].rank_auc <= 1 and rows[0].low < rows[0].high and 0 <= rows[0].share_in_support <= 1,
     "ablation": lambda rows: (v := {r.dropped: r for r in rows}) and v["(none)"].concordance_drop == v["(none)"].auc_drop == 0 and v["(all)"].concordance == v["(all)"].auc == 0.5 and v["(none)"].concordance > 0.5 and len(v) == 6,
+    "ablation_missing": lambda rows: (v := {r.dropped: r for r in rows}) and v["(none)"].concordance_drop == v["(none)"].auc_drop == 0 and v["(all)"].concordance == v["(all)"].auc == 0.5 and v["(none)"].concordance > 0.55 and len(v) == 7 and sum(r.concordance_drop for r in rows) > 0,
     "background_summary": lambda rows: len(rows) == 50 and all(r.n > 0 and r.purpose for r in rows) and any(r.mths_since_delinq is None or r.mths_since_delinq >= 0 for r in rows),
     "survshap": lambda rows: _adds_up(rows) and {r.t for r in rows} == {6, 12, 24, 36},
     "naive_shap": lambda rows: _adds_up(rows) and {r.t for r in rows} == {36},

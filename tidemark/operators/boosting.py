@@ -228,6 +228,23 @@ class Booster:
         kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
         return self._inputs(df, keep).mapInPandas(score, f"{kinds}, period int, hazard double")
 
+    def ablated(self, df: DataFrame, groups: dict[str, list[str]], periods: int, keep: list[str]) -> DataFrame:
+        """(keep..., dropped, risk): 1 - survival after `periods` with each group's features missing, as a file without these columns has them; one scoring pass over all groups."""
+        ship(df.sparkSession)
+        gone = {name: [self.bins.features.index(f) for f in own if f in self.bins.features] for name, own in groups.items()}
+
+        def score(parts):
+            for part in parts:
+                bins = self.bins.of(part[self.bins.features])
+                kept = part[[f"_k{i}" for i in range(len(keep))]].set_axis(keep, axis=1)
+                for name, own in gone.items():
+                    some = bins.copy()
+                    some[:, own] = 0
+                    yield kept.assign(dropped=name, risk=1 - np.exp(self.log_survival(some, periods)[:, -1]))
+
+        kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+        return self._inputs(df, keep).mapInPandas(score, f"{kinds}, dropped string, risk double")
+
     def _inputs(self, df: DataFrame, keep: list[str]) -> DataFrame:
         return df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], *[F.col(c).cast("double").alias(c) for c in self.bins.edges], *[F.col(c).cast("string").alias(c) for c in self.bins.levels])
 
