@@ -1,7 +1,7 @@
 """Ranked lexical search: an inverted index scored window by window.
 
-A scan cuts the corpus into windows of at most `WINDOW` documents, whose numbers in the window ascend
-with doc_id, and writes a row for each term of a window: the numbers of the documents that hold it and
+A scan cuts the corpus into windows of at most `WINDOW` documents, numbered in the window by ascending
+doc_id (a window is of documents, not of id values, as ids may lie far apart or repeat), and writes a row for each term of a window: the numbers of the documents that hold it and
 how often. The table is sorted by term, so a search reads the parts that its own terms lie in; a term
 that every document has is a row per window and lies in as many files as it needs.
 
