@@ -153,10 +153,7 @@ def candidates(s: Postings, p: Phrases) -> Iterator[tuple[int, np.ndarray, np.nd
 
 def find(s: Postings, p: Phrases, near: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(window, start) of each place of a window inside one document, as two rows; and (window, document) of its proximity matches, if near is given."""
-    n_words = int(s.first[-1])
-    at = np.empty(n_words, np.int32)  # which term's list holds a position
-    at[s.positions] = np.repeat(np.arange(len(s.counts), dtype=np.int32), s.counts)
-    keys = np.repeat(np.arange(len(s.counts), dtype=np.int64) << 32, s.counts) + s.positions if near else None
+    keys = np.append(np.repeat(np.arange(len(s.counts), dtype=np.int64) << 32, s.counts) + s.positions, np.iinfo(np.int64).max)  # term and position of all postings, sorted
     found, close = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
     for size, part, terms, order, (which, position) in candidates(s, p):
         start = position - order[which, 0]
@@ -165,7 +162,8 @@ def find(s: Postings, p: Phrases, near: int | None = None) -> tuple[np.ndarray,
         w, x = which[inside], start[inside]
         for j in range(1, size):
             k = order[w, j]
-            same = at[x + k] == terms[w, k]
+            wanted = (terms[w, k].astype(np.int64) << 32) + x + k  # the next rarest word's postings, less its offset
+            same = keys[np.searchsorted(keys, wanted)] == wanted
             w, x = w[same], x[same]
         found.append(np.stack([part[w], x]))
         if near:
@@ -175,8 +173,7 @@ def find(s: Postings, p: Phrases, near: int | None = None) -> tuple[np.ndarray,
 
 
 def _close(s: Postings, keys: np.ndarray, terms: np.ndarray, order: np.ndarray, which: np.ndarray, position: np.ndarray, doc: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, document) where a run of `near` words that holds the position has every term. keys: term and position of all postings, sorted."""
-    keys = np.append(keys, np.iinfo(np.int64).max)
+    """(window, document) where a run of `near` words that holds the position has every term. keys: term and position of all postings, sorted, and an end."""
 
     def following(term, start):  # the term's first position from start on
         key = keys[np.searchsorted(keys, (term.astype(np.int64) << 32) + start)]
