@@ -60,6 +60,7 @@ HOLDS = {
     "ablation": lambda rows: (v := {r.dropped: r for r in rows}) and v["(none)"].concordance_drop == v["(none)"].auc_drop == 0 and v["(all)"].concordance == v["(all)"].auc == 0.5 and v["(none)"].concordance > 0.5 and len(v) == 6,
     "ablation_missing": lambda rows: (v := {r.dropped: r for r in rows}) and v["(none)"].concordance_drop == v["(none)"].auc_drop == 0 and v["(all)"].concordance == v["(all)"].auc == 0.5 and v["(none)"].concordance > 0.55 and len(v) == 7 and sum(r.concordance_drop for r in rows) > 0,
     "background_summary": lambda rows: len(rows) == 50 and all(r.n > 0 and r.purpose for r in rows) and any(r.mths_since_delinq is None or r.mths_since_delinq >= 0 for r in rows),
+    "separability_coefficients": lambda rows: sorted(r.feature for r in rows) == ["annual_inc", "dti", "loan_amnt"] and [abs(r.coefficient) for r in rows] == sorted((abs(r.coefficient) for r in rows), reverse=True),
     "survshap": lambda rows: _adds_up(rows) and {r.t for r in rows} == {6, 12, 24, 36},
     "naive_shap": lambda rows: _adds_up(rows) and {r.t for r in rows} == {36},
     "noise_floor": lambda rows: len(rows) == 1 and 0.5 <= rows[0].spearman <= 1 and 0 <= rows[0].mean_relative_gap < 0.5 and rows[0].top10_jaccard == 1,

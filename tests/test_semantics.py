@@ -336,3 +336,19 @@ def test_column_matching(spark):
     assert (rows["LoanAmount"].feature, rows["LoanAmount"].confidence, rows["Yearly Income"].feature, rows["other"].feature, rows["other"].confidence) == ("loan_amnt", 0.99, "annual_inc", "purpose", 0.8)
     assert (rows["kind"].confidence, rows["kind"].preselected) == (0.225, False)  # numbers under a category's name
     assert [matching.normalised(x) for x in ("LoanAmount", "Open Credit Lines (count)", "inquiries_last_6m", "the loan", "FICOScore2High", "a1b", "", "Zip-Code 5")] == ["amount", "opencreditlines", "inquirieslast6m", "theloan", "ficoscore2high", "1b", "", "zipcode5"]
+
+
+def test_propensity_coefficients_equal_newton(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 2)) * [3.0, 0.5] + [10.0, -2.0]
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.4 * (x[:, 0] - 10) - 2.0 * (x[:, 1] + 2))))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), bool(v)) for (a, b), v in zip(x, y)], "a double, b double, y boolean")
+    rows, got = models.fit_propensity(df, ["a", "b"], F.col("y"))
+    z = np.column_stack([(x - x.mean(axis=0)) / x.std(axis=0, ddof=1), np.ones(400)])
+    beta, ridge = np.zeros(3), np.diag([1e-4, 1e-4, 0.0])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta = beta + np.linalg.solve((z.T * (p * (1 - p))) @ z / 400 + ridge, z.T @ (y - p) / 400 - ridge @ beta)
+    assert [f for f, _ in got] == ["a", "b"] if abs(beta[0]) > abs(beta[1]) else ["b", "a"]
+    assert np.allclose([dict(got)["a"], dict(got)["b"]], beta[:2], atol=1e-3)
+    assert abs(rows.agg(F.avg("propensity")).first()[0] - y.mean()) < 1e-3

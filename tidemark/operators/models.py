@@ -73,11 +73,17 @@ def fit_hazard(df: DataFrame, features: list[str], *, months: int = 3, horizon:
     return HazardModel(LogisticRegression(regParam=1e-4, weightCol="weight", maxIter=50).fit(data), features, months)
 
 
-def propensity(df: DataFrame, features: list[str], label: Column) -> DataFrame:
-    """Adds propensity: the probability of `label` by logistic regression on standardised features, fitted on all rows."""
+def fit_propensity(df: DataFrame, features: list[str], label: Column) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """The rows with propensity, the probability of `label` by logistic regression on standardised features, fitted on all rows; and (feature, coefficient), the largest first."""
     data = VectorAssembler(inputCols=features, outputCol="features").transform(standardised(df, features).withColumn("label", label.cast("double")))
     model = LogisticRegression(regParam=1e-4, maxIter=50).fit(data)
-    return model.transform(data).withColumn("propensity", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    scored = model.transform(data).withColumn("propensity", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    return scored, sorted(zip(features, map(float, model.coefficients)), key=lambda r: (-abs(r[1]), r[0]))
+
+
+def propensity(df: DataFrame, features: list[str], label: Column) -> DataFrame:
+    """The rows of fit_propensity."""
+    return fit_propensity(df, features, label)[0]
 
 
 def background(df: DataFrame, numeric: list[str], categorical: list[str], k: int, seed: int = 1) -> DataFrame:

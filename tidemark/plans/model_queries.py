@@ -128,6 +128,13 @@ def separability(spark, sf_dir):
     return selection.rank_auc(df, ["propensity"], F.col("accepted")).crossJoin(selection.common_support(df, "propensity", F.col("accepted")))
 
 
+@query()
+def separability_coefficients(spark, sf_dir):
+    """What sets accepted and rejected apart: the propensity's coefficients on standardised features, the largest first."""
+    _, coefficients = models.fit_propensity(accepted(spark, sf_dir).select("id", "accepted", *FEATURES), FEATURES, F.col("accepted"))
+    return spark.createDataFrame(coefficients, "feature string, coefficient double")
+
+
 @query("""SELECT * FROM (VALUES ('dti', 'dti', 1.0, 'exact', false, true), ('Loan Amount', 'loan_amnt', 0.99, 'synonym', false, true), ('YearlyIncome', 'annual_inc', 0.49, 'synonym', true, false), ('gross income', 'annual_inc', 0.49, 'synonym', true, false),
 ('kind', 'purpose', 0.8, 'known levels', false, true), ('Term', 'term_months', 0.99, 'synonym', false, true), ('emp length', 'emp_length', 0.9775, 'same name', false, true), ('addr state', 'addr_state', 0.2125, 'same name', true, false), ('state code', 'addr_state', 0.36, 'synonym', true, false), ('loan_amnt_text', NULL, 0.0, NULL, false, false)) AS t("column", feature, confidence, how, contested, preselected)""")
 def match_columns(spark, sf_dir):
