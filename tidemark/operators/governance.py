@@ -144,6 +144,7 @@ def approval_rules(records: DataFrame, evidence: DataFrame, files: DataFrame, sa
     there = files.select(F.regexp_replace("path", "^models/", "").alias("tag"), F.col("sha256").alias("actual"))
     rows = m.join(there, "tag", "left").join(found, "tag", "left")
     rows = rows.withColumns({"A1_model_file": F.col("actual") == F.col("sha"), "A3_no_blocking_defect": ~F.col("blocked"), "A7_explain_settings": (F.col("measured") == wanted) | F.array_contains("tried", wanted)})
+    # fixed values: the rules' names
     rules = ["A1_model_file", "A2_features", "A3_no_blocking_defect", "A4_cleaning_values", "A5_ablation", "A6_explainer_validation", "A7_explain_settings"]
     return rows.select("tag", *[holds(F.col(r)).alias(r) for r in rules], reduce(lambda x, y: x & y, [holds(F.col(r)) for r in rules]).alias("approved"))
 

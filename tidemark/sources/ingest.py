@@ -133,21 +133,21 @@ def check_upload(spark: SparkSession, path: str) -> Upload:
     """The file's columns and rows, or an UploadError; one pass over the lines. The header is the first line that isn't blank; shorter rows are filled, longer ones are a problem."""
     name = path.rstrip("/").rsplit("/", 1)[-1]
     if not name.lower().endswith((".csv", ".txt")):
-        raise UploadError("suffix", f"{name} is not a CSV file")
+        raise UploadError("suffix", f"{name}: only .csv and .txt files are read")
     try:
         text = lines(spark, path).withColumn("at", F.monotonically_increasing_id())
     except AnalysisException as e:
-        raise UploadError("missing", f"{name} could not be read: {e.getCondition()}") from e
+        raise UploadError("missing", f"{name}: no such file ({e.getCondition()})") from e
     found = text.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.is_valid_utf8("value")).alias("bad"), F.max(n_fields(F.col("value"))).alias("widest"), F.min_by("value", F.struct(~F.col("first_block"), "at")).alias("header")).first()
     if not found.n:
-        raise UploadError("empty", f"{name} is empty")
+        raise UploadError("empty", f"{name} holds no line")
     if found.bad:
-        raise UploadError("not_text", f"{found.bad} lines of {name} are not UTF-8")
+        raise UploadError("not_text", f"{name}: {found.bad} lines are no UTF-8")
     names = header_names(found.header)
     if found.n == 1:
-        raise UploadError("header_only", f"{name} has a header but no rows")
+        raise UploadError("header_only", f"{name} ends after its header")
     if found.widest > len(names):
-        raise UploadError("ragged", f"{name} has rows of up to {found.widest} fields under {len(names)} columns")
+        raise UploadError("ragged", f"{name}: a row has {found.widest} fields, the header {len(names)}")
     return Upload(names, found.header, found.n - 1)
 
 
