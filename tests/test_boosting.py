@@ -203,3 +203,27 @@ def test_ablation_sets_columns_missing(spark):
             alive[r.id] = alive.get(r.id, 1.0) * (1 - r.hazard)
         assert all(abs(got[i, name] - (1 - s)) < 1e-12 for i, s in alive.items())
     assert len(got) == 40
+
+
+def test_attributions_over_periods_are_found_once_a_leaf(spark):
+    """hazard_shapley against its sum a period, on trees that split on the period too and beyond the last trained one."""
+    df = spark.createDataFrame(loans_of(400, 7, 2.0), SCHEMA)
+    model = boosting.fit_boosting(df, NUMBERS, KINDS, months=2, horizon=12, trees=6, leaves=8, depth=4, rate=0.3, least=5, bagging=1.0, features_share=1.0)
+    last = len(model.bins.features)
+    assert any((t.feature[t.left >= 0] == last).any() for t in model.trees)
+    bins = model.bins.of(df.limit(50).toPandas())
+    periods = model.periods + 2
+    want = sum(-model.hazard(x)[:, None] * model.shapley(x)[:, :-1] for x in (np.column_stack([bins, np.full(len(bins), min(k, model.periods))]) for k in range(1, periods + 1)))
+    assert np.abs(model.hazard_shapley(bins, periods) - want).max() < 1e-12
+
+
+def test_state_is_dealt_to_files_by_rows(spark, monkeypatch):
+    """Loans in one partition spread over the tasks of a pass, and the fit stays the same."""
+    df = spark.createDataFrame(loans_of(300, 8), SCHEMA).coalesce(1)
+    fit = lambda: boosting.fit_boosting(df, NUMBERS, KINDS, trees=3, leaves=4, depth=2, least=5)
+    one, seen, real = fit(), [], boosting._pass
+    monkeypatch.setattr(boosting, "STATE_ROWS", 50)
+    monkeypatch.setattr(boosting, "_pass", lambda state, *rest: (seen.append(len(state.inputFiles())), real(state, *rest))[1])
+    many = fit()
+    assert max(seen) == 6
+    assert np.allclose([h[1] for h in one.history], [h[1] for h in many.history], atol=1e-12)

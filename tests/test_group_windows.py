@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,17 @@ def test_group_ranks(spark):
     for level in {r.s for r in rows}:
         own = sorted((r for r in rows if r.s == level), key=lambda r: (r.neg, r.id))
         assert [got[r.id] for r in own] == list(range(1, len(own) + 1))
+
+
+def test_many_quantiles_meet_each_value_a_few_times(spark):
+    """Unsorted, repeated and dense probabilities over ties, single values and gaps: as numpy has them; a rank meets only probabilities near it."""
+    df = spark.range(3000).select((F.col("id") % 3).cast("string").alias("g"), F.when(F.col("id") % 3 == 0, F.col("id") % 7).otherwise(F.hash("id")).cast("double").alias("v"))
+    df = df.unionByName(spark.createDataFrame([("one", 4.0), ("two", 1.0), ("two", 2.0), ("none", None)], "g string, v double"))
+    values = {}
+    for r in df.where("v IS NOT NULL").collect():
+        values.setdefault(r.g, []).append(r.v)
+    for wanted in ([i / 253 for i in range(1, 253)], [1.0, 0.0, 0.5, 0.5, 0.999]):
+        got = {r.g: r.q for r in ranks.quantiles(df, ["g"], "v", wanted).collect()}
+        assert set(got) == set(values) and all(np.allclose(got[g], np.quantile(v, wanted), rtol=1e-12) for g, v in values.items())
+    met = spark.range(100_000).select(F.size(ranks._nearby([i / 253 for i in range(1, 253)], F.col("id"), F.col("id"), F.lit(100_000))).alias("n"))
+    assert met.agg(F.max("n")).first()[0] <= 4

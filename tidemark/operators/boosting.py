@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from tidemark.operators.profile import unpivoted
 from tidemark.operators.ranks import quantiles
 from tidemark.sources.shipping import ship
-from tidemark.sources.store import stored
+from tidemark.sources.store import spread, stored
 
 #: Trees after which margins are written.
 STATE = 8
+#: Loans of a file of the stored state at most, about: a pass has a task a file, or a few.
+STATE_ROWS = 100_000
 #: Bins of a feature at most, that of missing values among them.
 BINS = 255
 EVENTS = 1e-9
@@ -178,6 +180,18 @@ def best_split(g: np.ndarray, h: np.ndarray, n: np.ndarray, levels: bool, least:
     return found
 
 
+def _share(j: int, path: dict, on: dict) -> np.ndarray:
+    """Feature j's share of a leaf's value: the sum over subsets of the path's other features. on: by feature, whether the row's bin goes on to the leaf."""
+    d = len(path)
+    ways = np.zeros((d, len(on[j])))  # by how many of the other features are in: the product over all of them
+    ways[0] = 1
+    for f in path:
+        if f != j:
+            ways[1:], ways[0] = ways[1:] * path[f][1] + ways[:-1] * on[f], ways[0] * path[f][1]
+    weight = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
+    return (weight @ ways) * (on[j] - path[j][1])
+
+
 @dataclass
 class Booster:
     bins: Bins
@@ -263,15 +277,25 @@ class Booster:
         for tree in self.trees:
             for value, path in tree.leaves():
                 on = {f: mask[bins[:, f]].astype(float) for f, (mask, _) in path.items()}
-                d = len(path)
                 for j in path:
-                    ways = np.zeros((d, len(bins)))  # by how many of the other features are in: the product over all of them
-                    ways[0] = 1
-                    for f in path:
-                        if f != j:
-                            ways[1:], ways[0] = ways[1:] * path[f][1] + ways[:-1] * on[f], ways[0] * path[f][1]
-                    weight = np.array([factorial(k) * factorial(d - k - 1) / factorial(d) for k in range(d)])
-                    out[:, j] += value * (weight @ ways) * (on[j] - path[j][1])
+                    out[:, j] += value * _share(j, path, on)
+        return out
+
+    def hazard_shapley(self, bins: np.ndarray, periods: int) -> np.ndarray:
+        """(loans, their features): minus the sum over periods of the hazard times `shapley` at the loan and period. A leaf's part depends on the period only by whether it lets the period through: it is found once for each of the two, with the hazards of these periods summed."""
+        loan, rows = expanded(bins, np.full(len(bins), periods))
+        rows[:, -1] = np.minimum(rows[:, -1], self.periods)
+        hazard = self.hazard(rows).reshape(len(bins), periods)
+        at, last = np.minimum(np.arange(1, periods + 1), self.periods), len(self.bins.features)
+        out = np.zeros(bins.shape)
+        for tree in self.trees:
+            for value, path in tree.leaves():
+                on = {f: mask[bins[:, f]].astype(float) for f, (mask, _) in path.items() if f != last}
+                through = path[last][0][at] if last in path else np.ones(periods, bool)
+                for let in np.unique(through):
+                    weight = value * hazard[:, through == let].sum(axis=1)
+                    for j in on:
+                        out[:, j] -= weight * _share(j, path, on | {last: float(let)})
         return out
 
     def tree_shap(self, df: DataFrame, periods: int, keep: list[str]) -> DataFrame:
@@ -281,10 +305,7 @@ class Booster:
         def explain(parts):
             for part in parts:
                 bins, names = self.bins.of(part[self.bins.features]), self.bins.features
-                phi = np.zeros((len(part), len(names)))
-                for k in range(1, periods + 1):
-                    full = np.column_stack([bins, np.full(len(part), min(k, self.periods), np.int16)])
-                    phi -= self.hazard(full)[:, None] * self.shapley(full)[:, :-1]
+                phi = self.hazard_shapley(bins, periods)
                 kept = part[[f"_k{i}" for i in range(len(keep))]].set_axis(keep, axis=1)
                 yield kept.loc[kept.index.repeat(len(names))].reset_index(drop=True).assign(feature=np.tile(names, len(part)), phi=phi.ravel())
 
@@ -384,7 +405,7 @@ def fit_boosting(df: DataFrame, numeric: list[str], categorical: list[str] = [],
             yield pd.DataFrame({"key": part["key"], "n": n.astype(np.int32), "event": event.astype(np.int32), "weight": part["weight"], "train": part["train"], "bins": list(x), "margins": [np.full(k, base) for k in n]})
 
     kind = "key long, n int, event int, weight double, train boolean, bins array<smallint>, margins array<double>"
-    state = stored(loans.mapInPandas(to_bins, kind))
+    state = stored(spread(stored(loans.mapInPandas(to_bins, kind)), STATE_ROWS))
     since: list[Tree] = []
     rng = np.random.default_rng(seed)
     split = {"least": least, "l2": l2, "smooth": smooth}

@@ -7,7 +7,7 @@ partitions; the order inside a range is that range's own task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.sources.store import stored
@@ -49,6 +49,17 @@ def row_ranks(df: DataFrame, value: str, ties: list[str], by: list[str] | None =
     return joined.withColumn("r", F.col("_before") + F.row_number().over(Window.partitionBy(*by, "_b").orderBy(value, *ties))).drop("_b", "_before")
 
 
+def _nearby(probabilities: list[float], first: Column, last: Column, n: Column) -> Column:
+    """The probabilities (i, p) whose ranks among n values may lie next to the ranks first to last: looked up on a grid, so that a value meets a few of them and not all."""
+    order = sorted(enumerate(probabilities), key=lambda x: x[1])
+    grid = max(64, 4 * len(order))
+    counts = [*(sum(p < k / grid for _, p in order) for k in range(grid + 1)), len(order)]
+    below, pairs = F.expr(f"array({', '.join(map(str, counts))})"), F.expr(f"array({', '.join(f'struct({i} AS i, {float(p)!r}D AS p)' for i, p in order)})")
+    cell = lambda rank, more: F.least(F.greatest(F.floor(rank / F.greatest(n - 1, F.lit(1)) * grid).cast("int") + more, F.lit(0)), F.lit(grid + 1))
+    a, z = F.get(below, cell(first - 1, -1)), F.get(below, cell(last + 1, 2))  # a cell more on either side, as quotients are rounded
+    return F.slice(pairs, a + 1, z - a)
+
+
 def quantiles(long: DataFrame, by: list[str], value: str, probabilities: list[float]) -> DataFrame:
     """(by..., q): exact quantiles, linear between ranks, of each group's values that are not null; groups without a value are left out.
 
@@ -56,9 +67,9 @@ def quantiles(long: DataFrame, by: list[str], value: str, probabilities: list[fl
     """
     cells = long.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     placed = sums_below(cells, by, "_v", {"_below": "_c"}, {"_n": "_c"})
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_n") - 1) * p).alias("h")) for i, p in enumerate(probabilities)])
     last = F.col("_below") + F.col("_c") - 1
-    near = placed.select(*by, "_v", "_below", last.alias("_last"), F.explode(wanted).alias("w")).where((F.floor("w.h") <= F.col("_last")) & (F.ceil("w.h") >= F.col("_below")))
+    each = placed.select(*by, "_v", "_n", "_below", last.alias("_last"), F.explode(_nearby(probabilities, F.col("_below"), last, F.col("_n"))).alias("p"))
+    near = each.select(*by, "_v", "_below", "_last", F.struct("p.i", ((F.col("_n") - 1) * F.col("p.p")).alias("h")).alias("w")).where((F.floor("w.h") <= F.col("_last")) & (F.ceil("w.h") >= F.col("_below")))
     low = F.max(F.when(F.floor("w.h").between(F.col("_below"), F.col("_last")), F.col("_v")))
     high = F.max(F.when(F.ceil("w.h").between(F.col("_below"), F.col("_last")), F.col("_v")))
     share = F.max(F.col("w.h") - F.floor("w.h"))

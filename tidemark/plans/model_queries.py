@@ -10,7 +10,7 @@ from tidemark.plans.registry import query
 from tidemark.plans.views import LOANS, accepted, loans
 from tidemark.sources.loans import raw_loans
 from tidemark.sources import tables
-from tidemark.sources.store import stored
+from tidemark.sources.store import spread, stored
 from tidemark.sources.tables import guard, table
 
 FEATURES = ["dti", "loan_amnt", "annual_inc"]
@@ -66,7 +66,7 @@ def hazard_trees_importance(spark, sf_dir):
 def hazard_trees_survival(spark, sf_dir):
     """Survival at 12 months by the hazard trees, and its mean by predicted decile."""
     df, model = boosted(spark, sf_dir)
-    s = survival.survival_from_hazard(model.hazards(df, 4, ["id"]), ["id"]).where("period = 4").select("id", F.col("survival").alias("s"))
+    s = survival.survival_from_hazard(model.hazards(spread(df), 4, ["id"]), ["id"]).where("period = 4").select("id", F.col("survival").alias("s"))
     return evaluate.calibration(df.join(s, "id"), 12)
 
 
