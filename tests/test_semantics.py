@@ -352,3 +352,33 @@ def test_propensity_coefficients_equal_newton(spark):
     assert [f for f, _ in got] == ["a", "b"] if abs(beta[0]) > abs(beta[1]) else ["b", "a"]
     assert np.allclose([dict(got)["a"], dict(got)["b"]], beta[:2], atol=1e-3)
     assert abs(rows.agg(F.avg("propensity")).first()[0] - y.mean()) < 1e-3
+
+
+def test_curves_of_a_margin_are_the_hazards_product():
+    """Survival by odds against the running product, at margins that overflow too; the kernel by margins against the one by mixed rows; a default is 1 - survival."""
+    rng = np.random.default_rng(3)
+    curve = shapley.Curve(np.array([0.7, -1.2, 0.4]), -2.0, np.exp(0.3 * np.log1p(np.arange(1, 13))), [2, 0, 12])
+    x, ground = rng.normal(size=(40, 3)), rng.normal(size=(9, 3))
+    hazard = 1 / (1 + 1 / (np.exp(-2.0 + x @ curve.weights)[:, None] * curve.odds))
+    s = np.cumprod(1 - hazard, axis=1)
+    assert np.abs(curve(x) - np.column_stack([s[:, 1], np.ones(40), s[:, 11]])).max() < 1e-14
+    assert curve.of(np.array([-800.0, 800.0])).tolist() == [[1, 1, 1], [0, 1, 0]]
+    z = shapley.coalitions(3, 600, 1)
+    for one, two in zip(shapley.kernel_values(x, ground, curve, *z), shapley.kernel_values(x, ground, lambda v: curve(v), *z)):
+        assert np.abs(one - two).max() < 1e-12
+    other = shapley.Curve(curve.weights, curve.offset, curve.odds, curve.ends, default=True)
+    assert np.abs(other(x) - (1 - curve(x))).max() < 1e-15
+
+
+def test_areas_made_beside_the_kernel(spark):
+    """kernel_areas against row_areas of kernel_shap, with times out of order, and without any span."""
+    ship(spark)
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame([(i, *map(float, rng.normal(size=3))) for i in range(30)], "row_id long, a double, b double, c double")
+    for ends in ([8, 2, 5], [4]):
+        curve = shapley.Curve(np.array([0.7, -1.2, 0.4]), -2.0, np.ones(9), ends)
+        args = (rows, rng.normal(size=(5, 3)), ["a", "b", "c"], curve, [3 * e for e in ends])
+        want = {(r.row_id, r.feature): (r.area, r.signed) for r in explain.row_areas(shapley.kernel_shap(*args)).collect()}
+        got = {(r.row_id, r.feature): (r.area, r.signed) for r in shapley.kernel_areas(*args).collect()}
+        assert set(got) == set(want)
+        assert all(g == w if None in w else np.allclose(g, w, atol=1e-12) for g, w in ((got[k], want[k]) for k in want))

@@ -33,7 +33,12 @@ def row_areas(phi: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def importances(phi: DataFrame) -> DataFrame:
     """(feature, importance, signed), averaged over rows."""
-    return row_areas(phi).groupBy("feature").agg(F.round(F.avg("area"), 8).alias("importance"), F.round(F.avg("signed"), 8).alias("signed"))
+    return mean_areas(row_areas(phi))
+
+
+def mean_areas(areas: DataFrame) -> DataFrame:
+    """(feature, importance, signed) of row_areas."""
+    return areas.groupBy("feature").agg(F.round(F.avg("area"), 8).alias("importance"), F.round(F.avg("signed"), 8).alias("signed"))
 
 
 def time_variation(phi: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.profile import unpivoted
 from tidemark.operators.ranks import quantiles
+from tidemark.operators.shapley import Curve
 from tidemark.operators.survival import person_period
 from tidemark.sources.store import stored
 
@@ -39,18 +40,12 @@ class HazardModel:
     features: list[str]
     months: int
 
-    def survival(self, times: list[int]):
-        """A numpy function (matrix of features) -> (rows, times) of a logistic hazard; it runs in tasks and holds the coefficients only."""
+    def survival(self, times: list[int], default: bool = False) -> Curve:
+        """A numpy function (matrix of features) -> (rows, times) of survival, or of 1 - survival; it runs in tasks and holds the coefficients only."""
         w, b = np.array(self.model.coefficients.toArray()), float(self.model.intercept)
         ends = [max(0, -(-t // self.months)) for t in times]
-
-        def predict(x: np.ndarray) -> np.ndarray:
-            margin = b + x @ w[:-2]
-            k = np.arange(1, max(ends, default=0) + 1)
-            log = np.cumsum(np.log1p(-1 / (1 + np.exp(-(margin[:, None] + np.log1p(k) * w[-2] + k / 12 * w[-1])))), axis=1)
-            return np.column_stack([np.exp(log[:, e - 1]) if e else np.ones(len(x)) for e in ends])
-
-        return predict
+        k = np.arange(1, max(ends, default=0) + 1)
+        return Curve(w[:-2], b, np.exp(np.log1p(k) * w[-2] + k / 12 * w[-1]), ends, default)
 
     def hazards(self, df: DataFrame, periods: int, keep: list[str]) -> DataFrame:
         """(keep..., period, hazard) for each row and period up to `periods`."""

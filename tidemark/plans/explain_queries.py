@@ -10,7 +10,7 @@ from tidemark.plans.model_queries import boosted
 from tidemark.plans.registry import query
 from tidemark.plans.views import LOANS, PHI, TIMES, accepted, attributions, loans, risky
 from tidemark.sources.shipping import ship
-from tidemark.sources.store import stored
+from tidemark.sources.store import spread, stored
 from tidemark.sources.tables import guard, table
 
 FEATURES = ["dti", "loan_amnt", "annual_inc", "mths_since_delinq", "term_months", "fico_midpoint"]
@@ -32,7 +32,7 @@ def _ground(df, n: int = 50) -> np.ndarray:
 
 
 def _kernel(df, predict, times, samples=600, seed=101):
-    return shapley.kernel_shap(df.withColumnRenamed("id", "row_id"), _ground(df), FEATURES, predict, times, samples=samples, seed=seed)
+    return shapley.kernel_shap(spread(df.withColumnRenamed("id", "row_id")), _ground(df), FEATURES, predict, times, samples=samples, seed=seed)
 
 
 @query()
@@ -48,8 +48,7 @@ def naive_shap(spark, sf_dir):
     """KernelSHAP of one number, 1 - S(36), of the same model."""
     ship(spark)
     df = design(spark, sf_dir)
-    survival = models.fit_hazard(df, FEATURES).survival([36])
-    return _kernel(df, lambda x: 1 - survival(x), [36])
+    return _kernel(df, models.fit_hazard(df, FEATURES).survival([36], default=True), [36])
 
 
 @query()
@@ -58,7 +57,8 @@ def noise_floor(spark, sf_dir):
     ship(spark)
     df = design(spark, sf_dir)
     predict = models.fit_hazard(df, FEATURES).survival(TIMES)
-    draws = [explain.importances(_kernel(df, predict, TIMES, 24, seed)).select("feature", "importance") for seed in (101, 202)]
+    rows, ground = spread(df.withColumnRenamed("id", "row_id")), _ground(df)
+    draws = [explain.mean_areas(shapley.kernel_areas(rows, ground, FEATURES, predict, TIMES, samples=24, seed=seed)).select("feature", "importance") for seed in (101, 202)]
     return explain.noise_floor(*draws)
 
 
@@ -97,7 +97,7 @@ def hazard_linear_shap(spark, sf_dir):
 def tree_shap(spark, sf_dir):
     """Hazard-weighted attributions of the boosted trees up to 36 months, for every loan."""
     df, model = boosted(spark, sf_dir)
-    return model.tree_shap(df.withColumnRenamed("id", "row_id"), 12, ["row_id"])
+    return model.tree_shap(spread(df.withColumnRenamed("id", "row_id")), 12, ["row_id"])
 
 
 @query()
@@ -182,7 +182,7 @@ def ablation_missing(spark, sf_dir):
     """The hazard trees without each group of columns that arrive together, missing as in a file that lacks them: concordance and AUC at 12 months, and the drop of both."""
     df, model = boosted(spark, sf_dir)
     groups = _ARRIVE | {"(all)": model.bins.features}
-    scored = stored(model.ablated(df, groups, 4, ["duration_months", "event"]).withColumn("risk", F.round("risk", 6)))
+    scored = stored(model.ablated(spread(df), groups, 4, ["duration_months", "event"]).withColumn("risk", F.round("risk", 6)))
     both = evaluate.concordance(scored, ["dropped"]).join(evaluate.cumulative_auc(scored, [12], ["dropped"]).select("dropped", "auc"), "dropped")
     base = both.where("dropped = '(none)'").select(F.col("concordance").alias("_c"), F.col("auc").alias("_a"))
     return both.crossJoin(F.broadcast(base)).select("dropped", "concordance", "auc", F.round(F.col("_c") - F.col("concordance"), 6).alias("concordance_drop"), F.round(F.col("_a") - F.col("auc"), 6).alias("auc_drop"))  # one row
