@@ -5,9 +5,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import zstandard
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 from tidemark.llm import license_templates as lt
 from tidemark.llm import packing, phrase_index, warc
@@ -266,3 +268,12 @@ def test_whole_licenses_and_altered_ones(spark):
     got = {r.doc_id: r.labels.split(",") for r in lt.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(want[i] in got[i] for i in want)
     assert (got[100], got[101], got[102], got[103]) == (["mit-opening"], ["mit-opening"], ["mit", "mit-opening"], [""])
+
+
+def test_segments_are_a_row_group_each(spark):
+    """Neither the task that writes an index nor one that reads it holds more than a row group: no segment waits for the next hundred."""
+    docs = spark.range(24).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 20000), x -> sha2(concat(id, '-', x), 256)), ' ')").alias("text")).coalesce(1)
+    files = phrase_index.index_segments(docs, segment_bytes=1 << 16, carry=["text"]).inputFiles()
+    found = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in files]
+    assert sum(m.num_rows for m in found) == 24
+    assert sum(m.num_row_groups for m in found) > 2  # one group of all before

@@ -37,6 +37,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.shared import stored
 from tidemark.llm.textbytes import ALNUM, Batch, Numbers, group_starts, slices
+from tidemark.sources.store import LONG_ROWS
 
 #: Bytes of test items that one search holds in each task.
 ITEM_BYTES = 8 << 20
@@ -104,7 +105,7 @@ def index_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([*[pa.array([x], t) for x, t in zip(row, _ARROW)], *lists], names=[f.name for f in schema.fields])
                 number += 1
 
-    return stored(plain.mapInArrow(build, schema))
+    return stored(plain.mapInArrow(build, schema), LONG_ROWS)
 
 
 class Phrases:
