@@ -1,6 +1,7 @@
 """What one task does, or how often a step is done, does not grow with the table or the number of columns."""
 
 from tidemark.functions import matching
+from tidemark.plans import file_queries
 
 
 def test_shares_of_contents_read_each_value_once(spark, monkeypatch):
@@ -13,3 +14,12 @@ def test_shares_of_contents_read_each_value_once(spark, monkeypatch):
     assert got["a", "small"] == {"n": 2, "numeric": 1.0, "letters": 0.0, "inside": 0.5, "pattern": 0.0, "levels": 0.0}
     assert got["b.c", "named"] == {"n": 3, "numeric": 1 / 3, "letters": 1.0, "inside": 0.0, "pattern": 2 / 3, "levels": 2 / 3}
     assert got["gone", "large"] == {"n": 0, "numeric": 0.0, "letters": 0.0, "inside": 0.0, "pattern": 0.0, "levels": 0.0}
+
+
+def test_blocks_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i % 40}", "ab"[i % 2]) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6, "doc_id").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(file_queries, "scratch", lambda spark: str(tmp_path / "run"))
+    got = {r.doc_id: r.kind for r in file_queries.stream_dedupe_first(spark, str(tmp_path)).collect()}
+    assert got == {i: "kept" if i < 40 else "duplicate_row" for i in range(120)}
+    assert len(list((tmp_path / "run" / "in").glob("*.parquet"))) > 4  # there were four blocks, a file and so a task each

@@ -118,14 +118,14 @@ SELECT doc_id, CASE WHEN r = 1 THEN 'kept' WHEN source = s THEN 'duplicate_row'
 def stream_dedupe_first(spark, sf_dir):
     """First occurrences over four blocks that come one after the other, by state: the same as over the whole table."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("same_text"))
+    docs = stored(table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(F.col("text").cast("binary"), 256).alias("same_text")))
     base = scratch(spark)
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     block = F.floor((F.col("doc_id") - low) * 4 / (high - low + 1))
-    for k in range(4):  # a block is written when it comes
-        docs.where(block == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    blocks.run_blocks(blocks.first_occurrences(stream, "doc_id", "same_text", ["same_text", "source"]), f"{base}/out", f"{base}/checkpoint")
+    for k in range(4):  # a block is written when it comes, by any number of tasks, and is one micro-batch
+        docs.where(block == k).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{base}/in")
+        blocks.run_blocks(blocks.first_occurrences(stream, "doc_id", "same_text", ["same_text", "source"]), f"{base}/out", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/out").select("doc_id", "kind")
 
 
