@@ -1,7 +1,10 @@
 """What one task does, or how often a step is done, does not grow with the table or the number of columns."""
 
 from tidemark.functions import matching
-from tidemark.plans import file_queries
+from tidemark.operators import explain
+from tidemark.plans import file_queries, views
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_shares_of_contents_read_each_value_once(spark, monkeypatch):
@@ -23,3 +26,12 @@ def test_blocks_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypat
     got = {r.doc_id: r.kind for r in file_queries.stream_dedupe_first(spark, str(tmp_path)).collect()}
     assert got == {i: "kept" if i < 40 else "duplicate_row" for i in range(120)}
     assert len(list((tmp_path / "run" / "in").glob("*.parquet"))) > 4  # there were four blocks, a file and so a task each
+
+
+def test_tasks_of_attributions_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(views, "LINES", 100)
+    phi = views.attributions(spark, SF)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    areas = explain.row_areas(phi)
+    assert areas.rdd.getNumPartitions() >= n // 100 > 8
+    assert areas._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1  # what goes by row_id is where it is
