@@ -1,8 +1,8 @@
 """What one task does, or how often a step is done, does not grow with the table or the number of columns."""
 
 from tidemark.functions import matching
-from tidemark.operators import explain
-from tidemark.plans import file_queries, views
+from tidemark.operators import explain, models
+from tidemark.plans import explain_queries, file_queries, views
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +35,18 @@ def test_tasks_of_attributions_grow_with_the_lines(spark, monkeypatch):
     areas = explain.row_areas(phi)
     assert areas.rdd.getNumPartitions() >= n // 100 > 8
     assert areas._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1  # what goes by row_id is where it is
+
+
+def test_rows_that_are_learned_from_are_read_once(spark, monkeypatch):
+    kept, keep = [], models.stored
+    monkeypatch.setattr(models, "stored", lambda df: kept.append(1) or keep(df))
+    got = models.standardised(spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], "id long, x double"), ["x"])
+    assert len(kept) == 1 and [(r.id, r.x) for r in got.orderBy("id").collect()] == [(1, -1.0), (2, 0.0), (3, 1.0)]
+
+
+def test_both_halves_of_a_run_read_it_stored(spark, monkeypatch):
+    kept, keep = [], explain_queries.stored
+    monkeypatch.setattr(explain_queries, "stored", lambda df: kept.append(1) or keep(df))
+    monkeypatch.setattr(explain_queries, "run_of", lambda *_: spark.createDataFrame([(1, 0.25, "approve"), (2, 0.5, "reject"), (3, 0.5, "approve")], "id long, pd_h double, decision string"))
+    got = {r.decision: (r.rows, r.total) for r in explain_queries.decision_sinks(spark, "").collect()}
+    assert len(kept) == 1 and got == {"approve": (2, 0.75), "reject": (1, 0.5)}

@@ -23,8 +23,9 @@ from tidemark.sources.store import stored
 
 
 def standardised(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Medians for missing values, then mean 0 and deviation 1 as learned on `fit_on`; constant columns become 0. One row is learned."""
-    source = df if fit_on is None else fit_on
+    """Medians for missing values, then mean 0 and deviation 1 as learned on `fit_on`; constant columns become 0. One row is learned. What is learned from is stored, as medians, moments and the rows themselves each read it."""
+    source = stored(df if fit_on is None else fit_on)
+    df = source if fit_on is None else df
     medians = {r["column"]: r["q"][0] for r in quantiles(unpivoted(source, columns, "double"), ["column"], "value", [0.5]).collect()}  # a row per column
     stats = source.sparkSession.range(1).select(*[F.lit(medians.get(c)).cast("double").alias(f"_m_{c}") for c in columns])
     filled = source.crossJoin(F.broadcast(stats))

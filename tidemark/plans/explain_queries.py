@@ -318,7 +318,7 @@ def decision_sinks(spark, sf_dir):
     """The run written a folder per decision, appended twice by halves, and read again."""
     from tidemark.sources.store import scratch
 
-    rows, path = run_of(spark, sf_dir).select("id", "pd_h", "decision"), scratch(spark)
+    rows, path = stored(run_of(spark, sf_dir).select("id", "pd_h", "decision")), scratch(spark)  # both halves read it
     for half in (0, 1):
         scoring.write_decisions(rows.where(F.col("id") % 2 == half), path)
     return spark.read.parquet(path).groupBy("decision").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("pd_h"), 4).alias("total"))

@@ -124,7 +124,7 @@ def cox_ph_test(spark, sf_dir):
 @query()
 def separability(spark, sf_dir):
     """Accepted against rejected: AUC of the fitted propensity and its common support."""
-    df = models.propensity(accepted(spark, sf_dir).select("id", "accepted", *FEATURES), FEATURES, F.col("accepted"))
+    df = stored(models.propensity(accepted(spark, sf_dir).select("id", "accepted", *FEATURES), FEATURES, F.col("accepted")).select("accepted", "propensity"))  # three measures read it
     return selection.rank_auc(df, ["propensity"], F.col("accepted")).crossJoin(selection.common_support(df, "propensity", F.col("accepted")))
 
 
