@@ -242,6 +242,24 @@ def test_all_images_of_a_key_are_compared(spark):
     assert all(got[10 + i].n_links == 0 for i in range(20))
 
 
+def test_keys_of_many_images_leave_no_copy_out(spark, monkeypatch):
+    """Each key of the five copies has more rows than a list takes: they are compared by their whole codes, all with all."""
+    monkeypatch.setattr(media, "KEY_ROWS", 2)
+    rng = np.random.default_rng(8)
+    picture = media.drawn(rng.normal(0, 0.125, 64))
+    rows = [(i, media.pgm(x)) for i, x in enumerate([picture, picture[3:, 2:], picture[:-4, 5:], picture[2:-3, :-4], media.edited(picture, 0)])]
+    got = {r.image_id: r for r in media.copies_of(spark.createDataFrame(rows, "image_id long, image binary")).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(5)] == [(0, 4)] * 5
+
+
+def test_all_images_with_codes_in_common_are_paired(spark):
+    rng = np.random.default_rng(3)
+    sets = {i: np.minimum(rng.geometric(0.12, rng.integers(0, 12)), 40).tolist() for i in range(150)}
+    rows = [(i, b"".join(int(c).to_bytes(media.TESTS // 8, "big") for c in s)) for i, s in sets.items()]
+    got = media._same(spark.createDataFrame(rows, "id long, codes binary").repartition(3)).collect()
+    want = {(u, v) for u in sets for v in sets if u < v and len(set(sets[u]) & set(sets[v])) >= media.SURE}
+    assert len(got) == len(want) > 100 and set(map(tuple, got)) == want
+
 
 def test_deep_crops_and_right_angles_among_unrelated_pictures(spark):
     """Copies that lost two fifths, were turned by right angles or darkened are found; few of 40 unrelated pictures are; the same rows for any partitioning."""
