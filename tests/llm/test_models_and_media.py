@@ -261,6 +261,25 @@ def test_all_images_with_codes_in_common_are_paired(spark):
     assert len(got) == len(want) > 100 and set(map(tuple, got)) == want
 
 
+def join_rows(plan):
+    """The rows that each join of a finished plan made."""
+    name = plan.nodeName()
+    own = [plan.metrics().get("numOutputRows").get().value()] if "Join" in name else []
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    return own + [n for p in below for n in join_rows(p)]
+
+
+def test_one_code_in_common_pairs_no_images(spark):
+    rng = np.random.default_rng(6)
+    sets = {i: [60 * k + int(c) for k, c in enumerate(rng.integers(0, 60, 6))] for i in range(600)}  # some 10 images a code
+    rows = [(i, b"".join(c.to_bytes(media.TESTS // 8, "big") for c in s)) for i, s in sets.items()]
+    same = media._same(spark.createDataFrame(rows, "id long, codes binary"))
+    got = set(map(tuple, same.collect()))
+    assert got == {(u, v) for u in sets for v in sets if u < v and len(set(sets[u]) & set(sets[v])) >= media.SURE} and got
+    made = join_rows(same._jdf.queryExecution().executedPlan())
+    assert len(made) == 3 and max(made) < 2000  # 10,000 pairs have one code in common
+
+
 def test_deep_crops_and_right_angles_among_unrelated_pictures(spark):
     """Copies that lost two fifths, were turned by right angles or darkened are found; few of 40 unrelated pictures are; the same rows for any partitioning."""
     rng = np.random.default_rng(21)
