@@ -3,6 +3,7 @@
 from tidemark.functions import matching
 from tidemark.operators import explain, models
 from tidemark.plans import explain_queries, file_queries, views
+from tidemark.streaming import explaining
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +29,19 @@ def test_blocks_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypat
     assert len(list((tmp_path / "run" / "in").glob("*.parquet"))) > 4  # there were four blocks, a file and so a task each
 
 
+def test_targets_of_a_block_are_written_and_explained_by_many_tasks(spark, tmp_path, monkeypatch):
+    keep = file_queries.stored
+    monkeypatch.setattr(file_queries, "stored", lambda df: keep(df.repartition(6)))
+    monkeypatch.setattr(file_queries, "scratch", lambda spark: str(tmp_path / "run"))
+    monkeypatch.setattr(explaining, "SPREAD", 20)
+    run, wanted, killed = file_queries._resumed(spark, SF)
+    n, k = wanted.count(), killed.first()
+    assert (k.target, k.partial) == (n, True) and 0 < k.done < n
+    assert [r["count"] for r in run.ledger(spark).groupBy("batch").count().orderBy("batch").collect()] == [r["count"] for r in wanted.selectExpr("row_id", "min(row_id) OVER () AS lo", "max(row_id) OVER () AS hi").selectExpr("floor((row_id - lo) * 4 / (hi - lo + 1)) AS b").groupBy("b").count().orderBy("b").collect()]
+    assert len(list((tmp_path / "run" / "targets").glob("*.parquet"))) > 4  # there were four blocks, a file and so a task each
+    assert all(len(list((tmp_path / "run" / "results" / f"batch={b}").glob("*.parquet"))) > 2 for b in range(4))  # one each before
+
+
 def test_tasks_of_attributions_grow_with_the_lines(spark, monkeypatch):
     monkeypatch.setattr(views, "LINES", 100)
     phi = views.attributions(spark, SF)

@@ -138,7 +138,7 @@ def _line(x):
 
 
 def _resumed(spark, sf_dir):
-    """Every third loan explained in four blocks; the run is killed in its third block and started again. Returns the run, its targets and what stood when it was killed."""
+    """Every third loan explained in four blocks that come one after the other; the run is killed in its third block and started again. Returns the run, its targets and what stood when it was killed."""
     ship(spark)
     features = ["dti", "loan_amnt", "annual_inc"]
     df = stored(loans(spark, sf_dir).select(F.col("id").alias("row_id"), F.coalesce("dti", F.lit(5.0)).alias("dti"), F.col("loan_amnt").cast("double").alias("loan_amnt"), F.col("annual_inc").cast("double").alias("annual_inc")))
@@ -146,9 +146,6 @@ def _resumed(spark, sf_dir):
     wanted = df.where("row_id % 3 = 0")
     run = explaining.Explanations(scratch(spark))
     low, high = wanted.agg(F.min("row_id"), F.max("row_id")).first()
-    for k in range(4):
-        wanted.where(F.floor((F.col("row_id") - low) * 4 / (high - low + 1)) == k).coalesce(1).write.mode("append").parquet(f"{run.folder}/targets")
-    stream = spark.readStream.schema(wanted.schema).option("maxFilesPerTrigger", 1).parquet(f"{run.folder}/targets")
     blocks_seen = []
 
     def explain(rows):
@@ -157,12 +154,13 @@ def _resumed(spark, sf_dir):
             raise RuntimeError("killed")
         return shapley.kernel_shap(rows, ground, features, _line, TIMES)
 
-    try:
-        run.run(stream, explain)
-    except StreamingQueryException:
-        pass
-    killed = stored(run.snapshot(spark, wanted))
-    run.run(stream, explain)
+    killed, block = None, F.floor((F.col("row_id") - low) * 4 / (high - low + 1))
+    for k in range(4):  # a block is written when it comes, by any number of tasks, and is one micro-batch
+        wanted.where(block == k).write.mode("append").parquet(f"{run.folder}/targets")
+        try:
+            run.run(spark.readStream.schema(wanted.schema).parquet(f"{run.folder}/targets"), explain)
+        except StreamingQueryException:
+            killed = stored(run.snapshot(spark, wanted))  # the next start takes the third block up again, then the fourth
     return run, wanted, killed
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.sampling import reservoir
 from tidemark.operators.scoring import filled_in
-from tidemark.sources.store import stored
+from tidemark.sources.store import SPREAD, stored
 
 
 def targets(rejected: DataFrame, key: str, *, mode: str = "all", n: int | None = None, rows: list[int] | None = None, seed: int = 20260921) -> DataFrame:
@@ -71,7 +71,8 @@ class Explanations(NamedTuple):
         def block(batch: DataFrame, number: int) -> None:
             spark = batch.sparkSession
             done = self.ledger(spark, key).where(F.col("batch") != number).select(key)
-            todo = batch.dropDuplicates([key]).join(done, key, "left_anti")
+            tasks = max(1, -(-batch.count() // SPREAD))  # adaptive execution would size them by bytes, but a row takes long
+            todo = batch.dropDuplicates([key]).join(done, key, "left_anti").repartition(tasks, key)
             explain(todo).write.mode("overwrite").parquet(f"{self.results_path}/batch={number}")
             explained = spark.read.parquet(f"{self.results_path}/batch={number}").select(key).distinct()
             explained.write.mode("overwrite").parquet(f"{self.ledger_path}/batch={number}")
