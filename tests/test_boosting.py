@@ -227,3 +227,37 @@ def test_state_is_dealt_to_files_by_rows(spark, monkeypatch):
     many = fit()
     assert max(seen) == 6
     assert np.allclose([h[1] for h in one.history], [h[1] for h in many.history], atol=1e-12)
+
+
+def test_passes_read_blocks_and_the_last_level_takes_none(spark, monkeypatch):
+    df, seen, real = spark.createDataFrame(loans_of(300, 9), SCHEMA).coalesce(1), [], boosting._pass
+    monkeypatch.setattr(boosting, "_pass", lambda state, *rest: (seen.append(state.count()), real(state, *rest))[1])
+    model = boosting.fit_boosting(df, NUMBERS, KINDS, trees=3, depth=2, least=5, rate=0.3)
+    assert len(model.trees) == 3 and any(t.left[t.left[0]] >= 0 or t.left[t.right[0]] >= 0 for t in model.trees)
+    assert len(seen) <= 2 * 3 + 1 and max(seen) == 1  # rows: a loan each before, and a pass more a tree
+
+
+def test_splits_are_looked_up_once_a_loan(spark):
+    """Values and places of loans over periods against the walk of each row down the tree."""
+    df = spark.createDataFrame(loans_of(400, 7, 2.0), SCHEMA)
+    model = boosting.fit_boosting(df, NUMBERS, KINDS, months=2, horizon=12, trees=6, leaves=8, depth=4, rate=0.3, least=5, bagging=1.0, features_share=1.0)
+    last, bins = len(model.bins.features), model.bins.of(df.limit(50).toPandas())
+    assert any((t.feature[t.left >= 0] == last).any() for t in model.trees)
+    at = np.minimum(np.arange(1, model.periods + 3), model.periods)
+    for tree in model.trees:
+        leaf = np.array([tree.leaf_of(np.column_stack([bins, np.full(len(bins), k)])) for k in at])
+        margins = np.zeros(leaf.shape)
+        tree.add_to(margins, bins.T.astype(np.intp), at)
+        assert np.abs(margins - tree.value[leaf]).max() < 1e-15
+        nodes, place = [int(i) for i in np.flatnonzero(tree.left < 0)], np.full(leaf.shape, -1)
+        for which, slot in tree.reached(nodes, bins.T.astype(np.intp), at):
+            assert (place[which] == -1)[:, slot >= 0].all()
+            place[which] = np.where(slot >= 0, slot, place[which])
+        assert (np.array(nodes)[place] == leaf).all()
+
+
+def test_batches_have_the_bins_of_frames(spark):
+    rows = [(1, float("nan"), None, 0.5, "unseen", 1, 0, 1.0), (2, 0.3, 1.0, None, None, 1, 0, 1.0), *loans_of(40, 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    bins = boosting.fit_bins(df, NUMBERS, KINDS, 12)
+    assert (bins.of_batch(df.toArrow().combine_chunks().to_batches()[0]).T == bins.of(df.toPandas())).all()
