@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import matching
-from tidemark.operators import boosting, cox, design, evaluate, models, selection, survival
+from tidemark.operators import boosting, cox, design, evaluate, label, models, selection, survival
 from tidemark.plans.registry import query
 from tidemark.plans.views import LOANS, accepted, loans
 from tidemark.sources.loans import raw_loans
@@ -40,7 +40,8 @@ def boosted(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key in _boosted:
         return _boosted[key]
-    df = loans(spark, sf_dir).withColumn("fico_midpoint", (602 + F.col("o_custkey") % 200).cast("double"))
+    raw = raw_loans(spark, sf_dir).select("id", "o_custkey", "issue_d", "last_pymnt_d", "loan_status", "term", "loan_amnt", "annual_inc", "dti", "purpose", "mths_since_delinq")  # what is stored on the way
+    df = label.survival_target(raw).withColumn("fico_midpoint", (602 + F.col("o_custkey") % 200).cast("double"))
     df = stored(df.select("id", "duration_months", "event", "purpose", *[F.col(f).cast("double").alias(f) for f in BOOSTED]))
     guard(df.select(*BOOSTED, "purpose"))
     held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
@@ -66,8 +67,7 @@ def hazard_trees_importance(spark, sf_dir):
 def hazard_trees_survival(spark, sf_dir):
     """Survival at 12 months by the hazard trees, and its mean by predicted decile."""
     df, model = boosted(spark, sf_dir)
-    s = survival.survival_from_hazard(model.hazards(spread(df), 4, ["id"]), ["id"]).where("period = 4").select("id", F.col("survival").alias("s"))
-    return evaluate.calibration(df.join(s, "id"), 12)
+    return evaluate.calibration(model.survived(spread(df), 4, ["id", "duration_months", "event"]).withColumn("s", F.round("survival", 8)), 12)
 
 
 def _split(spark, sf_dir):
