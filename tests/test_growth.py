@@ -1,7 +1,7 @@
 """What one task does, or how often a step is done, does not grow with the table or the number of columns."""
 
 from tidemark.functions import matching
-from tidemark.operators import explain, models
+from tidemark.operators import evaluate, explain, models
 from tidemark.plans import explain_queries, file_queries, views
 from tidemark.streaming import explaining
 
@@ -64,3 +64,21 @@ def test_both_halves_of_a_run_read_it_stored(spark, monkeypatch):
     monkeypatch.setattr(explain_queries, "run_of", lambda *_: spark.createDataFrame([(1, 0.25, "approve"), (2, 0.5, "reject"), (3, 0.5, "approve")], "id long, pd_h double, decision string"))
     got = {r.decision: (r.rows, r.total) for r in explain_queries.decision_sinks(spark, "").collect()}
     assert len(kept) == 1 and got == {"approve": (2, 0.75), "reject": (1, 0.5)}
+
+
+def test_ablation_counts_its_rows_once(spark, monkeypatch):
+    counted, count = [], evaluate.cells_of
+    monkeypatch.setattr(evaluate, "cells_of", lambda *a: counted.append(1) or count(*a))
+    monkeypatch.setattr(explain_queries, "boosted", lambda *_: (spark.range(60).selectExpr("id", "cast(id % 30 + 1 as int) duration_months", "cast(id % 2 as int) event", "cast(id % 7 as double) x"), Fixed))
+    got = {r.dropped: (r.concordance, r.auc) for r in explain_queries.ablation_missing(spark, "").collect()}
+    scored = spark.range(60).selectExpr("cast(id % 30 + 1 as int) duration_months", "cast(id % 2 as int) event", "round(id % 7 / 7, 6) risk")
+    assert len(counted) == 1  # a pass over all scored rows for each measure before
+    assert got == {"(none)": (evaluate.concordance(scored).first().concordance, evaluate.cumulative_auc(scored, [12]).first().auc)}
+
+
+class Fixed:
+    bins = type("B", (), {"features": ["x"]})
+
+    @staticmethod
+    def ablated(df, groups, periods, keep):
+        return df.selectExpr(*keep, "'(none)' dropped", "x / 7 risk")

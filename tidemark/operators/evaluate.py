@@ -40,10 +40,10 @@ def _each(times: list[int]):
     return F.explode(F.array(*map(F.lit, times)))
 
 
-def cumulative_auc(df: DataFrame, times: list[int], by: list[str] | None = None) -> DataFrame:
-    """df: duration_months, event, risk. (by..., t, auc, n_cases, n_controls, reliable, g_at_t): cases are weighted by 1 / G(duration)."""
+def cumulative_auc(df: DataFrame, times: list[int], by: list[str] | None = None, counted: bool = False) -> DataFrame:
+    """df: duration_months, event, risk; counted: it is what `cells_of` made. (by..., t, auc, n_cases, n_controls, reliable, g_at_t): cases are weighted by 1 / G(duration)."""
     by = by or []
-    cells, curve = _with_g(cells_of(df, by, "risk"), by)
+    cells, curve = _with_g(df if counted else cells_of(df, by, "risk"), by)
     case, control = (F.col("duration_months") <= F.col("t")) & (F.col("event") == 1), F.col("duration_months") > F.col("t")
     per = cells.withColumn("t", _each(times)).groupBy(*by, "t", "risk").agg(F.sum(F.when(case, F.col("n") / F.col("g")).otherwise(0.0)).alias("w"), F.sum(F.when(case, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(control, F.col("n")).otherwise(0)).alias("b"))
     total = sums_below(per, [*by, "t"], "risk", {"below": "b"}).groupBy(*by, "t").agg(F.sum(F.col("w") * (F.col("below") + F.col("b") / 2)).alias("num"), F.sum("w").alias("w"), F.sum("a").alias("n_cases"), F.sum("b").alias("n_controls"))
@@ -72,15 +72,15 @@ def integrated(curve: DataFrame, value: str, by: list[str] | None = None) -> Dat
     return rows.groupBy(*by).agg(F.round(F.sum((F.col("t") - F.col("t0")) * (F.col(value) + F.col("v0")) / 2) / F.nullif(F.max("t") - F.min("t"), F.lit(0)), 6).alias("integrated"))
 
 
-def concordance(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+def concordance(df: DataFrame, by: list[str] | None = None, counted: bool = False) -> DataFrame:
     """(by..., concordance, n_pairs). Harrell's C: of the pairs whose shorter time is an event, the share where that one has the higher risk; ties of risk count half.
 
-    At equal times an event is comparable with a censored row only. Cells are dealt by ranges of the
+    counted: df is what `cells_of` made. At equal times an event is comparable with a censored row only. Cells are dealt by ranges of the
     risk, as many as their number asks for. Pairs of two ranges are counted from one number per month and range; pairs inside a range by
     that range's task, month by month.
     """
     by = by or []
-    cells = cells_of(df, by, "risk")
+    cells = df if counted else cells_of(df, by, "risk")
     cells = dealt(cells, by, ["risk"], cells.count())
     n = F.col("n")
     counts = cells.groupBy(*by, "_b", "duration_months").agg(F.sum(n).alias("all"), F.sum(F.when(F.col("event") == 0, n).otherwise(0)).alias("gone"), F.sum(F.when(F.col("event") == 1, n).otherwise(0)).alias("had"))

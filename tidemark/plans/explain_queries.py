@@ -182,8 +182,8 @@ def ablation_missing(spark, sf_dir):
     """The hazard trees without each group of columns that arrive together, missing as in a file that lacks them: concordance and AUC at 12 months, and the drop of both."""
     df, model = boosted(spark, sf_dir)
     groups = _ARRIVE | {"(all)": model.bins.features}
-    scored = stored(model.ablated(spread(df), groups, 4, ["duration_months", "event"]).withColumn("risk", F.round("risk", 6)))
-    both = evaluate.concordance(scored, ["dropped"]).join(evaluate.cumulative_auc(scored, [12], ["dropped"]).select("dropped", "auc"), "dropped")
+    cells = evaluate.cells_of(model.ablated(spread(df), groups, 4, ["duration_months", "event"]).withColumn("risk", F.round("risk", 6)), ["dropped"], "risk")
+    both = evaluate.concordance(cells, ["dropped"], counted=True).join(evaluate.cumulative_auc(cells, [12], ["dropped"], counted=True).select("dropped", "auc"), "dropped")
     base = both.where("dropped = '(none)'").select(F.col("concordance").alias("_c"), F.col("auc").alias("_a"))
     return both.crossJoin(F.broadcast(base)).select("dropped", "concordance", "auc", F.round(F.col("_c") - F.col("concordance"), 6).alias("concordance_drop"), F.round(F.col("_a") - F.col("auc"), 6).alias("auc_drop"))  # one row
 
