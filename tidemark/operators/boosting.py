@@ -49,7 +49,7 @@ STATE_ROWS = 100_000
 #: Loans and margins of a block at most.
 BLOCK, MARGINS = 4096, 65_536
 #: Bytes of files that a task of a pass reads at most, about: a few files, so that cores end together.
-READ = 16 << 20
+READ = 40 << 20
 #: Loans that are scored at once, about.
 SCORED = 8192
 #: Features of a leaf's path up to which its shares are looked up by which of them lead to the leaf.
